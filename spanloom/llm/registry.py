@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe_codec
+from .langid import op4_language_id
+from .toxicity import op9_toxic_spans
 
 
 def queries() -> dict:
-    return {"op10_bpe_codec": op10_bpe_codec}
+    return {"op4_language_id": op4_language_id, "op9_toxic_spans": op9_toxic_spans, "op10_bpe_codec": op10_bpe_codec}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Words are runs of letters. A word's features are hashes of itself and of its first 3 to 7 letters. Token labels come from the
-labelled rows: in a toxic document, the words with a feature that marks toxic documents strongly (``ODDS``, from at least
-``SUPPORT`` toxic documents) are toxic, all other words clean. The field has two states; forward-backward gives each word's
-marginal. A document's score is a logistic function of the expected number of toxic words, the largest marginal and the length,
-fitted on labelled rows that the field has not seen. Offending offsets are the runs of words with a marginal of one half at least.
+Words are runs of letters. A word's features are hashes of itself and of its first 4 to 8 letters, where it has more. Token
+labels come from the labelled rows: in a toxic document, the words with a feature that marks toxic documents (``marking``) are
+toxic, all other words clean. The field has two states; forward-backward gives each word's marginal. A document's score
+is a logistic function of the expected number of toxic words, their share of the text and the largest marginal, fitted on
+labelled rows that the field has not seen. Offending offsets are the runs of words with a marginal of one half at least.
 
 Training uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each class, by a hash of the id. Everything else is a
 map over whole texts; the chain is cut every ``ROW`` words so that many documents go through numpy together.
@@ -29,9 +29,9 @@ from .common import crc_mod, table, text_or_empty
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 12_000  # rows up to so many characters are taken first, and of longer ones so many are learned from
-PREFIXES = (3, 4, 5, 6, 7)
-DIMS = 1 << 18
-ODDS, SUPPORT = 3.0, 3
+PREFIXES = (4, 5, 6, 7, 8)
+DIMS = 1 << 22
+SUPPORT, PURE, EVIDENCE, EVIDENCE_REST = 4, 0.8, 14.0, 7.0
 ROW = 64
 SLICE = 1 << 19
 BLOCK = 2 << 20
@@ -73,9 +73,9 @@ class Words:
             for k, p in enumerate((0, *PREFIXES)):
                 h = np.add.reduceat(np.where(pos < p, mixed, np.uint64(0)) if p else mixed, at)
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-                feats[:, k] = (h >> np.uint64(46)).astype(np.int32)
+                feats[:, k] = (h >> np.uint64(42)).astype(np.int32)
                 if p:
-                    feats[size < p, k] = DIMS  # no such prefix
+                    feats[size <= p, k] = DIMS  # no such prefix, or it is the word
         self.feats = feats
 
 
@@ -191,7 +191,7 @@ class Field:
         u[place] = self.emission(words.feats)
         p = self.forward_backward(u.reshape(rows, ROW))[0].ravel()[place]
         own = owner[words.text]
-        sums[:, 0] += np.bincount(own, p, len(sums))
+        sums[:, 0] += np.bincount(own, np.where(p >= 0.1, p, 0.0), len(sums))  # many slight doubts don't add up
         np.maximum.at(sums[:, 1], own, p)
         sums[:, 2] += np.bincount(own, minlength=len(sums))
         bad = np.flatnonzero(p >= 0.5)
@@ -204,7 +204,7 @@ class Field:
 
     @staticmethod
     def summary(sums: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones(len(sums)), np.log1p(20 * sums[:, 0]), sums[:, 1], np.log1p(sums[:, 2])], axis=1)
+        return np.stack([np.ones(len(sums)), np.log1p(20 * sums[:, 0]), sums[:, 1], np.log1p(100 * sums[:, 0] / (sums[:, 2] + 20))], axis=1)
 
     def score(self, sums: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.summary(sums) @ self.doc, -30, 30)))
@@ -219,6 +219,39 @@ class Field:
         self.doc = b
 
 
+def marking(words: Words, y: np.ndarray, n: int) -> np.ndarray:
+    """Features that mark toxic documents: their share of toxic documents can't well be chance (EVIDENCE), or they explain toxic
+    documents without such a feature (EVIDENCE_REST, taken greedily). Near copies, told by their least word hashes, count once."""
+    least = np.full((n, 2), DIMS)
+    np.minimum.at(least[:, 0], words.text, words.feats[:, 0])
+    rest = words.feats[:, 0] != least[words.text, 0]
+    np.minimum.at(least[:, 1], words.text[rest], words.feats[rest, 0])
+    _, first = np.unique(np.column_stack((least, y)), axis=0, return_index=True)
+    single = np.zeros(n, bool)
+    single[first] = True
+    pair = np.unique((words.text.astype(np.int64)[:, None] * (DIMS + 1) + words.feats).ravel())
+    doc, feat = pair // (DIMS + 1), pair % (DIMS + 1)
+    ok = single[doc] & (feat != DIMS)
+    doc, feat = doc[ok], feat[ok]
+    pos = np.bincount(feat[y[doc] == 1], minlength=DIMS + 1)
+    neg = np.bincount(feat[y[doc] == 0], minlength=DIMS + 1)
+    q = min(max(y[single].mean(), 1e-3), 1 - 1e-3)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = pos + neg
+        g = np.where(pos > 0, pos * np.log(pos / (m * q)), 0) + np.where(neg > 0, neg * np.log(neg / (m * (1 - q))), 0)
+    strong = (pos >= SUPPORT) & (pos > PURE * m)
+    marks = strong & (g >= EVIDENCE)
+    more = strong & (g >= EVIDENCE_REST)
+    while True:
+        done = np.zeros(n, bool)
+        done[doc[marks[feat]]] = True
+        left = (y[doc] == 1) & ~done[doc] & more[feat]
+        gain = np.bincount(feat[left], minlength=DIMS + 1)
+        if gain.max() < SUPPORT:
+            return marks
+        marks[gain.argmax()] = True
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Field:
     """The first two of every three rows train the field; the third calibrates the score."""
     field = Field()
@@ -228,15 +261,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Field:
     fit = np.arange(len(texts)) % 3 != 2
     words = Words([t for t, f in zip(low, fit) if f])
     y, n = toxic[fit], int(fit.sum())
-    pos, neg = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    for k in range(words.feats.shape[1]):
-        pair = np.unique(words.text.astype(np.int64) * (DIMS + 1) + words.feats[:, k])
-        doc, feat = pair // (DIMS + 1), pair % (DIMS + 1)
-        pos += np.bincount(feat[y[doc] == 1], minlength=DIMS + 1)
-        neg += np.bincount(feat[y[doc] == 0], minlength=DIMS + 1)
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (n - y.sum() + 1))
-    marks = (odds >= ODDS) & (pos >= SUPPORT)
-    marks[DIMS] = False
+    marks = marking(words, y, n)
     label = (marks[words.feats].any(axis=1) & (y[words.text] == 1)).astype(np.float64)
     keep = np.isin(words.text, np.flatnonzero(y == 1)) | (words.text % 2 == 0)
     _, owner = np.unique(words.text[keep], return_inverse=True)
