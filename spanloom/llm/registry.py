@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op10_bpe_codec
 from .langid import op4_language_id
+from .lm import op5_bloom_lm
+from .quality import op2_quality_cotraining
 from .toxicity import op9_toxic_spans
 
 
 def queries() -> dict:
-    return {"op4_language_id": op4_language_id, "op9_toxic_spans": op9_toxic_spans, "op10_bpe_codec": op10_bpe_codec}
+    return {"op2_quality_cotraining": op2_quality_cotraining, "op4_language_id": op4_language_id, "op5_bloom_lm": op5_bloom_lm, "op9_toxic_spans": op9_toxic_spans, "op10_bpe_codec": op10_bpe_codec}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ from .common import crc_mod, table, text_or_empty
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 12_000  # rows up to so many characters are taken first, and of longer ones so many are learned from
 PREFIXES = (4, 5, 6, 7, 8)
-DIMS = 1 << 22
+DIMS = 1 << 21
 SUPPORT, PURE, EVIDENCE, EVIDENCE_REST = 4, 0.8, 14.0, 7.0
 ROW = 64
 SLICE = 1 << 19
@@ -73,7 +73,7 @@ class Words:
             for k, p in enumerate((0, *PREFIXES)):
                 h = np.add.reduceat(np.where(pos < p, mixed, np.uint64(0)) if p else mixed, at)
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-                feats[:, k] = (h >> np.uint64(42)).astype(np.int32)
+                feats[:, k] = (h >> np.uint64(43)).astype(np.int32)
                 if p:
                     feats[size <= p, k] = DIMS  # no such prefix, or it is the word
         self.feats = feats
