@@ -5,13 +5,25 @@ from __future__ import annotations
 from .bpe import op10_bpe_codec
 from .langid import op4_language_id
 from .lm import op5_bloom_lm
+from .media import op7_media_columns
+from .neardup import OP6_SQL, op6_minhash_dedup
+from .packing import op8_window_packing
 from .quality import op2_quality_cotraining
 from .toxicity import op9_toxic_spans
 
 
 def queries() -> dict:
-    return {"op2_quality_cotraining": op2_quality_cotraining, "op4_language_id": op4_language_id, "op5_bloom_lm": op5_bloom_lm, "op9_toxic_spans": op9_toxic_spans, "op10_bpe_codec": op10_bpe_codec}
+    return {
+        "op2_quality_cotraining": op2_quality_cotraining,
+        "op4_language_id": op4_language_id,
+        "op5_bloom_lm": op5_bloom_lm,
+        "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_media_columns": op7_media_columns,
+        "op8_window_packing": op8_window_packing,
+        "op9_toxic_spans": op9_toxic_spans,
+        "op10_bpe_codec": op10_bpe_codec,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_minhash_dedup": OP6_SQL}
