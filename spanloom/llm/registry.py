@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_forest_neighbours
 from .bpe import op10_bpe_codec
 from .langid import op4_language_id
 from .lm import op5_bloom_lm
@@ -9,12 +10,15 @@ from .media import op7_media_columns
 from .neardup import OP6_SQL, op6_minhash_dedup
 from .packing import op8_window_packing
 from .quality import op2_quality_cotraining
+from .quotes import OP1_SQL, op1_quotation_linking
 from .toxicity import op9_toxic_spans
 
 
 def queries() -> dict:
     return {
+        "op1_quotation_linking": op1_quotation_linking,
         "op2_quality_cotraining": op2_quality_cotraining,
+        "op3_forest_neighbours": op3_forest_neighbours,
         "op4_language_id": op4_language_id,
         "op5_bloom_lm": op5_bloom_lm,
         "op6_minhash_dedup": op6_minhash_dedup,
@@ -26,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": OP6_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op6_minhash_dedup": OP6_SQL}
