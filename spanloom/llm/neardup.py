@@ -7,10 +7,12 @@ misses all tables with probability 3.4e-4 (at 0.8: 7e-6).
 
 Documents with the same set are one class, told by a 64-bit hash of the set, before anything else; further steps see classes.
 Collection values that only one class has are dropped by an aggregation, so only classes with near copies form table keys. In each
-bucket, members are first linked to the bucket's least class (no pairs within a bucket are formed); links are confirmed on the
-full sets, each class's most promising one first. Connected components of confirmed links then show which buckets still hold
-several components: only pairs across components are checked there, so no link between different texts is lost, and a large
-group of near copies costs one check a member.
+bucket, members are first held against the class that most others share collections with, usually the text that the copies were
+made from (no pairs within a bucket are formed); links are confirmed on the full sets, each class's most promising one first.
+Connected components of confirmed links then show which buckets still hold several components. Of their members, those go on
+whose shingles that any other of them has make up enough of the set for a link; of these, pairs across components whose sizes and
+common shingles allow a link are checked. Both bounds are exact, so no link between different texts is lost, while a large
+group of near copies costs about one check a member.
 
 All joins on hot keys have one row a key on one side, so Spark can split the other side; links, labels and sets never reach the
 driver. Intermediate tables go to the shared folder.
@@ -125,7 +127,7 @@ def table_keys(shared: DataFrame) -> DataFrame:
     """A row (t, cls) for each table: a key for each pair of the collections that a class shares with another class."""
     x = F.col("bands")
     pairs = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.lit(COLLECTIONS)), lambda b: F.xxhash64(a["c"], a["h"], b["c"], b["h"]))))
-    return shared.select("cls", F.explode(pairs).alias("t"))
+    return shared.select("cls", "n", "known", F.explode(pairs).alias("t"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,6 +169,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     return written(rows.mapInPandas(run, "cls long, set array<long>"), "dup-sets")
 
 
+def shared_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, common: how many of a class's shingles another wanted class has too. A pair's intersection can't be larger than
+    either's common, so classes with too few can't be linked at all and are left out."""
+    each = sets.join(wanted, "cls", "left_semi").select("cls", F.size("set").alias("n"), F.explode("set").alias("h"))
+    several = each.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    return each.join(several, "h").groupBy("cls").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"100 * common >= {SIMILAR} * n").select("cls", "common")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
@@ -182,30 +192,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # collection values that several classes have, gathered by class
     band = classes.select("cls", F.posexplode("bands").alias("c", "h"))
-    several = band.groupBy("c", "h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("c", "h")
-    shared = band.join(several, ["c", "h"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("bands")).filter(F.size("bands") > 1)
-    shared = written(shared, "dup-shared")
+    several = band.groupBy("c", "h").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = band.join(several, ["c", "h"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("bands"), F.sum("m").alias("known")).filter(F.size("bands") > 1)
+    shared = written(shared.join(classes.select("cls", "n"), "cls"), "dup-shared")
 
-    # each bucket's members against its least class
+    # each bucket's members against the one that most others share collections with: the text that copies were made from
     keys = table_keys(shared)
-    heads = keys.groupBy("t").agg(F.min("cls").alias("b"), F.max("cls").alias("hi")).filter("b <> hi").select("t", "b")
-    n = classes.select("cls", "n")
-    stars = keys.join(heads, "t").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("tables"))
-    stars = stars.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)")
-    stars = written(stars.select("a", "b", "tables"), "dup-stars")
+    heads = keys.groupBy("t").agg(F.max(F.struct("known", "cls", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("t", F.col("head.cls").alias("b"), F.col("head.n").alias("nb"))
+    stars = keys.join(heads, "t").filter(f"cls <> b and 100 * least(n, nb) >= {SIMILAR} * greatest(n, nb)").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("tables"))
     best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("tables", "b")).alias("b")), "dup-best")
 
     sets = sets_of(docs, classes.join(shared.select("cls"), "cls", "left_semi").select(F.col("first").alias("id")), id_col, text_col).dropDuplicates(["cls"])
     links = written(confirmed(best, sets), "dup-links")
     labels = components(links)
 
-    # what is left: pairs across components, of stars and within the buckets that still hold several
+    # what is left: pairs across components within the buckets that still hold several
     label = F.coalesce("label", "cls").alias("label")
-    member = keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("t", "cls", label)
+    member = keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("t", "cls", "n", label)
     open_t = member.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t")
     left = written(member.join(open_t, "t"), "dup-open")
-    across = left.toDF("t", "a", "la").join(left.toDF("t", "b", "lb"), "t").filter("la <> lb and a > b").select("a", "b").distinct()
-    across = across.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)")
+    common = written(shared_shingles(sets, left.select("cls").distinct()), "dup-common")
+    left = left.join(common, "cls")
+    enough = f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb) and {100 + SIMILAR} * least(ca, cb) >= {SIMILAR} * (na + nb)"
+    across = left.select("t", "cls", "n", "label", "common").toDF("t", "a", "na", "la", "ca").join(left.select("t", "cls", "n", "label", "common").toDF("t", "b", "nb", "lb", "cb"), "t")
+    across = across.filter(f"la <> lb and a > b and {enough}").select("a", "b").distinct()
     across = across.select("a", "b").join(best, ["a", "b"], "left_anti")
     more = written(confirmed(across, sets), "dup-more")
     if not more.isEmpty():
