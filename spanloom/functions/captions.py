@@ -1,0 +1,112 @@
+"""Caption text: spoken numbers to figures, money, percent, sequence labels, case and punctuation.
+
+Rules run in a fixed order over a text's tokens, so this is an Arrow batch function; each text is independent of the others.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# fixed values: number words
+ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+SCALES = {"thousand": 1000, "million": 10**6, "billion": 10**9, "trillion": 10**12}
+
+_TOKEN = re.compile(r"^([\"'(\[]*)(.*?)([\"')\].,!?;:]*)$", re.S)
+
+
+def peel(token: str) -> tuple[str, str, str]:
+    """Leading marks, core, trailing marks."""
+    return _TOKEN.match(token).groups()
+
+
+def number_run(cores: list[str], i: int) -> tuple[int, int] | None:
+    """(value, tokens used) of the number words from i on; a lone 'one' isn't a number."""
+    total = current = 0
+    j, seen = i, False
+    while j < len(cores):
+        w = cores[j]
+        parts = w.split("-")
+        if w in ONES:
+            current += ONES[w]
+        elif w in TENS:
+            current += TENS[w]
+        elif len(parts) == 2 and parts[0] in TENS and ONES.get(parts[1], 10) < 10:
+            current += TENS[parts[0]] + ONES[parts[1]]
+        elif w == "hundred" and (current or not seen):
+            current = max(1, current) * 100
+        elif w in SCALES and seen:
+            total, current = total + max(1, current) * SCALES[w], 0
+        elif w == "and" and seen and j + 1 < len(cores) and cores[j - 1] in ("hundred", *SCALES) and (cores[j + 1] in ONES or cores[j + 1] in TENS):
+            pass
+        else:
+            break
+        seen, j = True, j + 1
+    if not seen or (j - i == 1 and cores[i] in ("one", "hundred")):
+        return None
+    return total + current, j - i
+
+
+def money(value: int) -> str:
+    for unit, mark in ((10**12, " Trillion"), (10**9, " Billion"), (10**6, "M")):
+        if value >= unit:
+            return f"${value / unit:.1f}".removesuffix(".0") + mark
+    return f"${value / 1000:g}K" if value >= 20_000 and value % 100 == 0 else f"${value:,}"
+
+
+def format_text(text: str) -> str:
+    out, raw = [], text.split()
+    peeled = [peel(t) for t in raw]
+    cores = [p[1].lower() for p in peeled]
+    i = 0
+    while i < len(raw):
+        lead, core, trail = peeled[i]
+        run = None
+        if not any(p[2] for p in peeled[i : i + 1]) or core.lower() in ONES or core.lower() in TENS:
+            stop = next((k for k in range(i, len(raw)) if peeled[k][2]), len(raw) - 1)
+            run = number_run(cores[: stop + 1], i)
+        if run:
+            value, used = run
+            end = i + used - 1
+            after = cores[end + 1] if end + 1 < len(raw) and not peeled[end][2] else ""
+            if after in ("dollars", "dollar", "bucks"):
+                out.append(lead + money(value) + peeled[end + 1][2])
+                i = end + 2
+                continue
+            if after in ("percent", "per-cent"):
+                out.append(f"{lead}{value}%{peeled[end + 1][2]}")
+                i = end + 2
+                continue
+            shown = f"{value:,}" if value >= 10_000 or (value >= 1000 and not 1900 <= value <= 2099) else str(value)
+            if out and peel(out[-1])[1].lower() == "number" and not peel(out[-1])[2]:
+                out[-1] = "#" + shown + peeled[end][2]
+            else:
+                out.append(lead + shown + peeled[end][2])
+            i = end + 1
+            continue
+        m = re.fullmatch(r"\$?(\d[\d,]*)(\.\d+)?", core)
+        if m and core.startswith("$") and i + 1 < len(raw) and cores[i + 1] in SCALES and not trail:
+            mark = {"thousand": "K", "million": "M", "billion": " Billion", "trillion": " Trillion"}[cores[i + 1]]
+            out.append(lead + core + mark + peeled[i + 1][2])
+            i += 2
+            continue
+        if m and not core.startswith("$") and "," not in core and not m[2] and len(core) >= 5:
+            core = f"{int(core):,}"
+        if core.lower() in ("i", "i'm", "i'll", "i've", "i'd"):
+            core = "I" + core[1:]
+        out.append(lead + core + re.sub(r"[.;:]+$", "", trail))
+        i += 1
+    return " ".join(out)
+
+
+def formatted(x: str | Column) -> Column:
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else format_text(t))
+
+    return run(x)
