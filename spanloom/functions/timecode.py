@@ -31,7 +31,7 @@ def since_seconds(x: Column) -> Column:
 
 def rgb(colour: Column) -> Column:
     """A subtitle colour &HAABBGGRR& as RRGGBB."""
-    h = F.lpad(F.upper(F.regexp_replace(colour, "(?i)[&h]", "")), 6, "0")
+    h = F.concat(F.lit("000000"), F.upper(F.regexp_replace(colour, "(?i)[&h]", "")))
     h = F.substring(h, F.length(h) - 5, F.lit(6))
     return F.concat(F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
 

@@ -14,7 +14,7 @@ WORDS_JSON = f"words array<{WORD}>, segments array<struct<start:double,`end`:dou
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
