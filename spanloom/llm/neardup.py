@@ -9,10 +9,10 @@ Documents with the same set are one class, told by a 64-bit hash of the set, bef
 Collection values that only one class has are dropped by an aggregation, so only classes with near copies form table keys. In each
 bucket, members are first held against the class that most others share collections with, usually the text that the copies were
 made from (no pairs within a bucket are formed); links are confirmed on the full sets, each class's most promising one first.
-Connected components of confirmed links then show which buckets still hold several components. Of their members, those go on
-whose shingles that any other of them has make up enough of the set for a link; of these, pairs across components whose sizes and
-common shingles allow a link are checked. Both bounds are exact, so no link between different texts is lost, while a large
-group of near copies costs about one check a member.
+Connected components of confirmed links then show which buckets still hold several components; pairs across components are checked
+there. Beforehand, classes are left out whose shingles that any other class has are too small a part of the set for a link, and
+pairs whose sizes and common shingles don't allow one never form. These bounds are exact, so no link between different texts is
+lost, while a large group of near copies costs about one check a member.
 
 All joins on hot keys have one row a key on one side, so Spark can split the other side; links, labels and sets never reach the
 driver. Intermediate tables go to the shared folder.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
@@ -127,7 +127,7 @@ def table_keys(shared: DataFrame) -> DataFrame:
     """A row (t, cls) for each table: a key for each pair of the collections that a class shares with another class."""
     x = F.col("bands")
     pairs = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.lit(COLLECTIONS)), lambda b: F.xxhash64(a["c"], a["h"], b["c"], b["h"]))))
-    return shared.select("cls", "n", "known", F.explode(pairs).alias("t"))
+    return shared.select("cls", "n", "known", "common", F.explode(pairs).alias("t"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def rows_of(docs: DataFrame, ids: DataFrame, how: str, on: str = "id") -> DataFr
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cls, set of the classes whose first document's id is in wanted; written once."""
+    """cls, set of the classes whose first document's id is in wanted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -166,15 +166,29 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
                     yield pd.DataFrame({"cls": cls, "set": np.split(h.view(np.int64), first[1:])})
 
     rows = rows_of(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), wanted, "left_semi")
-    return written(rows.mapInPandas(run, "cls long, set array<long>"), "dup-sets")
+    return rows.mapInPandas(run, "cls long, set array<long>")
 
 
-def shared_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, common: how many of a class's shingles another wanted class has too. A pair's intersection can't be larger than
-    either's common, so classes with too few can't be linked at all and are left out."""
-    each = sets.join(wanted, "cls", "left_semi").select("cls", F.size("set").alias("n"), F.explode("set").alias("h"))
-    several = each.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    return each.join(several, "h").groupBy("cls").agg(F.count("*").alias("common"), F.first("n").alias("n")).filter(f"100 * common >= {SIMILAR} * n").select("cls", "common")
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """cls, common: how many of a class's shingles another class of sets has too. A pair's intersection can't be larger than either's
+    common, so classes with too few can't be linked at all and are left out."""
+    each = sets.select("cls", F.size("set").alias("m"), F.explode("set").alias("h"))
+    several = each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    return each.join(several, "h").groupBy("cls").agg(F.count("*").alias("common"), F.first("m").alias("m")).filter(f"100 * common >= {SIMILAR} * m").select("cls", "common")
+
+
+def promising(member: DataFrame) -> DataFrame:
+    """The rows (t, cls, n, common, label) whose bucket t holds a class of another label that sizes and common shingles let them
+    be linked with: a link needs reach = common * (100 + SIMILAR) - n * SIMILAR, of either, to be SIMILAR times the other's n."""
+    m = member.withColumn("reach", (100 + SIMILAR) * F.col("common") - SIMILAR * F.col("n"))
+    per = m.groupBy("t", "label").agg(F.max("reach").alias("far"), F.min("n").alias("small"))
+    w = Window.partitionBy("t")
+    two = per.withColumns({"i": F.row_number().over(w.orderBy(F.desc("far"), "label")), "j": F.row_number().over(w.orderBy("small", "label"))}).filter("i <= 2 or j <= 2")
+    at = lambda rank, k, c: F.max(F.when(F.col(rank) == k, F.col(c)))
+    best = two.groupBy("t").agg(at("i", 1, "label").alias("far_label"), at("i", 1, "far").alias("far1"), at("i", 2, "far").alias("far2"), at("j", 1, "label").alias("small_label"), at("j", 1, "small").alias("small1"), at("j", 2, "small").alias("small2")).filter("far2 is not null")
+    far = F.when(F.col("label") == F.col("far_label"), F.col("far2")).otherwise(F.col("far1"))
+    small = F.when(F.col("label") == F.col("small_label"), F.col("small2")).otherwise(F.col("small1"))
+    return m.join(best, "t").filter((far >= SIMILAR * F.col("n")) & (F.col("reach") >= SIMILAR * small)).select("t", "cls", "n", "common", "label")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,7 +208,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = classes.select("cls", F.posexplode("bands").alias("c", "h"))
     several = band.groupBy("c", "h").agg(F.count("*").alias("m")).filter("m > 1")
     shared = band.join(several, ["c", "h"]).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("bands"), F.sum("m").alias("known")).filter(F.size("bands") > 1)
-    shared = written(shared.join(classes.select("cls", "n"), "cls"), "dup-shared")
+    shared = written(shared.join(classes.select("cls", "n", "first"), "cls"), "dup-shared")
+    sets = written(sets_of(docs, shared.select(F.col("first").alias("id")), id_col, text_col).dropDuplicates(["cls"]), "dup-sets")
+    shared = written(shared.join(shared_shingles(sets), "cls"), "dup-hopeful")
 
     # each bucket's members against the one that most others share collections with: the text that copies were made from
     keys = table_keys(shared)
@@ -202,17 +218,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = keys.join(heads, "t").filter(f"cls <> b and 100 * least(n, nb) >= {SIMILAR} * greatest(n, nb)").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("tables"))
     best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("tables", "b")).alias("b")), "dup-best")
 
-    sets = sets_of(docs, classes.join(shared.select("cls"), "cls", "left_semi").select(F.col("first").alias("id")), id_col, text_col).dropDuplicates(["cls"])
     links = written(confirmed(best, sets), "dup-links")
     labels = components(links)
 
     # what is left: pairs across components within the buckets that still hold several
     label = F.coalesce("label", "cls").alias("label")
-    member = keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("t", "cls", "n", label)
-    open_t = member.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t")
-    left = written(member.join(open_t, "t"), "dup-open")
-    common = written(shared_shingles(sets, left.select("cls").distinct()), "dup-common")
-    left = left.join(common, "cls")
+    member = keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("t", "cls", "n", "common", label)
+    left = written(promising(member), "dup-open")
     enough = f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb) and {100 + SIMILAR} * least(ca, cb) >= {SIMILAR} * (na + nb)"
     across = left.select("t", "cls", "n", "label", "common").toDF("t", "a", "na", "la", "ca").join(left.select("t", "cls", "n", "label", "common").toDF("t", "b", "nb", "lb", "cb"), "t")
     across = across.filter(f"la <> lb and a > b and {enough}").select("a", "b").distinct()
