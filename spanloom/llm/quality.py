@@ -12,7 +12,8 @@ classes' true counts, plus the picks. Scores, picks and class counts cover all r
 
 Cases: a null text counts as empty, a null source or language as a value of its own, a null declared length as the text's own; a
 text of any length is read whole; repeated rows are scored alike, repeated labels count once (conflicting ones as bad); labels of
-one class only, or none, give every document the share of good labels (1 without any); an empty table gives an empty result;
+one class only, or none, give every document the share of good labels (1 without any); with one label of a class, calibration uses
+the training rows; an empty table gives an empty result;
 further columns are ignored, whatever their names.
 """
 
@@ -172,6 +173,8 @@ def train(views: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> M
     for k in (0, 1):
         apart[np.flatnonzero(y == k)[::4]] = True
     fit = ~apart
+    if len(set(y[fit])) < 2:  # too few labels to keep any apart
+        fit[:] = True
     model = Model()
     sets = [[scaled(c[fit]), y[fit], weight[fit]], [m[fit], y[fit], weight[fit]]]
     taken = set(rows["id"])
