@@ -79,6 +79,24 @@ class Words:
         self.feats = feats
 
 
+def words_of(texts: list[str]) -> Words:
+    """The words of any number of texts, hashed a block of characters at a time."""
+    done, start = [], 0
+    while start < len(texts) or not done:
+        end, chars = start, 0
+        while end < len(texts) and (chars == 0 or chars + len(texts[end]) <= BLOCK):
+            chars += len(texts[end])
+            end += 1
+        part = Words(texts[start:end])
+        part.text = part.text + start
+        done.append(part)
+        start = end
+    out = done[0]
+    for name in ("text", "start", "end", "feats"):
+        setattr(out, name, np.concatenate([getattr(w, name) for w in done]))
+    return out
+
+
 def grid(owner: np.ndarray, n: int) -> tuple[np.ndarray, int]:
     """Where each word goes when the words of each text are laid out in rows of ROW; the number of rows."""
     count = np.bincount(owner, minlength=n)
@@ -229,7 +247,8 @@ def marking(words: Words, y: np.ndarray, n: int) -> np.ndarray:
     _, first = np.unique(np.column_stack((least, y)), axis=0, return_index=True)
     single = np.zeros(n, bool)
     single[first] = True
-    pair = np.unique((words.text.astype(np.int64)[:, None] * (DIMS + 1) + words.feats).ravel())
+    cuts = np.searchsorted(words.text, np.arange(0, n + 250, 250))  # by whole texts, so blocks share no pair
+    pair = np.concatenate([np.unique((words.text[a:b].astype(np.int64)[:, None] * (DIMS + 1) + words.feats[a:b]).ravel()) for a, b in zip(cuts, cuts[1:])])
     doc, feat = pair // (DIMS + 1), pair % (DIMS + 1)
     ok = single[doc] & (feat != DIMS)
     doc, feat = doc[ok], feat[ok]
@@ -259,7 +278,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Field:
         return field
     low = [lower_same_length(t[:SAMPLE_CHARS]) for t in texts]
     fit = np.arange(len(texts)) % 3 != 2
-    words = Words([t for t, f in zip(low, fit) if f])
+    words = words_of([t for t, f in zip(low, fit) if f])
     y, n = toxic[fit], int(fit.sum())
     marks = marking(words, y, n)
     label = (marks[words.feats].any(axis=1) & (y[words.text] == 1)).astype(np.float64)
@@ -278,7 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     picked = ids.filter("toxic = 1").orderBy(h, "id").limit(SAMPLE_ROWS).unionByName(ids.filter("toxic = 0").orderBy(h, "id").limit(SAMPLE_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), F.substring(text_or_empty(text_col), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "id").withColumn("h", h)
     got = rows.toPandas().drop_duplicates("id").sort_values(["h", "id"])
-    return train(list(got["text"]), got["toxic"].to_numpy(np.int64))
+    texts, toxic = list(got.pop("text")), got["toxic"].to_numpy(np.int64)
+    del got
+    return train(texts, toxic)
 
 
 def scorer(spark: SparkSession, field: Field):
