@@ -26,7 +26,8 @@ def source_match(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, n: i
     q = queries.select(q_id, w.alias("w")).filter(F.size("w") >= 2 * n)
     start = lambda k: (1 + F.floor((F.size("w") - n) * k / 5)).cast("int")
     q = q.select(q_id, F.explode(F.array(*[F.array_join(F.slice("w", start(k), n), " ") for k in (1, 2, 3, 4)])).alias("s"))
-    d = docs.filter("text is not null").select(d_id, F.explode(F.array_distinct(tx.shingles(w, n))).alias("s"))
+    split = docs.filter("text is not null").select(d_id, w.alias("w"))  # a column of its own, or each shingle would split the text again
+    d = split.select(d_id, F.explode(F.array_distinct(tx.shingles(F.col("w"), n))).alias("s"))
     hits = q.join(d, "s").groupBy(q_id, d_id).agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
     return hits.groupBy(q_id).agg(F.min_by(d_id, F.struct(-F.col("hits"), d_id)).alias(d_id), F.max("hits").alias("hits"))
 
