@@ -3,13 +3,14 @@
 All training texts are counted (words, an end mark after each text, and neighbouring pairs) as 64-bit hashes, in one shuffle that
 grows with the corpus. Counts are quantised to levels growing by ``GROWTH``; the filter holds (n-gram, level) for every level up
 to the n-gram's own, so that repeated membership probes, level after level until one misses, give its count back. The filter has
-``GROUPS`` blocks of ``BLOCK_BYTES``, one for each hash prefix: a fixed size that is broadcast whatever the corpus. Pairs seen
-once stay outside, as usual for back-off models; their words carry them. Probabilities are smoothed towards the shorter context:
+``GROUPS`` blocks, one for each hash prefix, each with ``BITS`` bits for every (n-gram, level) it holds: a probe for one it lacks
+hits with a chance of 1 % whatever the corpus. Probabilities are mixed with those of the shorter context:
 
-    P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),   P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU)
+    P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),   P(w | v) = MIX c(v w) / c(v) + (1 - MIX) P(w), or P(w) where v is unseen
 
-with counts read from the filter. The base score needs exact counts: those of tokens that make up a share of ``FREQUENT`` of all
-tokens (so 1 / ``FREQUENT`` at most, whatever the corpus) are broadcast, those of all others are joined.
+with counts read from the filter; the base score sums log10 P(w) with exact ones. Filter and counts grow with the corpus, so nothing
+of them is broadcast: texts are dealt into chunks, the distinct words and pairs of each are shuffled to the blocks of their
+groups, and the counts found there go back to the chunk.
 
 Cases: a null text counts as empty and has its end mark alone; texts may be of any length (read in slices at white space);
 repeated rows are counted and scored each; without training rows every probability is 1; an empty table gives an empty result;
@@ -18,10 +19,11 @@ only the id and text columns are read, so further columns never clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,11 @@ from .common import crc_mod, table, text_or_empty, written
 
 GROUPS = 1024
 GROUP_BITS = 10
-BLOCK_BYTES = 32 << 10
 PROBES = 3
+BITS = 12.5  # bits of a block for each entry: with PROBES, false hits of (1 - exp(-PROBES / BITS)) ** PROBES, or 1 %
 GROWTH = 1.25
 MIX = 0.3  # weight of the longer context
-FREQUENT = 1e-6  # share of all tokens from which on a token's exact count is broadcast: a million of them at most
+CHUNK = 12 << 20  # characters of texts scored together; a longer text is a chunk of its own
 SLICE = 1 << 20  # bytes of one text handled at a time, up to the next white space
 BATCH = 2 << 20  # bytes handled at a time
 FLUSH = 3_000_000  # pairs counted in a task before they are handed on
@@ -84,7 +86,7 @@ def tokens(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     """Blocks of (text index, token hash, hash of the token before it); each text closes with END and opens after START."""
     last: dict[int, np.uint64] = {}
 
-    def block(parts: list[bytes], owner: list[int], closes: list[bool]):
+    def joined(parts: list[bytes], owner: list[int], closes: list[bool]):
         h, part = word_hashes(parts)
         own, n = np.array(owner), len(parts)
         count = np.bincount(part, minlength=n)
@@ -114,12 +116,12 @@ def tokens(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             held += e - s
             s = e
             if held >= BATCH:
-                yield block(parts, owner, closes)
+                yield joined(parts, owner, closes)
                 parts, owner, closes, held = [], [], [], 0
             if s >= len(raw):
                 break
     if parts:
-        yield block(parts, owner, closes)
+        yield joined(parts, owner, closes)
 
 
 def pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -139,32 +141,42 @@ LEVELS = thresholds()
 VALUE = np.concatenate(([0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0))))
 
 
-def positions(keys: np.ndarray, level: int) -> list[np.ndarray]:
-    """Bits of (key, level) within the key's block."""
+def positions(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+    """Bits of (key, level) within the key's block of size bits."""
     h = mixed(keys + np.uint64(level * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    m = np.uint64(BLOCK_BYTES * 8 - 1)
-    return [((h + np.uint64(i) * step) & m).astype(np.int64) for i in range(PROBES)]
+    return [((h + np.uint64(i) * step) % np.uint64(size)).astype(np.int64) for i in range(PROBES)]
 
 
-def block_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+def block(grams: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A block with the given (keys, counts)."""
+    grams = list(grams)
+    entries = sum(int(np.searchsorted(LEVELS, c, "right").sum()) for _, c in grams)
+    bits = np.zeros(8 + int(entries * BITS / 8), np.uint8)
+    for keys, counts in grams:
+        for j, least in enumerate(LEVELS, 1):
+            many = counts >= least
+            keys, counts = keys[many], counts[many]
+            if not len(keys):
+                break
+            for p in positions(keys, j, 8 * len(bits)):
+                np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
+    return bits
 
 
 def probed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Counts of keys by repeated probes: the level before the first miss."""
-    level = np.zeros(len(keys), np.int64)
-    active, base = np.arange(len(keys)), block_of(keys) * BLOCK_BYTES
+    """Levels of keys by repeated probes of their block: the one before the first miss, 0 where the block lacks the key."""
+    level = np.zeros(len(keys), np.uint8)
+    active = np.arange(len(keys))
     for j in range(1, len(LEVELS)):
-        ok = np.ones(len(active), bool)
-        k, b = keys[active], base[active]
-        for p in positions(k, j):
-            ok &= (bits[b + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
-        active = active[ok]
+        for i, p in enumerate(positions(keys[active], j, 8 * len(bits))):
+            ok = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            hit = ok if i == 0 else hit & ok
+        active = active[hit]
         if not len(active):
             break
         level[active] = j
-    return VALUE[level]
+    return level
 
 
 def planes(keys: np.ndarray) -> bytes:
@@ -186,17 +198,25 @@ def tallied(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> t
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+EDGES = np.arange(1, GROUPS, dtype=np.uint64) << np.uint64(64 - GROUP_BITS)
+
+
+def by_group(keys: np.ndarray) -> list[slice]:
+    """Where the keys of each group are among sorted ones."""
+    at = np.concatenate(([0], np.searchsorted(keys, EDGES), [len(keys)]))
+    return [slice(a, b) for a, b in zip(at, at[1:])]
+
+
 def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A task's counts, by group: words and pairs as sorted keys with counts."""
     words, pairs, held = [], [], 0
-    edges = (np.arange(1, GROUPS, dtype=np.uint64)) << np.uint64(64 - GROUP_BITS)
 
     def flush() -> pd.DataFrame:
         cut = []
         for x in (words, pairs):
             k, c = tallied(x)
-            at = np.concatenate(([0], np.searchsorted(k, edges), [len(k)]))
-            cut += [[planes(k[a:b]) for a, b in zip(at, at[1:])], [c[a:b].astype(np.uint32).tobytes() for a, b in zip(at, at[1:])]]
+            at = by_group(k)
+            cut += [[planes(k[i]) for i in at], [c[i].astype(np.uint32).tobytes() for i in at]]
         out = pd.DataFrame({"g": np.arange(GROUPS, dtype=np.int32), "wk": cut[0], "wc": cut[1], "pk": cut[2], "pc": cut[3]})
         return out[(out["wk"].str.len() > 0) | (out["pk"].str.len() > 0)]
 
@@ -216,112 +236,115 @@ def merge(rows: pd.DataFrame) -> pd.DataFrame:
     """A group's counts over all tasks: its block of the filter, and its words with exact counts."""
     wk, wc = tallied(*[list(x) for x in zip(*[(from_planes(k), np.frombuffer(c, np.uint32).astype(np.int64)) for k, c in zip(rows["wk"], rows["wc"])])])
     pk, pc = tallied(*[list(x) for x in zip(*[(from_planes(k), np.frombuffer(c, np.uint32).astype(np.int64)) for k, c in zip(rows["pk"], rows["pc"])])])
-    many = pc >= 2
-    bits = np.zeros(BLOCK_BYTES, np.uint8)
-    for keys, counts in ((wk, wc), (pk[many], pc[many])):
-        for j, least in enumerate(LEVELS, 1):
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            if not len(keys):
-                break
-            for p in positions(keys, j):
-                np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
-    return pd.DataFrame({"g": [rows["g"].iloc[0]], "bits": [bits.tobytes()], "words": [wk.view(np.int64)], "counts": [wc], "n_words": [len(wk)], "n_tokens": [int(wc.sum())], "n_pairs": [len(pk)]})
+    return pd.DataFrame({"g": [rows["g"].iloc[0]], "bits": [block([(wk, wc), (pk, pc)]).tobytes()], "words": [planes(wk)], "counts": [wc.tobytes()], "n_words": [len(wk)], "n_tokens": [int(wc.sum())], "n_pairs": [len(pk)]})
 
 
 class Model:
-    """The filter, the corpus totals, and exact counts of the most frequent tokens (all others are joined)."""
+    """The corpus totals; filter and counts stay in their table."""
 
-    def __init__(self, bits: np.ndarray, total: int, distinct: int, keys: np.ndarray, counts: np.ndarray):
-        self.bits, self.total, self.distinct, self.keys, self.counts = bits, total, distinct, keys, counts
+    def __init__(self, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
         self.room = total + 0.5 * (distinct + 1)
 
-    def exact(self, tok: np.ndarray) -> np.ndarray:
-        """Exact counts, 0 where a token isn't among the broadcast ones."""
-        if not len(self.keys):
-            return np.zeros(len(tok), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, tok), len(self.keys) - 1)
-        return np.where(self.keys[at] == tok, self.counts[at], 0)
-
-    def log10p(self, tok: np.ndarray, before: np.ndarray) -> np.ndarray:
-        if not self.total:
-            return np.zeros(len(tok))
-        words, at = np.unique(np.concatenate((tok, before)), return_inverse=True)
-        c = probed(self.bits, words)
-        c[words == START] = c[words == END].sum() or probed(self.bits, np.array([END]))[0]
-        c_tok, c_before = c[at[: len(tok)]], c[at[len(tok) :]]
-        pairs, at = np.unique(pair(before, tok), return_inverse=True)
-        joint = np.minimum(probed(self.bits, pairs)[at], np.minimum(c_tok, c_before))
-        p1 = (c_tok + 0.5) / self.room
-        return np.log10(np.where(c_before > 0, MIX * joint / np.maximum(c_before, 1) + (1 - MIX) * p1, p1))
-
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
-    """The merged counts (written once), and the model to broadcast."""
+    """The merged counts with the filter's blocks (written once), and the totals."""
     counted = docs.select(text_or_empty(text_col).alias("text")).mapInPandas(count, "g int, wk binary, wc binary, pk binary, pc binary")
-    merged = counted.groupBy("g").applyInPandas(merge, "g int, bits binary, words array<long>, counts array<long>, n_words long, n_tokens long, n_pairs long")
+    merged = counted.groupBy("g").applyInPandas(merge, "g int, bits binary, words binary, counts binary, n_words long, n_tokens long, n_pairs long")
     merged = written(merged, "lm-counts")
-    bits = np.zeros((GROUPS, BLOCK_BYTES), np.uint8)
-    distinct = total = 0
-    for r in merged.select("g", "bits", "n_words", "n_tokens").toLocalIterator():
-        bits[r["g"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        distinct, total = distinct + r["n_words"], total + r["n_tokens"]
-    least = max(1, int(np.ceil(total * FREQUENT)))
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for words, counts in zip(b["words"], b["counts"]):
-                words, counts = np.asarray(words, np.int64), np.asarray(counts, np.int64)
-                many = counts >= least
-                yield pd.DataFrame({"k": [words[many].tobytes()], "c": [counts[many].tobytes()]})
-
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in merged.select("words", "counts").mapInPandas(frequent, "k binary, c binary").toLocalIterator():
-        keys.append(np.frombuffer(bytes(r["k"]), np.uint64))
-        counts.append(np.frombuffer(bytes(r["c"]), np.int64))
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys)
-    return merged, Model(bits.ravel(), total, distinct, keys[order], counts[order])
+    r = merged.agg(F.sum("n_tokens").alias("total"), F.sum("n_words").alias("distinct")).first()
+    return merged, Model(r["total"] or 0, r["distinct"] or 0)
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (who, text) as chunks of up to CHUNK characters: one row with an array of each column."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        at = np.cumsum(pc.utf8_length(b["text"]).to_numpy(zero_copy_only=False)) // CHUNK
+        cut = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cut, cut[1:]):
+            if e > s:
+                yield pa.RecordBatch.from_arrays([pa.array([x.slice(s, e - s).to_pylist()], pa.list_(x.type)) for x in b.columns], names=b.schema.names)
+
+
+def unique_tokens(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and the distinct pairs of a chunk, sorted."""
+    words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, tok, before in tokens(list(texts)):
+        words.append(np.unique(tok))
+        pairs.append(np.unique(pair(before, tok)))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
+
+def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words and pairs that each chunk asks for, by group."""
+    for b in batches:
+        for chunk, texts in zip(b["chunk"], b["text"]):
+            cut = [[planes(k[i]) for i in by_group(k)] for k in unique_tokens(texts)]
+            yield pd.DataFrame({"chunk": chunk, "g": np.arange(GROUPS, dtype=np.int32), "wk": cut[0], "pk": cut[1]})
+
+
+def answers(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """For the keys of a group, in their order: the words' exact counts, and the levels of words and pairs in the filter."""
+    if len(held):
+        bits, keys = np.frombuffer(held["bits"].iloc[0], np.uint8), from_planes(held["words"].iloc[0])
+        counts = np.frombuffer(held["counts"].iloc[0], np.int64)
+    else:
+        bits, keys, counts = block([]), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    w, p = ([from_planes(k) for k in asked[c]] for c in ("wk", "pk"))
+    (words, w_at), (pairs, p_at) = (np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_inverse=True) for x in (w, p))
+    exact = np.zeros(len(words), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+        exact = np.where(keys[at] == words, counts[at], 0)
+
+    def parts(found: np.ndarray, at: np.ndarray, like: list[np.ndarray]) -> list[bytes]:
+        return [x.tobytes() for x in np.split(found[at], np.cumsum([len(x) for x in like])[:-1])] if like else []
+
+    out = {"exact": parts(exact, w_at, w), "wl": parts(probed(bits, words), w_at, w), "pl": parts(probed(bits, pairs), p_at, p)}
+    return pd.DataFrame({"chunk": asked["chunk"].to_numpy(np.int64), "g": asked["g"].to_numpy(np.int32), **out})
+
+
+def log10p(model: Model, c_tok: np.ndarray, c_before: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    if not model.total:
+        return np.zeros(len(c_tok))
+    joint = np.minimum(joint, np.minimum(c_tok, c_before))
+    p1 = (c_tok + 0.5) / model.room
+    return np.log10(np.where(c_before > 0, MIX * joint / np.maximum(c_before, 1) + (1 - MIX) * p1, p1))
 
 
 def score(docs: DataFrame, merged: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """id, keep, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            texts = list(b.pop("text"))
-            n = len(texts)
-            n_tokens, n_known, base, full, rare_n = (np.zeros(n) for _ in range(5))
-            rare: list[list[np.ndarray]] = [[] for _ in range(n)]
-            for own, tok, before in tokens(texts):
-                c = m.exact(tok)
-                hit = c > 0
-                n_tokens += np.bincount(own, minlength=n)
-                n_known += np.bincount(own, hit, n)
-                base += np.bincount(own, np.where(hit, np.log10((c + 0.5) / m.room), 0.0), n)
-                full += np.bincount(own, m.log10p(tok, before), n)
-                if not hit.all():
-                    ids, left = own[~hit], tok[~hit]
-                    cut = np.flatnonzero(np.diff(ids)) + 1
-                    for i, part in zip(ids[np.concatenate(([0], cut))], np.split(left, cut)):
-                        rare[i].append(part)
-            yield b.assign(n_tokens=n_tokens.astype(np.int64), n_known=n_known.astype(np.int64), base=base, score=full, rare=[np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in rare])
-
-    rows = docs.select(F.col(id_col).alias("id"), *keep, text_or_empty(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    got = rows.mapInPandas(run, f"{schema}, n_tokens long, n_known long, base double, score double, rare array<long>")
-    got = written(got.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    room, total = float(model.room), int(model.total)
-    # tokens outside the broadcast counts, joined with their exact ones
-    left = got.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    words = merged.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    more = left.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(room))).alias("part"))
-    out = got.drop("rare").join(more, "row", "left")
-    extra = [F.col(f.name) for f in rows.schema if f.name not in ("id", "text")]
-    return out.select(F.col("id").alias(id_col), *extra, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("base_score"), "score")
+
+    def sums(found: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        texts = list(chunk["text"].iloc[0])
+        n = len(texts)
+        found = found.sort_values("g")  # groups are prefixes, so all keys are in order
+        words, pairs = unique_tokens(texts)
+        exact, wl, pl = (np.frombuffer(b"".join(found[c]), t) for c, t in (("exact", np.int64), ("wl", np.uint8), ("pl", np.uint8)))
+        c_words, c_pairs = VALUE[wl], VALUE[pl]
+        n_ends = c_words[np.searchsorted(words, END)]  # every text has one, and a start
+        n_tokens, n_known, base, full = (np.zeros(n) for _ in range(4))
+        for own, tok, before in tokens(texts):
+            at = np.searchsorted(words, tok)
+            c = exact[at]
+            c_before = np.where(before == START, n_ends, c_words[np.minimum(np.searchsorted(words, before), len(words) - 1)])
+            n_tokens += np.bincount(own, minlength=n)
+            n_known += np.bincount(own, c > 0, n)
+            base += np.bincount(own, np.log10((c + 0.5) / model.room), n)
+            full += np.bincount(own, log10p(model, c_words[at], c_before, c_pairs[np.searchsorted(pairs, pair(before, tok))]), n)
+        return pd.DataFrame({"chunk": [chunk["chunk"].iloc[0]], "n_tokens": [n_tokens.astype(np.int64)], "n_known": [n_known.astype(np.int64)], "base_score": [base], "score": [full]})
+
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), *keep).alias("who"), text_or_empty(text_col).alias("text"))
+    extra = [f.name for f in rows.schema["who"].dataType if f.name != "id"]
+    chunks = rows.mapInArrow(chunked, f"who array<{rows.schema['who'].dataType.simpleString()}>, text array<string>")
+    chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+    asked = chunks.select("chunk", "text").mapInPandas(probes, "chunk long, g int, wk binary, pk binary")
+    found = asked.groupBy("g").cogroup(merged.groupBy("g")).applyInPandas(answers, "chunk long, g int, exact binary, wl binary, pl binary")
+    got = found.groupBy("chunk").cogroup(chunks.select("chunk", "text").groupBy("chunk")).applyInPandas(sums, "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
+    each = chunks.select("chunk", "who").join(got, "chunk").select(F.explode(F.arrays_zip("who", "n_tokens", "n_known", "base_score", "score")).alias("x"))
+    return each.select(F.col("x.who.id").alias(id_col), *[F.col(f"x.who.`{c}`") for c in extra], "x.n_tokens", "x.n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "x.base_score", "x.score")
 
 
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

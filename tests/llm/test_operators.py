@@ -212,3 +212,40 @@ def test_quality_by_two_views(spark):
     model, views = quality.fit(spark.createDataFrame(rows, DOCS), labels)
     got = quality.score(views, model).filter("doc_id % 2 = 1").collect()
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 3 > 0) for r in got]) > 0.95
+
+
+def test_language_model_filter_grows_with_the_corpus():
+    """Unseen pairs are told from seen ones at the stated rate, however many there are; pairs seen once are held."""
+    g = np.random.default_rng(3)
+    keys = g.integers(0, 1 << 54, 400_000, dtype=np.uint64)  # of one group
+    counts = g.integers(1, 4, len(keys))
+    k, c = lm.planes(np.sort(keys)), counts.astype(np.uint32).tobytes()
+    row = {"g": [0], "wk": [b""], "wc": [b""], "pk": [k], "pc": [c]}
+    bits = np.frombuffer(lm.merge(lm.pd.DataFrame(row))["bits"].iloc[0], np.uint8)
+    unseen = g.integers(0, 1 << 54, 100_000, dtype=np.uint64)
+    assert np.mean(lm.probed(bits, unseen) > 0) < 0.015
+    assert np.array_equal(np.minimum(lm.probed(bits, np.sort(keys)), counts), counts)  # never under the count (levels 1 to 3 are exact)
+
+
+def test_language_model_score_is_as_documented(spark):
+    """Against exact counts, over several chunks: a pair seen once counts."""
+    texts = [prose(EN, 30) for _ in range(40)] + ["lonely couple", None]
+    d = docs(spark, texts)
+    merged, model = lm.train(d)
+    old, lm.CHUNK = lm.CHUNK, 400
+    try:
+        got = {r["doc_id"]: r["score"] for r in lm.score(d, merged, model).collect()}
+    finally:
+        lm.CHUNK = old
+    tok = lambda t: [*(t or "").lower().split(), None]
+    one = Counter(w for t in texts for w in tok(t))
+    two = Counter(p for t in texts for p in zip(["^", *tok(t)], tok(t)))
+    one["^"] = len(texts)
+    v = lambda n: lm.VALUE[np.searchsorted(lm.LEVELS, n, "right")]
+    room = sum(one.values()) - len(texts) + 0.5 * len(one)
+    for i, t in enumerate(texts):
+        want = 0.0
+        for a, b in zip(["^", *tok(t)], tok(t)):
+            joint = min(v(two[a, b]), v(one[a]), v(one[b]))
+            want += math.log10(0.3 * joint / v(one[a]) + 0.7 * (v(one[b]) + 0.5) / room)
+        assert abs(got[i] - want) < 0.02 * abs(want)
