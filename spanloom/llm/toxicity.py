@@ -6,8 +6,8 @@ toxic, all other words clean. The field has two states; forward-backward gives e
 is a logistic function of the expected number of toxic words, their share of the text and the largest marginal, fitted on
 labelled rows that the field has not seen. Offending offsets are the runs of words with a marginal of one half at least.
 
-Training uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each class, by a hash of the id. Everything else is a
-map over whole texts; the chain is cut every ``ROW`` words so that many documents go through numpy together.
+Training uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each class, by a hash of the id, each row weighing as
+many labelled rows of its class as it stands for, so that the classes weigh as in all labelled rows. Everything else is a map over whole texts; the chain is cut every ``ROW`` words so that many documents go through numpy together.
 
 Cases: a null or empty text, or one without letters, gets the score of a text without toxic words; without labels of both classes
 the score is 0 throughout; texts may be of any length (read in slices); repeated rows are scored alike; repeated labels count
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table, text_or_empty
+from .common import crc_mod, table, text_or_empty, written
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 12_000  # rows up to so many characters are taken first, and of longer ones so many are learned from
@@ -145,16 +145,16 @@ class Field:
         joint /= joint.sum(axis=0)
         return (joint * valid.T[1:]).sum(axis=(1, 2)).reshape(2, 2)
 
-    def fit(self, feats: np.ndarray, label: np.ndarray, owner: np.ndarray, n: int) -> None:
-        """Maximum likelihood with a small ridge, by full-batch adaptive gradient steps."""
+    def fit(self, feats: np.ndarray, label: np.ndarray, owner: np.ndarray, n: int, weight: np.ndarray) -> None:
+        """Maximum likelihood with a small ridge, by full-batch adaptive gradient steps; words have the weights of their texts."""
         place, rows = grid(owner, n)
-        valid = np.zeros(rows * ROW, bool)
-        valid[place] = True
+        valid = np.zeros(rows * ROW)
+        valid[place] = weight
         y = np.zeros(rows * ROW)
         y[place] = label
         grid_y, grid_valid = y.reshape(rows, ROW), valid.reshape(rows, ROW)
         seen = np.zeros((2, 2))
-        both = grid_valid[:, 1:] * 1.0
+        both = grid_valid[:, 1:]
         for i in (0, 1):
             for j in (0, 1):
                 seen[i, j] = (both * (grid_y[:, :-1] == i) * (grid_y[:, 1:] == j)).sum()
@@ -164,7 +164,7 @@ class Field:
             u = np.zeros(rows * ROW, np.float32)
             u[place] = self.emission(feats)
             p, inner = self.forward_backward(u.reshape(rows, ROW))
-            g = label - p.ravel()[place]
+            g = weight * (label - p.ravel()[place])
             gw = np.bincount(flat, np.repeat(g, feats.shape[1]), DIMS + 1) - 0.02 * self.w
             gw[DIMS] = 0
             sq_w += gw * gw
@@ -227,19 +227,21 @@ class Field:
     def score(self, sums: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.summary(sums) @ self.doc, -30, 30)))
 
-    def calibrate(self, sums: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression on the summaries, by Newton steps; the classes weigh as they are in the labelled rows."""
+    def calibrate(self, sums: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic regression on the summaries, by Newton steps; with the rows' weights, 1 on average, classes weigh as in all labelled rows."""
+        weight = weight * len(weight) / max(weight.sum(), 1e-9)
         x, b = self.summary(sums), np.zeros(4)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4)
-            b += np.clip(np.linalg.solve(h, x.T @ (y - p) - 0.05 * b), -5, 5)
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4)
+            b += np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.05 * b), -5, 5)
         self.doc = b
 
 
-def marking(words: Words, y: np.ndarray, n: int) -> np.ndarray:
+def marking(words: Words, y: np.ndarray, n: int, clean: float = 1.0) -> np.ndarray:
     """Features that mark toxic documents: their share of toxic documents can't well be chance (EVIDENCE), or they explain toxic
-    documents without such a feature (EVIDENCE_REST, taken greedily). Near copies, told by their least word hashes, count once."""
+    documents without such a feature (EVIDENCE_REST, taken greedily). Near copies, told by their least word hashes, count once.
+    Each clean document weighs ``clean`` and each toxic one 1, so the evidence is that of the toxic documents seen, at the true share."""
     least = np.full((n, 2), DIMS)
     np.minimum.at(least[:, 0], words.text, words.feats[:, 0])
     rest = words.feats[:, 0] != least[words.text, 0]
@@ -253,8 +255,8 @@ def marking(words: Words, y: np.ndarray, n: int) -> np.ndarray:
     ok = single[doc] & (feat != DIMS)
     doc, feat = doc[ok], feat[ok]
     pos = np.bincount(feat[y[doc] == 1], minlength=DIMS + 1)
-    neg = np.bincount(feat[y[doc] == 0], minlength=DIMS + 1)
-    q = min(max(y[single].mean(), 1e-3), 1 - 1e-3)
+    neg = clean * np.bincount(feat[y[doc] == 0], minlength=DIMS + 1)
+    q = min(max(np.average(y[single], weights=np.where(y[single] == 1, 1.0, clean)), 1e-3), 1 - 1e-3)
     with np.errstate(divide="ignore", invalid="ignore"):
         m = pos + neg
         g = np.where(pos > 0, pos * np.log(pos / (m * q)), 0) + np.where(neg > 0, neg * np.log(neg / (m * (1 - q))), 0)
@@ -271,8 +273,8 @@ def marking(words: Words, y: np.ndarray, n: int) -> np.ndarray:
         marks[gain.argmax()] = True
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Field:
-    """The first two of every three rows train the field; the third calibrates the score."""
+def train(texts: list[str], toxic: np.ndarray, clean: float = 1.0) -> Field:
+    """The first two of every three rows train the field; the third calibrates the score. A clean row weighs ``clean`` toxic ones."""
     field = Field()
     if len(set(toxic.tolist())) < 2:
         return field
@@ -280,13 +282,13 @@ def train(texts: list[str], toxic: np.ndarray) -> Field:
     fit = np.arange(len(texts)) % 3 != 2
     words = words_of([t for t, f in zip(low, fit) if f])
     y, n = toxic[fit], int(fit.sum())
-    marks = marking(words, y, n)
+    marks = marking(words, y, n, clean)
     label = (marks[words.feats].any(axis=1) & (y[words.text] == 1)).astype(np.float64)
     keep = np.isin(words.text, np.flatnonzero(y == 1)) | (words.text % 2 == 0)
     _, owner = np.unique(words.text[keep], return_inverse=True)
-    field.fit(words.feats[keep], label[keep], owner, int(owner.max()) + 1 if len(owner) else 0)
+    field.fit(words.feats[keep], label[keep], owner, int(owner.max()) + 1 if len(owner) else 0, np.where(y[words.text[keep]] == 1, 1.0, clean))
     sums, _ = field.tag([t for t, f in zip(low, fit) if not f])
-    field.calibrate(sums, toxic[~fit])
+    field.calibrate(sums, toxic[~fit], np.where(toxic[~fit] == 1, 1.0, clean))
     return field
 
 
@@ -294,12 +296,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """Learn from a bounded sample of the labelled rows for which learn (a condition on the id column) holds."""
     h = F.xxhash64(F.col("id").cast("string"))
     ids = labels.filter(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids = written(ids.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"), "toxic-labels")
+    size = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     picked = ids.filter("toxic = 1").orderBy(h, "id").limit(SAMPLE_ROWS).unionByName(ids.filter("toxic = 0").orderBy(h, "id").limit(SAMPLE_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), F.substring(text_or_empty(text_col), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "id").withColumn("h", h)
     got = rows.toPandas().drop_duplicates("id").sort_values(["h", "id"])
     texts, toxic = list(got.pop("text")), got["toxic"].to_numpy(np.int64)
     del got
-    return train(texts, toxic)
+    stands = [size.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)]
+    return train(texts, toxic, stands[0] / stands[1] if stands[1] else 1.0)
 
 
 def scorer(spark: SparkSession, field: Field):
