@@ -7,7 +7,7 @@ says it, if that is an earlier one, else the first message of any other conversa
 conversation, of its least quoted level, most characters, latest turn; without one, to the turn before. Replies are ordered by
 their depth and turn, so every message follows the one it answers.
 
-Originals are aggregated to one row a hash before any join, so a line that many messages share costs one row; ordinals within a
+Originals are aggregated to two conversations a hash before any join across them, so a line that many messages share costs one row each; ordinals within a
 conversation are counted in buckets of ``BUCKET`` turns, so no conversation has to fit one task; depths come from pointer jumping
 over written tables, doubling the distance each time.
 
@@ -92,9 +92,11 @@ def reply_order(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     # only what somebody quotes needs an original
     wanted = asked.select("key").distinct()
     first = written(said.join(wanted, "key", "left_semi").groupBy("conv", "key").agg(F.min("turn").alias("there")), "quote-originals")
-    anywhere = first.groupBy("key").agg(F.min(F.struct("conv", "there")).alias("any"))
+    # of each, the two least conversations: where the quoting one is the first, the second is the first other one
+    least = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("conv"))).filter("rank <= 2")
+    anywhere = least.groupBy("key").agg(F.min(F.struct("conv", "there")).alias("any"), F.max(F.when(F.col("rank") == 2, F.struct("conv", "there"))).alias("other"))
     near = asked.join(first, ["conv", "key"], "left")
-    both = near.join(anywhere, "key", "left").select("conv", "turn", "level", "size", F.when(F.col("there") < F.col("turn"), F.struct(F.col("conv"), F.col("there"))).otherwise(F.when(F.col("any.conv") != F.col("conv"), F.col("any"))).alias("to"))
+    both = near.join(anywhere, "key", "left").select("conv", "turn", "level", "size", F.when(F.col("there") < F.col("turn"), F.struct(F.col("conv"), F.col("there"))).otherwise(F.when(F.col("any.conv") != F.col("conv"), F.col("any")).otherwise(F.col("other"))).alias("to"))
     hits = both.filter("to is not null").groupBy("conv", "turn", "to").agg(F.min("level").alias("level"), F.sum("size").alias("size"), F.count("*").alias("hits"))
     rank = F.struct(-F.col("level"), F.col("size"), F.col("to.there"), -F.col("to.conv"))
     linked = hits.groupBy("conv", "turn").agg(F.sum("hits").alias("n_linked"), F.max_by("to", rank).alias("source"), F.max_by("to.there", F.when(F.col("to.conv") == F.col("conv"), rank)).alias("answers"), F.max(F.col("to.conv") == F.col("conv")).alias("inside"))
