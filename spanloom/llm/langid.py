@@ -5,7 +5,7 @@ each automaton: a phrase is the longest match with the language's text, and the
 normalised to bits a symbol (phrases * log2(training symbols) / symbols), wins; ties go to the smaller name.
 
 The automata are built from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language,
-picked by a hash of the id, so it covers every language at any size); every document is scored on its whole text. For parsing
+picked by a hash of the text, so it covers every language at any size and copies count once); every document is scored on its whole text. For parsing
 many documents at once, a text is laid out as rows of ``SEGMENT`` symbols, and a phrase ends at a row's end for every language
 alike.
 
@@ -93,7 +93,7 @@ class Parser:
         lowered = {k: [t.lower() for t in v] for k, v in samples.items()}
         letters = sorted({c for v in lowered.values() for t in v for c in t if c.isalpha() and ord(c) < 0xFFFF})
         self.code = np.zeros(0x10000, np.uint16)
-        self.alpha = np.array([chr(i).isalpha() for i in range(0xFFFF)] + [True])
+        self.alpha = np.array([chr(i).isalpha() for i in range(0x10000)])
         self.code[self.alpha] = OTHER
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 3
@@ -127,6 +127,10 @@ class Parser:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         sym = self.code[np.minimum(raw, 0xFFFF)]
+        far = np.flatnonzero(raw > 0xFFFF)
+        if len(far):
+            points, at = np.unique(raw[far], return_inverse=True)
+            sym[far] = np.array([OTHER if chr(p).isalpha() else SPACE for p in points], np.uint16)[at]
         start = np.concatenate(([0], np.cumsum(lens)))
         space = sym == SPACE
         drop = space.copy()
@@ -193,11 +197,11 @@ class Parser:
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Per language, a bounded sample of its labelled rows: of each of SAMPLE_ROWS hash buckets the row of least hash, short rows first."""
+    """Per language, a bounded sample of its labelled rows: of each of SAMPLE_ROWS hash buckets the text of least hash, short ones first."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    h = F.xxhash64("id")
+    h = F.xxhash64("text")
     picked = rows.groupBy("lang", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min(F.struct((F.length("text") > SHORT_TEXT).alias("long"), h.alias("h"), F.col("id"))).alias("m")).select("m.id", "lang")
-    got = rows.join(F.broadcast(picked), ["id", "lang"]).select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_SYMBOLS).alias("text")).toPandas()
+    got = rows.join(F.broadcast(picked), ["id", "lang"]).select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_SYMBOLS).alias("text")).toPandas().drop_duplicates()
     got = got.sort_values(["lang", "h", "text"])
     return {k: list(v["text"]) for k, v in got.groupby("lang")}
 
