@@ -2,17 +2,21 @@
 
 Words are runs of letters. A word's features are hashes of itself and of its first 4 to 8 letters, where it has more. Token
 labels come from the labelled rows: in a toxic document, the words with a feature that marks toxic documents (``marking``) are
-toxic, all other words clean. The field has two states; forward-backward gives each word's marginal. A document's score
-is a logistic function of the expected number of toxic words, their share of the text and the largest marginal, fitted on
-labelled rows that the field has not seen. Offending offsets are the runs of words with a marginal of one half at least.
+toxic, all other words clean. The field has two states and one chain a text; forward-backward gives each word's marginal. A document's score
+is a logistic function of the sum of squared marginals (so that many slight doubts weigh little), its share of the text and the
+largest marginal, fitted on the whole texts of labelled rows that the field has not seen. Offending offsets are the runs of words
+with a marginal of one half at least.
 
 Training uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each class, by a hash of the id, each row weighing as
-many labelled rows of its class as it stands for, so that the classes weigh as in all labelled rows. Everything else is a map over whole texts; the chain is cut every ``ROW`` words so that many documents go through numpy together.
+many labelled rows of its class as it stands for, so that the classes weigh as in all labelled rows. The field learns from a sampled
+text of up to ``WHOLE`` words as a whole; of a longer one from ``STRETCHES`` stretches spread evenly over all of it, each a chain of
+its own. Everything else is a map over whole texts. For numpy's sake a chain is laid out in rows of ``ROW`` words; messages pass from
+row to row, so marginals are those of the whole chain (of texts over ``SLICE`` characters: of each slice).
 
 Cases: a null or empty text, or one without letters, gets the score of a text without toxic words; without labels of both classes
-the score is 0 throughout; texts may be of any length (read in slices); repeated rows are scored alike; repeated labels count
-once, a document with conflicting ones is toxic; an empty table gives an empty result; further columns are carried along or
-ignored, whatever their names.
+the score is 0 throughout; labels other than 0 and 1 don't count; texts may be of any length (read in slices); repeated rows are
+scored alike; repeated labels count once, a document with conflicting ones is toxic; an empty table gives an empty result; further
+columns are carried along or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +32,14 @@ from pyspark.sql import types as T
 from .common import crc_mod, table, text_or_empty, written
 
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 12_000  # rows up to so many characters are taken first, and of longer ones so many are learned from
+WHOLE = 4096  # words up to which the field learns from all of a sampled text
+STRETCHES = 16  # of a longer one it learns from so many stretches of WHOLE / STRETCHES words
 PREFIXES = (4, 5, 6, 7, 8)
 DIMS = 1 << 21
 SUPPORT, PURE, EVIDENCE, EVIDENCE_REST = 4, 0.8, 14.0, 7.0
 ROW = 64
 SLICE = 1 << 19
-BLOCK = 2 << 20
+BLOCK = 1 << 20  # characters of texts handled together
 ROUNDS = 40
 SCHEMA = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType()), T.StructField("most", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))])
 
@@ -97,12 +102,12 @@ def words_of(texts: list[str]) -> Words:
     return out
 
 
-def grid(owner: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """Where each word goes when the words of each text are laid out in rows of ROW; the number of rows."""
+def grid(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word goes when the words of each chain are laid out in rows of ROW; the chain of each row."""
     count = np.bincount(owner, minlength=n)
     rows = -(-count // ROW)
     first = np.cumsum(rows) - rows
-    return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first * ROW, count), int(rows.sum())
+    return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first * ROW, count), np.repeat(np.arange(n), rows)
 
 
 class Field:
@@ -114,69 +119,149 @@ class Field:
         self.trans = np.zeros((2, 2))
         self.doc = np.array([-20.0, 0.0, 0.0, 0.0])
 
+    def __getstate__(self):
+        """Only the features that occur travel to the workers."""
+        have = np.flatnonzero(self.w).astype(np.int32)
+        return have, self.w[have], self.bias, self.trans, self.doc
+
+    def __setstate__(self, state):
+        have, w, self.bias, self.trans, self.doc = state
+        self.w = np.zeros(DIMS + 1, np.float32)
+        self.w[have] = w
+
     def emission(self, feats: np.ndarray) -> np.ndarray:
-        return self.bias + self.w.take(feats).sum(axis=1, dtype=np.float32)
+        out = np.full(len(feats), self.bias, np.float32)
+        for k in range(feats.shape[1]):
+            out += self.w.take(feats[:, k])
+        return out
+
+    def forward_backward(self, u: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of n chains (owner ascending) with emissions u: marginals of the toxic state, and the odds from the left
+        (own word included) and from the right (likewise), of which ``pairs`` makes expected transitions.
 
-    def forward_backward(self, u: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Marginals of the toxic state, shape as u (rows, ROW); the four expected transition matrices' entries, summed."""
+        A message is the odds of the toxic state; a word turns it by a 2 x 2 matrix. The product of a row's matrices passes a
+        message over the whole row, so rows of one chain wait for each other only in the short loops over row numbers."""
         (a00, a01), (a10, a11) = np.exp(self.trans)
-        e = np.exp(np.clip(u.T, -30, 30)).astype(np.float64)
-        fwd, bwd = np.empty_like(e), np.empty_like(e)
-        o = e[0]
-        fwd[0] = o
+        place, chain = grid(owner, n)
+        rows = len(chain)
+        if not rows:
+            return np.zeros(0), np.zeros(0), np.zeros(0)
+        lay = np.ones(rows * ROW)
+        lay[place] = np.exp(np.clip(u, -30, 30).astype(np.float64))
+        e = np.ascontiguousarray(lay.reshape(rows, ROW).T)
+        opens = np.concatenate(([True], chain[1:] != chain[:-1]))  # a chain's first row
+        closes = np.concatenate((opens[1:], [True]))
+        size = np.full(rows, ROW)
+        size[closes] = (np.bincount(owner, minlength=n) - 1)[chain[closes]] % ROW + 1
+        start = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+        number = np.arange(rows) - start
+        to_end = np.flatnonzero(closes)[np.cumsum(opens) - 1] - np.arange(rows)
+
+        # messages into each row: over whole rows, as the odds' fractions (p11 o + p01) / (p10 o + p00)
+        into, beyond = np.ones(rows), np.ones(rows)
+        many = np.flatnonzero(~(opens & closes))
+        if len(many):
+            x, first = e[:, many], opens[many]
+            p00, p01, p10, p11 = a00 + 0 * x[0], a01 * x[0], a10 + 0 * x[0], a11 * x[0]
+            for p, v in ((p00, 1.0), (p10, 1.0), (p01, x[0]), (p11, x[0])):  # no word before a chain's first one
+                p[first] = v[first] if isinstance(v, np.ndarray) else v
+            for t in range(1, ROW):
+                p00, p01, p10, p11 = p00 * a00 + p01 * a10, (p00 * a01 + p01 * a11) * x[t], p10 * a00 + p11 * a10, (p10 * a01 + p11 * a11) * x[t]
+                top = 1 / (p00 + p01 + p10 + p11)
+                p00, p01, p10, p11 = p00 * top, p01 * top, p10 * top, p11 * top
+            at = np.empty(rows, np.int64)
+            at[many] = np.arange(len(many))
+            order = np.argsort(number[many], kind="stable")
+            cut = np.searchsorted(number[many][order], np.arange(number.max() + 2))
+            for k in range(1, number.max() + 1):
+                r = many[order[cut[k] : cut[k + 1]]]
+                i, o = at[r - 1], into[r - 1]
+                into[r] = (o * p11[i] + p01[i]) / (o * p10[i] + p00[i])
+            last = size[many] - 1
+            ends = closes[many]
+            # the same from the right: a row turns what comes from its right into the odds at its first word
+            q00, q01, q10, q11 = np.ones(len(many)), np.zeros(len(many)), np.zeros(len(many)), np.ones(len(many))
+            for t in range(ROW - 1, -1, -1):
+                shut = ends & (t >= last)  # at and after the chain's last word nothing comes from the right
+                q00, q01, q10, q11 = a00 * q00 + a01 * q10, a00 * q01 + a01 * q11, (a10 * q00 + a11 * q10) * x[t], (a10 * q01 + a11 * q11) * x[t]
+                q00[shut], q01[shut] = 0.5, 0.5
+                q10[shut] = q11[shut] = 0.5 * x[t][shut]
+                top = 1 / (q00 + q01 + q10 + q11)
+                q00, q01, q10, q11 = q00 * top, q01 * top, q10 * top, q11 * top
+            order = np.argsort(to_end[many], kind="stable")
+            cut = np.searchsorted(to_end[many][order], np.arange(to_end.max() + 2))
+            for k in range(1, to_end.max() + 1):
+                r = many[order[cut[k] : cut[k + 1]]]
+                i, o = at[r + 1], beyond[r + 1]
+                beyond[r] = (o * q11[i] + q10[i]) / (o * q01[i] + q00[i])
+
+        left, right = np.empty_like(e), np.empty_like(e)
+        o = e[0] * np.where(opens, 1.0, (into * a11 + a01) / (into * a10 + a00))
+        left[0] = o
         for t in range(1, ROW):
             o = e[t] * (o * a11 + a01) / (o * a10 + a00)
-            fwd[t] = o
-        b = np.ones(e.shape[1])
-        bwd[-1] = b
-        for t in range(ROW - 2, -1, -1):
-            x = e[t + 1] * b
+            left[t] = o
+        x = beyond
+        for t in range(ROW - 1, -1, -1):
             b = (a11 * x + a10) / (a01 * x + a00)
-            bwd[t] = b
-        odds = fwd * bwd
-        return (odds / (1 + odds)).T, (fwd, e * bwd)
-
-    def pairs(self, inner: tuple[np.ndarray, np.ndarray], valid: np.ndarray) -> np.ndarray:
-        """Expected counts of state pairs over the valid neighbours."""
-        fwd, back = inner
-        a = np.exp(self.trans)
-        f, x = fwd[:-1], back[1:]
-        joint = np.stack([a[0, 0] + 0 * f, a[0, 1] * x, a[1, 0] * f, a[1, 1] * f * x])
-        joint /= joint.sum(axis=0)
-        return (joint * valid.T[1:]).sum(axis=(1, 2)).reshape(2, 2)
+            b[closes & (t >= size - 1)] = 1.0
+            x = e[t] * b
+            right[t] = x
+        left, right = left.T.ravel()[place], right.T.ravel()[place]
+        odds = left * right / lay[place]
+        return odds / (1 + odds), left, right
+
+    def pairs(self, left: np.ndarray, right: np.ndarray, inner: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts of state pairs over the neighbours (i, i + 1) for i in inner."""
+        f, x, a = left[inner], right[inner + 1], np.exp(self.trans)
+        p01, p10, p11 = a[0, 1] * x, a[1, 0] * f, a[1, 1] * f * x
+        w = weight[inner] / (a[0, 0] + p01 + p10 + p11)
+        return np.array([[a[0, 0] * w.sum(), p01 @ w], [p10 @ w, p11 @ w]])
 
     def fit(self, feats: np.ndarray, label: np.ndarray, owner: np.ndarray, n: int, weight: np.ndarray) -> None:
-        """Maximum likelihood with a small ridge, by full-batch adaptive gradient steps; words have the weights of their texts."""
-        place, rows = grid(owner, n)
-        valid = np.zeros(rows * ROW)
-        valid[place] = weight
-        y = np.zeros(rows * ROW)
-        y[place] = label
-        grid_y, grid_valid = y.reshape(rows, ROW), valid.reshape(rows, ROW)
-        seen = np.zeros((2, 2))
-        both = grid_valid[:, 1:]
-        for i in (0, 1):
-            for j in (0, 1):
-                seen[i, j] = (both * (grid_y[:, :-1] == i) * (grid_y[:, 1:] == j)).sum()
-        sq_w, sq_b, sq_t = np.full(DIMS + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-        flat = feats.ravel()
+        """Maximum likelihood with a small ridge, by full-batch adaptive gradient steps; words have the weights of their texts.
+        Weights, gradients and their squares are held for the features that occur; feats is renumbered in place."""
+        occurs = np.zeros(DIMS + 1, bool)
+        for k in range(feats.shape[1]):
+            occurs[feats[:, k]] = True
+        have = np.flatnonzero(occurs)
+        number = np.zeros(DIMS + 1, np.int32)
+        number[have] = np.arange(len(have))
+        for k in range(feats.shape[1]):
+            feats[:, k] = number[feats[:, k]]
+        none = number[DIMS] if occurs[DIMS] else -1
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        seen = np.bincount((2 * label[inner] + label[inner + 1]).astype(np.int64), weight[inner], 4).reshape(2, 2)
+        del inner
+        # whole chains of about BLOCK / 8 words go through the messages together, so that these stay small
+        ends = np.cumsum(np.bincount(owner, minlength=n))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(ends // (BLOCK // 8))) + 1, [n])) if n else np.zeros(1, np.int64)
+        blocks = [(slice(ends[c - 1] if c else 0, ends[e - 1]), c, e) for c, e in zip(cuts, cuts[1:]) if e > c]
+        full, self.w = self.w, np.zeros(len(have), np.float32)
+        sq_w, sq_b, sq_t = np.full(len(have), 1e-6), 1e-6, np.full((2, 2), 1e-6)
         for _ in range(ROUNDS):
-            u = np.zeros(rows * ROW, np.float32)
-            u[place] = self.emission(feats)
-            p, inner = self.forward_backward(u.reshape(rows, ROW))
-            g = weight * (label - p.ravel()[place])
-            gw = np.bincount(flat, np.repeat(g, feats.shape[1]), DIMS + 1) - 0.02 * self.w
-            gw[DIMS] = 0
+            gw, gb, gt = -0.02 * self.w.astype(np.float64), 0.0, seen - 0.02 * self.trans
+            for at, first, last in blocks:
+                own, w, f = owner[at] - first, weight[at], feats[at]
+                p, left, right = self.forward_backward(self.emission(f), own, last - first)
+                g = w * (label[at] - p)
+                for k in range(f.shape[1]):
+                    gw += np.bincount(f[:, k], g, len(have))
+                gb += g.sum()
+                gt -= self.pairs(left, right, np.flatnonzero(own[1:] == own[:-1]), w)
+            if none >= 0:
+                gw[none] = 0
             sq_w += gw * gw
             self.w += (0.6 * gw / np.sqrt(sq_w)).astype(np.float32)
-            sq_b += g.sum() ** 2
-            self.bias += 0.6 * g.sum() / np.sqrt(sq_b)
-            gt = seen - self.pairs(inner, grid_valid) - 0.02 * self.trans
+            sq_b += gb**2
+            self.bias += 0.6 * gb / np.sqrt(sq_b)
             sq_t += gt * gt
             self.trans += 0.2 * gt / np.sqrt(sq_t)
+        full[have] = self.w
+        self.w = full
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """Per text: expected toxic words, largest marginal, words; and the offending spans."""
+        """Per text: sum of squared marginals, largest marginal, words; and the offending spans."""
         sums, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
         owner, offset, parts = [], [], []
         for i, t in enumerate(texts):
@@ -204,12 +289,9 @@ class Field:
         words = Words(parts)
         if not len(words.text):
             return
-        place, rows = grid(words.text, len(parts))
-        u = np.zeros(rows * ROW, np.float32)
-        u[place] = self.emission(words.feats)
-        p = self.forward_backward(u.reshape(rows, ROW))[0].ravel()[place]
+        p = self.forward_backward(self.emission(words.feats), words.text, len(parts))[0]
         own = owner[words.text]
-        sums[:, 0] += np.bincount(own, np.where(p >= 0.1, p, 0.0), len(sums))  # many slight doubts don't add up
+        sums[:, 0] += np.bincount(own, p * p, len(sums))
         np.maximum.at(sums[:, 1], own, p)
         sums[:, 2] += np.bincount(own, minlength=len(sums))
         bad = np.flatnonzero(p >= 0.5)
@@ -273,38 +355,74 @@ def marking(words: Words, y: np.ndarray, n: int, clean: float = 1.0) -> np.ndarr
         marks[gain.argmax()] = True
 
 
-def train(texts: list[str], toxic: np.ndarray, clean: float = 1.0) -> Field:
-    """The first two of every three rows train the field; the third calibrates the score. A clean row weighs ``clean`` toxic ones."""
-    field = Field()
-    if len(set(toxic.tolist())) < 2:
-        return field
-    low = [lower_same_length(t[:SAMPLE_CHARS]) for t in texts]
-    fit = np.arange(len(texts)) % 3 != 2
-    words = words_of([t for t, f in zip(low, fit) if f])
-    y, n = toxic[fit], int(fit.sum())
-    marks = marking(words, y, n, clean)
-    label = (marks[words.feats].any(axis=1) & (y[words.text] == 1)).astype(np.float64)
-    keep = np.isin(words.text, np.flatnonzero(y == 1)) | (words.text % 2 == 0)
-    _, owner = np.unique(words.text[keep], return_inverse=True)
-    field.fit(words.feats[keep], label[keep], owner, int(owner.max()) + 1 if len(owner) else 0, np.where(y[words.text[keep]] == 1, 1.0, clean))
-    sums, _ = field.tag([t for t, f in zip(low, fit) if not f])
-    field.calibrate(sums, toxic[~fit], np.where(toxic[~fit] == 1, 1.0, clean))
+def stretches(text: str) -> list[str]:
+    """The chains that the field learns from: the text itself, or stretches spread evenly over a long one."""
+    low = lower_same_length(text)
+    if len(low) <= WHOLE:
+        return [low]
+    words = words_of([low])
+    n = len(words.start)
+    if n <= WHOLE:
+        return [low]
+    size = WHOLE // STRETCHES
+    first = (np.arange(STRETCHES) * (n - size)) // (STRETCHES - 1)
+    return [low[words.start[i] : words.end[i + size - 1]] for i in first]
+
+
+def train(texts: list[list[str]], toxic: np.ndarray, clean: float = 1.0) -> Field:
+    """A field from the chains of each text. A clean text weighs ``clean`` toxic ones."""
+    field, n = Field(), len(texts)
+    of = np.repeat(np.arange(n), [len(t) for t in texts])
+    words = words_of([c for t in texts for c in t])
+    chain = words.text
+    words.text = of[chain] if len(of) else chain
+    words.start = words.end = None
+    marks = marking(words, toxic, n, clean)
+    bad = toxic[words.text] == 1
+    label = bad.copy()
+    label[bad] = marks[words.feats[bad]].any(axis=1)
+    field.fit(words.feats, label, chain, len(of), np.where(bad, 1.0, clean))
     return field
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """Learn from a bounded sample of the labelled rows for which learn (a condition on the id column) holds."""
+    """Learn from a bounded sample of the labelled rows for which learn (a condition on the id column) holds: two of every three rows
+    of a class train the field, the third calibrates the score."""
+    spark = docs.sparkSession
     h = F.xxhash64(F.col("id").cast("string"))
-    ids = labels.filter(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids = labels.filter(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().filter("toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     ids = written(ids.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"), "toxic-labels")
     size = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
-    picked = ids.filter("toxic = 1").orderBy(h, "id").limit(SAMPLE_ROWS).unionByName(ids.filter("toxic = 0").orderBy(h, "id").limit(SAMPLE_ROWS))
-    rows = docs.select(F.col(id_col).alias("id"), F.substring(text_or_empty(text_col), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "id").withColumn("h", h)
-    got = rows.toPandas().drop_duplicates("id").sort_values(["h", "id"])
-    texts, toxic = list(got.pop("text")), got["toxic"].to_numpy(np.int64)
+    if len(size) < 2:
+        return Field()
+    picked = [[r["id"] for r in ids.filter(F.col("toxic") == c).orderBy(h, "id").limit(SAMPLE_ROWS).select("id").collect()] for c in (0, 1)]
+    apart = [p[2::3] or p for p in picked]  # too few to keep any apart: calibrate on the rows that train
+    kind = ids.schema["id"].dataType.simpleString()
+    part = spark.createDataFrame([(i, c, k) for c in (0, 1) for k, x in ((0, [i for j, i in enumerate(picked[c]) if j % 3 != 2]), (1, apart[c])) for i in x], f"id {kind}, toxic int, part int")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(part), "id")
+
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["id", "toxic"]].assign(chains=[stretches(t) for t in b["text"]])
+
+    got = rows.filter("part = 0").mapInPandas(chains, f"id {kind}, toxic int, chains array<string>").toPandas()
+    got = got.assign(key=[c[0] for c in got["chains"]]).sort_values(["id", "key"]).drop_duplicates("id")
+    texts, toxic = [list(c) for c in got.pop("chains")], got["toxic"].to_numpy(np.int64)
     del got
-    stands = [size.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)]
-    return train(texts, toxic, stands[0] / stands[1] if stands[1] else 1.0)
+    stands = [size[c] / max(1, len(picked[c])) for c in (0, 1)]
+    field = train(texts, toxic, stands[0] / stands[1])
+    del texts
+    model = spark.sparkContext.broadcast(field)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums, _ = model.value.tag(list(b["text"]))
+            yield b[["id", "toxic"]].assign(a=sums[:, 0], b=sums[:, 1], c=sums[:, 2])
+
+    held = rows.filter("part = 1").mapInPandas(whole, f"id {kind}, toxic int, a double, b double, c double").toPandas().sort_values(["id", "a", "b", "c"]).drop_duplicates("id")
+    y = held["toxic"].to_numpy(np.int64)
+    field.calibrate(held[["a", "b", "c"]].to_numpy(np.float64), y, np.where(y == 1, stands[1], stands[0]))
+    return field
 
 
 def scorer(spark: SparkSession, field: Field):
