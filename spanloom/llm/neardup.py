@@ -9,10 +9,12 @@ Documents with the same set are one class, told by a 64-bit hash of the set, bef
 Collection values that only one class has are dropped by an aggregation, so only classes with near copies form table keys. In each
 bucket, members are first held against the class that most others share collections with, usually the text that the copies were
 made from (no pairs within a bucket are formed); links are confirmed on the full sets, each class's most promising one first.
-Connected components of confirmed links then show which buckets still hold several components; pairs across components are checked
-there. Beforehand, classes are left out whose shingles that any other class has are too small a part of the set for a link, and
-pairs whose sizes and common shingles don't allow one never form. These bounds are exact, so no link between different texts is
-lost, while a large group of near copies costs about one check a member.
+Connected components of confirmed links then show which buckets still hold several components; pairs across components are found
+there by what sets differ from their bucket's head: two linked sets have much of that in common, unless both are linked with the
+head (``deltas``), so a join on its first shingles, with a bound on the rest, meets every pair that can be linked and few others.
+Beforehand, classes are left out whose shingles that any other class has are too small a part of the set for a link, and
+buckets without two classes that sizes and common shingles let be linked. These bounds are exact, so no link between different
+texts that share a table is lost, while a large group of near copies costs about one check a member.
 
 All joins on hot keys have one row a key on one side, so Spark can split the other side; links, labels and sets never reach the
 driver. Intermediate tables go to the shared folder.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
@@ -38,7 +40,7 @@ WORDS = 5
 COLLECTIONS = 28
 HASHES = 4
 SIMILAR = 75  # per cent
-BLOCK = 3 << 20  # characters of a batch handled at a time
+BLOCK = 1 << 20  # characters of a batch handled at a time
 SMALL = 2_000_000  # ids up to which a list of them may be broadcast; beyond, a shuffled join
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20)
@@ -170,11 +172,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """cls, common: how many of a class's shingles another class of sets has too. A pair's intersection can't be larger than either's
-    common, so classes with too few can't be linked at all and are left out."""
+    """cls, common, core: the shingles of a class that another class of sets has too, and their number. A pair's intersection can't
+    be larger than either's common, so classes with too few can't be linked at all and are left out."""
     each = sets.select("cls", F.size("set").alias("m"), F.explode("set").alias("h"))
     several = each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    return each.join(several, "h").groupBy("cls").agg(F.count("*").alias("common"), F.first("m").alias("m")).filter(f"100 * common >= {SIMILAR} * m").select("cls", "common")
+    own = each.join(several, "h").groupBy("cls").agg(F.collect_list("h").alias("core"), F.first("m").alias("m"))
+    return own.select("cls", F.size("core").alias("common"), "core", "m").filter(f"100 * common >= {SIMILAR} * m").drop("m")
 
 
 def promising(member: DataFrame) -> DataFrame:
@@ -182,13 +185,51 @@ def promising(member: DataFrame) -> DataFrame:
     be linked with: a link needs reach = common * (100 + SIMILAR) - n * SIMILAR, of either, to be SIMILAR times the other's n."""
     m = member.withColumn("reach", (100 + SIMILAR) * F.col("common") - SIMILAR * F.col("n"))
     per = m.groupBy("t", "label").agg(F.max("reach").alias("far"), F.min("n").alias("small"))
-    w = Window.partitionBy("t")
-    two = per.withColumns({"i": F.row_number().over(w.orderBy(F.desc("far"), "label")), "j": F.row_number().over(w.orderBy("small", "label"))}).filter("i <= 2 or j <= 2")
-    at = lambda rank, k, c: F.max(F.when(F.col(rank) == k, F.col(c)))
-    best = two.groupBy("t").agg(at("i", 1, "label").alias("far_label"), at("i", 1, "far").alias("far1"), at("i", 2, "far").alias("far2"), at("j", 1, "label").alias("small_label"), at("j", 1, "small").alias("small1"), at("j", 2, "small").alias("small2")).filter("far2 is not null")
-    far = F.when(F.col("label") == F.col("far_label"), F.col("far2")).otherwise(F.col("far1"))
-    small = F.when(F.col("label") == F.col("small_label"), F.col("small2")).otherwise(F.col("small1"))
-    return m.join(best, "t").filter((far >= SIMILAR * F.col("n")) & (F.col("reach") >= SIMILAR * small)).select("t", "cls", "n", "common", "label")
+    one = per.groupBy("t").agg(F.max(F.struct("far", "label")).alias("f"), F.min(F.struct("small", "label")).alias("s"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    two = per.join(one, "t").groupBy("t").agg(F.first("f").alias("f"), F.first("s").alias("s"), F.max(F.expr("if(label <> f.label, far, null)")).alias("far2"), F.min(F.expr("if(label <> s.label, small, null)")).alias("small2"))
+    far = F.when(F.col("label") == F.col("f.label"), F.col("far2")).otherwise(F.col("f.far"))
+    small = F.when(F.col("label") == F.col("s.label"), F.col("small2")).otherwise(F.col("s.small"))
+    return m.join(two, "t").filter((far >= SIMILAR * F.col("n")) & (F.col("reach") >= SIMILAR * small)).select("t", "cls", "n", "label")
+
+
+def deltas(open_: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (head, cls, n, label): d, the number of shingles that only one of the two sets has; whether both are linked; and
+    those of the d that may be common with a third class (``parts``), after ``alone`` others, in one order for each head: what the
+    head lacks by hash, then what the class lacks by hash.
+
+    100 * both >= 75 * union is 7 * d <= n + nh, so d decides links with the head. Let D be these shingles of a class; the classes a and
+    b differ by the symmetric difference of their D, so a link needs 14 * |D(a) & D(b)| >= 7 * (d(a) + d(b)) - (n(a) + n(b)).
+    As 7 * d > n + nh without a link, and d >= |n - nh|, the right side is positive unless both are linked with the head."""
+    one = open_.join(core, "cls").join(sets.select(F.col("cls").alias("head"), F.col("set").alias("hs"), F.size("set").alias("nh")), "head")
+    one = one.withColumns({"more": F.array_except("core", "hs"), "less": F.array_except("hs", "core")})
+    # a class's core holds all that it shares with the head, so n - |core & hs| is what the head lacks
+    one = one.withColumn("d", F.col("n") + F.col("nh") - 2 * (F.size("core") - F.size("more")))
+    parts = F.concat(F.sort_array("more"), F.sort_array("less"))
+    return one.select("head", "cls", "n", "nh", "label", "d", F.expr("7 * d <= n + nh").alias("linked"), (F.col("d") - F.size("more") - F.size("less")).alias("alone"), parts.alias("parts"))
+
+
+def prefix(delta: DataFrame, least: str) -> DataFrame:
+    """The shingles of each D up to the last at which an overlap of least can begin, with their places."""
+    room = F.greatest(F.lit(0), F.col("d") - F.expr(f"ceil(({least}) / 14d)") + 1 - F.col("alone")).cast("int")
+    return delta.withColumn("e", F.slice("parts", F.lit(1), room)).select("head", "cls", "n", "label", "d", "alone", F.posexplode("e").alias("i", "e")).withColumn("after", F.expr("d - alone - i - 1")).drop("alone", "i")
+
+
+def across(delta: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that a link's overlap allows, of classes not both linked with the head: a join on the
+    first shingles of D, rarest kinds first, with the bound on what may follow. Large groups of copies of one head
+    share few of these, and no pair that can be linked is left out."""
+    free, tied = delta.filter("not linked and cls <> head"), delta.filter("linked and cls <> head")
+    side = lambda x, k: x.select("head", "e", F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}"), F.col("d").alias(f"d{k}"), F.col("after").alias(f"r{k}"))
+    bound = f"la <> lb and 14 * (1 + least(ra, rb)) >= 7 * (da + db) - (na + nb) and 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
+
+    def met(x: DataFrame, y: DataFrame, extra: str) -> DataFrame:
+        x, y = side(x, "a").alias("x"), side(y, "b").alias("y")
+        return x.join(y, F.expr(f"x.head = y.head and x.e = y.e and {bound}{extra}")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    short = prefix(free, "7 * d - n + nh + 1")
+    with_free = met(short, short, " and a > b")
+    with_tied = met(prefix(free, "7 * d - n - nh"), prefix(tied, "7 * d - n + nh + 1"), "")
+    return with_free.unionByName(with_tied).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,12 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is left: pairs across components within the buckets that still hold several
     label = F.coalesce("label", "cls").alias("label")
     member = keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("t", "cls", "n", "common", label)
-    left = written(promising(member), "dup-open")
-    enough = f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb) and {100 + SIMILAR} * least(ca, cb) >= {SIMILAR} * (na + nb)"
-    across = left.select("t", "cls", "n", "label", "common").toDF("t", "a", "na", "la", "ca").join(left.select("t", "cls", "n", "label", "common").toDF("t", "b", "nb", "lb", "cb"), "t")
-    across = across.filter(f"la <> lb and a > b and {enough}").select("a", "b").distinct()
-    across = across.select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = written(confirmed(across, sets), "dup-more")
+    left = promising(member).join(heads.select("t", F.col("b").alias("head")), "t").select("head", "cls", "n", "label").distinct()
+    delta = written(deltas(left, shared.select("cls", "core"), sets), "dup-deltas")
+    with_head = delta.filter("linked and cls <> head").select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b"))
+    pairs = across(delta).join(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = written(confirmed(pairs, sets).unionByName(with_head), "dup-more")
     if not more.isEmpty():
         up = labels.select(F.col("node"), "label")
         lifted = more.join(up.toDF("a", "la"), "a", "left").join(up.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
