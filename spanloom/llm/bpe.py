@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a bounded-lookahead streaming transducer.
 
 A merge list decides each token from a bounded stretch of text to its right. ``lookahead`` computes a sufficient length from
-the list itself; ``Transducer`` then reads a word symbol by symbol, emits a token once that many symbols lie beyond it, and
-goes on from its end, so its buffer stays constant however long the word is. Decoding is a byte-to-text state machine fed one
-id at a time.
+the list itself; ``Transducer`` then reads every word symbol by symbol, emits a token once that many symbols lie beyond it or the
+word has ended, and goes on from there, so its buffer stays constant however long the word is. Decoding is a state machine from
+ids to bytes to text, fed block by block. A text goes through both in slices, and digests are updated as blocks of ids come.
 
 Cases: a null text counts as empty; an empty text gives no ids and an empty decoded text; texts may be of any length (a word
 without a break, too); repeated rows give repeated results; an empty table gives an empty one. Only the id and text columns
@@ -17,7 +17,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -28,6 +29,8 @@ from .common import table, text_or_empty
 
 #: Symbols that a buffer takes beyond the lookahead before tokens are emitted.
 CHUNK = 1024
+#: Characters of a text, or ids, handled at a time.
+SLICE = 1 << 16
 #: Words whose encoding each worker keeps; two generations of this many at most.
 CACHE = 120_000
 
@@ -83,9 +86,20 @@ class Bpe:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
+        self.rule = "names" if spec.get("decoder") is None else "text"
         self.inner = [self.vocab.get(s) for s in symbols]
         self.final = [self.vocab.get(s + self.suffix) for s in symbols]
         self.bytes_of = {s: b for b, s in enumerate(symbols)}
+        size = 1 + max(self.names)
+        self.decimal = [str(i).encode() for i in range(size)]
+        self.tables = {"names": [self.names.get(i, "").encode() for i in range(size)], "text": [self.bytes_for(self.names.get(i, "")) for i in range(size)]}
+
+    def bytes_for(self, name: str) -> bytes:
+        """The bytes of the text that a token stands for; a space for a word end."""
+        if name in self.special:
+            return name.encode()
+        end = bool(self.suffix) and name.endswith(self.suffix)
+        return bytes(map(self.bytes_of.__getitem__, name.removesuffix(self.suffix) if end else name)) + (b" " if end else b"")
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges in a list of symbols: lowest rank first, leftmost first among equals."""
@@ -129,52 +143,56 @@ class Bpe:
 
 
 class Transducer:
-    """Feeds the symbols of one word; emits tokens as soon as they are settled."""
+    """Fed the symbols of one word; emits tokens as soon as they are settled, the rest at the word's end."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.buffer = bpe, []
-
-    def feed(self, symbols: list[int]) -> Iterator[int]:
-        limit = self.bpe.lookahead + CHUNK
-        for s in range(0, len(symbols), CHUNK):
-            self.buffer += symbols[s : s + CHUNK]
-            if len(self.buffer) >= limit:
-                used = 0
-                for token in self.bpe.merged(list(self.buffer)):
-                    n = self.bpe.symbol_count(token)
-                    if used + n + self.bpe.lookahead > len(self.buffer):
-                        break
-                    used += n
-                    yield token
-                del self.buffer[:used]
-
-    def close(self, last: int) -> Iterator[int]:
+        self.bpe, self.buffer, self.limit = bpe, [], bpe.lookahead + CHUNK
+
+    def feed(self, symbols: Iterable[int]) -> Iterator[int]:
+        symbols = iter(symbols)
+        while True:
+            self.buffer += islice(symbols, self.limit - len(self.buffer))
+            if len(self.buffer) < self.limit:
+                return
+            used = 0
+            for token in self.bpe.merged(list(self.buffer)):
+                n = self.bpe.symbol_count(token)
+                if used + n + self.bpe.lookahead > len(self.buffer):
+                    break
+                used += n
+                yield token
+            del self.buffer[:used]
+
+    def close(self, last: int) -> list[int]:
         self.buffer.append(last)
-        yield from self.bpe.merged(self.buffer)
-        self.buffer = []
+        out, self.buffer = self.bpe.merged(self.buffer), []
+        return out
 
 
 class Decoder:
-    """Fed one id at a time. ``surface`` gives the token's own name, one space between tokens, as a tokenizer without a
-    decoder does; ``text`` gives the text itself: bytes as they complete, a space after each word end."""
+    """The byte-to-text machine: ids turn into bytes, and bytes into text as characters complete. Its state is the bytes of an
+    unfinished character and whether anything came before.
 
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.started = bpe, False
+    Under the rule ``names``, which is that of a file without a decoder, an id's bytes are its token's name, and one space stands
+    between tokens; under ``text`` they are the bytes that the token stands for, with a space after each word end."""
+
+    def __init__(self, bpe: Bpe, rule: str | None = None):
+        self.rule, self.started = rule or bpe.rule, False
+        self.of = bpe.tables[self.rule].__getitem__
         self.utf8 = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
-    def surface(self, token: int) -> str:
-        name = self.bpe.names[token]
-        out = " " + name if self.started else name
-        self.started = True
-        return out
+    def feed(self, ids: Iterable[int]) -> str:
+        ids = list(ids)
+        if not ids:
+            return ""
+        if self.rule == "text":
+            return self.utf8.decode(b"".join(map(self.of, ids)))
+        raw = b" ".join(map(self.of, ids))
+        raw, self.started = (b" " + raw if self.started else raw), True
+        return self.utf8.decode(raw)
 
-    def text(self, token: int) -> str:
-        name = self.bpe.names[token]
-        if name in self.bpe.special:
-            return self.utf8.decode(b"", True) + name
-        end = bool(self.bpe.suffix) and name.endswith(self.bpe.suffix)
-        body = bytes(map(self.bpe.bytes_of.__getitem__, name[: -len(self.bpe.suffix)] if end else name))
-        return self.utf8.decode(body, end) + (" " if end else "")
+    def close(self) -> str:
+        return self.utf8.decode(b"", True)
 
 
 def lowered(text: str) -> str:
@@ -182,60 +200,86 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def slices(text: str) -> Iterator[str]:
+    """A text in slices of about SLICE characters that end after a blank, where no word and no character composition goes on."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + SLICE) + 1 or len(text)
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
-    """Whole texts to ids. Words are encoded on their own; those met lately are kept in a bounded two-generation cache."""
+    """Whole texts to ids. Every word goes through a transducer; those met lately are kept in a bounded two-generation cache."""
 
     def __init__(self, bpe: Bpe):
         self.bpe, self.young, self.old = bpe, {}, {}
 
     def word(self, word: str) -> Iterator[int]:
         raw = word.encode("utf-8", "surrogatepass")
-        inner, final = self.bpe.inner, self.bpe.final
-        if len(raw) <= CHUNK:
-            yield from self.bpe.merged([*map(inner.__getitem__, raw[:-1]), final[raw[-1]]])
-            return
         t = Transducer(self.bpe)
-        yield from t.feed(list(map(inner.__getitem__, raw[:-1])))
-        yield from t.close(final[raw[-1]])
+        yield from t.feed(map(self.bpe.inner.__getitem__, memoryview(raw)[:-1]))
+        yield from t.close(self.bpe.final[raw[-1]])
 
-    def fresh(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids and names of a word, each list joined by one space; kept if the word is short."""
+    def fresh(self, word: str) -> Iterable[int]:
+        """A word's ids; kept if the word is short."""
         found = self.old.get(word)
         if found is None:
-            ids = list(self.word(word))
-            d = Decoder(self.bpe)
-            found = len(ids), " ".join(map(str, ids)), "".join(map(d.surface, ids))
-        if len(word) <= 64:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
+            found = self.word(word)
+            if len(word) > 64:
+                return found
+            found = tuple(found)
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[word] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        parts = self.bpe.specials.split(text) if self.bpe.specials and "<|" in text else [text]
-        for part in parts:
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text in blocks of bounded size, in order."""
+        held: list[int] = []
+        for part in self.bpe.specials.split(text) if self.bpe.specials else [text]:
             if part in self.bpe.special:
-                yield 1, str(self.bpe.special[part]), part
-            else:
-                get, fresh = self.young.get, self.fresh
-                for x in self.bpe.words.findall(lowered(part)):
-                    got = get(x)
-                    if got is None:
-                        got = fresh(x)
-                        get = self.young.get
-                    yield got
+                held.append(self.bpe.special[part])
+                continue
+            for s in slices(part):
+                young = self.young
+                for x in self.bpe.words.findall(lowered(s)):
+                    ids = young.get(x)
+                    if ids is None:
+                        ids = self.fresh(x)
+                        young = self.young
+                        if type(ids) is not tuple:  # a long word: as its tokens settle
+                            for i in ids:
+                                held.append(i)
+                                if len(held) >= SLICE:
+                                    yield held
+                                    held = []
+                            continue
+                    held += ids
+                if len(held) >= SLICE:
+                    yield held
+                    held = []
+        if held:
+            yield held
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by one space, SHA-256 of the decoded text."""
-        got = list(self.pieces(text))
-        return sum(x[0] for x in got), hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest()
+        """Number of ids, SHA-256 of the ids joined by one space, SHA-256 of the decoded text, all updated block by block."""
+        n, ids, out, machine, number = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.bpe), self.bpe.decimal.__getitem__
+        for block in self.blocks(text):
+            if n:
+                ids.update(b" ")
+            ids.update(b" ".join(map(number, block)))
+            out.update(machine.feed(block).encode())
+            n += len(block)
+        out.update(machine.close().encode())
+        return n, ids.hexdigest(), out.hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.pieces(text) for i in x[1].split(" ")]
+        return [i for block in self.blocks(text) for i in block]
 
-    def decode(self, ids: list[int], surface: bool = False) -> str:
-        d = Decoder(self.bpe)
-        return "".join(map(d.surface if surface else d.text, ids))
+    def decode(self, ids: list[int], rule: str = "text") -> str:
+        d = Decoder(self.bpe, rule)
+        return d.feed(ids) + d.close()
 
 
 def default_vocabulary() -> str:
