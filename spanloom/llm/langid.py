@@ -4,13 +4,17 @@ Per language, a suffix automaton of labelled text accepts exactly that text's su
 each automaton: a phrase is the longest match with the language's text, and the language that needs the fewest phrases,
 normalised to bits a symbol (phrases * log2(training symbols) / symbols), wins; ties go to the smaller name.
 
-The automata are built from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language,
-picked by a hash of the text, so it covers every language at any size and copies count once); every document is scored on its whole text. For parsing
-many documents at once, a text is laid out as rows of ``SEGMENT`` symbols, and a phrase ends at a row's end for every language
-alike.
+The automata are built from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language, in
+stretches spread over the whole of each text, picked by a hash of the text, so it covers every language at any size and copies count
+once); every document is scored on its whole text. A suffix automaton of n symbols has at most 2n states and 3n transitions, and
+transitions are stored sparsely, so the broadcast model takes under 1 MB a language whatever its alphabet.
+
+For parsing many documents at once, a text is laid out as rows of ``SEGMENT`` symbols that are parsed side by side, each as if a
+phrase began there; then every row is parsed again from the state in which the row before it ends, until both parses of it agree, so
+phrases are those of one parse of the whole text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled row everything is ``und``; texts may
-be of any length (they are read in slices); repeated rows are scored alike; an empty table gives an empty result; only the id,
+be of any length (read in slices, the parse going on); repeated rows are scored alike; an empty table gives an empty result; only the id,
 text and language columns are read, so further columns never clash.
 """
 
@@ -28,9 +32,10 @@ from .common import crc_mod, table, text_or_empty
 SAMPLE_ROWS = 48  # labelled rows a language
 SAMPLE_SYMBOLS = 24_000  # symbols of them that go into its automaton
 SHORT_TEXT = 6_000  # rows up to so many characters are taken first
+STRETCH = 1000  # characters of a text that are learned together
 SEGMENT = 512
-SLICE = 1 << 19  # characters of one text handled at a time
-BLOCK = 3 << 20  # characters of a batch handled at a time
+SLICE = 1 << 19  # characters of one text handled at a time; the parse goes on in the next slice
+BLOCK = 12 << 20  # characters times languages of a batch handled at a time
 SPACE, OTHER, PAD = 0, 1, 2
 
 
@@ -85,8 +90,9 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table. An entry is where a symbol leads, as an offset into the table; where no match goes
-    on, it is the complement of where a new phrase starting with that symbol leads."""
+    """All languages' automata, states numbered through. The transition of a state by a symbol is at ``base[state] + symbol``, if that
+    place belongs to the state (``owner``); else a new phrase starts with the symbol, in the state ``fresh[language, symbol]``. A symbol
+    that the language lacks is a phrase of its own, after which its root is entered again."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
@@ -97,8 +103,9 @@ class Parser:
         self.code[self.alpha] = OTHER
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 3
-        self.width = width = len(letters) + 3
-        tables, base, self.roots, self.bits = [], 0, [], []
+        width = len(letters) + 3
+        edges: list[dict[int, int]] = []
+        roots, self.bits = [], []
         for k in self.langs:
             train: list[int] = []
             for t in lowered[k]:
@@ -106,21 +113,51 @@ class Parser:
                 if len(train) >= SAMPLE_SYMBOLS:
                     break
             train = train[:SAMPLE_SYMBOLS]
-            to = suffix_automaton(train)
-            t = np.zeros((len(to), width), np.int32)
-            first = np.full(width, base, np.int32)
-            for s, n in to[0].items():
-                first[s] = base + n * width
-            t[:] = ~first
-            for i, row in enumerate(to):
-                for s, n in row.items():
-                    t[i, s] = base + n * width
-            t[:, PAD] = base + np.arange(len(to), dtype=np.int32) * width
-            tables.append(t.ravel())
-            self.roots.append(base)
+            roots.append(len(edges))
+            edges += [{s: n + roots[-1] for s, n in to.items()} for to in suffix_automaton(train)]
             self.bits.append(float(np.log2(max(2, len(train)))))
-            base += t.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.fresh = np.repeat(np.array(roots, np.int32)[:, None], width, axis=1)
+        for i, r in enumerate(roots):
+            for s, n in edges[r].items():
+                self.fresh[i, s] = n
+            edges[r] = {}  # whatever follows a root starts a phrase
+        self.roots = np.array(roots, np.int32)
+        self.pack(edges, width)
+
+    def pack(self, edges: list[dict[int, int]], width: int) -> None:
+        """Lay the rows of transitions over each other so that no two share a place: the fullest first, at the first fit."""
+        room = sum(map(len, edges)) + 2 * width + 1
+        self.base, self.owner, self.next = np.zeros(len(edges), np.int32), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        taken, low = bytearray(room), width
+        for i in sorted(range(len(edges)), key=lambda i: -len(edges[i])):
+            to = edges[i]
+            if not to:
+                continue
+            while low < len(taken) and taken[low]:
+                low += 1
+            at, keys = low - min(to), list(to)
+            while True:
+                need = at + max(keys) + 1 - len(taken)
+                if need > 0:
+                    taken += bytes(need + width)
+                if not any(taken[at + s] for s in keys):
+                    break
+                at += 1
+            self.base[i] = at
+            for s in keys:
+                taken[at + s] = 1
+        grow = max(len(taken) + width + 1, int(self.base.max(initial=0)) + width + 1)
+        self.owner, self.next = np.full(grow, -1, np.int32), np.zeros(grow, np.int32)
+        for i, to in enumerate(edges):
+            for s, n in to.items():
+                self.owner[self.base[i] + s], self.next[self.base[i] + s] = i, n
+
+    def step(self, state: np.ndarray, lang, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol, and whether it starts a phrase."""
+        at = self.base.take(state)
+        at += symbol
+        starts = self.owner.take(at) != state
+        return np.where(starts, self.fresh[lang, symbol], self.next.take(at)), starts
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of lower-cased texts: the symbols, with one space for a run of anything but letters; each text's count of them; whether it has a letter."""
@@ -140,49 +177,98 @@ class Parser:
         letters = np.concatenate(([0], np.cumsum(~space)))
         return sym[~drop], np.diff(kept[start]), np.diff(letters[start]) > 0
 
-    def phrases(self, sym: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Phrases by language and text."""
+    def phrases(self, sym: np.ndarray, lens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that start within each text, by language, when it is entered in the states begin; the states after it."""
+        langs = len(self.langs)
         rows = -(-lens // SEGMENT)
         first = np.concatenate(([0], np.cumsum(rows)))
-        grid = np.full(int(first[-1]) * SEGMENT, PAD, np.int32)
+        n = int(first[-1])
+        text = np.repeat(np.arange(len(lens)), rows)
+        opens = np.zeros(n, bool)
+        opens[first[:-1][rows > 0]] = True
+        size = np.full(n, SEGMENT)
+        size[first[1:][rows > 0] - 1] = (lens[rows > 0] - 1) % SEGMENT + 1
+        grid = np.full(n * SEGMENT, PAD, np.int32)
         start = np.concatenate(([0], np.cumsum(lens)))
         grid[np.arange(len(sym)) + np.repeat(first[:-1] * SEGMENT - start[:-1], lens)] = sym
         grid = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], grid.shape[1], axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for column in grid:
-            state += column
-            state = self.table.take(state)
-            ended = state >> 31
-            count -= ended
-            state ^= ended
-        count += 1
-        sums = np.concatenate((np.zeros((len(self.langs), 1), np.int64), np.cumsum(count, axis=1, dtype=np.int64)), axis=1)
-        return sums[:, first[1:]] - sums[:, first[:-1]]
+        inside = np.arange(SEGMENT)[:, None] < size
+
+        every = np.arange(langs)[:, None]
+        enter = np.where(opens, begin[:, text], self.roots[:, None]).astype(np.int32)
+        path, count = np.empty((SEGMENT, langs, n), np.int32), np.zeros((langs, n), np.int64)
+        begun = np.empty((SEGMENT, langs, n), bool)
+        state = enter
+        for t in range(SEGMENT):
+            state, begun[t] = self.step(state, every, grid[t])
+            begun[t] &= inside[t]
+            count += begun[t]
+            path[t] = state
+        # rows after a text's first one, again from where the row before leaves off, until both parses meet
+        lang, row = (x.ravel() for x in np.meshgrid(np.arange(langs), np.flatnonzero(~opens), indexing="ij"))
+        while len(row):
+            came = path[size[row - 1] - 1, lang, row - 1]
+            moved = came != enter[lang, row]
+            lang, row, state = lang[moved], row[moved], came[moved]
+            enter[lang, row] = state
+            late_lang, late_row = [], []
+            for t in range(SEGMENT):
+                live = t < size[row]
+                if not live.all():
+                    lang, row, state = lang[live], row[live], state[live]
+                if not len(row):
+                    break
+                state, starts = self.step(state, lang, grid[t, row])
+                np.add.at(count, (lang, row), starts.astype(np.int64) - begun[t, lang, row])
+                begun[t, lang, row] = starts
+                apart = path[t, lang, row] != state
+                path[t, lang, row] = state
+                last = apart & (t == size[row] - 1)
+                late_lang.append(lang[last])
+                late_row.append(row[last])
+                lang, row, state = lang[apart], row[apart], state[apart]
+            lang, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (late_lang, late_row))
+            follows = row + 1 < n
+            lang, row = lang[follows], row[follows] + 1
+            lang, row = lang[~opens[row]], row[~opens[row]]
+        sums = np.concatenate((np.zeros((langs, 1), np.int64), np.cumsum(count, axis=1)), axis=1)
+        after = begin.astype(np.int32)
+        full = np.flatnonzero(rows > 0)
+        after[:, full] = path[size[first[full + 1] - 1] - 1, :, first[full + 1] - 1].T
+        return sums[:, first[1:]] - sums[:, first[:-1]], after
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol by language and text; whether the text has a letter."""
-        owner, parts = [], []
+        n, langs = len(texts), len(self.langs)
+        phrases, length, letters = np.zeros((langs, n)), np.zeros(n), np.zeros(n, bool)
+        state = np.repeat(self.roots[:, None], n, axis=1)
+
+        def take(which: list[int], parts: list[str]) -> None:
+            sym, lens, has = self.symbols(parts)
+            got, after = self.phrases(sym, lens, state[:, which])
+            phrases[:, which] += got
+            state[:, which] = after
+            length[which] += lens
+            letters[which] |= has
+
+        which, parts, held = [], [], 0
         for i, t in enumerate(texts):
-            t = t.lower()
-            for s in range(0, max(1, len(t)), SLICE):
-                owner.append(i)
-                parts.append(t[s : s + SLICE])
-        n = len(texts)
-        phrases, length, letters = np.zeros((len(self.langs), n)), np.zeros(n), np.zeros(n, bool)
-        own, at = np.array(owner), 0
-        while at < len(parts):
-            end, chars = at, 0
-            while end < len(parts) and (chars == 0 or chars + len(parts[end]) <= BLOCK):
-                chars += len(parts[end])
-                end += 1
-            sym, lens, has = self.symbols(parts[at:end])
-            got, ids = self.phrases(sym, lens), own[at:end]
-            for k in range(len(self.langs)):
-                phrases[k] += np.bincount(ids, got[k], n)
-            length += np.bincount(ids, lens, n)
-            letters |= np.bincount(ids, has, n) > 0
-            at = end
+            t, s = t.lower(), 0
+            while True:
+                e = s + SLICE
+                while e < len(t) and not t[e].isalpha():  # the next slice starts with a letter, so blanks stay together
+                    e += 1
+                if which and (s or held + min(e, len(t)) - s > BLOCK // langs):
+                    take(which, parts)
+                    which, parts, held = [], [], 0
+                which.append(i)
+                parts.append(t[s:e])
+                held += len(parts[-1])
+                s = e
+                if s >= len(t):
+                    break
+        if which:
+            take(which, parts)
         return phrases * np.array(self.bits).reshape(-1, 1) / np.maximum(length, 1), letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -201,7 +287,10 @@ def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     h = F.xxhash64("text")
     picked = rows.groupBy("lang", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min(F.struct((F.length("text") > SHORT_TEXT).alias("long"), h.alias("h"), F.col("id"))).alias("m")).select("m.id", "lang")
-    got = rows.join(F.broadcast(picked), ["id", "lang"]).select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_SYMBOLS).alias("text")).toPandas().drop_duplicates()
+    share = SAMPLE_SYMBOLS // STRETCH  # a text of up to so many stretches is learned whole, of a longer one so many spread evenly
+    size, whole = F.length("text"), F.col("text")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(share - 1)), lambda i: F.substring("text", F.floor(i * (size - STRETCH) / (share - 1)).cast("int") + 1, F.lit(STRETCH))), " ")
+    got = rows.join(F.broadcast(picked), ["id", "lang"]).select("lang", h.alias("h"), F.when(size <= SAMPLE_SYMBOLS, whole).otherwise(spread).alias("text")).toPandas().drop_duplicates()
     got = got.sort_values(["lang", "h", "text"])
     return {k: list(v["text"]) for k, v in got.groupby("lang")}
 
