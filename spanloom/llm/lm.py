@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 All training texts are counted (words, an end mark after each text, and neighbouring pairs) as 64-bit hashes, in one shuffle that
-grows with the corpus. Counts are quantised to levels growing by ``GROWTH``; the filter holds (n-gram, level) for every level up
+grows with the corpus, by groups of hashes whose number grows with it too. Counts are quantised to levels growing by ``GROWTH``; the filter holds (n-gram, level) for every level up
 to the n-gram's own, so that repeated membership probes, level after level until one misses, give its count back. The filter has
-``GROUPS`` blocks, one for each hash prefix, each with ``BITS`` bits for every (n-gram, level) it holds: a probe for one it lacks
+blocks, one for each hash group (a prefix of the hash), each with ``BITS`` bits for every (n-gram, level) it holds: a probe for one it lacks
 hits with a chance of 1 % whatever the corpus. Probabilities are mixed with those of the shorter context:
 
     P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),   P(w | v) = MIX c(v w) / c(v) + (1 - MIX) P(w), or P(w) where v is unseen
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table, text_or_empty, written
 
-GROUPS = 1024
-GROUP_BITS = 10
+GROUP_CHARS = 2 << 20  # characters of training text a hash group, so that a group's counts fit a task whatever the corpus
+LEAST_BITS = 10  # hash groups are a power of two, and at least so many
 PROBES = 3
 BITS = 12.5  # bits of a block for each entry: with PROBES, false hits of (1 - exp(-PROBES / BITS)) ** PROBES, or 1 %
 GROWTH = 1.25
@@ -198,38 +198,51 @@ def tallied(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> t
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-EDGES = np.arange(1, GROUPS, dtype=np.uint64) << np.uint64(64 - GROUP_BITS)
+def group_bits(chars: int) -> int:
+    """The binary logarithm of the number of hash groups for so many characters."""
+    return max(LEAST_BITS, int(np.ceil(np.log2(max(1, chars / GROUP_CHARS)))))
 
 
-def by_group(keys: np.ndarray) -> list[slice]:
-    """Where the keys of each group are among sorted ones."""
-    at = np.concatenate(([0], np.searchsorted(keys, EDGES), [len(keys)]))
-    return [slice(a, b) for a, b in zip(at, at[1:])]
+def by_group(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
+    """The groups that sorted keys are in, and where."""
+    group = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return group[first], [slice(a, b) for a, b in zip(first, [*first[1:], len(keys)])]
 
 
-def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's counts, by group: words and pairs as sorted keys with counts."""
-    words, pairs, held = [], [], 0
+def parted(bits: int, words: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...], names: tuple[str, ...]) -> pd.DataFrame:
+    """A row for each group of the words' and pairs' keys (first in each tuple), with the packed columns of both."""
+    out = {}
+    for columns, mine in ((words, names[: len(words)]), (pairs, names[len(words) :])):
+        groups, at = by_group(columns[0], bits)
+        for g, i in zip(groups.tolist(), at):
+            row = out.setdefault(g, dict.fromkeys(names, b""))
+            for name, c in zip(mine, columns):
+                row[name] = planes(c[i]) if c is columns[0] else c[i].tobytes()
+    return pd.DataFrame([{"g": g, **row} for g, row in sorted(out.items())], columns=["g", *names])
 
-    def flush() -> pd.DataFrame:
-        cut = []
-        for x in (words, pairs):
-            k, c = tallied(x)
-            at = by_group(k)
-            cut += [[planes(k[i]) for i in at], [c[i].astype(np.uint32).tobytes() for i in at]]
-        out = pd.DataFrame({"g": np.arange(GROUPS, dtype=np.int32), "wk": cut[0], "wc": cut[1], "pk": cut[2], "pc": cut[3]})
-        return out[(out["wk"].str.len() > 0) | (out["pk"].str.len() > 0)]
 
-    for b in batches:
-        for _, tok, before in tokens(list(b["text"])):
-            words.append(tok)
-            pairs.append(pair(before, tok))
-            held += len(tok)
-            if held >= FLUSH:
-                yield flush()
-                words, pairs, held = [], [], 0
-    if held:
-        yield flush()
+def counter(bits: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's counts, by group: words and pairs as sorted keys with counts."""
+        words, pairs, held = [], [], 0
+
+        def flush() -> pd.DataFrame:
+            (wk, wc), (pk, pc) = tallied(words), tallied(pairs)
+            return parted(bits, (wk, wc.astype(np.uint32)), (pk, pc.astype(np.uint32)), ("wk", "wc", "pk", "pc"))
+
+        for b in batches:
+            for _, tok, before in tokens(list(b["text"])):
+                words.append(tok)
+                pairs.append(pair(before, tok))
+                held += len(tok)
+                if held >= FLUSH:
+                    yield flush()
+                    words, pairs, held = [], [], 0
+        if held:
+            yield flush()
+
+    return count
 
 
 def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -242,18 +255,20 @@ def merge(rows: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """The corpus totals; filter and counts stay in their table."""
 
-    def __init__(self, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
+    def __init__(self, total: int, distinct: int, bits: int):
+        self.total, self.distinct, self.bits = total, distinct, bits
         self.room = total + 0.5 * (distinct + 1)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     """The merged counts with the filter's blocks (written once), and the totals."""
-    counted = docs.select(text_or_empty(text_col).alias("text")).mapInPandas(count, "g int, wk binary, wc binary, pk binary, pc binary")
-    merged = counted.groupBy("g").applyInPandas(merge, "g int, bits binary, words binary, counts binary, n_words long, n_tokens long, n_pairs long")
+    texts = docs.select(text_or_empty(text_col).alias("text"))
+    bits = group_bits(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+    counted = texts.mapInPandas(counter(bits), "g long, wk binary, wc binary, pk binary, pc binary")
+    merged = counted.groupBy("g").applyInPandas(merge, "g long, bits binary, words binary, counts binary, n_words long, n_tokens long, n_pairs long")
     merged = written(merged, "lm-counts")
     r = merged.agg(F.sum("n_tokens").alias("total"), F.sum("n_words").alias("distinct")).first()
-    return merged, Model(r["total"] or 0, r["distinct"] or 0)
+    return merged, Model(r["total"] or 0, r["distinct"] or 0, bits)
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +292,15 @@ def unique_tokens(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
 
 
-def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words and pairs that each chunk asks for, by group."""
-    for b in batches:
-        for chunk, texts in zip(b["chunk"], b["text"]):
-            cut = [[planes(k[i]) for i in by_group(k)] for k in unique_tokens(texts)]
-            yield pd.DataFrame({"chunk": chunk, "g": np.arange(GROUPS, dtype=np.int32), "wk": cut[0], "pk": cut[1]})
+def asker(bits: int):
+    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The words and pairs that each chunk asks for, by group."""
+        for b in batches:
+            for chunk, texts in zip(b["chunk"], b["text"]):
+                words, pairs = unique_tokens(texts)
+                yield parted(bits, (words,), (pairs,), ("wk", "pk")).assign(chunk=chunk)
+
+    return probes
 
 
 def answers(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -303,7 +321,7 @@ def answers(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return [x.tobytes() for x in np.split(found[at], np.cumsum([len(x) for x in like])[:-1])] if like else []
 
     out = {"exact": parts(exact, w_at, w), "wl": parts(probed(bits, words), w_at, w), "pl": parts(probed(bits, pairs), p_at, p)}
-    return pd.DataFrame({"chunk": asked["chunk"].to_numpy(np.int64), "g": asked["g"].to_numpy(np.int32), **out})
+    return pd.DataFrame({"chunk": asked["chunk"].to_numpy(np.int64), "g": asked["g"].to_numpy(np.int64), **out})
 
 
 def log10p(model: Model, c_tok: np.ndarray, c_before: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -340,8 +358,8 @@ def score(docs: DataFrame, merged: DataFrame, model: Model, id_col: str = "doc_i
     extra = [f.name for f in rows.schema["who"].dataType if f.name != "id"]
     chunks = rows.mapInArrow(chunked, f"who array<{rows.schema['who'].dataType.simpleString()}>, text array<string>")
     chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
-    asked = chunks.select("chunk", "text").mapInPandas(probes, "chunk long, g int, wk binary, pk binary")
-    found = asked.groupBy("g").cogroup(merged.groupBy("g")).applyInPandas(answers, "chunk long, g int, exact binary, wl binary, pl binary")
+    asked = chunks.select("chunk", "text").mapInPandas(asker(model.bits), "g long, wk binary, pk binary, chunk long")
+    found = asked.groupBy("g").cogroup(merged.groupBy("g")).applyInPandas(answers, "chunk long, g long, exact binary, wl binary, pl binary")
     got = found.groupBy("chunk").cogroup(chunks.select("chunk", "text").groupBy("chunk")).applyInPandas(sums, "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
     each = chunks.select("chunk", "who").join(got, "chunk").select(F.explode(F.arrays_zip("who", "n_tokens", "n_known", "base_score", "score")).alias("x"))
     return each.select(F.col("x.who.id").alias(id_col), *[F.col(f"x.who.`{c}`") for c in extra], "x.n_tokens", "x.n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "x.base_score", "x.score")
