@@ -203,4 +203,4 @@ def members(shard: str) -> dict[str, bytes]:
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = store(table(spark, sf_dir, "documents"))
     got = read_back(describe(index))
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest", "offset")
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest")
