@@ -1,8 +1,8 @@
 """Quality scores by co-training two views of a document.
 
 The content view sees the text: frequencies of ASCII bytes and of hashed byte pairs, and how words repeat. The metadata view sees what a page
-record tells without reading the words: source, language, declared length, and layout (lines, line lengths, shares of upper case,
-digits, marks and blanks, repeated lines). Each view has a logistic classifier. In each of ``ROUNDS`` rounds every document is
+record tells without reading the words: source, language, declared length, and statistics of the page as a crawler keeps them (lines,
+line lengths, shares of upper case, digits, marks and blanks, repeated lines). Each view has a logistic classifier. In each of ``ROUNDS`` rounds every document is
 scored by both; of each view's most confident ``PICKS`` documents a class, drawn from all documents and one for each distinct
 score, the pseudo-labels go to the other view's training rows. At the end each view is calibrated on labelled rows kept apart,
 and a logistic combination of the calibrated views scores every document.
@@ -11,7 +11,8 @@ Training rows are a bounded sample: at most ``SAMPLE_ROWS`` labelled rows of eac
 classes' true counts, plus the picks. Scores, picks and class counts cover all rows.
 
 Cases: a null text counts as empty, a null source or language as a value of its own, a null declared length as the text's own; a
-text of any length is read whole; repeated rows are scored alike, repeated labels count once (conflicting ones as bad); labels of
+text of any length is read whole; repeated rows are scored alike, repeated labels count once (conflicting ones as bad), those
+other than 0 and 1 not at all; labels of
 one class only, or none, give every document the share of good labels (1 without any); with one label of a class, calibration uses
 the training rows; an empty table gives an empty result;
 further columns are ignored, whatever their names.
@@ -157,7 +158,7 @@ def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def train(views: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
     spark = views.sparkSession
-    ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna().groupBy("id").agg(F.min("good").alias("good"))
+    ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna().filter("good in (0, 1)").groupBy("id").agg(F.min("good").alias("good"))
     counts = {int(r["good"]): r["n"] for r in ids.groupBy("good").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model(float(next(iter(counts), 1)))
