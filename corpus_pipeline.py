@@ -2,6 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its rows are written as Parquet and reread as the next one's docs. All
 but the last return the columns of documents. Stages learn from ``labels`` and look only at the documents that are left.
+
+Cases: a null or empty text is scored like any other, is a copy of nothing, and is packed as its closing id alone; a null source,
+language or length is a value of its own; rows that repeat an id share its fate; of equal scores all stay or go, and of a group of near copies the
+smallest id stays, so rows with a null id are neither linked nor dropped as copies; without labels (or with those of one class) toxicity drops
+nothing, and quality drops nothing unless all labels are bad; an empty table gives an empty result; further columns, whatever their
+names, are carried along to the last stage.
 """
 
 from __future__ import annotations
