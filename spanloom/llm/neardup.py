@@ -9,11 +9,11 @@ Documents with the same set are one class, told by a 64-bit hash of the set, bef
 Collection values that only one class has are dropped by an aggregation, so only classes with near copies form table keys. In each
 bucket, members are first held against the class that most others share collections with, usually the text that the copies were
 made from (no pairs within a bucket are formed); links are confirmed on the full sets, each class's most promising one first.
-Connected components of confirmed links then show which buckets still hold several components; pairs across components are found
-there by what sets differ from their bucket's head: two linked sets have much of that in common, unless both are linked with the
+Connected components of confirmed links then show which heads still have members of several components; pairs across components are
+found there by how sets differ from the head: two linked sets have much of that in common, unless both are linked with the
 head (``deltas``), so a join on its first shingles, with a bound on the rest, meets every pair that can be linked and few others.
 Beforehand, classes are left out whose shingles that any other class has are too small a part of the set for a link, and
-buckets without two classes that sizes and common shingles let be linked. These bounds are exact, so no link between different
+members of a head without another one that sizes and common shingles let them be linked with. These bounds are exact, so no link between different
 texts that share a table is lost, while a large group of near copies costs about one check a member.
 
 All joins on hot keys have one row a key on one side, so Spark can split the other side; links, labels and sets never reach the
@@ -181,15 +181,15 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
 
 
 def promising(member: DataFrame) -> DataFrame:
-    """The rows (t, cls, n, common, label) whose bucket t holds a class of another label that sizes and common shingles let them
+    """The rows (head, cls, n, common, label) whose head also has a class of another label that sizes and common shingles let them
     be linked with: a link needs reach = common * (100 + SIMILAR) - n * SIMILAR, of either, to be SIMILAR times the other's n."""
     m = member.withColumn("reach", (100 + SIMILAR) * F.col("common") - SIMILAR * F.col("n"))
-    per = m.groupBy("t", "label").agg(F.max("reach").alias("far"), F.min("n").alias("small"))
-    one = per.groupBy("t").agg(F.max(F.struct("far", "label")).alias("f"), F.min(F.struct("small", "label")).alias("s"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    two = per.join(one, "t").groupBy("t").agg(F.first("f").alias("f"), F.first("s").alias("s"), F.max(F.expr("if(label <> f.label, far, null)")).alias("far2"), F.min(F.expr("if(label <> s.label, small, null)")).alias("small2"))
+    per = m.groupBy("head", "label").agg(F.max("reach").alias("far"), F.min("n").alias("small"))
+    one = per.groupBy("head").agg(F.max(F.struct("far", "label")).alias("f"), F.min(F.struct("small", "label")).alias("s"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    two = per.join(one, "head").groupBy("head").agg(F.first("f").alias("f"), F.first("s").alias("s"), F.max(F.expr("if(label <> f.label, far, null)")).alias("far2"), F.min(F.expr("if(label <> s.label, small, null)")).alias("small2"))
     far = F.when(F.col("label") == F.col("f.label"), F.col("far2")).otherwise(F.col("f.far"))
     small = F.when(F.col("label") == F.col("s.label"), F.col("small2")).otherwise(F.col("s.small"))
-    return m.join(two, "t").filter((far >= SIMILAR * F.col("n")) & (F.col("reach") >= SIMILAR * small)).select("t", "cls", "n", "label")
+    return m.join(two, "head").filter((far >= SIMILAR * F.col("n")) & (F.col("reach") >= SIMILAR * small)).select("head", "cls", "n", "label")
 
 
 def deltas(open_: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,21 +255,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # each bucket's members against the one that most others share collections with: the text that copies were made from
     keys = table_keys(shared)
-    heads = keys.groupBy("t").agg(F.max(F.struct("known", "cls", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("t", F.col("head.cls").alias("b"), F.col("head.n").alias("nb"))
-    stars = keys.join(heads, "t").filter(f"cls <> b and 100 * least(n, nb) >= {SIMILAR} * greatest(n, nb)").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("tables"))
-    best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("tables", "b")).alias("b")), "dup-best")
+    heads = keys.groupBy("t").agg(F.max(F.struct("known", "cls", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1").select("t", F.col("head.cls").alias("head"), F.col("head.n").alias("nh"))
+    stars = written(keys.join(heads, "t").groupBy("head", "cls").agg(F.first("n").alias("n"), F.first("nh").alias("nh"), F.first("common").alias("common"), F.count("*").alias("tables")), "dup-stars")
+    alike = stars.filter(f"cls <> head and 100 * least(n, nh) >= {SIMILAR} * greatest(n, nh)")
+    best = written(alike.groupBy(F.col("cls").alias("a")).agg(F.max_by("head", F.struct("tables", "head")).alias("b")), "dup-best")
 
     links = written(confirmed(best, sets), "dup-links")
     labels = components(links)
 
-    # what is left: pairs across components within the buckets that still hold several
+    # what is left: pairs across components among the classes of a head that still has several
     label = F.coalesce("label", "cls").alias("label")
-    member = keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("t", "cls", "n", "common", label)
-    left = promising(member).join(heads.select("t", F.col("b").alias("head")), "t").select("head", "cls", "n", "label").distinct()
+    left = promising(stars.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("head", "cls", "n", "common", label))
     delta = written(deltas(left, shared.select("cls", "core"), sets), "dup-deltas")
     with_head = delta.filter("linked and cls <> head").select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b"))
-    pairs = across(delta).join(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(confirmed(pairs, sets).unionByName(with_head), "dup-more")
+    more = written(confirmed(across(delta), sets).unionByName(with_head), "dup-more")
     if not more.isEmpty():
         up = labels.select(F.col("node"), "label")
         lifted = more.join(up.toDF("a", "la"), "a", "left").join(up.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
