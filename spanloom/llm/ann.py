@@ -103,9 +103,12 @@ class Forest:
     def along(self, q: np.ndarray, near: np.ndarray) -> None:
         """Set slope and spread of neighbours along the planes, from pairs of a query and one of its neighbours."""
         if len(self.planes) and len(q):
-            x, y = (q @ self.planes.T).ravel(), (near @ self.planes.T).ravel()
-            self.slope = float(x @ y / max(x @ x, 1e-300))
-            self.spread = float(max(np.sqrt(np.mean((y - self.slope * x) ** 2)), 1e-12))
+            xx = xy = yy = 0.0
+            for s in range(0, len(q), 64):
+                x, y = q[s : s + 64] @ self.planes.T, near[s : s + 64] @ self.planes.T
+                xx, xy, yy = xx + (x * x).sum(), xy + (x * y).sum(), yy + (y * y).sum()
+            self.slope = float(xy / max(xx, 1e-300))
+            self.spread = float(np.sqrt(max((yy - self.slope * xy) / (len(q) * len(self.planes)), 1e-24)))
 
     def walk(self, q: np.ndarray, sizes: np.ndarray, room: float) -> Iterator[list[int]]:
         """The leaves that each query meets until they hold room entries, all trees sharing one queue."""
