@@ -21,6 +21,12 @@ def cue_time(t: Column, comma: bool = False) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d" if comma else "%d:%02d:%02d.%02d", h, m, s, rest)
 
 
+def clock(x: str | Column) -> Column:
+    """MM:SS, whole seconds."""
+    x = F.floor(F.col(x) if isinstance(x, str) else x)
+    return F.format_string("%02d:%02d", F.floor(x / 60), x % 60)
+
+
 def since_seconds(x: Column) -> Column:
     """'1h', '30m', '2d', '10s' to seconds; unreadable: 0."""
     n = F.regexp_extract(x, r"^(\d+)([smhd])$", 1).try_cast("bigint")

@@ -1,29 +1,30 @@
 """Sequence operators: sessions, runs, rolling and robust statistics, repeats, and ordered folds.
 
-Each is one shuffle by its keys and a sort; frames are incremental. Where the next step depends on the previous result, ``fold`` runs a
-JVM-side aggregate over a key's ordered rows instead of a Python loop.
+Each is one shuffle by its keys and a sort; frames are incremental. Where the next step depends on the previous result, sorted rows
+stream through a small generator (``scan.scanned``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import islands
+from .scan import scanned
 
 
 def ordered(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def sessions(df: DataFrame, gap: float, who: str | None = None, strict: bool = False) -> DataFrame:
-    """Rows numbered by session: a new one where the gap since the previous end reaches ``gap`` (strict: so does an equal one
-    only here) or ``who`` changes; a missing ``who`` on either side doesn't count as a change."""
+def sessions(df: DataFrame, gap: float, who: str | None = None) -> DataFrame:
+    """Rows numbered by session: a new one where the gap since the previous end reaches ``gap`` or ``who`` changes; a missing ``who`` on
+    either side doesn't count as a change."""
     w = ordered(["clip"], ["idx"])
     since = F.col("st") - F.lag("en").over(w)
-    new = F.lag("idx").over(w).isNull() | ((since > gap) if strict else (since >= gap))
+    new = F.lag("idx").over(w).isNull() | (since >= gap)
     if who:
         new = new | F.coalesce(F.lag(who).over(w) != F.col(who), F.lit(False))
     marked = df.withColumn("_new", new)
@@ -85,11 +86,11 @@ def without_repeats(df: DataFrame, token: Column, keys: list[str], order: str) -
 
 
 def repeats(df: DataFrame, token: str, n: int, keys: list[str], order: str) -> DataFrame:
-    """Rows where the n tokens from here equal the n after them; a repeat that ends on the very last token isn't reported."""
+    """Rows where the n tokens from here, none of them empty, equal the n after them; a repeat that ends on the very last token isn't reported."""
     w = ordered(keys, [order])
     a = F.array(*[F.lead(token, i).over(w) for i in range(n)])
     b = F.array(*[F.lead(token, n + i).over(w) for i in range(n)])
-    return df.withColumns({"_a": a, "_b": b, "_more": F.lead(order, 2 * n).over(w)}).filter("_a = _b and _more is not null").withColumn("phrase", F.array_join("_a", " ")).drop("_a", "_b", "_more")
+    return df.withColumns({"_a": a, "_b": b, "_more": F.lead(order, 2 * n).over(w)}).filter("_a = _b and _more is not null and not array_contains(_a, '')").withColumn("phrase", F.array_join("_a", " ")).drop("_a", "_b", "_more")
 
 
 def filled(df: DataFrame, x: str, keys: list[str], order: str, name: str) -> DataFrame:
@@ -102,42 +103,62 @@ def filled(df: DataFrame, x: str, keys: list[str], order: str, name: str) -> Dat
     return marked.withColumn(name, F.when(F.col(x).isNotNull(), F.col(x)).when(F.col("_x0").isNull(), F.col("_x1")).when(F.col("_x1").isNull(), F.col("_x0")).otherwise(line)).drop("_x0", "_x1", "_t0", "_t1")
 
 
-def fold(df: DataFrame, keys: list[str], fields: list[str], init: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, name: str = "state") -> DataFrame:
-    """keys and the state after a key's rows, in order of ``fields``, went through ``step``."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
-    out = F.aggregate("_rows", init, step, finish) if finish else F.aggregate("_rows", init, step)
-    return rows.select(*keys, out.alias(name))
-
-
 def debounced(df: DataFrame, at: str, least: float) -> DataFrame:
-    """clip, kept (array): each time that lies more than ``least`` after the last kept one."""
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<double>").alias("kept"))
+    """clip, t: each time that lies more than ``least`` after the last kept one."""
 
-    def step(acc: Column, row: Column) -> Column:
-        far = row[at] - acc["last"] > least
-        return F.struct(F.when(far, row[at]).otherwise(acc["last"]).alias("last"), F.when(far, F.concat(acc["kept"], F.array(row[at]))).otherwise(acc["kept"]).alias("kept"))
+    def step(rows: Iterator) -> Iterator[tuple]:
+        last = float("-inf")
+        for r in rows:
+            if getattr(r, at) - last > least:
+                last = getattr(r, at)
+                yield (last,)
 
-    return fold(df, ["clip"], [at, "idx"], start, step, lambda a: a["kept"], "kept")
+    return scanned(df, ["clip"], [at, "idx"], step, "clip long, t double")
 
 
 def anchored(df: DataFrame, at: str, width: float) -> DataFrame:
-    """clip, starts (array): windows that open with the first row more than ``width`` after their own first row."""
-    start = F.struct(F.lit(None).cast("double").alias("open"), F.array().cast("array<double>").alias("starts"))
+    """clip, st: starts of windows that open with the first row more than ``width`` after their own first row."""
 
-    def step(acc: Column, row: Column) -> Column:
-        new = acc["open"].isNull() | (row[at] - acc["open"] > width)
-        return F.struct(F.when(new, row[at]).otherwise(acc["open"]).alias("open"), F.when(new, F.concat(acc["starts"], F.array(row[at]))).otherwise(acc["starts"]).alias("starts"))
+    def step(rows: Iterator) -> Iterator[tuple]:
+        opened = None
+        for r in rows:
+            if opened is None or getattr(r, at) - opened > width:
+                opened = getattr(r, at)
+                yield (opened,)
 
-    return fold(df, ["clip"], [at, "idx"], start, step, lambda a: a["starts"], "starts")
+    return scanned(df, ["clip"], [at, "idx"], step, "clip long, st double")
 
 
 def clusters(df: DataFrame, x: str, near: float) -> DataFrame:
-    """clip, groups (array of struct<total, n>): each value joins the first group whose mean is within ``near``, else opens one."""
-    start = F.array().cast("array<struct<total:double,n:bigint>>")
-
-    def step(acc: Column, row: Column) -> Column:
-        hit = F.array_position(F.transform(acc, lambda g: F.abs(g["total"] / g["n"] - row[x]) < near), True)
-        grown = F.transform(acc, lambda g, i: F.when(i + 1 == hit, F.struct((g["total"] + row[x]).alias("total"), (g["n"] + 1).alias("n"))).otherwise(g))
-        return F.when(hit > 0, grown).otherwise(F.concat(acc, F.array(F.struct(row[x].alias("total"), F.lit(1).cast("bigint").alias("n")))))
-
-    return fold(df, ["clip"], ["idx", x], start, step, name="groups")
+    """clip, total, n: each value joins the first group whose mean is within ``near``, else opens one."""
+
+    def step(rows: Iterator) -> Iterator[tuple]:
+        groups: list[list] = []
+        for r in rows:
+            v = getattr(r, x)
+            for g in groups:
+                if abs(g[0] / g[1] - v) < near:
+                    g[0], g[1] = g[0] + v, g[1] + 1
+                    break
+            else:
+                groups.append([v, 1])
+        yield from map(tuple, groups)
+
+    return scanned(df, ["clip"], ["idx"], step, "clip long, total double, n long")
+
+
+def absorbed(blocks: DataFrame, least: int) -> DataFrame:
+    """clip, label, first, last, n: blocks under ``least`` rows go to the block before, blocks of one label then join; each reaches up to the next."""
+
+    def step(rows: Iterator) -> Iterator[tuple]:
+        held = None
+        for r in rows:
+            if held and (r.n < least or held[0] == r.label):
+                held = (held[0], held[1], r.last, held[3] + r.n)
+                continue
+            if held:
+                yield held
+            held = (r.label, r.first, r.last, r.n)
+        yield held
+
+    return scanned(blocks, ["clip"], ["first"], step, "clip long, label string, first long, last long, n long")

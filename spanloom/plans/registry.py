@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregates, intervals, rules, sequences, texts, transcripts  # noqa: F401
+    from . import aggregates, edits, intervals, phrases, rules, sequences, texts, transcripts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,71 +2,168 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import intervals as iv
-from spanloom.operators import sequence as sq
 from spanloom.sources.tables import SPANS, WORDS, spans, words
 
 from .registry import query
 
-REAL = "regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') <> ''"
+# fixed values, as in functions.text: fillers and connectors, words that no sentence ends on, and those that a clause goes on after
+FILL_SQL = "'uh', 'um', 'uhh', 'umm', 'mm', 'hmm', 'er', 'ah', 'mhm', 'uhm'"
+CONN_SQL = "'and', 'but', 'so', 'or', 'well', 'like', 'now', 'okay', 'right', 'because', 'cause', 'which', 'yeah', 'yes', 'no'"
+WEAK = ["the", "a", "an", "of", "for", "in", "on", "at", "to", "with", "from", "by", "is", "was", "are", "were", "been", "be", "my", "your", "his", "her", "their", "our", "its", "if", "when", "where", "while", "who", "what", "how", "that"]
+WEAK_SQL = "'the', 'a', 'an', 'of', 'for', 'in', 'on', 'at', 'to', 'with', 'from', 'by', 'is', 'was', 'are', 'were', 'been', 'be', 'my', 'your', 'his', 'her', 'their', 'our', 'its', 'if', 'when', 'where', 'while', 'who', 'what', 'how', 'that'"
+MIDCLAUSE = ["and", "but", "or", "so", "because", "the", "a", "an", "to", "of", "that", "which", "as", "than", "then", "into", "very", "my", "your", "his", "her", "their", "our", "its", "is", "was", "are", "were", "been", "be", "am", "if", "while", "whose", "until", "unless", "whether", "whereas", "although", "nor", "upon"]
+MIDCLAUSE_SQL = "'and', 'but', 'or', 'so', 'because', 'the', 'a', 'an', 'to', 'of', 'that', 'which', 'as', 'than', 'then', 'into', 'very', 'my', 'your', 'his', 'her', 'their', 'our', 'its', 'is', 'was', 'are', 'were', 'been', 'be', 'am', 'if', 'while', 'whose', 'until', 'unless', 'whether', 'whereas', 'although', 'nor', 'upon'"
+NEXT_TURN = r"\b(how|what|why|describe|tell me|so how|and your|and what|number one takeaway|did you|was it|gotcha|awesome|perfect|cool|great|thank|sweet|nice|love it|got it|amazing|wonderful|let's|next question|moving on)\b"
+NEXT_TURN_SQL = NEXT_TURN.replace("'", "''")
+
+BARE = "regexp_replace(lower(word), '[^a-z0-9'']', '', 'g')"
+LOW = "regexp_replace(lower(word), '[^a-z'']', '', 'g')"
 ENDS = r"regexp_matches(trim(word), '[.!?][\"'')\]]*$')"
-#: Numbered content words of each chunk (a turn), with whether each ends a sentence.
-CHUNKS = f"{WORDS}, ch AS (SELECT clip, turn, idx, word, st, en, row_number() OVER (PARTITION BY clip, turn ORDER BY idx) AS i, count(*) OVER (PARTITION BY clip, turn) AS n, {ENDS} AS ends, lead(st) OVER (PARTITION BY clip, turn ORDER BY idx) AS next_st FROM words WHERE {REAL})"
+#: Numbered content words of each chunk (a turn), with whether each ends a sentence. A chunk's window reaches into the next turn for every third one.
+CHUNKS = f"""{WORDS}, ch AS (SELECT clip, turn, idx, word, {LOW} AS low, st, en, row_number() OVER c AS i, count(*) OVER (PARTITION BY clip, turn) AS n, {ENDS} AS ends, lead(st) OVER c AS next_st FROM words WHERE {BARE} <> '' AND {BARE} NOT IN ({FILL_SQL}) WINDOW c AS (PARTITION BY clip, turn ORDER BY idx)),
+win AS (SELECT clip, turn, min(st) AS lo, max(en) + CASE WHEN turn % 3 = 0 THEN 1300 ELSE 0 END AS hi FROM words GROUP BY clip, turn)"""
 
 
 def chunks(spark, d) -> DataFrame:
     w = Window.partitionBy("clip", "turn")
     by = w.orderBy("idx")
-    return words(spark, d).filter(tx.alphanumerics("word") != "").select("clip", "turn", "idx", "word", "st", "en", F.row_number().over(by).alias("i"), F.count("*").over(w).alias("n"), tx.ends_sentence("word").alias("ends"), F.lead("st").over(by).alias("next_st"))
+    return words(spark, d).filter(tx.is_content("word")).select("clip", "turn", "idx", "word", tx.letters("word").alias("low"), "st", "en", F.row_number().over(by).alias("i"), F.count("*").over(w).alias("n"), tx.ends_sentence("word").alias("ends"), F.lead("st").over(by).alias("next_st"))
 
 
-@query(f"WITH {CHUNKS} SELECT clip, turn, 'LEADING_ORPHAN' AS rule, min_by(next_st, idx) - 0.10::double AS fix FROM ch WHERE n >= 3 AND i <= 3 AND ends AND next_st IS NOT NULL GROUP BY clip, turn")
+def windows(spark, d) -> DataFrame:
+    reach = F.when(F.col("turn") % 3 == 0, 1300.0).otherwise(0.0)
+    return words(spark, d).groupBy("clip", "turn").agg(F.min("st").alias("lo"), F.max("en").alias("hi")).withColumn("hi", F.col("hi") + reach)
+
+
+@query(f"WITH {CHUNKS}, f AS (SELECT clip, turn, min(idx) AS idx FROM ch WHERE n >= 3 AND i <= 3 AND ends GROUP BY clip, turn) SELECT f.clip, f.turn, 'LEADING_ORPHAN' AS rule, coalesce(ch.next_st - 0.10::double, win.lo) AS fix FROM f JOIN ch ON ch.clip = f.clip AND ch.idx = f.idx JOIN win ON win.clip = f.clip AND win.turn = f.turn")
 def leading_orphan(spark, d):
-    c = chunks(spark, d).filter("n >= 3 and i <= 3 and ends and next_st is not null")
-    return c.groupBy("clip", "turn").agg(F.lit("LEADING_ORPHAN").alias("rule"), (F.min_by("next_st", "idx") - 0.10).alias("fix"))
+    """Chunks that open on the end of a sentence: it ends within their first three content words."""
+    c = chunks(spark, d).filter("n >= 3 and i <= 3 and ends")
+    first = c.groupBy("clip", "turn").agg(F.min_by(F.struct("next_st"), "idx").alias("f"))
+    fix = F.coalesce(F.col("f.next_st") - 0.10, F.col("lo"))
+    return first.join(windows(spark, d), ["clip", "turn"]).select("clip", "turn", F.lit("LEADING_ORPHAN").alias("rule"), fix.alias("fix"))
 
 
-@query(f"WITH {CHUNKS}, l AS (SELECT clip, turn, n, max(i) FILTER (ends) AS last, max_by(en, i) FILTER (ends) AS e FROM ch GROUP BY ALL) SELECT clip, turn, 'TRAILING_ORPHAN' AS rule, e + 0.15::double AS fix FROM l WHERE last < n AND n >= 2")
+@query(f"WITH {CHUNKS}, l AS (SELECT clip, turn, n, max(i) FILTER (ends) AS last, max_by(en, i) FILTER (ends) AS e FROM ch GROUP BY ALL) SELECT clip, turn, 'TRAILING_ORPHAN' AS rule, e + 0.15::double AS fix FROM l WHERE n >= 3 AND n - last >= 2")
 def trailing_orphan(spark, d):
+    """Chunks that go on for two content words at least after their last sentence."""
     ends = F.when(F.col("ends"), F.col("i"))
     l = chunks(spark, d).groupBy("clip", "turn", "n").agg(F.max(ends).alias("last"), F.max_by("en", ends).alias("e"))
-    return l.filter("last < n and n >= 2").select("clip", "turn", F.lit("TRAILING_ORPHAN").alias("rule"), (F.col("e") + 0.15).alias("fix"))
+    return l.filter("n >= 3 and n - last >= 2").select("clip", "turn", F.lit("TRAILING_ORPHAN").alias("rule"), (F.col("e") + 0.15).alias("fix"))
 
 
-@query(f"WITH {CHUNKS} SELECT clip, turn, min(st) AS st FROM ch WHERE i = 1 AND regexp_replace(lower(word), '[^a-z'']', '', 'g') IN ('and', 'but', 'so', 'or', 'well', 'like', 'now', 'okay', 'right', 'because', 'cause', 'which', 'yeah', 'yes', 'no') GROUP BY clip, turn")
+@query(f"WITH {CHUNKS} SELECT clip, turn, st FROM ch WHERE i = 1 AND low IN ({CONN_SQL})")
 def opener_dirty(spark, d):
-    return chunks(spark, d).filter((F.col("i") == 1) & tx.is_connector("word")).groupBy("clip", "turn").agg(F.min("st").alias("st"))
+    return chunks(spark, d).filter((F.col("i") == 1) & tx.is_connector("word")).select("clip", "turn", "st")
+
+
+def completeness(word: Column, low: Column, following: Column) -> Column:
+    """Why a sentence is over with word, or isn't; following: the words after it, null or empty at the end."""
+    text = F.array_join(F.slice(following, 1, 15), " ")
+    fresh = F.get(following, F.lit(0)).rlike(r"^\s*\p{Lu}")
+    turn = F.lower(text).rlike(NEXT_TURN) | F.contains(text, F.lit("?"))
+    return F.when(word.rlike("[.!?][\"')\\]]*\\s*$"), "terminal").when(low.isin(MIDCLAUSE), "midclause").when(following.isNull() | (F.size(following) == 0), "source_ends").when(turn | fresh, "new_turn").otherwise("continues")
 
 
-@query(f"WITH {CHUNKS} SELECT clip, turn, max_by(word, i) AS last_word, NOT max_by(ends, i) AND regexp_replace(lower(max_by(word, i)), '[^a-z'']', '', 'g') IN ('and', 'but', 'or', 'so', 'because', 'the', 'a', 'an', 'to', 'of', 'that', 'which', 'as') AS truncated FROM ch GROUP BY clip, turn")
+AFTER = rf"""{CHUNKS}, la AS (SELECT clip, turn, max_by(word, i) AS last_word, max_by(low, i) AS low, max(idx) AS idx FROM ch GROUP BY clip, turn),
+nx AS (SELECT la.clip, la.turn, list(w.word ORDER BY w.idx) AS nxt FROM la JOIN (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS k FROM words) l ON l.clip = la.clip AND l.idx = la.idx JOIN (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) AS k FROM words) w ON w.clip = la.clip AND w.k > l.k AND w.k <= l.k + 15 GROUP BY ALL),
+co AS (SELECT la.*, CASE WHEN regexp_matches(last_word, '[.!?]["'')\]]*\s*$') THEN 'terminal' WHEN low IN ({MIDCLAUSE_SQL}) THEN 'midclause' WHEN nxt IS NULL THEN 'source_ends' WHEN regexp_matches(lower(array_to_string(nxt, ' ')), '{NEXT_TURN_SQL}') OR contains(array_to_string(nxt, ' '), '?') OR regexp_matches(nxt[1], '^\s*\p{{Lu}}') THEN 'new_turn' ELSE 'continues' END AS why FROM la LEFT JOIN nx USING (clip, turn))"""
+
+
+def endings(spark, d) -> DataFrame:
+    """clip, turn, last_word, low, why: the last content word of each chunk, and whether the sentence is over with it."""
+    w = Window.partitionBy("clip").orderBy("idx")
+    after = F.collect_list("word").over(w.rowsBetween(1, 15))
+    w = words(spark, d).withColumn("after", after).filter(tx.is_content("word"))
+    last = w.groupBy("clip", "turn").agg(F.max_by(F.struct("word", tx.letters("word").alias("low"), "after"), "idx").alias("x")).select("clip", "turn", F.col("x.word").alias("last_word"), "x.low", "x.after")
+    return last.select("clip", "turn", "last_word", "low", completeness(F.col("last_word"), F.col("low"), F.col("after")).alias("why"))
+
+
+@query(f"WITH {AFTER} SELECT clip, turn, last_word, why FROM co")
+def sentence_completeness(spark, d):
+    """Whether the last content word of each chunk ends its sentence, told by the word and the fifteen words after it."""
+    return endings(spark, d).drop("low")
+
+
+@query(f"WITH {AFTER} SELECT clip, turn, last_word, low IN ({CONN_SQL}, {WEAK_SQL}) OR why IN ('midclause', 'continues') AS truncated FROM co")
 def payoff_truncated(spark, d):
-    """Chunks that stop in the middle of a clause."""
-    weak = tx.letters("last_word").isin("and", "but", "or", "so", "because", "the", "a", "an", "to", "of", "that", "which", "as")
-    c = chunks(spark, d).groupBy("clip", "turn").agg(F.max_by("word", "i").alias("last_word"), F.max_by("ends", "i").alias("ends"))
-    return c.select("clip", "turn", "last_word", (~F.col("ends") & weak).alias("truncated"))
+    """Chunks that stop in the middle of a clause, or whose speaker goes on with the sentence."""
+    weak = F.col("low").isin(tx.CONNECTORS + WEAK)
+    return endings(spark, d).select("clip", "turn", "last_word", (weak | F.col("why").isin("midclause", "continues")).alias("truncated"))
 
 
-@query(f"WITH {CHUNKS} SELECT clip, turn, count(*) FILTER (ends AND i > 3 AND i <= n - 3) AS inner_ends FROM ch GROUP BY clip, turn HAVING max(en) - min(st) >= 15 AND count(*) FILTER (ends AND i > 3 AND i <= n - 3) >= 2")
+@query(f"WITH {CHUNKS} SELECT ch.clip, ch.turn, count(*) FILTER (ends AND i > 3 AND i <= n - 3) AS inner_ends FROM ch JOIN win USING (clip, turn) WHERE hi - lo >= 15 GROUP BY ch.clip, ch.turn HAVING count(*) FILTER (ends AND i > 3 AND i <= n - 3) >= 2")
 def tangent_risk(spark, d):
     inner = F.count_if(F.col("ends") & (F.col("i") > 3) & (F.col("i") <= F.col("n") - 3))
-    c = chunks(spark, d).groupBy("clip", "turn").agg(inner.alias("inner_ends"), (F.max("en") - F.min("st")).alias("long"))
-    return c.filter("long >= 15 and inner_ends >= 2").drop("long")
+    c = chunks(spark, d).groupBy("clip", "turn").agg(inner.alias("inner_ends")).filter("inner_ends >= 2")
+    return c.join(windows(spark, d).filter("hi - lo >= 15"), ["clip", "turn"]).select("clip", "turn", "inner_ends")
+
+
+@query(
+    f"""WITH {AFTER}, r AS (
+SELECT clip, turn, 'LEADING_ORPHAN' AS rule, 'ERROR' AS severity FROM ch WHERE n >= 3 AND i <= 3 AND ends GROUP BY clip, turn UNION ALL
+SELECT clip, turn, 'TRAILING_ORPHAN', 'ERROR' FROM ch GROUP BY clip, turn, n HAVING n >= 3 AND n - max(i) FILTER (ends) >= 2 UNION ALL
+SELECT clip, turn, 'PAYOFF_TRUNCATED', 'ERROR' FROM co WHERE low IN ({CONN_SQL}, {WEAK_SQL}) OR why IN ('midclause', 'continues') UNION ALL
+SELECT clip, turn, 'OPENER_DIRTY', 'WARN' FROM ch WHERE i = 1 AND low IN ({CONN_SQL}) UNION ALL
+SELECT clip, turn, 'TANGENT_RISK', 'WARN' FROM ch JOIN win USING (clip, turn) WHERE hi - lo >= 15 GROUP BY clip, turn HAVING count(*) FILTER (ends AND i > 3 AND i <= n - 3) >= 2 UNION ALL
+SELECT clip, turn, CASE WHEN hi > nlo + 0.05 THEN 'OVERLAP' ELSE 'DISJOINT_ORDER' END, 'ERROR' FROM (SELECT *, lead(lo) OVER (PARTITION BY clip ORDER BY turn) AS nlo FROM win) WHERE hi > nlo + 0.05 OR nlo < lo),
+e AS (SELECT clip, min(turn) AS first, max(turn) AS last FROM win GROUP BY clip), m AS (SELECT unnest([false, true]) AS rough),
+k AS (SELECT r.clip, r.turn, rule, rough, CASE WHEN rough AND rule = 'OVERLAP' THEN 'WARN' ELSE severity END AS severity FROM r JOIN e USING (clip), m WHERE NOT rough OR NOT (rule IN ('LEADING_ORPHAN', 'OPENER_DIRTY') AND r.turn <> first OR rule IN ('TRAILING_ORPHAN', 'PAYOFF_TRUNCATED') AND r.turn <> last))
+SELECT *, row_number() OVER (PARTITION BY clip, rough ORDER BY turn, severity <> 'ERROR', rule) AS place FROM k"""
+)
+def window_driver(spark, d):
+    """All word rules over all chunks, for final cuts and for rough windows, in order of chunk and severity. In rough windows openings count
+    in a clip's first chunk alone and endings in its last, and chunks may overlap."""
+    rule = lambda df, name, severity: df.select("clip", "turn", F.lit(name).alias("rule"), F.lit(severity).alias("severity"))
+    win = windows(spark, d)
+    near = win.withColumn("nlo", F.lead("lo").over(Window.partitionBy("clip").orderBy("turn"))).filter("hi > nlo + 0.05 or nlo < lo")
+    order = near.select("clip", "turn", F.when(F.col("hi") > F.col("nlo") + 0.05, "OVERLAP").otherwise("DISJOINT_ORDER").alias("rule"), F.lit("ERROR").alias("severity"))
+    found = order
+    for df, name, severity in ((leading_orphan(spark, d), "LEADING_ORPHAN", "ERROR"), (trailing_orphan(spark, d), "TRAILING_ORPHAN", "ERROR"), (payoff_truncated(spark, d).filter("truncated"), "PAYOFF_TRUNCATED", "ERROR"), (opener_dirty(spark, d), "OPENER_DIRTY", "WARN"), (tangent_risk(spark, d), "TANGENT_RISK", "WARN")):
+        found = found.unionByName(rule(df, name, severity))
+    edge = win.groupBy("clip").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    both = found.join(edge, "clip").withColumn("rough", F.explode(F.array(F.lit(False), F.lit(True))))
+    elsewhere = (F.col("rule").isin("LEADING_ORPHAN", "OPENER_DIRTY") & (F.col("turn") != F.col("first"))) | (F.col("rule").isin("TRAILING_ORPHAN", "PAYOFF_TRUNCATED") & (F.col("turn") != F.col("last")))
+    severity = F.when(F.col("rough") & (F.col("rule") == "OVERLAP"), "WARN").otherwise(F.col("severity"))
+    kept = both.filter(~F.col("rough") | ~elsewhere).select("clip", "turn", "rule", "rough", severity.alias("severity"))
+    place = F.row_number().over(Window.partitionBy("clip", "rough").orderBy("turn", F.col("severity") != "ERROR", "rule"))
+    return kept.withColumn("place", place.cast("long"))
+
+
+def frames_near(segments: DataFrame, frames: DataFrame, reach: float) -> DataFrame:
+    """Segments (clip, idx, lo, hi, ..) with each frame (clip, t, level) from lo up to hi + reach."""
+    g = iv.bucketed(segments.withColumn("far", F.col("hi") + reach), 3600.0, "lo", "far").alias("g")
+    p = frames.withColumn("bucket", F.floor(F.col("t") / 3600.0)).alias("p")
+    on = (F.col("g.clip") == F.col("p.clip")) & (F.col("g.bucket") == F.col("p.bucket")) & (F.col("p.t") >= F.col("g.lo")) & (F.col("p.t") <= F.col("g.far"))
+    return g.join(p, on).select("g.*", "t", "level").drop("bucket")
+
+
+@query(f"WITH {SPANS}, g AS (SELECT clip, idx, st AS lo, en AS hi, value AS edge FROM spans WHERE label = 'view'), p AS (SELECT g.clip, g.idx, g.edge, avg(s.value) AS post FROM g JOIN spans s ON s.clip = g.clip AND s.st > g.hi AND s.st <= g.hi + 7200 GROUP BY ALL) SELECT clip, idx FROM p WHERE edge > 30 AND post > edge - 6")
+def clipped_tail(spark, d):
+    """Segments whose sound goes on after their end: the mean level just after is about that of the edge."""
+    s = spans(spark, d)
+    v = s.filter("label = 'view'").select("clip", "idx", F.col("st").alias("lo"), F.col("en").alias("hi"), F.col("value").alias("edge"))
+    got = frames_near(v, s.select("clip", F.col("st").alias("t"), F.col("value").alias("level")), 7200.0).filter("t > hi")
+    return got.groupBy("clip", "idx", "edge").agg(F.avg("level").alias("post")).filter("edge > 30 and post > edge - 6").select("clip", "idx")
 
 
-@query(f"WITH {SPANS}, a AS (SELECT clip, idx, st, en, avg(value) AS edge FROM spans WHERE label = 'view' GROUP BY ALL), p AS (SELECT a.clip, a.idx, a.edge, avg(s.value) AS post FROM a JOIN spans s ON s.clip = a.clip AND s.st > a.en AND s.st <= a.en + 7200 GROUP BY ALL) SELECT clip, idx FROM p WHERE edge > 30 AND post > edge - 6")
-def clipped_tail(spark, d):
-    """Segments whose sound goes on after their end: the level just after is about that of the edge."""
+@query(f"""WITH {SPANS}, g AS (SELECT clip, idx, st AS lo, en + 86400 AS hi FROM spans WHERE label = 'view'), f AS (SELECT g.clip, g.idx, s.value, s.st < g.lo + 28800 AS onset FROM g JOIN spans s ON s.clip = g.clip AND s.label <> 'view' AND s.st >= g.lo AND s.st <= g.hi),
+x AS (SELECT clip, idx, 20 * log10(sqrt(avg(sq)) + 1e-9) AS whole, 20 * log10(sqrt(avg(sq) FILTER (onset)) + 1e-9) AS onset, 20 * log10(sqrt(avg(sq) FILTER (NOT onset)) + 1e-9) AS body FROM (SELECT *, (value / 1000) * (value / 1000) AS sq FROM f) GROUP BY clip, idx) SELECT clip, idx, CASE WHEN whole < -35 THEN 'segment' ELSE 'onset' END AS kind FROM x WHERE whole < -35 OR (onset < -35 AND body - onset > 16)""")
+def ghost_silence(spark, d):
+    """Segments that are silent throughout, and those whose onset is silent and much below what follows."""
     s = spans(spark, d)
-    v = s.filter("label = 'view'").select("clip", "idx", F.col("value").alias("edge"), F.col("en").alias("lo"), (F.col("en") + 7200).alias("hi"))
-    g = iv.bucketed(v, 3600.0, "lo", "hi").alias("g")
-    p = s.select("clip", F.col("st").alias("t"), "value", F.floor(F.col("st") / 3600.0).alias("bucket")).alias("p")
-    on = (F.col("g.clip") == F.col("p.clip")) & (F.col("g.bucket") == F.col("p.bucket")) & (F.col("p.t") > F.col("g.lo")) & (F.col("p.t") <= F.col("g.hi"))
-    got = g.join(p, on).groupBy("g.clip", "g.idx", "edge").agg(F.avg("value").alias("post"))
-    return got.filter("edge > 30 and post > edge - 6").select("clip", "idx")
+    v = s.filter("label = 'view'").select("clip", "idx", F.col("st").alias("lo"), (F.col("en") + 86400).alias("hi"))
+    f = frames_near(v, s.filter("label <> 'view'").select("clip", F.col("st").alias("t"), F.col("value").alias("level")), 0.0)
+    sq = (F.col("level") / 1000) * (F.col("level") / 1000)
+    db = lambda x: 20 * F.log10(F.sqrt(F.avg(x)) + 1e-9)
+    early = F.col("t") < F.col("lo") + 28800
+    x = f.groupBy("clip", "idx").agg(db(sq).alias("whole"), db(F.when(early, sq)).alias("onset"), db(F.when(~early, sq)).alias("body"))
+    return x.filter("whole < -35 or (onset < -35 and body - onset > 16)").select("clip", "idx", F.when(F.col("whole") < -35, "segment").otherwise("onset").alias("kind"))
 
 
 PAUSE = "coalesce(st - lag(en) OVER (PARTITION BY clip ORDER BY idx) > 0.2::double, true)"
@@ -143,46 +240,3 @@ def disfluency_gate(spark, d):
     v = s.filter("label <> 'view'").select("clip", F.col("st").alias("t"), F.floor(F.col("st") / 3600.0).alias("bucket")).alias("v")
     on = (F.col("g.clip") == F.col("v.clip")) & (F.col("g.bucket") == F.col("v.bucket")) & (F.col("v.t") > F.col("g.lo")) & (F.col("v.t") < F.col("g.hi"))
     return g.join(v, on, "left").groupBy("g.clip", "g.idx", F.col("g.lo").alias("st"), F.col("g.hi").alias("en")).agg(F.count("v.t").alias("voiced")).drop("idx")
-
-
-@query(None)
-def cue_chunker(spark, d):
-    """Words packed into cues: a new one at a change of speaker, a pause, 18 characters, three words or after a mark."""
-    start = F.struct(F.lit(None).cast("string").alias("who"), F.lit(0.0).alias("end"), F.lit(0).alias("chars"), F.lit(99).alias("n"), F.lit(True).alias("closed"), F.array().cast("array<bigint>").alias("starts"))
-
-    def step(acc, w):
-        size = F.length(w["word"])
-        new = acc["closed"] | (acc["who"] != w["speaker"]) | (w["st"] - acc["end"] > 0.35) | (acc["chars"] + 1 + size > 18) | (acc["n"] >= 3)
-        new = F.coalesce(new, F.lit(True))
-        return F.struct(w["speaker"].alias("who"), w["en"].alias("end"), F.when(new, size).otherwise(acc["chars"] + 1 + size).alias("chars"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), w["word"].rlike("[.?!,]$").alias("closed"), F.when(new, F.concat(acc["starts"], F.array(w["idx"]))).otherwise(acc["starts"]).alias("starts"))
-
-    cues = sq.fold(words(spark, d), ["clip", "turn"], ["idx", "word", "speaker", "st", "en"], start, step, lambda a: a["starts"], "starts")
-    return cues.select("clip", "turn", F.posexplode("starts").alias("cue", "first"))
-
-
-@query(None)
-def min_block_absorb(spark, d):
-    """Label runs shorter than two rows taken over by the block before; neighbours of one label then join."""
-    blocks = sq.runs(spans(spark, d).select("clip", "idx", "label"), "label", ["clip"], "idx").select("clip", "first", "last", "label", "n")
-    start = F.array().cast("array<struct<label:string,first:bigint,last:bigint,n:bigint>>")
-
-    def step(acc, b):
-        tail = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(tail["label"].alias("label"), tail["first"].alias("first"), b["last"].alias("last"), (tail["n"] + b["n"]).alias("n"))))
-        joins = (F.size(acc) > 0) & ((b["n"] < 2) | (tail["label"] == b["label"]))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(b["label"].alias("label"), b["first"].alias("first"), b["last"].alias("last"), b["n"].alias("n")))))
-
-    return sq.fold(blocks, ["clip"], ["first", "last", "label", "n"], start, step, name="b").select("clip", F.explode("b").alias("b")).select("clip", "b.*")
-
-
-@query(None)
-def speaker_resolve(spark, d):
-    """Who speaks each word: a clear level decides, else the previous decision turns over after a long pause, else it holds."""
-    start = F.struct(F.lit("host").alias("who"), F.lit(0.0).alias("end"), F.array().cast("array<struct<idx:bigint,who:string>>").alias("out"))
-
-    def step(acc, r):
-        turn = F.when(acc["who"] == "host", "guest").otherwise("host")
-        who = F.when(r["value"] > 60, "host").when(r["value"] < 5, "guest").when(r["st"] - acc["end"] > 7200, turn).otherwise(acc["who"])
-        return F.struct(who.alias("who"), r["en"].alias("end"), F.concat(acc["out"], F.array(F.struct(r["idx"].alias("idx"), who.alias("who")))).alias("out"))
-
-    return sq.fold(spans(spark, d), ["clip"], ["st", "idx", "en", "value"], start, step, lambda a: a["out"], "o").select("clip", F.explode("o").alias("o")).select("clip", "o.idx", "o.who")

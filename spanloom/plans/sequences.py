@@ -31,9 +31,10 @@ def top_clips(spark, d):
     return b.groupBy("clip").agg(F.count("*").alias("blocks"), F.sum("dur").alias("seconds")).orderBy(F.desc("blocks"), "clip").limit(10)
 
 
-@query(f"WITH {SPANS}, f AS (SELECT *, CASE WHEN lag(idx) OVER w IS NULL OR st - lag(en) OVER w > 700 OR lag(label) OVER w <> label THEN 1 ELSE 0 END AS new FROM spans WINDOW w AS (PARTITION BY clip ORDER BY idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY clip ORDER BY idx) AS k FROM f) SELECT clip, label, min(st) AS st, max(en) AS en, count(*) AS n FROM g GROUP BY clip, k, label")
+@query(f"WITH {SPANS}, f AS (SELECT *, CASE WHEN lag(idx) OVER w IS NULL OR st - lag(en) OVER w >= 700 OR lag(label) OVER w <> label THEN 1 ELSE 0 END AS new FROM spans WINDOW w AS (PARTITION BY clip ORDER BY idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY clip ORDER BY idx) AS k FROM f) SELECT clip, label, min(st) AS st, max(en) AS en, count(*) AS n FROM g GROUP BY clip, k, label")
 def strict_sessions(spark, d):
-    s = sq.sessions(spans(spark, d), 700.0, "label", strict=True)
+    """Rows join while the gap is under the limit, so one that equals it opens a session."""
+    s = sq.sessions(spans(spark, d), 700.0, "label")
     return s.groupBy("clip", "session", "label").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n")).drop("session")
 
 
@@ -86,22 +87,44 @@ def sustained_runs(spark, d):
 
 
 @query(f"""WITH {WORDS}, t AS (SELECT *, nullif(regexp_replace(lower(word), '[^a-z'']', '', 'g'), '') AS t FROM words), p AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt FROM t), f AS (SELECT *, NOT coalesce(t = pt AND length(t) >= 2, false) AS new FROM p),
-g AS (SELECT *, sum((new AND t IS NOT NULL)::INT) OVER (PARTITION BY clip ORDER BY idx) AS k FROM f) SELECT clip, idx, word, CASE WHEN t IS NOT NULL THEN max(CASE WHEN t IS NOT NULL THEN en END) OVER (PARTITION BY clip, k) ELSE en END AS en, new FROM g QUALIFY new""".replace(", new FROM g", " FROM g"))
+g AS (SELECT *, sum((new AND t IS NOT NULL)::INT) OVER (PARTITION BY clip ORDER BY idx) AS k FROM f) SELECT clip, idx, word, CASE WHEN t IS NOT NULL THEN max(CASE WHEN t IS NOT NULL THEN en END) OVER (PARTITION BY clip, k) ELSE en END AS en FROM g QUALIFY new""")
 def stutter_dedupe(spark, d):
     return sq.without_repeats(words(spark, d).select("clip", "idx", "word", "en"), tx.letters("word"), ["clip"], "idx")
 
 
-@query(f"WITH {WORDS}, t AS (SELECT clip, idx, regexp_replace(lower(word), '[^a-z'']', '', 'g') AS t FROM words), l AS (SELECT *, lead(t) OVER w AS b, lead(idx, 2) OVER w AS more FROM t WINDOW w AS (PARTITION BY clip ORDER BY idx)) SELECT clip, idx, t AS phrase FROM l WHERE t = b AND more IS NOT NULL")
+#: A word list with phrases said twice: after every 40th word its last three, four or five words come again.
+TWICE = f"""{WORDS}, tw AS (SELECT clip, idx * 10 AS k, st, regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') AS t FROM words UNION ALL SELECT a.clip, a.idx * 10 + b.i, a.st + 0.1::double * b.i, b.t FROM words a JOIN (SELECT clip, idx, unnest(range(1, n + 1)) AS i, unnest(ts) AS t FROM (SELECT clip, idx, 3 + (idx // 40) % 3 AS n, list(regexp_replace(lower(word), '[^a-z0-9'']', '', 'g')) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS all5, all5[5 - n + 1:] AS ts FROM words) WHERE len(all5) = 5 AND idx % 40 = 20) b ON b.clip = a.clip AND b.idx = a.idx)"""
+
+
+def said_twice(spark, d):
+    w = words(spark, d).select("clip", "idx", "st", F.regexp_replace(F.lower("word"), "[^a-z0-9']", "").alias("t"))
+    last = F.collect_list("t").over(Window.partitionBy("clip").orderBy("idx").rowsBetween(-4, 0))
+    n = (3 + F.floor(F.col("idx") / 40) % 3).cast("int")
+    again = w.withColumn("l", last).filter("size(l) = 5 and idx % 40 = 20").select("clip", "idx", "st", F.posexplode(F.slice("l", 5 - n + 1, n)).alias("i", "t"))
+    again = again.select("clip", (F.col("idx") * 10 + F.col("i") + 1).alias("k"), (F.col("st") + 0.1 * (F.col("i") + 1)).alias("st"), "t")
+    return w.select("clip", (F.col("idx") * 10).alias("k"), "st", "t").unionByName(again)
+
+
+@query(f"WITH {TWICE}, l AS (SELECT clip, k, list(t) OVER w AS a, lead(k, 10) OVER o AS m5, lead(k, 8) OVER o AS m4, lead(k, 6) OVER o AS m3 FROM tw WINDOW w AS (PARTITION BY clip ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), o AS (PARTITION BY clip ORDER BY k)), h AS (SELECT clip, k, 5 AS n, a[1:5] AS p FROM l WHERE a[1:5] = a[6:10] AND m5 IS NOT NULL UNION ALL SELECT clip, k, 4, a[1:4] FROM l WHERE a[1:4] = a[5:8] AND m4 IS NOT NULL UNION ALL SELECT clip, k, 3, a[1:3] FROM l WHERE a[1:3] = a[4:6] AND m3 IS NOT NULL) SELECT clip, k, n, array_to_string(p, ' ') AS phrase FROM h WHERE NOT list_contains(p, '')")
 def ngram_repeat(spark, d):
-    return sq.repeats(words(spark, d).select("clip", "idx", tx.letters("word").alias("t")), "t", 1, ["clip"], "idx").select("clip", "idx", "phrase")
+    """Phrases of five, four or three words that are said twice in a row."""
+    w = said_twice(spark, d).select("clip", "k", "t")
+    found = None
+    for n in (5, 4, 3):
+        hit = sq.repeats(w, "t", n, ["clip"], "k").select("clip", "k", F.lit(n).alias("n"), "phrase")
+        found = hit if found is None else found.unionByName(hit)
+    return found
 
 
-@query(f"WITH {WORDS}, t AS (SELECT clip, idx, st, regexp_replace(lower(word), '[^a-z'']', '', 'g') AS t FROM words), l AS (SELECT *, lead(t) OVER w AS b, lead(t, 2) OVER w AS c, lead(t, 3) OVER w AS e, lead(idx, 4) OVER w AS more FROM t WINDOW w AS (PARTITION BY clip ORDER BY idx)), h AS (SELECT clip, idx, floor(st) AS second, t || ' ' || b AS phrase FROM l WHERE t = c AND b = e AND more IS NOT NULL) SELECT clip, second::BIGINT AS second, min_by(phrase, idx) AS phrase FROM h GROUP BY clip, second")
+@query(f"WITH {TWICE}, l AS (SELECT clip, k, round(st, 1) AS st, list(t) OVER w AS a, lead(k, 10) OVER o AS m5, lead(k, 8) OVER o AS m4, lead(k, 6) OVER o AS m3 FROM tw WINDOW w AS (PARTITION BY clip ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), o AS (PARTITION BY clip ORDER BY k)), h AS (SELECT clip, st, a[1:5] AS p FROM l WHERE a[1:5] = a[6:10] AND m5 IS NOT NULL UNION ALL SELECT clip, st, a[1:4] FROM l WHERE a[1:4] = a[5:8] AND m4 IS NOT NULL UNION ALL SELECT clip, st, a[1:3] FROM l WHERE a[1:3] = a[4:6] AND m3 IS NOT NULL) SELECT clip, round_even(st, 0)::BIGINT AS second, min(struct_pack(st := st, phrase := array_to_string(p, ' '))).phrase AS phrase FROM h WHERE NOT list_contains(p, '') GROUP BY ALL")
 def double_takes(spark, d):
-    """Doubled phrases of two words, one report a second."""
-    w = words(spark, d).select("clip", "idx", "st", tx.letters("word").alias("t"))
-    hit = sq.repeats(w, "t", 2, ["clip"], "idx")
-    return hit.groupBy("clip", F.floor("st").alias("second")).agg(F.min_by("phrase", "idx").alias("phrase"))
+    """Doubled phrases of three to five words, one report a second (halves to the even one): the earliest, then the first by text."""
+    w = said_twice(spark, d)
+    found = None
+    for n in (5, 4, 3):
+        hit = sq.repeats(w, "t", n, ["clip"], "k").select("clip", F.round("st", 1).alias("st"), "phrase")
+        found = hit if found is None else found.unionByName(hit)
+    return found.groupBy("clip", F.bround("st", 0).cast("bigint").alias("second")).agg(F.min(F.struct("st", "phrase")).alias("x")).select("clip", "second", "x.phrase")
 
 
 @query(f"WITH {WORDS}, l AS (SELECT clip, turn, idx, lower(word) AS a, lag(lower(word)) OVER (PARTITION BY clip, turn ORDER BY idx) AS b FROM words) SELECT clip, turn, min(idx) AS idx, min_by(a, idx) AS word FROM l WHERE a = b GROUP BY clip, turn")
@@ -126,21 +149,37 @@ def max_gap_filter(spark, d):
 
 @query(f"""WITH RECURSIVE {SPANS}, n AS (SELECT clip, st, row_number() OVER ({BY_ST}) AS i FROM spans), r AS (SELECT clip, i, st AS last, true AS kept FROM n WHERE i = 1 UNION ALL SELECT n.clip, n.i, CASE WHEN n.st - r.last > 14400 THEN n.st ELSE r.last END, n.st - r.last > 14400 FROM r JOIN n ON n.clip = r.clip AND n.i = r.i + 1) SELECT clip, last AS t FROM r WHERE kept""")
 def greedy_debounce(spark, d):
-    return sq.debounced(spans(spark, d).select("clip", "idx", "st"), "st", 14400.0).select("clip", F.explode("kept").alias("t"))
+    return sq.debounced(spans(spark, d).select("clip", "idx", "st"), "st", 14400.0)
 
 
 @query(f"""WITH RECURSIVE {SPANS}, n AS (SELECT clip, st, row_number() OVER ({BY_ST}) AS i FROM spans), r AS (SELECT clip, i, st AS anchor, st AS t FROM n WHERE i = 1 UNION ALL SELECT n.clip, n.i, CASE WHEN n.st - r.anchor > 86400 THEN n.st ELSE r.anchor END, n.st FROM r JOIN n ON n.clip = r.clip AND n.i = r.i + 1) SELECT clip, anchor AS st FROM r GROUP BY clip, anchor""")
 def anchored_windows(spark, d):
-    return sq.anchored(spans(spark, d).select("clip", "idx", "st"), "st", 86400.0).select("clip", F.explode("starts").alias("st"))
+    return sq.anchored(spans(spark, d).select("clip", "idx", "st"), "st", 86400.0)
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {SPANS}, n AS (SELECT clip, value, row_number() OVER (PARTITION BY clip ORDER BY idx) AS i, count(*) OVER (PARTITION BY clip) AS total FROM spans),
+r AS (SELECT clip, i, total, [struct_pack(s := value, n := 1::BIGINT)] AS g FROM n WHERE i = 1 UNION ALL SELECT clip, i, total, CASE WHEN pos > 0 THEN list_transform(g, lambda x, k: CASE WHEN k = pos THEN struct_pack(s := x.s + value, n := x.n + 1) ELSE x END) ELSE list_append(g, struct_pack(s := value, n := 1::BIGINT)) END FROM (SELECT n.clip, n.i, n.total, n.value, r.g, list_position(list_transform(r.g, lambda x: abs(x.s / x.n - n.value) < 20), true) AS pos FROM r JOIN n ON n.clip = r.clip AND n.i = r.i + 1)),
+c AS (SELECT clip, total, unnest(g) AS x FROM r WHERE i = total), k AS (SELECT clip, x.s / x.n AS mean, x.n AS n, row_number() OVER (PARTITION BY clip ORDER BY x.n DESC, x.s / x.n) AS rank FROM c WHERE x.n >= 0.05 * total) SELECT * FROM k WHERE rank <= 5"""
+)
 def value_clusters(spark, d):
     """Greedy one-dimensional clusters in order of arrival, the five largest of at least 5 % of the rows."""
-    c = sq.clusters(spans(spark, d).select("clip", "idx", "value"), "value", 20.0)
-    g = c.select("clip", F.explode("groups").alias("g"), F.aggregate("groups", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("all"))
-    w = Window.partitionBy("clip").orderBy(F.desc("n"), "mean")
-    return g.select("clip", (F.col("g.total") / F.col("g.n")).alias("mean"), F.col("g.n").alias("n"), "all").filter("n >= 0.05 * all").withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 5").drop("all")
+    g = sq.clusters(spans(spark, d).select("clip", "idx", "value"), "value", 20.0)
+    w = Window.partitionBy("clip")
+    big = g.withColumn("all", F.sum("n").over(w)).filter("n >= 0.05 * all").select("clip", (F.col("total") / F.col("n")).alias("mean"), "n")
+    return big.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "mean")).cast("bigint")).filter("rank <= 5")
+
+
+@query(
+    f"""WITH RECURSIVE {SPANS}, f AS (SELECT *, CASE WHEN lag(label) OVER w IS DISTINCT FROM label THEN 1 ELSE 0 END AS new FROM spans WINDOW w AS (PARTITION BY clip ORDER BY idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY clip ORDER BY idx) AS run FROM f),
+b AS (SELECT clip, label, min(idx) AS first, max(idx) AS last, count(*) AS n, row_number() OVER (PARTITION BY clip ORDER BY min(idx)) AS i FROM g GROUP BY clip, run, label),
+r AS (SELECT clip, i, label, first AS block FROM b WHERE i = 1 UNION ALL SELECT b.clip, b.i, CASE WHEN b.n < 2 OR b.label = r.label THEN r.label ELSE b.label END, CASE WHEN b.n < 2 OR b.label = r.label THEN r.block ELSE b.first END FROM r JOIN b ON b.clip = r.clip AND b.i = r.i + 1),
+k AS (SELECT r.clip, r.label, block AS first, max(b.last) AS last, sum(b.n)::BIGINT AS n FROM r JOIN b ON b.clip = r.clip AND b.i = r.i GROUP BY ALL) SELECT *, lead(first) OVER (PARTITION BY clip ORDER BY first) AS until FROM k"""
+)
+def min_block_absorb(spark, d):
+    """Label runs shorter than two rows taken over by the block before; neighbours of one label then join, and each block reaches up to the next."""
+    blocks = sq.runs(spans(spark, d).select("clip", "idx", "label"), "label", ["clip"], "idx").select("clip", "first", "last", "label", "n")
+    return sq.absorbed(blocks, 2).withColumn("until", F.lead("first").over(Window.partitionBy("clip").orderBy("first")))
 
 
 @query(f"WITH {SPANS}, m AS (SELECT clip, median(value) AS med FROM spans GROUP BY clip), a AS (SELECT s.clip, m.med, median(abs(value - m.med)) AS mad FROM spans s JOIN m USING (clip) GROUP BY s.clip, m.med) SELECT s.clip, idx, value FROM spans s JOIN a USING (clip) WHERE (value - med) / (1.4826::double * (mad + 1e-6)) > 4 AND value > 2.5::double * med")
