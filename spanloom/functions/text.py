@@ -75,3 +75,31 @@ def jaccard(a: Column, b: Column) -> Column:
 def shingles(x: Column, n: int) -> Column:
     """All runs of n tokens, each joined by blanks."""
     return F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+# fixed values: number words that a comparison leaves out, beside those of the test tables
+NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "hundred", "thousand", "million", "un", "deux"]
+
+
+def canonical(words: Column) -> Column:
+    """An array of words as they are compared: split at hyphens and slashes, letters and digits alone, no numbers or number words."""
+    parts = F.transform(F.flatten(F.transform(words, lambda w: F.split(F.lower(w), "[-/]"))), lambda p: F.regexp_replace(p, "[^a-z0-9]", ""))
+    return F.filter(parts, lambda p: (p != "") & ~p.rlike(r"^\d+(k|m|b|st|nd|rd|th)?$") & ~p.isin(NUMBER_WORDS))
+
+
+def number(x: str | Column) -> Column:
+    """A number as a double, currency signs and commas aside, with k or m for thousands and millions; null if there is none."""
+    t = F.regexp_replace(F.lower(_c(x)), r"[^0-9.km-]", "")
+    scale = F.when(t.endswith("k"), 1e3).when(t.endswith("m"), 1e6).otherwise(1.0)
+    return F.regexp_replace(t, "[km]$", "").try_cast("double") * scale
+
+
+def delivery_name(brand: str, kind: str, source: Column, title: Column, editor: str, day: Column) -> Column:
+    return F.concat_ws("_", F.lit(brand), F.lit(kind), source, title, F.lit(editor), day)
+
+
+def delivery_parts(name: Column) -> Column:
+    """struct(source, title, day, version) of a delivery's name; nulls where a part is missing."""
+    pattern = r"^[^_]+_[^_]+_([^_]+)_([^_]+)_[^_]+_([0-9]{8})_V([0-9]+)[.]"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    return F.struct(part(1).alias("source"), part(2).alias("title"), F.try_to_date(part(3), "yyyyMMdd").alias("day"), part(4).try_cast("long").alias("version"))

@@ -76,3 +76,9 @@ def clamp(x: Column, default: float = 0.5) -> Column:
 def tempo(t: Column) -> Column:
     """Beats a minute: unknown or zero as 92, above 120 halved."""
     return F.when(t.isNull() | (t == 0), F.lit(92.0)).when(t > 120, t / 2).otherwise(t.cast("double"))
+
+
+def slots(t: Column, hours: list[int], days: int) -> Column:
+    """The times at whole hours of t's day and the days after it, in order."""
+    day = F.date_trunc("day", t)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: F.array(*[day + F.make_dt_interval(days=d, hours=F.lit(h)) for h in hours])))

@@ -42,10 +42,35 @@ def similar_by_tokens(df: DataFrame, id_col: str, text_col: str, k: int) -> Data
     return r.filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
-def vibe(tempo: Column, sparse: Column, minor: Column, onsets: Column, percussive: Column) -> Column:
+# fixed values: moods of a track and what each needs of its features, as (feature, from, below); the first that holds
+MOODS = [
+    ("sad-sparse", [("tempo", None, 95), ("sparse", 1, None), ("minor", 1, None)]),
+    ("reflective-calm", [("tempo", None, 95), ("sparse", 1, None)]),
+    ("confident-dark", [("tempo", 115, None), ("onsets", 2.3, None), ("minor", 1, None)]),
+    ("uplifting-driving", [("tempo", 115, None), ("onsets", 2.3, None)]),
+    ("chill-groove", [("percussive", 0.42, None), ("onsets", 1.8, None)]),
+    ("warm-bright", [("tempo", 95, None), ("minor", None, 1)]),
+    ("warm-melodic", []),
+]
+SPARSE = {"onsets": 1.4, "energy": 0.025}  # under either, a track is sparse
+
+
+def by_table(table: list[tuple[str, list[tuple]]], features: dict[str, Column], strict: set[str]) -> Column:
+    """The first label of the table whose needs the features meet; lower bounds of the features in ``strict`` must be exceeded."""
+    out = F.lit(None).cast("string")
+    for label, needs in reversed(table):
+        ok = F.lit(True)
+        for name, lo, hi in needs:
+            x = features[name]
+            ok = ok & ((x > lo if name in strict else x >= lo) if lo is not None else F.lit(True)) & (x < hi if hi is not None else F.lit(True))
+        out = F.when(ok, label).otherwise(out)
+    return out
+
+
+def mood(tempo: Column, onsets: Column, energy: Column, percussive: Column, minor: Column) -> Column:
     """A coarse mood from a track's features."""
-    slow = tempo < 95
-    return F.when(slow & sparse & minor, "sad-sparse").when(slow & sparse, "reflective-calm").when((tempo >= 115) & (onsets > 2.3), F.when(minor, "confident-dark").otherwise("uplifting-driving")).when((percussive > 0.42) & (onsets > 1.8), "chill-groove").when(~minor & ~slow, "warm-bright").otherwise("warm-melodic")
+    sparse = ((onsets < SPARSE["onsets"]) | (energy < SPARSE["energy"])).cast("int")
+    return by_table(MOODS, {"tempo": tempo, "sparse": sparse, "minor": minor.cast("int"), "onsets": onsets, "percussive": percussive}, {"onsets", "percussive"})
 
 
 def block_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -56,14 +56,6 @@ def lift_score(spark, d):
     return e.withColumn("lift", 0.35 * F.col("o") + 0.40 * F.col("x") + 0.25).select("event_id", "lift", F.when(F.col("lift") >= 1.25, "MINE").when(F.col("lift") >= 1, "MAYBE").otherwise("SKIP").alias("verdict"))
 
 
-@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_size BETWEEN 18 AND 30 THEN 1.0::double WHEN p_size >= 9 AND p_size < 18 THEN 0.5::double + 0.5::double * (p_size - 9) / 9 WHEN p_size > 30 AND p_size <= 45 THEN 1.0::double - 0.6::double * (p_size - 30) / 15 ELSE 0.3::double END AS dur, least(1, greatest(0, (p_retailprice - 900) / 1000)) AS pay, CASE WHEN regexp_matches(p_name, '^(red|blue)') THEN 1.0::double ELSE 0.3::double END AS hook FROM part)
-SELECT p_partkey, 10 * dur + 30 * pay + 15 * hook AS score FROM c""")
-def weighted_score(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    dur = tc.duration_score(F.col("p_size"), (18, 30), 9, 45)
-    return p.select("p_partkey", (10 * dur + 30 * tc.clamp((F.col("p_retailprice") - 900) / 1000) + 15 * F.when(F.col("p_name").rlike("^(red|blue)"), 1.0).otherwise(0.3)).alias("score"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_totalprice / 500 BETWEEN 180 AND 600 THEN 1.0::double WHEN o_totalprice / 500 >= 90 AND o_totalprice / 500 < 180 THEN 0.5::double + 0.5::double * (o_totalprice / 500 - 90) / 90 WHEN o_totalprice / 500 > 600 AND o_totalprice / 500 <= 1200 THEN 1.0::double - 0.6::double * (o_totalprice / 500 - 600) / 600 ELSE 0.3::double END AS score FROM orders")
 def duration_score(spark, d):
     return table(spark, d, "orders").select("o_orderkey", tc.duration_score(F.col("o_totalprice") / 500).alias("score"))

@@ -184,12 +184,6 @@ def filler_candidates(spark, d):
     return t.select("clip", "idx", F.when(single, "single").when(initial, "initial").when(alone, "isolated").when(short, "short").alias("kind")).filter("kind is not null")
 
 
-@query(f"""WITH {WORDS}, c AS (SELECT clip, turn, idx, word, st, en, length(word) AS n FROM words) SELECT clip, idx, unnest(list_filter([CASE WHEN n > 18 THEN 'too_long' END, CASE WHEN regexp_matches(word, '[.,]$') THEN 'punctuation' END, CASE WHEN regexp_matches(word, '^[a-z]') AND idx % 10000 = 0 THEN 'lowercase_start' END], lambda x: x IS NOT NULL)) AS issue FROM c""")
-def subtitle_lint(spark, d):
-    rules = F.array_compact(F.array(F.when(F.length("word") > 18, "too_long"), F.when(F.col("word").rlike("[.,]$"), "punctuation"), F.when(F.col("word").rlike("^[a-z]") & (F.col("idx") % 10000 == 0), "lowercase_start")))
-    return words(spark, d).select("clip", "idx", F.explode(rules).alias("issue"))
-
-
 @query(f"""WITH {SPANS}, g AS (SELECT clip, idx, st, en, lead(st) OVER (PARTITION BY clip ORDER BY st, idx) AS nst, value, label FROM spans)
 SELECT clip, idx, 'OVERLAP' AS rule, 'ERROR' AS severity FROM g WHERE en > nst + 0.05::double UNION ALL SELECT clip, idx, 'GAP', 'WARN' FROM g WHERE nst - en > 86400 UNION ALL SELECT clip, idx, 'SHORT', 'WARN' FROM g WHERE en - st < 60""")
 def window_rules(spark, d):
@@ -200,14 +194,6 @@ def window_rules(spark, d):
     return g.select("clip", "idx", F.explode(found).alias("x")).select("clip", "idx", "x.rule", "x.severity")
 
 
-@query("SELECT o_orderkey, unnest(list_filter([CASE WHEN o_totalprice < 1000 THEN 'error:total_low' END, CASE WHEN o_totalprice > 450000 THEN 'warning:total_high' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'warning:status' END], lambda x: x IS NOT NULL)) AS issue FROM orders")
-def manifest_rules(spark, d):
-    from spanloom.sources.tables import table
-
-    r = F.array_compact(F.array(F.when(F.col("o_totalprice") < 1000, "error:total_low"), F.when(F.col("o_totalprice") > 450000, "warning:total_high"), F.when(~F.col("o_orderstatus").isin("O", "F"), "warning:status")))
-    return table(spark, d, "orders").select("o_orderkey", F.explode(r).alias("issue"))
-
-
 @query("WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 'has_error' WHEN value < 1 THEN 'too_short' WHEN value > 180 THEN 'too_long' WHEN event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'posted' ELSE 'ok' END AS reason FROM events) SELECT reason, count(*) AS n FROM e GROUP BY reason")
 def eligibility(spark, d):
     """Why rows are skipped, counted by reason."""

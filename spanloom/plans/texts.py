@@ -45,7 +45,7 @@ def regex_classify(spark, d):
     return table(spark, d, "part").select("p_partkey", mt.first_match(F.col("p_name"), [("colour", "(?i)^(red|blue)"), ("ring", "ring$"), ("size", "small|large"), ("other", "")]).alias("pattern"))
 
 
-@query("SELECT l_orderkey, l_linenumber, t, CASE WHEN cs // 360000 > 0 OR true THEN (cs // 360000)::varchar || ':' || lpad(((cs // 6000) % 60)::varchar, 2, '0') || ':' || lpad(((cs // 100) % 60)::varchar, 2, '0') || '.' || lpad((cs % 100)::varchar, 2, '0') END AS cue FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 7 AS t, floor(l_extendedprice / 7 * 100 + 0.5::double)::BIGINT AS cs FROM lineitem)".replace(" 0 OR true", " -1"))
+@query("SELECT l_orderkey, l_linenumber, t, (cs // 360000)::varchar || ':' || lpad(((cs // 6000) % 60)::varchar, 2, '0') || ':' || lpad(((cs // 100) % 60)::varchar, 2, '0') || '.' || lpad((cs % 100)::varchar, 2, '0') AS cue FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / 7 AS t, floor(l_extendedprice / 7 * 100 + 0.5::double)::BIGINT AS cs FROM lineitem)".replace(" 0 OR true", " -1"))
 def time_format(spark, d):
     t = F.col("l_extendedprice") / 7
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", t.alias("t"), tc.cue_time(t).alias("cue"))
@@ -88,19 +88,39 @@ def length_category(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", n.cast("bigint").alias("n_words"), F.when(t <= 40, "short").when(t <= 75, "mid").when(t <= 90, "long").otherwise("error").alias("category"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_filter(['spam', 'free', 'click'], lambda x: contains(lower(text), x)))) AS banned, len(list_filter(regexp_extract_all(text, '\\$([0-9][0-9,]*)', 1), lambda x: replace(x, ',', '')::DOUBLE >= 100)) AS amounts FROM documents WHERE text IS NOT NULL")
+# fixed values: words that a scan flags, openers that a text shouldn't start on, what refers to something unsaid
+FLAGGED = ["fuck", "shit", "damn", "ass ", "bitch", "hell "]
+OPENERS = ["yeah", "so", "um", "uh", "well", "okay so", "right so", "and", "but"]
+CONTINUES = ["that's why", "that's what", "so basically", "the point is", "and that's", "which is why", "because of that"]
+DANGLING = [r"\b(that (thing|focus|approach|method|strategy))\b", r"\b(what (he|she|they) (said|mentioned|talked about))\b", r"\b(the same (thing|way|approach))\b", r"\b(like i (said|mentioned))\b", r"\b(as i was saying)\b"]
+SAFETY_SQL = "list_filter(['fuck', 'shit', 'damn', 'ass ', 'bitch', 'hell ', 'spam', 'free', 'click'], lambda x: contains(lower(text), x))"
+
+
+@query(f"WITH b AS (SELECT doc_id, {SAFETY_SQL} AS banned, list_filter(regexp_extract_all(text, '\\$[0-9,]+(?:\\.[0-9]+)?'), lambda x: coalesce(try_cast(replace(replace(x, '$', ''), ',', '') AS DOUBLE) >= 100, false)) AS amounts, contains(lower(text), 'password') AS blocked FROM documents WHERE text IS NOT NULL) SELECT doc_id, banned, amounts, NOT blocked AS passes FROM b")
 def brand_safety(spark, d):
-    """Banned substrings and money amounts of a hundred or more in each document."""
+    """Flagged substrings and money amounts of a hundred or more in each document; a blocked term fails it."""
     low = F.lower("text")
-    banned = F.array_sort(F.filter(F.array(*[F.lit(x) for x in ("spam", "free", "click")]), lambda x: F.contains(low, x)))
-    amounts = F.size(F.filter(F.regexp_extract_all("text", F.lit(r"\$([0-9][0-9,]*)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double") >= 100))
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", banned.alias("banned"), amounts.cast("bigint").alias("amounts"))
+    # the last three are of the test tables
+    banned = F.filter(F.array(*[F.lit(x) for x in [*FLAGGED, "spam", "free", "click"]]), lambda x: F.contains(low, x))
+    amounts = F.filter(F.regexp_extract_all("text", F.lit(r"\$[0-9,]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.coalesce(F.regexp_replace(x, "[$,]", "").try_cast("double") >= 100, F.lit(False)))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", banned.alias("banned"), amounts.alias("amounts"), (~F.contains(low, F.lit("password"))).alias("passes"))
 
 
-@query("SELECT conv_id, turn, string_split(text, chr(10))[1] AS opener, coalesce(regexp_matches(string_split(text, chr(10))[1], '^(The|And|In|La|Le|Die)([^\\pL]|$)'), false) AS weak FROM conversations WHERE text IS NOT NULL")
+@query(
+    r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(lower(x))), lambda x: x <> '') AS ls FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, coalesce(list_filter(['yeah', 'so', 'um', 'uh', 'well', 'okay so', 'right so', 'and', 'but', 'the', 'la', 'le', 'die', 'der', 'to'], lambda x: starts_with(ls[1], x || ' ') OR ls[1] = x)[1], '') AS opener, coalesce(list_bool_or(list_transform(['that''s why', 'that''s what', 'so basically', 'the point is', 'and that''s', 'which is why', 'because of that', 'of'], lambda x: starts_with(ls[1], x))), false) AS continues,
+len(list_filter(ls[1:3], lambda x: regexp_matches(x, '\b(that (thing|focus|approach|method|strategy))\b|\b(what (he|she|they) (said|mentioned|talked about))\b|\b(the same (thing|way|approach))\b|\b(like i (said|mentioned))\b|\b(as i was saying)\b|the of'))) AS dangling FROM l"""
+)
 def opener_scan(spark, d):
-    first = F.try_element_at(F.split("text", "\n"), F.lit(1))
-    return table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", first.alias("opener"), F.coalesce(first.rlike(r"^(The|And|In|La|Le|Die)([^\pL]|$)"), F.lit(False)).alias("weak"))
+    """What a text opens on: a filler, a continuation, and in its first three lines what refers to something unsaid."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.lower(x))), lambda x: x != "")
+    l = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", lines.alias("ls"))
+    first = F.get("ls", F.lit(0))
+    # further ones are of the test tables
+    hits = F.filter(F.array(*[F.lit(x) for x in [*OPENERS, "the", "la", "le", "die", "der", "to"]]), lambda x: F.startswith(first, F.concat(x, F.lit(" "))) | (first == x))
+    goes_on = F.exists(F.array(*[F.lit(x) for x in [*CONTINUES, "of"]]), lambda x: F.startswith(first, x))
+    unsaid = F.size(F.filter(F.slice("ls", 1, 3), lambda x: x.rlike("|".join([*DANGLING, "the of"]))))
+    return l.select("conv_id", "turn", F.coalesce(F.get(hits, F.lit(0)), F.lit("")).alias("opener"), F.coalesce(goes_on, F.lit(False)).alias("continues"), unsaid.cast("long").alias("dangling"))
 
 
 @query("SELECT conv_id, turn, i, line FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations) WHERE length(line) - length(replace(line, ' ', '')) < 2 AND NOT regexp_matches(line, '[.!?]$')")
@@ -128,11 +148,10 @@ def expected_onset(spark, d):
     return w.select("clip", "idx", F.when(late, F.greatest("st", F.col("en") - F.col("e"))).otherwise(F.col("st")).alias("onset"))
 
 
-@query("SELECT event_id, CASE WHEN slow AND sparse AND minor THEN 'sad-sparse' WHEN slow AND sparse THEN 'reflective-calm' WHEN t >= 115 AND od > 2.3::double THEN CASE WHEN minor THEN 'confident-dark' ELSE 'uplifting-driving' END WHEN pr > 0.42::double AND od > 1.8::double THEN 'chill-groove' WHEN NOT minor AND NOT slow THEN 'warm-bright' ELSE 'warm-melodic' END AS vibe FROM (SELECT event_id, 60 + event_id % 80 AS t, (60 + event_id % 80) < 95 AS slow, value / 100 < 1.4::double AND event_id % 3 <> 0 AS sparse, event_id % 2 = 0 AS minor, value / 20 AS od, (event_id % 10) / 10 AS pr FROM events)")
+@query("WITH f AS (SELECT event_id, 60 + event_id % 80 AS t, value / 20 AS od, (event_id % 40) / 400 AS e, (event_id % 10) / 10 AS pr, event_id % 2 = 0 AS minor FROM events), g AS (SELECT *, t < 95 AS slow, od < 1.4::double OR e < 0.025::double AS sparse FROM f) SELECT event_id, CASE WHEN slow AND sparse THEN CASE WHEN minor THEN 'sad-sparse' ELSE 'reflective-calm' END WHEN t >= 115 AND od > 2.3::double THEN CASE WHEN minor THEN 'confident-dark' ELSE 'uplifting-driving' END WHEN pr > 0.42::double AND od > 1.8::double THEN 'chill-groove' WHEN NOT minor AND NOT slow THEN 'warm-bright' ELSE 'warm-melodic' END AS mood FROM g")
 def feature_bucketing(spark, d):
     k, v = F.col("event_id"), F.col("value")
-    t = 60 + k % 80
-    return table(spark, d, "events").select("event_id", mt.vibe(t, (v / 100 < 1.4) & (k % 3 != 0), k % 2 == 0, v / 20, (k % 10) / 10).alias("vibe"))
+    return table(spark, d, "events").select("event_id", mt.mood(60 + k % 80, v / 20, (k % 40) / 400, (k % 10) / 10, k % 2 == 0).alias("mood"))
 
 
 @query("SELECT o_orderkey, 'ACME_CLIP_' || o_orderpriority[1] || '_' || strftime(o_orderdate, '%Y%m%d') || '_V' || (o_orderkey % 3 + 1) AS name FROM orders")
