@@ -19,26 +19,54 @@ def first_match(x: Column, patterns: list[tuple[str, str]]) -> Column:
     return out
 
 
+BROADCAST_ROWS = 1_000_000  # keys up to which a counted list is broadcast; beyond, a shuffled join
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A list of keys, to be broadcast where it is counted to be small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def source_match(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, n: int = 8, least: int = 2) -> DataFrame:
-    """q_id, the document with most of the query's four shingles, hits. An equi-join on shingles: both sides are distinct rows of
-    (id, shingle), and only shingles that queries have survive the documents' side."""
+    """q_id, the document with most of the query's four shingles, hits.
+
+    Words are hashed once and shingles are hashes of those; documents meet the queried hashes as plain numbers, before any shingle is
+    written out. Only the documents that hold one are then matched on the text."""
     w = F.split(tx.plain("text"), " ")
     q = queries.select(q_id, w.alias("w")).filter(F.size("w") >= 2 * n)
     start = lambda k: (1 + F.floor((F.size("w") - n) * k / 5)).cast("int")
-    q = q.select(q_id, F.explode(F.array(*[F.array_join(F.slice("w", start(k), n), " ") for k in (1, 2, 3, 4)])).alias("s"))
-    split = docs.filter("text is not null").select(d_id, w.alias("w"))  # a column of its own, or each shingle would split the text again
-    d = split.select(d_id, F.explode(F.array_distinct(tx.shingles(F.col("w"), n))).alias("s"))
-    hits = q.join(d, "s").groupBy(q_id, d_id).agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
+    q = q.select(q_id, F.explode(F.array(*[F.slice("w", start(k), n) for k in (1, 2, 3, 4)])).alias("s"))
+    hashed = lambda x: F.xxhash64(F.transform(x, lambda y: F.xxhash64(y)))
+    wanted = q.select(hashed(F.col("s")).alias("h")).distinct()
+    split = docs.filter("text is not null").select(d_id, w.alias("w")).filter(F.size("w") >= n)
+    numbers = split.select(d_id, F.transform("w", lambda y: F.xxhash64(y)).alias("wh"))
+    each = numbers.select(d_id, F.explode(F.transform(F.sequence(F.lit(1), F.size("wh") - n + 1), lambda i: F.xxhash64(F.slice("wh", i, n)))).alias("h"))
+    near = each.join(few(wanted), "h", "left_semi").select(d_id).distinct().persist()  # ids that are counted first and used then
+    text = split.join(few(near), d_id, "left_semi").select(d_id, F.explode(F.array_distinct(tx.shingles(F.col("w"), n))).alias("s"))
+    hits = q.select(q_id, F.array_join("s", " ").alias("s")).join(text, "s").groupBy(q_id, d_id).agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
     return hits.groupBy(q_id).agg(F.min_by(d_id, F.struct(-F.col("hits"), d_id)).alias(d_id), F.max("hits").alias("hits"))
 
 
-def similar_by_tokens(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, other, sim, rank: the k most similar texts by Jaccard of tokens longer than two letters; newest id on a tie."""
+def similar_by_tokens(df: DataFrame, id_col: str, text_col: str, k: int, least: float = 0.0) -> DataFrame:
+    """id, other, sim, rank: the k most similar texts by Jaccard of tokens longer than two letters; newest id on a tie.
+
+    With a least similarity, an exact prefix filter: of a text's n tokens, rarest first, only the first n - ceil(least n) + 1 can hold the
+    first that two such texts share, so a common token pairs none but texts that are nearly all common tokens."""
     t = df.select(F.col(id_col).alias("id"), F.array_distinct(F.filter(F.split(tx.plain(text_col), " "), lambda x: F.length(x) > 2)).alias("w")).filter(F.size("w") > 0)
     each = t.select("id", F.size("w").alias("n"), F.explode("w").alias("tok"))
-    pairs = each.alias("a").join(each.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id"))).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("both"))
-    sim = pairs.select("id", "other", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
-    r = sim.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("other"))).cast("bigint"))
+    common = each.groupBy("tok").agg(F.count("*").alias("df"))
+    ranked = each.join(common, "tok").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("w"))
+    keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int")
+    first = ranked.select("id", "n", F.explode(F.slice("w", F.lit(1), F.least(F.size("w"), keep))).alias("tok"))
+    a, b = first.alias("a"), first.alias("b")
+    size = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n")
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id")) & size).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    own = ranked.select("id", "w")
+    sets = pairs.join(own.toDF("x", "xw"), "x").join(own.toDF("y", "yw"), "y")
+    both = F.size(F.array_intersect("xw", "yw"))
+    sim = sets.select("x", "y", (both / (F.size("xw") + F.size("yw") - both)).alias("sim")).filter((F.col("sim") > 0) & (F.col("sim") >= least))
+    either = sim.select(F.col("x").alias("id"), F.col("y").alias("other"), "sim").unionByName(sim.select(F.col("y").alias("id"), F.col("x").alias("other"), "sim"))
+    r = either.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.desc("other"))).cast("bigint"))
     return r.filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 

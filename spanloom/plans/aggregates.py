@@ -115,13 +115,14 @@ def running_budget(spark, d):
     return b.filter("spent <= 1500 and calls <= 80").drop("calls")
 
 
-@query(f"WITH {SPANS}, g AS (SELECT clip, unnest(range(0, 720)) * 3600.0::double AS t FROM (SELECT DISTINCT clip FROM spans)), a AS (SELECT clip, st, arg_max(label, idx) AS la FROM spans WHERE label IN ('view', 'click') GROUP BY ALL), b AS (SELECT clip, st, arg_max(CASE WHEN label = 'purchase' THEN 'click' ELSE 'view' END, idx) AS lb FROM spans WHERE label IN ('purchase', 'error') GROUP BY ALL), x AS (SELECT g.clip, g.t, a.la FROM g ASOF LEFT JOIN a ON g.clip = a.clip AND g.t >= a.st), y AS (SELECT x.*, b.lb FROM x ASOF LEFT JOIN b ON x.clip = b.clip AND x.t >= b.st) SELECT clip, avg((la = lb)::INT) AS agreement FROM y GROUP BY clip")
+@query(f"WITH {SPANS}, g AS (SELECT clip, unnest(range(0, floor((SELECT max(st) FROM spans) / 3600)::BIGINT + 1)) * 3600.0::double AS t FROM (SELECT DISTINCT clip FROM spans)), a AS (SELECT clip, st, arg_max(label, idx) AS la FROM spans WHERE label IN ('view', 'click') GROUP BY ALL), b AS (SELECT clip, st, arg_max(CASE WHEN label = 'purchase' THEN 'click' ELSE 'view' END, idx) AS lb FROM spans WHERE label IN ('purchase', 'error') GROUP BY ALL), x AS (SELECT g.clip, g.t, a.la FROM g ASOF LEFT JOIN a ON g.clip = a.clip AND g.t >= a.st), y AS (SELECT x.*, b.lb FROM x ASOF LEFT JOIN b ON x.clip = b.clip AND x.t >= b.st) SELECT clip, avg((la = lb)::INT) AS agreement FROM y GROUP BY clip")
 def agreement_rate(spark, d):
-    """Share of an hourly grid on which two sources hold the same label."""
+    """Share of an hourly grid, up to the last start in the table, on which two sources hold the same label."""
     from spanloom.operators import intervals as iv
 
     s = spans(spark, d)
-    grid = s.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(719).cast("bigint"))).alias("idx")).withColumn("t", F.col("idx") * 3600.0)
+    hours = F.broadcast(s.agg(F.floor(F.max("st") / 3600).alias("last")))  # one row
+    grid = s.select("clip").distinct().crossJoin(hours).select("clip", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("idx")).withColumn("t", F.col("idx") * 3600.0)
     a = s.filter(F.col("label").isin("view", "click")).select("clip", "idx", "st", "label")
     b = s.filter(F.col("label").isin("purchase", "error")).select("clip", "idx", "st", F.when(F.col("label") == "purchase", "click").otherwise("view").alias("label"))
     both = iv.asof(iv.asof(grid, a, "st", ["label"], prefix="a_"), b, "st", ["label"], prefix="b_")

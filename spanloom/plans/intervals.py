@@ -20,12 +20,12 @@ def _kind(spark, d, label):
 
 @query(f"WITH {SPANS} SELECT clip, idx, st, en FROM spans WHERE en > 86400 AND st < 172800")
 def overlap_slice(spark, d):
-    return spans(spark, d).filter((F.col("en") > 86400) & (F.col("st") < 172800)).select("clip", "idx", "st", "en")
+    return spans(spark, d, before=172800).filter("en > 86400").select("clip", "idx", "st", "en")
 
 
 @query(f"WITH {SPANS} SELECT clip, idx, greatest(0.0::double, st - 86400) AS st, greatest(0.0::double, en - 86400) AS en FROM spans WHERE en > 86400 AND st < 172800")
 def slice_rebase(spark, d):
-    s = spans(spark, d).filter((F.col("en") > 86400) & (F.col("st") < 172800))
+    s = spans(spark, d, before=172800).filter("en > 86400")
     return s.select("clip", "idx", *[F.greatest(F.lit(0.0), F.col(c) - 86400).alias(c) for c in ("st", "en")])
 
 
@@ -49,11 +49,13 @@ def wide_gap_ranges(spark, d):
     return iv.merge_close(spans(spark, d), 1200.0).select("clip", (F.col("st") - 60).alias("st"), (F.col("en") + 60).alias("en"))
 
 
-@query(f"""WITH {SPANS}, e AS (SELECT clip, greatest(st, 0) AS st, least(en, 2592000) AS en FROM spans WHERE st < 2592000), r AS (SELECT *, max(en) OVER (PARTITION BY clip ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
-all_gaps AS (SELECT clip, coalesce(reach, 0) AS st, st AS en FROM r WHERE st > coalesce(reach, 0) UNION ALL SELECT clip, max(en), 2592000 FROM e GROUP BY clip) SELECT clip, st, en FROM all_gaps WHERE en - st > 3600""")
+@query(f"""WITH {SPANS}, h AS (SELECT max(en) AS hi FROM spans), e AS (SELECT clip, greatest(st, 0) AS st, en FROM spans), r AS (SELECT *, max(en) OVER (PARTITION BY clip ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+all_gaps AS (SELECT clip, coalesce(reach, 0) AS st, st AS en FROM r WHERE st > coalesce(reach, 0) UNION ALL SELECT clip, max(en), (SELECT hi FROM h) FROM e GROUP BY clip) SELECT clip, st, en FROM all_gaps WHERE en - st > 3600""")
 def interval_complement(spark, d):
+    """What no span of a clip covers, from zero to the last end in the table."""
     s = spans(spark, d)
-    scope = s.select("clip").distinct().select("clip", F.lit(0.0).alias("lo"), F.lit(2592000.0).alias("hi"))
+    hi = s.agg(F.max("en").alias("hi"))
+    scope = s.select("clip").distinct().crossJoin(F.broadcast(hi)).select("clip", F.lit(0.0).alias("lo"), "hi")  # one row beside each clip
     return iv.complement(s, scope, 3600.0)
 
 
@@ -157,11 +159,12 @@ def cumulative_timeline(spark, d):
 
 
 @query(f"""WITH {SPANS}, m AS (SELECT clip, idx, st, en - st AS dur FROM spans WHERE label = 'click'), k AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o0, sum(dur) OVER (PARTITION BY clip ORDER BY idx ROWS UNBOUNDED PRECEDING) AS o1 FROM m),
-q AS (SELECT clip, unnest(range(0, 40)) * 250.0::double AS t FROM (SELECT DISTINCT clip FROM m)) SELECT q.clip, q.t, k.st + (q.t - k.o0) AS source_t FROM q JOIN k ON q.clip = k.clip AND q.t >= k.o0 AND q.t < k.o1""")
+q AS (SELECT clip, unnest(range(0, ceil(max(o1) / 250)::BIGINT)) * 250.0::double AS t FROM k GROUP BY clip) SELECT q.clip, q.t, k.st + (q.t - k.o0) AS source_t FROM q JOIN k ON q.clip = k.clip AND q.t >= k.o0 AND q.t < k.o1""")
 def timeline_remap(spark, d):
-    """Clip times, a grid of 40, carried back to source times through the kept parts."""
+    """Clip times, a grid over each clip's whole length, carried back to source times through the kept parts."""
     keeps = sq.cumulative_timeline(_kind(spark, d, "click").select("clip", "idx", "st", "en"), keep=["st"])
-    grid = keeps.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select("clip", (F.col("i") * 250.0).alias("t"))
+    last = F.ceil(F.max("out_en") / 250) - 1
+    grid = keeps.groupBy("clip").agg(F.greatest(F.lit(0), last).alias("last")).select("clip", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i")).select("clip", (F.col("i") * 250.0).alias("t"))
     key = iv.bucketed(keeps, WIDTH, "out_st", "out_en").alias("k")
     q = grid.withColumn("bucket", F.floor(F.col("t") / WIDTH)).alias("q")
     on = (F.col("q.clip") == F.col("k.clip")) & (F.col("q.bucket") == F.col("k.bucket")) & (F.col("q.t") >= F.col("k.out_st")) & (F.col("q.t") < F.col("k.out_en"))

@@ -33,10 +33,10 @@ def shingle_source_match(spark, d):
     return mt.source_match(table(spark, d, "benchmark").select(F.col("item_id"), "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
-@query(f"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split({PLAIN}, ' '), lambda x: length(x) > 2)) AS w FROM benchmark), p AS (SELECT a.item_id, b.item_id AS other, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM t a JOIN t b ON a.item_id <> b.item_id WHERE len(a.w) > 0 AND len(b.w) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other DESC) AS rank FROM p WHERE sim > 0) SELECT item_id, other, sim, rank FROM r WHERE rank <= 3""")
+@query(f"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split({PLAIN}, ' '), lambda x: length(x) > 2)) AS w FROM benchmark), p AS (SELECT a.item_id, b.item_id AS other, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM t a JOIN t b ON a.item_id <> b.item_id WHERE len(a.w) > 0 AND len(b.w) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other DESC) AS rank FROM p WHERE sim >= 0.05) SELECT item_id, other, sim, rank FROM r WHERE rank <= 3""")
 def jaccard_topn(spark, d):
-    """Three most similar texts by shared tokens; pairs come from a token join, so texts without a common token never meet."""
-    return mt.similar_by_tokens(table(spark, d, "benchmark"), "item_id", "text", 3)
+    """The three most similar texts by shared tokens, of those that share a twentieth at least."""
+    return mt.similar_by_tokens(table(spark, d, "benchmark"), "item_id", "text", 3, 0.05)
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)^(red|blue)') THEN 'colour' WHEN regexp_matches(p_name, 'ring$') THEN 'ring' WHEN regexp_matches(p_name, 'small|large') THEN 'size' ELSE 'other' END AS pattern FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +36,59 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], dry_run: bool = True) -> DataFrame:
-    """The table at path with new's rows in place of those of the same keys. Versions are written side by side and the newest is
-    read, so a reader never meets half a write and a lost job leaves the old one in place."""
+PARTS = 256  # key-hash parts of an upserted table
+
+
+def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], dry_run: bool = True, batch: int | None = None) -> DataFrame:
+    """The table at path with new's rows in place of those of the same keys.
+
+    Rows lie in ``PARTS`` parts by a hash of their keys, and each write makes a new version v<N> of the parts that it touches alone; a part is read
+    from its newest finished version, so a reader never meets half a write and a lost job leaves the old one in place. A batch number that is
+    already among the versions is not written again."""
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+    done = versions(spark, path)
+    last = max((v for v, _ in done), default=0)
+    if batch is not None and not dry_run and any(b == batch for _, b in done):
+        return current(spark, path, done)
+    add = new.dropDuplicates(keys).withColumn("_part", part)
+    touched = [r["_part"] for r in add.select("_part").distinct().collect()]  # PARTS numbers at most
+    old = current(spark, path, done, touched)
+    merged = upserted(old, add.drop("_part"), keys) if old is not None else add.drop("_part")
+    if dry_run:
+        rest = current(spark, path, done, [p for p in range(PARTS) if p not in touched])
+        return merged if rest is None else merged.unionByName(rest, allowMissingColumns=True)
+    name = f"v{last + 1}" if batch is None else f"v{last + 1}-b{batch}"
+    merged.withColumn("_part", part).write.partitionBy("_part").mode("errorifexists").parquet(f"{path}/{name}")
+    return current(spark, path, versions(spark, path))
+
+
+def folders(spark: SparkSession, path: str) -> list:
+    """The entries of a folder as Hadoop paths; none if it isn't there."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    version = latest_version(spark, path)
-    old = spark.read.parquet(f"{path}/v{version}") if version else new.limit(0)
-    merged = upserted(old, new.dropDuplicates(keys), keys)
-    if dry_run:
-        return merged
-    fs.mkdirs(root)
-    merged.write.mode("errorifexists").parquet(f"{path}/v{version + 1}")
-    return spark.read.parquet(f"{path}/v{version + 1}")
+    return [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, int | None]]:
+    """(version, batch) of every finished write below path, in order."""
+    found = []
+    for p in folders(spark, path):
+        m = re.fullmatch(r"v(\d+)(?:-b(-?\d+))?", p.getName())
+        if m and any(x.getName() == "_SUCCESS" for x in folders(spark, str(p))):
+            found.append((int(m[1]), int(m[2]) if m[2] else None))
+    return sorted(found)
+
+
+def current(spark: SparkSession, path: str, done: list[tuple[int, int | None]], parts: list[int] | None = None) -> DataFrame | None:
+    """The rows of each part's newest version, of some parts or all; None if there are none."""
+    newest: dict[int, str] = {}
+    for v, b in done:
+        root = f"{path}/v{v}" if b is None else f"{path}/v{v}-b{b}"
+        for p in folders(spark, root):
+            if p.getName().startswith("_part="):
+                newest[int(p.getName()[6:])] = str(p)
+    chosen = [u for p, u in sorted(newest.items()) if parts is None or p in parts]
+    return spark.read.option("mergeSchema", "true").parquet(*chosen) if chosen else None
 
 
 def latest_version(spark: SparkSession, path: str) -> int:
@@ -63,3 +105,8 @@ def latest_version(spark: SparkSession, path: str) -> int:
 def contract(declared: Column, observed: Column) -> Column:
     """Declared fields beside observed ones, as JSON."""
     return F.to_json(F.struct(declared.alias("declared"), observed.alias("observed")))
+
+
+def log_rows(rows: DataFrame, path: str, stage: str) -> None:
+    """Appends rows to a JSON log, each with the time and the stage that wrote it."""
+    rows.withColumns({"ts": F.unix_timestamp().cast("double"), "stage": F.lit(stage)}).write.mode("append").json(path)

@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, before: float | None = None) -> DataFrame:
+    """Spans, or only those that start before a second, a bound that reaches the scan."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    if before is not None:
+        ev = ev.filter(F.col("ts") < F.timestamp_micros(F.lit(EPOCH_US + int(before * 1e6))).cast(ev.schema["ts"].dataType))
     st = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_US)) / F.lit(1e6)
     return ev.select(F.col("user_id").alias("clip"), F.col("event_id").alias("idx"), st.alias("st"), (st + F.col("value") * 60).alias("en"), F.col("event_type").alias("label"), "value")
 

@@ -27,29 +27,43 @@ def first_seen(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFr
 
 
 def debounced(events: DataFrame, key: str, ts: str, least_s: float, late: str) -> DataFrame:
-    """Events more than ``least_s`` after the last kept one of their key. The state is that one time."""
+    """Events more than ``least_s`` after the last kept one of their key, in order of their time: events wait until the watermark has passed them, so
+    results don't depend on how they come in. The state is the waiting times and the last kept one, and goes when none waits and
+    ``least_s`` has passed."""
     kind = events.schema[key].dataType.simpleString()
 
     def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else float("-inf")
+        last, waiting = state.get if state.exists else (float("-inf"), [])
+        waiting = sorted([*waiting, *(x for b in batches for x in b["t"])])
+        now = state.getCurrentWatermarkMs() / 1000
         out = []
-        for t in sorted(x for b in batches for x in b["t"]):
+        while waiting and waiting[0] <= now:
+            t = waiting.pop(0)
             if t - last > least_s:
                 last = t
                 out.append(t)
-        state.update((last,))
+        if waiting or now < last + least_s:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(int(max(1000 * (waiting[0] if waiting else last + least_s), 1000 * now)) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({key: [k[0]] * len(out), "t": out})
 
-    e = events.withWatermark(ts, late).select(key, F.unix_micros(F.col(ts)).cast("double").alias("us")).select(key, (F.col("us") / 1e6).alias("t"))
-    return e.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, t double", "last double", "append", GroupStateTimeout.NoTimeout)
+    e = events.withWatermark(ts, late).select(key, ts, (F.unix_micros(F.col(ts)).cast("double") / 1e6).alias("t"))
+    return e.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, t double", "last double, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def anchored(events: DataFrame, key: str, ts: str, width_s: float, late: str) -> DataFrame:
+    """Windows that open with a key's first event more than ``width_s`` after the start of the one before: key and start."""
+    return debounced(events, key, ts, width_s, late).withColumnRenamed("t", "st")
 
 
 def upserting(path: str, keys: list[str]):
-    """A foreachBatch function that merges each batch into the versioned table at path."""
+    """A foreachBatch function that merges each batch, once, into the versioned table at path."""
 
-    def merge(batch: DataFrame, _id: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         from spanloom.sources.sinks import upsert
 
-        upsert(batch.sparkSession, batch, path, keys, dry_run=False)
+        upsert(batch.sparkSession, batch, path, keys, dry_run=False, batch=number)  # a batch that comes again changes nothing
 
     return merge

@@ -77,20 +77,72 @@ def test_upsert_versions(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     sk.upsert(spark, a, path, ["k"], dry_run=False)
-    got = sk.upsert(spark, spark.createDataFrame([(2, "B"), (3, "c")], "k long, v string"), path, ["k"], dry_run=False)
-    assert sorted(r[:] for r in got.collect()) == [(1, "a"), (2, "B"), (3, "c")]
+    new = spark.createDataFrame([(2, "B"), (3, "c")], "k long, v string")
+    want = [(1, "a"), (2, "B"), (3, "c")]
+    assert sorted((r["k"], r["v"]) for r in sk.upsert(spark, new, path, ["k"]).collect()) == want  # tried without writing
+    assert sk.latest_version(spark, path) == 1
+    got = sk.upsert(spark, new, path, ["k"], dry_run=False)
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == want
     assert sk.latest_version(spark, path) == 2
+    parts = {p.name for p in (tmp_path / "t" / "v2").iterdir() if p.name.startswith("_part=")}
+    assert 1 <= len(parts) <= 2  # only what the new rows touch
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    merge = st.upserting(path, ["k"])
+    one = spark.createDataFrame([(1, "a")], "k long, v string")
+    merge(one, 0)
+    merge(spark.createDataFrame([(1, "z"), (2, "b")], "k long, v string"), 1)
+    merge(one, 0)
+    assert sorted((r["k"], r["v"]) for r in sk.current(spark, path, sk.versions(spark, path)).collect()) == [(1, "z"), (2, "b")]
+
+
+def test_log_rows_and_new_files(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "k long")
+    for i in range(2):
+        sk.log_rows(df, f"{tmp_path}/log", f"s{i}")
+    assert sorted(r["stage"] for r in spark.read.json(f"{tmp_path}/log").collect()) == ["s0", "s1"]
+    sk.write_new(df, f"{tmp_path}/new")
+    try:
+        sk.write_new(df, f"{tmp_path}/new")
+        raise AssertionError("an existing table was written again")
+    except Exception as e:
+        assert "PATH_ALREADY_EXISTS" in str(e)
+    r = df.select(sk.contract(F.col("k"), F.col("k") + 1).alias("c")).first()["c"]
+    assert r == '{"declared":1,"observed":2}'
 
 
 def test_streams_match_batch(spark, tmp_path):
-    rows = [(1, 0), (1, 5), (1, 30), (2, 3)]
-    df = spark.createDataFrame(rows, "k long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    rows = [(1, 0), (1, 5), (1, 30), (2, 3), (3, 1000)]
+    df = spark.createDataFrame(rows, "k long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 10000))
     df.write.parquet(f"{tmp_path}/in")
     src = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    for i, (stream, want) in enumerate([(st.debounced(src, "k", "ts", 6.0, "1 minute"), 3), (st.first_seen(src, ["k"], "ts", "1 minute"), 2)]):
+    for i, (stream, want) in enumerate([(st.debounced(src, "k", "ts", 6.0, "1 minute"), [(1, 10000.0), (1, 10030.0), (2, 10003.0)]), (st.first_seen(src, ["k"], "ts", "1 minute").select("k", F.lit(0).alias("t")), [(1, 0), (2, 0), (3, 0)]), (st.anchored(src, "k", "ts", 20.0, "1 minute"), [(1, 10000.0), (1, 10030.0), (2, 10003.0)])]):
         q = stream.writeStream.format("memory").queryName(f"out{i}").option("checkpointLocation", f"{tmp_path}/c{i}").trigger(availableNow=True).start()
         q.awaitTermination(120)
-        assert spark.table(f"out{i}").count() == want
+        assert sorted(r[:] for r in spark.table(f"out{i}").collect()) == want
     q = st.session_counts(src, "k", "ts", "10 seconds", "1 second").writeStream.format("memory").outputMode("complete").queryName("sess").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted(r["n"] for r in spark.table("sess").collect()) == [1, 1, 2]
+    assert sorted(r["n"] for r in spark.table("sess").collect()) == [1, 1, 1, 2]
+    levels = st.tumbling_levels(src, "k", "ts", "s", "10 seconds", "1 second").writeStream.format("memory").outputMode("complete").queryName("lev").option("checkpointLocation", f"{tmp_path}/l").trigger(availableNow=True).start()
+    levels.awaitTermination(120)
+    assert sorted((r["k"], r["level"], r["n"]) for r in spark.table("lev").collect()) == [(1, 2.5, 2), (1, 30.0, 1), (2, 3.0, 1), (3, 1000.0, 1)]
+
+
+def test_debounce_does_not_depend_on_how_rows_come_in(spark, tmp_path):
+    """Late rows within the watermark, over several batches."""
+    times = [[10, 40], [0, 5], [44, 47], [1000]]
+    for i, part in enumerate(times):
+        d = spark.createDataFrame([(1, s) for s in part], "k long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 10000)).coalesce(1)
+        d.write.mode("append").parquet(f"{tmp_path}/in{i}")
+        schema = d.schema
+    (tmp_path / "all").mkdir()
+    q = None
+    for i in range(len(times)):
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            f.rename(tmp_path / "all" / f"{i}-{f.name}")
+        src = spark.readStream.schema(schema).parquet(f"{tmp_path}/all")
+        q = st.debounced(src, "k", "ts", 6.0, "2 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(r["t"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [10000.0, 10010.0, 10040.0, 10047.0]
