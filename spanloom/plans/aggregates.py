@@ -219,11 +219,13 @@ def argmax_first_wins(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-F.col("p_size"), "p_partkey")).alias("best"))
 
 
-@query(None)
+@query("WITH p AS (SELECT p_brand, p_partkey, CASE WHEN p_size > 20 AND p_partkey % 3 > 0 THEN 0 WHEN p_size > 20 THEN 1 ELSE 2 END AS tier, (p_partkey * 2654435761 + 42) % 1000003 AS draw FROM part) SELECT p_brand, min_by(p_partkey, (tier, draw, p_partkey)) AS chosen, min(tier)::BIGINT AS tier FROM p GROUP BY p_brand")
 def seeded_choice(spark, d):
-    """One part a brand, chosen by a seeded hash: the same on every run and every cluster."""
-    p = table(spark, d, "part").select("p_brand", "p_partkey")
-    return p.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.xxhash64(F.lit(42), "p_partkey"), "p_partkey")).alias("chosen"))
+    """One part a brand, drawn by a seeded hash, the same on every run and cluster: from those unused and viable, else viable, else any."""
+    k = F.col("p_partkey")
+    tier = F.when((F.col("p_size") > 20) & (k % 3 > 0), 0).when(F.col("p_size") > 20, 1).otherwise(2)
+    p = table(spark, d, "part").select("p_brand", "p_partkey", tier.cast("long").alias("tier"), ((k * 2654435761 + 42) % 1000003).alias("draw"))
+    return p.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("tier", "draw", "p_partkey")).alias("chosen"), F.min("tier").alias("tier"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

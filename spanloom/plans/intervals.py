@@ -84,13 +84,17 @@ def overlap_ratio(spark, d):
     return got.select("clip", "idx", (F.col("covered") / (F.col("a_en") - F.col("a_st"))).alias("ratio")).filter("ratio > 0.65D")
 
 
-@query(f"WITH {SPANS}, a AS (SELECT clip, label, sum(en - st) AS total FROM spans WHERE label IN ('error', 'purchase') GROUP BY ALL), o AS (SELECT x.clip, x.label, sum(greatest(0, least(x.en, y.en) - greatest(x.st, y.st))) AS white FROM spans x JOIN spans y ON x.clip = y.clip AND x.st < y.en AND y.st < x.en WHERE x.label IN ('error', 'purchase') AND y.label = 'view' GROUP BY ALL) SELECT a.clip, a.label, coalesce(o.white, 0) / a.total AS share, coalesce(o.white, 0) / a.total > 0.45::double AS flagged FROM a LEFT JOIN o ON a.clip = o.clip AND a.label = o.label")
+@query(f"WITH {SPANS}, a AS (SELECT clip, label, sum(en - st) AS total FROM spans WHERE label IN ('error', 'purchase') GROUP BY ALL), o AS (SELECT x.clip, x.label, sum(greatest(0, least(x.en, y.en) - greatest(x.st, y.st))) AS white FROM spans x JOIN spans y ON x.clip = y.clip AND x.st < y.en AND y.st < x.en WHERE x.label IN ('error', 'purchase') AND y.label = 'view' GROUP BY ALL), m AS (SELECT clip, median(value) AS mid FROM spans WHERE label = 'view' GROUP BY clip) SELECT a.clip, CASE a.label WHEN 'error' THEN 'guest' ELSE 'host' END AS speaker, coalesce(o.white, 0) / a.total AS share, m.mid, CASE WHEN coalesce(o.white, 0) / a.total > 0.45::double THEN 'colour' WHEN m.mid > 60 THEN 'place' ELSE 'pass' END AS verdict FROM a LEFT JOIN o ON a.clip = o.clip AND a.label = o.label LEFT JOIN m ON m.clip = a.clip")
 def overlap_share_audit(spark, d):
-    who = spans(spark, d).filter(F.col("label").isin("error", "purchase"))
+    """How much of each speaker's time lies under cues of another's colour, and where cues stand (the median); a named verdict each."""
+    s = spans(spark, d)
+    who = s.filter(F.col("label").isin("error", "purchase"))
     total = who.groupBy("clip", "label").agg(F.sum(F.col("en") - F.col("st")).alias("total"))
     white = iv.overlap_pairs(who, _kind(spark, d, "view"), WIDTH).groupBy("clip", F.col("a_label").alias("label")).agg(F.sum(F.greatest(F.lit(0.0), F.least("a_en", "b_en") - F.greatest("a_st", "b_st"))).alias("white"))
+    mid = s.filter("label = 'view'").groupBy("clip").agg(F.median("value").alias("mid"))
     share = F.try_divide(F.coalesce("white", F.lit(0.0)), F.col("total"))
-    return total.join(white, ["clip", "label"], "left").select("clip", "label", share.alias("share"), (share > 0.45).alias("flagged"))
+    verdict = F.when(share > 0.45, "colour").when(F.col("mid") > 60, "place").otherwise("pass")
+    return total.join(white, ["clip", "label"], "left").join(mid, "clip", "left").select("clip", F.when(F.col("label") == "error", "guest").otherwise("host").alias("speaker"), share.alias("share"), "mid", verdict.alias("verdict"))
 
 
 @query(f"WITH {SPANS}, p AS (SELECT clip, idx, (st + en) / 2 AS t FROM spans WHERE label = 'error'), c AS (SELECT clip, st - 30 AS lo, en + 30 AS hi FROM spans WHERE label = 'view') SELECT clip, idx, t FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.clip = p.clip AND p.t >= c.lo AND p.t <= c.hi)")

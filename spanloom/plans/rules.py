@@ -194,17 +194,31 @@ def window_rules(spark, d):
     return g.select("clip", "idx", F.explode(found).alias("x")).select("clip", "idx", "x.rule", "x.severity")
 
 
-@query("WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 'has_error' WHEN value < 1 THEN 'too_short' WHEN value > 180 THEN 'too_long' WHEN event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'posted' ELSE 'ok' END AS reason FROM events) SELECT reason, count(*) AS n FROM e GROUP BY reason")
+@query("WITH e AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 0 ELSE value END AS dur FROM events), r AS (SELECT CASE WHEN event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'posted' WHEN dur > 0 AND dur < 10 THEN 'too_short' WHEN dur > 180 THEN 'too_long' WHEN event_type = 'error' THEN 'no_audio' ELSE 'ok' END AS reason FROM e) SELECT reason, count(*) AS n FROM r GROUP BY reason")
 def eligibility(spark, d):
-    """Why rows are skipped, counted by reason."""
+    """Why rows are skipped, counted by reason: posted already, shorter than 10 s or longer than 180 s (an unknown length, 0, passes), or without sound."""
     from spanloom.sources.tables import table
 
     posted = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"), F.lit(True).alias("posted"))
-    e = table(spark, d, "events").select("event_id", "event_type", "value").join(posted, "event_id", "left")
-    why = F.when(F.col("event_type") == "error", "has_error").when(F.col("value") < 1, "too_short").when(F.col("value") > 180, "too_long").when(F.col("posted"), "posted").otherwise("ok")
+    dur = F.when(F.col("event_id") % 13 == 0, 0.0).otherwise(F.col("value")).alias("dur")
+    e = table(spark, d, "events").select("event_id", "event_type", dur).join(posted, "event_id", "left")
+    why = F.when(F.col("posted"), "posted").when((F.col("dur") > 0) & (F.col("dur") < 10), "too_short").when(F.col("dur") > 180, "too_long").when(F.col("event_type") == "error", "no_audio").otherwise("ok")
     return e.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("WITH b AS (SELECT user_id, greatest(0, 30 - count(*) FILTER (event_type = 'purchase'))::BIGINT AS room FROM events GROUP BY user_id), e AS (SELECT e.user_id, event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY value DESC, event_id) AS r FROM events e WHERE event_type NOT IN ('error', 'purchase') AND value BETWEEN 10 AND 180 AND event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT e.user_id, event_id, r AS slot, room - r AS left_over FROM e JOIN b ON b.user_id = e.user_id WHERE r <= room")
+def queue_plan(spark, d):
+    """Each key's queue filled up to its budget with the best eligible rows that the ledger lacks, and what is left of the budget after each."""
+    from spanloom.sources.tables import table
+
+    ev = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    room = ev.groupBy("user_id").agg(F.greatest(F.lit(0).cast("long"), 30 - F.count_if(F.col("event_type") == "purchase")).alias("room"))
+    posted = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    e = ev.filter("event_type not in ('error', 'purchase') and value between 10 and 180").join(posted, "event_id", "left_anti")
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).cast("long")
+    return e.withColumn("slot", r).filter("slot <= 30").join(room, "user_id").filter("slot <= room").select("user_id", "event_id", "slot", (F.col("room") - F.col("slot")).alias("left_over"))
+
+
 @query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE event_type <> 'error' AND value BETWEEN 10 AND 180 AND event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT user_id, event_id, r AS slot FROM e WHERE r <= 3")
 def queue_fill(spark, d):
     """Eligible rows not in the ledger, three a key by value."""

@@ -37,6 +37,27 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return j.select("file", F.posexplode("j.segments").alias("idx", "s")).select("file", "idx", F.col("s.start").alias("st"), F.col("s.end").alias("en"), "s.text", "s.speaker", "s.words")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, idx, st, en, text of transcripts in lines: segments of a JSON file, its text as one line where it has none, or the lines of a plain
+    file, blank ones dropped."""
+    raw = _whole(spark, path)
+    json = F.ltrim("body").startswith("{")
+    j = raw.filter(json).select("file", F.from_json("body", f"segments array<struct<start:double,`end`:double,text:string>>, transcript array<struct<start:double,`end`:double,text:string>>, text string").alias("j"))
+    rows = F.coalesce(F.when(F.size("j.segments") > 0, F.col("j.segments")), F.when(F.size("j.transcript") > 0, F.col("j.transcript")), F.array(F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.col("j.text").alias("text"))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    deep = j.select("file", F.posexplode(rows).alias("idx", "s")).filter("s.text is not null").select("file", "idx", zero(F.col("s.start")).alias("st"), zero(F.col("s.end")).alias("en"), F.trim("s.text").alias("text"))
+    kept = F.filter(F.transform(F.split("body", "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    flat = raw.filter(~json).select("file", F.posexplode(kept).alias("idx", "text")).select("file", "idx", F.lit(0.0).alias("st"), F.lit(0.0).alias("en"), "text")
+    return deep.unionByName(flat)
+
+
+def timestamped(lines: DataFrame, key: str = "file") -> DataFrame:
+    """key, text: a file's lines as one text, ``[MM:SS-MM:SS] text`` each; lines without times as they are."""
+    timed = F.concat(F.lit("["), tc.clock("st"), F.lit("-"), tc.clock("en"), F.lit("] "), "text")
+    line = F.when((F.col("st") == 0) & (F.col("en") == 0), F.col("text")).otherwise(timed)
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+
+
 def read_chunk_specs(spark: SparkSession, path: str) -> DataFrame:
     """file, idx, slug, in_s, out_s of cut specifications; a missing slug becomes clip_<i>."""
     item = "struct<slug:string,`in`:double,`out`:double>"
@@ -49,6 +70,13 @@ def provider_words(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in ("start", "end", "text")], F.col("text").alias("word"), (F.col("start") / 1000.0).alias("st"), (F.col("end") / 1000.0).alias("en"))
 
 
+def evidence(words: DataFrame, keys: list[str], expected: str) -> DataFrame:
+    """keys, n, status: FULL where a provider's words reach the expected end of the recording, PARTIAL where they stop short or have no times."""
+    end = F.max("en")
+    full = (end >= F.first(expected) - 1.0) & (F.count_if(F.col("st").isNull()) == 0)
+    return words.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.coalesce(full, F.lit(False)), "FULL").otherwise("PARTIAL").alias("status"))
+
+
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """file, idx, st, en, text of SubRip files, tags stripped."""
     blocks = _whole(spark, path).select("file", F.posexplode(F.split(F.trim(F.regexp_replace("body", "\r\n?", "\n")), r"\n\s*\n")).alias("idx", "b"))
@@ -58,12 +86,19 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ass(spark: SparkSession, path: str) -> DataFrame:
-    """file, idx, st, en, style, text, colour, is_shadow, anchor_y of Advanced SubStation files. A dialogue line has ten fields, the
-    last of which may hold commas; colours come from inline overrides, else from the style."""
-    lines = _whole(spark, path).select("file", F.posexplode(F.split("body", "\r\n|\r|\n")).alias("idx", "line"))
-    style = lines.filter(F.col("line").startswith("Style:")).select("file", F.split(F.regexp_replace("line", r"^Style:\s*", ""), ",").alias("f")).select("file", F.trim(F.col("f")[0]).alias("style"), F.trim(F.col("f")[3]).alias("primary"))
-    d = lines.filter(F.col("line").startswith("Dialogue:")).select("file", "idx", F.split(F.regexp_replace("line", r"^Dialogue:\s*", ""), ",", 10).alias("f")).filter(F.size("f") == 10)
-    d = d.select("file", "idx", tc.seconds(F.col("f")[1]).alias("st"), tc.seconds(F.col("f")[2]).alias("en"), F.trim(F.col("f")[3]).alias("style"), F.col("f")[9].alias("raw"))
+    """file, idx, st, en, style, text, colour, is_shadow, anchor_y of Advanced SubStation files. Fields lie where the section's Format line has them,
+    the last of which may hold commas; colours come from inline overrides, else from the style."""
+    body = _whole(spark, path)
+    names = lambda section: F.transform(F.split(F.regexp_extract("body", rf"(?s)\[{section}\].*?Format:\s*([^\r\n]*)", 1), ","), lambda x: F.lower(F.trim(x)))
+    lines = body.select("file", names("V4\\+ Styles").alias("sf"), names("Events").alias("ef"), F.posexplode(F.split("body", "\r\n|\r|\n")).alias("idx", "line"))
+    # a field's place is that of its name in the section's Format line, or the usual one
+    place = lambda fmt, name, usual: F.when(F.array_contains(fmt, name), F.array_position(fmt, name).cast("int") - 1).otherwise(usual)
+    field = lambda fmt, name, usual: F.trim(F.get("f", place(fmt, name, usual)))
+    style = lines.filter(F.col("line").startswith("Style:")).withColumn("f", F.split(F.regexp_replace("line", r"^Style:\s*", ""), ",")).select("file", field("sf", "name", 0).alias("style"), field("sf", "primarycolour", 3).alias("primary"))
+    n = F.when(F.size("ef") > 1, F.size("ef")).otherwise(10)
+    d = lines.filter(F.col("line").startswith("Dialogue:")).withColumn("parts", F.split(F.regexp_replace("line", r"^Dialogue:\s*", ""), ",")).withColumn("n", n).filter("size(parts) >= n")
+    d = d.withColumn("f", F.concat(F.slice("parts", F.lit(1), F.col("n") - 1), F.array(F.array_join(F.slice("parts", F.col("n"), F.size("parts")), ","))))  # the last field may hold commas
+    d = d.select("file", "idx", tc.seconds(field("ef", "start", 1)).alias("st"), tc.seconds(field("ef", "end", 2)).alias("en"), field("ef", "style", 3).alias("style"), F.get("f", F.col("n") - 1).alias("raw"))
     inline = F.regexp_extract_all("raw", F.lit(r"\\1?c&H([0-9A-Fa-f]+)&"), F.lit(1))
     j = d.join(style.dropDuplicates(["file", "style"]), ["file", "style"], "left").withColumn("inline", inline)
     seen = F.coalesce(F.try_element_at(F.filter("inline", lambda c: tc.rgb(c) != "000000"), F.lit(1)), F.col("primary"))
@@ -120,8 +155,9 @@ def read_studio_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     number = lambda h: F.regexp_replace(F.col(f"`{h}`"), r"[^0-9.\-]", "").try_cast("double") if h else F.lit(None).cast("double")
     ident, views, subs = find_column(raw.columns, "content"), find_column(raw.columns, "views"), find_column(raw.columns, "subscribers")
-    ctr = find_column(raw.columns, "impressions", "click")
-    out = raw.select(F.col(f"`{ident}`").alias("video_id"), number(views).alias("views"), number(subs).alias("subs"), number(ctr).alias("ctr"))
+    ctr, money, length = find_column(raw.columns, "impressions", "click"), find_column(raw.columns, "revenue"), find_column(raw.columns, "average", "duration")
+    held = tc.seconds(F.col(f"`{length}`")) if length else F.lit(None).cast("double")
+    out = raw.select(F.col(f"`{ident}`").alias("video_id"), number(views).alias("views"), number(subs).alias("subs"), number(ctr).alias("ctr"), number(money).alias("revenue"), held.alias("view_s"))
     return out.filter(F.col("video_id").rlike("^[A-Za-z0-9_-]{11}$")).withColumn("subs_per_1k", F.round(F.try_divide("subs", "views") * 1000, 2))
 
 
@@ -138,6 +174,30 @@ def read_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return f.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), "length", "modified")
 
 
+def eligible(listing: DataFrame, posted: DataFrame, exts: list[str], least: int = 1) -> DataFrame:
+    """A listing with why each file is left out: its extension, its size, or that it is in ``posted`` (name); ``ok`` otherwise. (Spark's listing leaves out empty files itself.)"""
+    known = posted.select("name", F.lit(True).alias("posted")).distinct()
+    reason = F.when(~F.col("ext").isin(exts), "extension").when(F.col("length") < least, "small").when(F.col("posted"), "posted").otherwise("ok")
+    return listing.join(known, "name", "left").withColumn("reason", reason).drop("posted")
+
+
+def pools(listing: DataFrame) -> DataFrame:
+    """category, names: the files of each folder, sorted by name; one row a folder."""
+    return listing.groupBy(F.element_at(F.split("path", "/"), -2).alias("category")).agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def contracts(clips: DataFrame, listing: DataFrame, name: str, up: int = 4) -> DataFrame:
+    """clips (path) with the contract file of that name next to each or in the nearest of up to ``up`` folders above it; null without one."""
+    folder = lambda p: F.regexp_replace(p, "/[^/]*$", "")
+    there = listing.filter(F.col("name") == name).select(folder(F.col("path")).alias("dir"), F.col("path").alias("contract"))
+    steps, d = [], folder(F.col("path"))
+    for i in range(up + 1):
+        steps.append(F.struct(F.lit(i).alias("up"), d.alias("dir")))
+        d = folder(d)
+    each = clips.select("path", F.explode(F.array(*steps)).alias("s")).select("path", "s.up", "s.dir").join(there, "dir")
+    return clips.join(each.groupBy("path").agg(F.min_by("contract", "up").alias("contract")), "path", "left")
+
+
 def newest(listing: DataFrame, *keys: str) -> DataFrame:
     """The newest file of each key (of all without keys)."""
     return listing.groupBy(*keys).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
@@ -155,6 +215,12 @@ def paired_times(lines: DataFrame, start: str, end: str, group: list[str], order
     return marks(start, "st").join(marks(end, "en"), [*group, "i"]).select(*group, "st", "en")
 
 
+def marked_times(lines: DataFrame, mark: str, group: list[str], line: str = "value") -> DataFrame:
+    """t of every mark such as ``pts_time:12.3`` in a tool's log."""
+    t = F.regexp_extract(line, mark + r"[:=]\s*(-?[\d.]+)", 1).try_cast("double")
+    return lines.select(*group, t.alias("t")).filter("t is not null")
+
+
 def probe(df: DataFrame, col: str = "body") -> DataFrame:
     """Typed fields of a media probe's JSON; a frame rate num/den is divided and rounded to three places."""
     shape = "streams array<struct<codec_type:string,width:int,height:int,r_frame_rate:string>>, format struct<duration:string,size:string>"
@@ -166,6 +232,9 @@ def probe(df: DataFrame, col: str = "body") -> DataFrame:
     return j.select(*[c for c in j.columns if c != "j"], v["width"].alias("width"), v["height"].alias("height"), fps.alias("fps"), F.col("j.format.duration").try_cast("double").alias("duration"), audio.alias("has_audio"))
 
 
-def pcm(df: DataFrame, samples: Column, rate: int) -> DataFrame:
-    """A long table (t, v) of sample arrays."""
-    return df.select(*df.columns, F.posexplode(samples).alias("i", "v")).withColumn("t", F.col("i") / rate)
+def pcm(df: DataFrame, samples: Column, rate: int, start: float = 0.0, length: float | None = None) -> DataFrame:
+    """A long table (i, t, v) of sample arrays, from a start in seconds and of a length; only that window is taken apart."""
+    first = int(start * rate)
+    n = F.size(samples) if length is None else F.lit(int(length * rate))
+    window = F.when(F.size(samples) > first, F.slice(samples, F.lit(first + 1), n))
+    return df.select(*df.columns, F.posexplode(window).alias("i", "v")).withColumn("i", F.col("i") + first).withColumn("t", F.col("i") / rate)

@@ -19,6 +19,14 @@ def srt_blocks(cues: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n").alias("body"))
 
 
+def ass_lines(cues: DataFrame, keys: list[str], colours: dict[str, str]) -> DataFrame:
+    """keys and body: dialogue lines of each clip in order of start, coloured by speaker (rgb by name)."""
+    bgr = F.create_map(*[F.lit(x) for name, rgb in colours.items() for x in (name, rgb[4:6] + rgb[2:4] + rgb[0:2])])
+    tag = F.concat(F.lit("{\\1c&H"), F.coalesce(F.try_element_at(bgr, F.col("speaker")), F.lit("FFFFFF")), F.lit("&}"))
+    line = F.concat(F.lit("Dialogue: 0,"), tc.cue_time(F.col("st")), F.lit(","), tc.cue_time(F.col("en")), F.lit(",Main,,0,0,0,,"), tag, F.col("text"))
+    return cues.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("st", "en", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+
+
 def write_srt(cues: DataFrame, path: str, keys: list[str]) -> None:
     """One folder a clip, partitioned by its keys."""
     srt_blocks(cues, keys).write.partitionBy(*keys).mode("errorifexists").text(path)
