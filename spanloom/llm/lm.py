@@ -8,9 +8,11 @@ hits with a chance of 1 % whatever the corpus. Probabilities are mixed with thos
 
     P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),   P(w | v) = MIX c(v w) / c(v) + (1 - MIX) P(w), or P(w) where v is unseen
 
-with counts read from the filter; the base score sums log10 P(w) with exact ones. Filter and counts grow with the corpus, so nothing
-of them is broadcast: texts are dealt into chunks, the distinct words and pairs of each are shuffled to the blocks of their
-groups, and the counts found there go back to the chunk.
+with counts read from the filter; the base score sums log10 P(w) with exact ones. While the filter is no larger than
+``BROADCAST_BYTES``, it is broadcast and texts are scored by a map; exact counts of tokens that make up a share of ``FREQUENT`` of all
+tokens (so 1 / ``FREQUENT`` of them at most) go with it, those of all others are joined. A larger filter stays in its table: texts are dealt
+into chunks, the distinct words and pairs of each are shuffled to the blocks of their groups, and the counts found there go back to
+the chunk. Both ways read the same blocks and give the same scores.
 
 Cases: a null text counts as empty and has its end mark alone; texts may be of any length (read in slices at white space);
 repeated rows are counted and scored each; without training rows every probability is 1; an empty table gives an empty result;
@@ -35,7 +37,9 @@ PROBES = 3
 BITS = 12.5  # bits of a block for each entry: with PROBES, false hits of (1 - exp(-PROBES / BITS)) ** PROBES, or 1 %
 GROWTH = 1.25
 MIX = 0.3  # weight of the longer context
-CHUNK = 12 << 20  # characters of texts scored together; a longer text is a chunk of its own
+BROADCAST_BYTES = 192 << 20  # of a filter, up to which it is broadcast
+FREQUENT = 1e-6  # share of all tokens from which on a token's exact count is broadcast with it
+CHUNK = 6 << 20  # characters of texts scored together; a longer text is a chunk of its own
 SLICE = 1 << 20  # bytes of one text handled at a time, up to the next white space
 BATCH = 2 << 20  # bytes handled at a time
 FLUSH = 3_000_000  # pairs counted in a task before they are handed on
@@ -141,11 +145,12 @@ LEVELS = thresholds()
 VALUE = np.concatenate(([0.0], np.sqrt(LEVELS[:-1] * (LEVELS[1:] - 1.0))))
 
 
-def positions(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+def positions(keys: np.ndarray, level: int, size: int | np.ndarray) -> list[np.ndarray]:
     """Bits of (key, level) within the key's block of size bits."""
+    size = np.asarray(size, np.uint64)
     h = mixed(keys + np.uint64(level * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) % np.uint64(size)).astype(np.int64) for i in range(PROBES)]
+    return [((h + np.uint64(i) * step) % size).astype(np.int64) for i in range(PROBES)]
 
 
 def block(grams: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -164,13 +169,16 @@ def block(grams: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return bits
 
 
-def probed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Levels of keys by repeated probes of their block: the one before the first miss, 0 where the block lacks the key."""
+def probed(bits: np.ndarray, keys: np.ndarray, size: np.ndarray | None = None, base: np.ndarray | None = None) -> np.ndarray:
+    """Levels of keys by repeated probes: the one before the first miss, 0 where the filter lacks the key. The keys' block is bits, or lies in it
+    from base (bytes) with size (bits), for each key."""
     level = np.zeros(len(keys), np.uint8)
     active = np.arange(len(keys))
+    whole = np.uint64(8 * len(bits))
     for j in range(1, len(LEVELS)):
-        for i, p in enumerate(positions(keys[active], j, 8 * len(bits))):
-            ok = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        at = 0 if base is None else base[active]
+        for i, p in enumerate(positions(keys[active], j, whole if size is None else size[active])):
+            ok = (bits[at + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
             hit = ok if i == 0 else hit & ok
         active = active[hit]
         if not len(active):
@@ -255,11 +263,40 @@ def merge(rows: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """The corpus totals; filter and counts stay in their table."""
 
-    def __init__(self, total: int, distinct: int, bits: int):
-        self.total, self.distinct, self.bits = total, distinct, bits
+    def __init__(self, total: int, distinct: int, bits: int, filter_bytes: int):
+        self.total, self.distinct, self.bits, self.filter_bytes = total, distinct, bits, filter_bytes
         self.room = total + 0.5 * (distinct + 1)
 
 
+class Held:
+    """What is broadcast of a model: all blocks one after another, and the exact counts of frequent tokens."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes], keys: np.ndarray, counts: np.ndarray):
+        sizes = np.full(1 << bits, len(EMPTY), np.int64)
+        for g, b in blocks.items():
+            sizes[g] = len(b)
+        self.bits, self.base, self.size = bits, np.cumsum(sizes) - sizes, (8 * sizes).astype(np.uint64)
+        self.data = np.empty(int(sizes.sum()), np.uint8)
+        for g, at in enumerate(self.base):
+            self.data[at : at + sizes[g]] = np.frombuffer(blocks.get(g, EMPTY), np.uint8)
+        self.keys, self.counts = keys, counts
+
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of keys as the filter has them."""
+        g = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        return VALUE[probed(self.data, keys, self.size[g], self.base[g])]
+
+    def exact(self, tok: np.ndarray) -> np.ndarray:
+        """Exact counts, 0 where a token isn't among the frequent ones."""
+        if not len(self.keys):
+            return np.zeros(len(tok), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, tok), len(self.keys) - 1)
+        return np.where(self.keys[at] == tok, self.counts[at], 0)
+
+
+EMPTY = block([]).tobytes()
+
+
 def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     """The merged counts with the filter's blocks (written once), and the totals."""
     texts = docs.select(text_or_empty(text_col).alias("text"))
@@ -267,8 +304,30 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     counted = texts.mapInPandas(counter(bits), "g long, wk binary, wc binary, pk binary, pc binary")
     merged = counted.groupBy("g").applyInPandas(merge, "g long, bits binary, words binary, counts binary, n_words long, n_tokens long, n_pairs long")
     merged = written(merged, "lm-counts")
-    r = merged.agg(F.sum("n_tokens").alias("total"), F.sum("n_words").alias("distinct")).first()
-    return merged, Model(r["total"] or 0, r["distinct"] or 0, bits)
+    r = merged.agg(F.sum("n_tokens").alias("total"), F.sum("n_words").alias("distinct"), F.sum(F.length("bits")).alias("size")).first()
+    return merged, Model(r["total"] or 0, r["distinct"] or 0, bits, (r["size"] or 0) + (len(EMPTY) << bits))
+
+
+def exact_counts(merged: DataFrame, low: int, high: int) -> DataFrame:
+    """word, c of the words with a count from low to under high."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for w, c in zip(b["words"], b["counts"]):
+                words, counts = from_planes(w), np.frombuffer(c, np.int64)
+                ok = (counts >= low) & (counts < high)
+                yield pd.DataFrame({"word": words[ok].view(np.int64), "c": counts[ok]})
+
+    return merged.select("words", "counts").mapInPandas(run, "word long, c long")
+
+
+def held(merged: DataFrame, model: Model, least: int) -> Held:
+    """A filter within the bound, and the counts of ``least`` or more, 1 / FREQUENT of them at most."""
+    blocks = {r["g"]: bytes(r["bits"]) for r in merged.select("g", "bits").toLocalIterator()}
+    often = exact_counts(merged, least, 1 << 62).orderBy("word").toPandas()
+    keys = often["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Held(model.bits, blocks, keys[order], often["c"].to_numpy(np.int64)[order])
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +393,51 @@ def log10p(model: Model, c_tok: np.ndarray, c_before: np.ndarray, joint: np.ndar
 
 def score(docs: DataFrame, merged: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """id, keep, n_tokens, n_known, train_tokens, base_score, score."""
+    way = by_broadcast if model.filter_bytes <= BROADCAST_BYTES else by_groups
+    return way(docs, merged, model, id_col, text_col, keep)
+
 
+def by_broadcast(docs: DataFrame, merged: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
+    least = max(1, int(np.ceil(model.total * FREQUENT)))
+    shared = docs.sparkSession.sparkContext.broadcast(held(merged, model, least))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = shared.value
+        ends = h.values(np.array([END]))[0]  # every text has one end and one start
+        for b in batches:
+            texts = list(b.pop("text"))
+            n = len(texts)
+            n_tokens, n_known, base, full = (np.zeros(n) for _ in range(4))
+            rare: list[list[np.ndarray]] = [[] for _ in range(n)]
+            for own, tok, before in tokens(texts):
+                words, at = np.unique(np.concatenate((tok, before)), return_inverse=True)
+                c, values = h.exact(words)[at[: len(tok)]], h.values(words)
+                values[words == START] = ends
+                pairs, where = np.unique(pair(before, tok), return_inverse=True)
+                hit = c > 0
+                n_tokens += np.bincount(own, minlength=n)
+                n_known += np.bincount(own, hit, n)
+                base += np.bincount(own, np.where(hit, np.log10((c + 0.5) / model.room), 0.0), n)
+                full += np.bincount(own, log10p(model, values[at[: len(tok)]], values[at[len(tok) :]], h.values(pairs)[where]), n)
+                ids, left = own[~hit], tok[~hit]
+                for i, part in zip(ids[np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1))] if len(ids) else [], np.split(left, np.flatnonzero(np.diff(ids)) + 1)):
+                    rare[i].append(part)
+            yield b.assign(n_tokens=n_tokens.astype(np.int64), n_known=n_known.astype(np.int64), base=base, score=full, rare=[np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in rare])
+
+    rows = docs.select(F.col(id_col).alias("id"), *keep, text_or_empty(text_col).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    got = rows.mapInPandas(run, f"{schema}, n_tokens long, n_known long, base double, score double, rare array<long>")
+    got = written(got.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    left = got.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    c = F.coalesce("c", F.lit(0))
+    part = F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(float(model.room))))
+    more = left.join(exact_counts(merged, 1, least), "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), part.alias("part"))
+    out = got.drop("rare").join(more, "row", "left")
+    extra = [F.col(f.name) for f in rows.schema if f.name not in ("id", "text")]
+    return out.select(F.col("id").alias(id_col), *extra, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("base_score"), "score")
+
+
+def by_groups(docs: DataFrame, merged: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
     def sums(found: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         texts = list(chunk["text"].iloc[0])
         n = len(texts)

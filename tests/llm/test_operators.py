@@ -227,18 +227,24 @@ def test_language_model_filter_grows_with_the_corpus():
     assert np.array_equal(np.minimum(lm.probed(bits, np.sort(keys)), counts), counts)  # never under the count (levels 1 to 3 are exact)
 
 
-def test_language_model_score_is_as_documented(spark):
-    """Against exact counts, over several chunks: a pair seen once counts."""
+@pytest.mark.parametrize("bound", [1 << 40, 0])
+def test_language_model_score_is_as_documented(spark, bound):
+    """Against exact counts, with the filter broadcast, and by groups over several chunks: a pair seen once counts."""
     texts = [prose(EN, 30) for _ in range(40)] + ["lonely couple", None]
     d = docs(spark, texts)
     merged, model = lm.train(d)
-    old, lm.CHUNK = lm.CHUNK, 400
+    old = lm.CHUNK, lm.BROADCAST_BYTES, lm.FREQUENT
+    lm.CHUNK, lm.BROADCAST_BYTES, lm.FREQUENT = 400, bound, 0.02
     try:
-        got = {r["doc_id"]: r["score"] for r in lm.score(d, merged, model).collect()}
+        rows = lm.score(d, merged, model).collect()
     finally:
-        lm.CHUNK = old
+        lm.CHUNK, lm.BROADCAST_BYTES, lm.FREQUENT = old
+    got = {r["doc_id"]: r["score"] for r in rows}
     tok = lambda t: [*(t or "").lower().split(), None]
     one = Counter(w for t in texts for w in tok(t))
+    for r in rows:
+        want = sum(math.log10((one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))) for w in tok(texts[r["doc_id"]]))
+        assert abs(r["base_score"] - want) < 1e-6 and r["n_known"] == r["n_tokens"] == len(tok(texts[r["doc_id"]]))
     two = Counter(p for t in texts for p in zip(["^", *tok(t)], tok(t)))
     one["^"] = len(texts)
     v = lambda n: lm.VALUE[np.searchsorted(lm.LEVELS, n, "right")]
