@@ -150,10 +150,10 @@ per AS (
     regexp_replace(coalesce((SELECT string_agg(line, chr(10) ORDER BY i) FROM ln WHERE ln.mid = m.mid AND level = 0), ''), '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS own FROM m),
 placed AS (SELECT mid, conv_id AS conv, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 first AS (SELECT conv, key, min(turn) AS there FROM placed JOIN pas USING (mid) WHERE level = 0 GROUP BY ALL),
-anyw AS (SELECT key, min((conv, there)) AS a FROM first GROUP BY key),
+anyw AS (SELECT key, min((conv, there)) FILTER (r = 1) AS a, min((conv, there)) FILTER (r = 2) AS b FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv) AS r FROM first) GROUP BY key),
 asked AS (SELECT DISTINCT conv, turn, level, key FROM placed JOIN pas USING (mid) WHERE level > 0),
 tos AS (
-  SELECT q.conv, q.turn, q.level, length(q.key) AS size, CASE WHEN f.there < q.turn THEN q.conv WHEN a[1] <> q.conv THEN a[1] END AS tc, CASE WHEN f.there < q.turn THEN f.there WHEN a[1] <> q.conv THEN a[2] END AS tt
+  SELECT q.conv, q.turn, q.level, length(q.key) AS size, CASE WHEN f.there < q.turn THEN q.conv WHEN a[1] <> q.conv THEN a[1] ELSE b[1] END AS tc, CASE WHEN f.there < q.turn THEN f.there WHEN a[1] <> q.conv THEN a[2] ELSE b[2] END AS tt
   FROM asked q LEFT JOIN first f ON f.conv = q.conv AND f.key = q.key LEFT JOIN anyw ON anyw.key = q.key),
 hits AS (SELECT conv, turn, tc, tt, min(level) AS level, sum(size) AS size, count(*) AS hits FROM tos WHERE tc IS NOT NULL GROUP BY ALL),
 best AS (SELECT *, sum(hits) OVER (PARTITION BY conv, turn) AS n_linked, row_number() OVER (PARTITION BY conv, turn ORDER BY level, size DESC, tt DESC, tc) AS r, row_number() OVER (PARTITION BY conv, turn, tc = conv ORDER BY level, size DESC, tt DESC, tc) AS ri FROM hits),
