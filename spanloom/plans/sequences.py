@@ -182,12 +182,12 @@ def min_block_absorb(spark, d):
     return sq.absorbed(blocks, 2).withColumn("until", F.lead("first").over(Window.partitionBy("clip").orderBy("first")))
 
 
-@query(f"WITH {SPANS}, m AS (SELECT clip, median(value) AS med FROM spans GROUP BY clip), a AS (SELECT s.clip, m.med, median(abs(value - m.med)) AS mad FROM spans s JOIN m USING (clip) GROUP BY s.clip, m.med) SELECT s.clip, idx, value FROM spans s JOIN a USING (clip) WHERE (value - med) / (1.4826::double * (mad + 1e-6)) > 4 AND value > 2.5::double * med")
+@query(f"WITH {SPANS}, m AS (SELECT clip, median(value) AS med FROM spans GROUP BY clip), a AS (SELECT s.clip, m.med, median(abs(value - m.med)) AS mad FROM spans s JOIN m USING (clip) GROUP BY s.clip, m.med) SELECT s.clip, idx, value FROM spans s JOIN a USING (clip) WHERE (value - med) / (1.4826::double * (mad + 1e-6)) > 8 AND value > 2.5::double * med")
 def robust_outlier(spark, d):
     s = spans(spark, d).select("clip", "idx", "value")
     med = s.groupBy("clip").agg(F.median("value").alias("med"))
     mad = s.join(med, "clip").groupBy("clip", "med").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    far = (F.col("value") - F.col("med")) / (1.4826 * (F.col("mad") + 1e-6)) > 4
+    far = (F.col("value") - F.col("med")) / (1.4826 * (F.col("mad") + 1e-6)) > 8
     return s.join(mad, "clip").filter(far & (F.col("value") > 2.5 * F.col("med"))).select("clip", "idx", "value")
 
 
