@@ -85,12 +85,19 @@ def without_repeats(df: DataFrame, token: Column, keys: list[str], order: str) -
     return kept.filter("_new").drop("_t", "_new", "_g")
 
 
-def repeats(df: DataFrame, token: str, n: int, keys: list[str], order: str) -> DataFrame:
-    """Rows where the n tokens from here, none of them empty, equal the n after them; a repeat that ends on the very last token isn't reported."""
+def repeats(df: DataFrame, token: str, sizes: list[int], keys: list[str], order: str) -> DataFrame:
+    """Rows with n and phrase where the n tokens from here, none of them empty, equal the n after them, for each n of ``sizes``; a repeat that ends
+    on the very last token isn't reported. One pass over the ordered rows serves all sizes."""
     w = ordered(keys, [order])
-    a = F.array(*[F.lead(token, i).over(w) for i in range(n)])
-    b = F.array(*[F.lead(token, n + i).over(w) for i in range(n)])
-    return df.withColumns({"_a": a, "_b": b, "_more": F.lead(order, 2 * n).over(w)}).filter("_a = _b and _more is not null and not array_contains(_a, '')").withColumn("phrase", F.array_join("_a", " ")).drop("_a", "_b", "_more")
+    marked = df.withColumn("_a", F.array(*[F.lead(token, i).over(w) for i in range(2 * max(sizes))])).withColumns({f"_m{n}": F.lead(order, 2 * n).over(w) for n in sizes})
+
+    def hit(n: int) -> Column:
+        one = F.slice("_a", 1, n)
+        again = (one == F.slice("_a", n + 1, n)) & F.col(f"_m{n}").isNotNull() & ~F.array_contains(one, "")
+        return F.when(again, F.struct(F.lit(n).alias("n"), F.array_join(one, " ").alias("phrase")))
+
+    found = marked.withColumn("_h", F.explode(F.array_compact(F.array(*[hit(n) for n in sizes]))))
+    return found.select(*df.columns, "_h.n", "_h.phrase")
 
 
 def filled(df: DataFrame, x: str, keys: list[str], order: str, name: str) -> DataFrame:

@@ -14,12 +14,12 @@ def latency_summary(df: DataFrame, key: str, value: str, failed: str, parts: int
     counts = df.groupBy(key, value).agg(F.count("*").alias("c"), F.count_if(failed).alias("f"))
     whole = counts.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("total"), F.sum("f").alias("f"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     part = F.least(F.lit(parts - 1), F.floor((F.col(value) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * parts))
-    placed = counts.join(whole.select(key, "lo", "hi"), key).withColumn("part", part)
+    placed = counts.join(whole.select(key, "lo", "hi", "n"), key).withColumn("part", part)
     sizes = placed.groupBy(key, "part").agg(F.sum("c").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sizes.select(key, "part", before.alias("before"))
     upto = F.sum("c").over(Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.join(ranges, [key, "part"]).withColumn("upto", F.col("before") + upto).join(whole.select(key, "n"), key)
+    ranked = placed.join(ranges, [key, "part"]).withColumn("upto", F.col("before") + upto)
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     n = F.col("n")
     got = ranked.groupBy(key).agg(at(F.floor((n - 1) / 2)).alias("m0"), at(F.floor(n / 2)).alias("m1"), at(F.floor(n * 0.95)).alias("p95"))

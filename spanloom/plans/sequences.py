@@ -108,22 +108,13 @@ def said_twice(spark, d):
 @query(f"WITH {TWICE}, l AS (SELECT clip, k, list(t) OVER w AS a, lead(k, 10) OVER o AS m5, lead(k, 8) OVER o AS m4, lead(k, 6) OVER o AS m3 FROM tw WINDOW w AS (PARTITION BY clip ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), o AS (PARTITION BY clip ORDER BY k)), h AS (SELECT clip, k, 5 AS n, a[1:5] AS p FROM l WHERE a[1:5] = a[6:10] AND m5 IS NOT NULL UNION ALL SELECT clip, k, 4, a[1:4] FROM l WHERE a[1:4] = a[5:8] AND m4 IS NOT NULL UNION ALL SELECT clip, k, 3, a[1:3] FROM l WHERE a[1:3] = a[4:6] AND m3 IS NOT NULL) SELECT clip, k, n, array_to_string(p, ' ') AS phrase FROM h WHERE NOT list_contains(p, '')")
 def ngram_repeat(spark, d):
     """Phrases of five, four or three words that are said twice in a row."""
-    w = said_twice(spark, d).select("clip", "k", "t")
-    found = None
-    for n in (5, 4, 3):
-        hit = sq.repeats(w, "t", n, ["clip"], "k").select("clip", "k", F.lit(n).alias("n"), "phrase")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    return sq.repeats(said_twice(spark, d).select("clip", "k", "t"), "t", [5, 4, 3], ["clip"], "k").select("clip", "k", "n", "phrase")
 
 
 @query(f"WITH {TWICE}, l AS (SELECT clip, k, round(st, 1) AS st, list(t) OVER w AS a, lead(k, 10) OVER o AS m5, lead(k, 8) OVER o AS m4, lead(k, 6) OVER o AS m3 FROM tw WINDOW w AS (PARTITION BY clip ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), o AS (PARTITION BY clip ORDER BY k)), h AS (SELECT clip, st, a[1:5] AS p FROM l WHERE a[1:5] = a[6:10] AND m5 IS NOT NULL UNION ALL SELECT clip, st, a[1:4] FROM l WHERE a[1:4] = a[5:8] AND m4 IS NOT NULL UNION ALL SELECT clip, st, a[1:3] FROM l WHERE a[1:3] = a[4:6] AND m3 IS NOT NULL) SELECT clip, round_even(st, 0)::BIGINT AS second, min(struct_pack(st := st, phrase := array_to_string(p, ' '))).phrase AS phrase FROM h WHERE NOT list_contains(p, '') GROUP BY ALL")
 def double_takes(spark, d):
     """Doubled phrases of three to five words, one report a second (halves to the even one): the earliest, then the first by text."""
-    w = said_twice(spark, d)
-    found = None
-    for n in (5, 4, 3):
-        hit = sq.repeats(w, "t", n, ["clip"], "k").select("clip", F.round("st", 1).alias("st"), "phrase")
-        found = hit if found is None else found.unionByName(hit)
+    found = sq.repeats(said_twice(spark, d), "t", [5, 4, 3], ["clip"], "k").withColumn("st", F.round("st", 1))
     return found.groupBy("clip", F.bround("st", 0).cast("bigint").alias("second")).agg(F.min(F.struct("st", "phrase")).alias("x")).select("clip", "second", "x.phrase")
 
 

@@ -21,7 +21,7 @@ def words_of(spark, texts, step=1.0, length=0.4):
 def test_repeated_phrases(spark):
     for text, want in (("we go now we go now x", ["we go now"]), ("we go now we go now", []), ("a  b a  b a  b x", [])):
         w = spark.createDataFrame([(1, i, t) for i, t in enumerate(text.split(" "))], "clip long, idx long, t string")
-        assert [r["phrase"] for r in sq.repeats(w, "t", 3, ["clip"], "idx").collect()] == want
+        assert [r["phrase"] for r in sq.repeats(w, "t", [5, 4, 3], ["clip"], "idx").collect()] == want
 
 
 def test_decisions(spark):
