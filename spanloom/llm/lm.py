@@ -41,7 +41,7 @@ BROADCAST_BYTES = 192 << 20  # of a filter, up to which it is broadcast
 FREQUENT = 1e-6  # share of all tokens from which on a token's exact count is broadcast with it
 CHUNK = 6 << 20  # characters of texts scored together; a longer text is a chunk of its own
 SLICE = 1 << 20  # bytes of one text handled at a time, up to the next white space
-BATCH = 2 << 20  # bytes handled at a time
+BATCH = 1 << 20  # bytes handled at a time
 FLUSH = 3_000_000  # pairs counted in a task before they are handed on
 
 END = np.uint64(0x9D5C0FB1A7E34D21)
