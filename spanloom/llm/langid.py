@@ -36,6 +36,7 @@ STRETCH = 1000  # characters of a text that are learned together
 SEGMENT = 512
 SLICE = 1 << 19  # characters of one text handled at a time; the parse goes on in the next slice
 BLOCK = 12 << 20  # characters times languages of a batch handled at a time
+TRIES = 50  # places tried for a row of transitions before going on at the end of the table
 SPACE, OTHER, PAD = 0, 1, 2
 
 
@@ -125,27 +126,29 @@ class Parser:
         self.pack(edges, width)
 
     def pack(self, edges: list[dict[int, int]], width: int) -> None:
-        """Lay the rows of transitions over each other so that no two share a place: the fullest first, at the first fit."""
-        room = sum(map(len, edges)) + 2 * width + 1
-        self.base, self.owner, self.next = np.zeros(len(edges), np.int32), np.full(room, -1, np.int32), np.zeros(room, np.int32)
-        taken, low = bytearray(room), width
+        """Lay the rows of transitions over each other so that no two share a place: the fullest first, at the first fit nearby."""
+        self.base = np.zeros(len(edges), np.int32)
+        taken, low, top = bytearray(sum(map(len, edges)) + 2 * width + 1), width, width
         for i in sorted(range(len(edges)), key=lambda i: -len(edges[i])):
-            to = edges[i]
-            if not to:
+            keys = list(edges[i])
+            if not keys:
                 continue
             while low < len(taken) and taken[low]:
                 low += 1
-            at, keys = low - min(to), list(to)
+            at, tries = low - min(keys), 0
             while True:
-                need = at + max(keys) + 1 - len(taken)
+                need = at + width + 1 - len(taken)
                 if need > 0:
                     taken += bytes(need + width)
-                if not any(taken[at + s] for s in keys):
+                if not any([taken[at + s] for s in keys]):
                     break
-                at += 1
+                at, tries = at + 1, tries + 1
+                if tries == TRIES:  # a full region: go on where the last rows lie
+                    at = max(at, top - width)
             self.base[i] = at
             for s in keys:
                 taken[at + s] = 1
+            top = max(top, at + max(keys))
         grow = max(len(taken) + width + 1, int(self.base.max(initial=0)) + width + 1)
         self.owner, self.next = np.full(grow, -1, np.int32), np.zeros(grow, np.int32)
         for i, to in enumerate(edges):
