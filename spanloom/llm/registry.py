@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .ann import op3_forest_neighbours
 from .bpe import op10_bpe_codec
+from .divergence import OP11_SQL, op11_source_divergence
+from .hardneg import OP13_SQL, op13_hard_negatives
 from .langid import op4_language_id
 from .lm import op5_bloom_lm
 from .media import op7_media_columns
@@ -26,8 +28,10 @@ def queries() -> dict:
         "op8_window_packing": op8_window_packing,
         "op9_toxic_spans": op9_toxic_spans,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_source_divergence": op11_source_divergence,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op6_minhash_dedup": OP6_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}
