@@ -114,6 +114,8 @@ def tile(rows: pd.DataFrame) -> pd.DataFrame:
     language's words; 2, a term's count in a source."""
     lang, a, b = rows["lang"].iat[0], rows["a"].iat[0], rows["b"].iat[0]
     src, voc, cnt = (rows[rows["kind"] == k] for k in (0, 1, 2))
+    if src.empty:  # no source was dealt to either side
+        return pd.DataFrame(columns=["lang", "part", "source", "item", "value"])
     voc = voc.iloc[np.argsort(voc["term"].str.encode("utf-8").to_numpy(dtype=object), kind="stable")] if len(voc) else voc
     names, words = src["source"].to_numpy(dtype=object), voc["term"].to_numpy(dtype=object)
     count = np.zeros((len(names), len(words)), np.int64)
