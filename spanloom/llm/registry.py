@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op3_forest_neighbours
 from .bpe import op10_bpe_codec
+from .decontam import OP12_SQL, op12_decontamination
 from .divergence import OP11_SQL, op11_source_divergence
 from .hardneg import OP13_SQL, op13_hard_negatives
 from .langid import op4_language_id
@@ -29,9 +30,10 @@ def queries() -> dict:
         "op9_toxic_spans": op9_toxic_spans,
         "op10_bpe_codec": op10_bpe_codec,
         "op11_source_divergence": op11_source_divergence,
+        "op12_decontamination": op12_decontamination,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op11_source_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op11_source_divergence": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_hard_negatives": OP13_SQL}
