@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 
+from . import align
+
 
 def first_match(x: Column, patterns: list[tuple[str, str]]) -> Column:
     """Name of the first pattern that x matches; the last one is the fallback."""
@@ -101,28 +100,9 @@ def mood(tempo: Column, onsets: Column, energy: Column, percussive: Column, mino
     return by_table(MOODS, {"tempo": tempo, "sparse": sparse, "minor": minor.cast("int"), "onsets": onsets, "percussive": percussive}, {"onsets", "percussive"})
 
 
-def block_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Word alignment of pairs of texts by longest matching blocks."""
-    rows = []
-    for x, y in zip(a, b):
-        m = difflib.SequenceMatcher(None, (x or "").split(), (y or "").split(), autojunk=False)
-        n = {"equal": 0, "replace": 0, "insert": 0, "delete": 0}
-        longest = 0
-        for op, i0, i1, j0, j1 in m.get_opcodes():
-            n[op] += max(i1 - i0, j1 - j0)
-            if op == "replace":
-                longest = max(longest, i1 - i0, j1 - j0)
-        rows.append((*n.values(), longest, m.ratio()))
-    return pd.DataFrame(rows, columns=["equal", "replaced", "inserted", "deleted", "longest", "ratio"])
-
-
-def aligned(a: str, b: str) -> Column:
-    return F.pandas_udf(block_counts, "equal long, replaced long, inserted long, deleted long, longest long, ratio double")(a, b)
-
-
 def alignment(turns: DataFrame) -> DataFrame:
     """conv_id, turn, counts of aligned words against the turn before, and the error rate."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     t = turns.select("conv_id", "turn", tx.plain(before).alias("a"), tx.plain("text").alias("b")).filter("a is not null and b is not null")
-    got = t.select("conv_id", "turn", aligned("a", "b").alias("m"), F.size(F.split("a", " ")).alias("n"))
-    return got.select("conv_id", "turn", "m.*", ((F.col("m.replaced") + F.col("m.inserted") + F.col("m.deleted")) / F.greatest(F.lit(1), F.col("n"))).alias("wer"))
+    split = lambda c: F.array_remove(F.split(c, " "), "")
+    return align.counted(t.select(F.struct("conv_id", "turn").alias("pair"), split("a").alias("a"), split("b").alias("b"))).select("pair.*", "equal", "replaced", "inserted", "deleted", "longest", "ratio", "wer")

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
+from spanloom.operators import align as al
 from spanloom.operators import edits as ed
 from spanloom.operators import fillers as fl
 from spanloom.operators import intervals as iv
 from spanloom.operators import sequence as sq
-from spanloom.operators.scan import scanned
 from spanloom.sources.tables import SPANS, WORDS, spans, table, words
 
 from . import rules
 from .edits import CUES
 from .registry import query
+from .texts import aligned_sql
 
 #: Beside the engine's own lists, words of the test tables stand in for fillers of each kind.
 LISTS = {"initial": [*fl.INITIAL, ["the"], ["la", "de"]], "phrases": [*fl.PHRASES, ["of", "the"], ["that", "is"], ["in", "of", "the"]], "single": [*fl.SINGLE, "un"], "alone": [*fl.ALONE, "et", "in", "an"]}
@@ -80,29 +80,31 @@ def quietest_frame(spark, d):
     return e.filter("st between 86400 and 864000").groupBy("clip").agg(F.min_by("st", F.struct("db", "idx")).alias("quietest"), F.min("db").alias("db"))
 
 
-@query(None)
+CHAINED = f"""{WORDS}, f AS (SELECT *, CASE WHEN lag(idx) OVER w IS NULL OR st - lag(en) OVER w >= 0.8::double OR coalesce(lag(speaker) OVER w <> speaker, false) THEN 1 ELSE 0 END AS new FROM words WINDOW w AS (PARTITION BY clip ORDER BY idx)), g AS (SELECT *, sum(new) OVER (PARTITION BY clip ORDER BY idx) AS k FROM f),
+u AS (SELECT clip, min(idx) AS idx, min(st) AS st, max(en) AS en, string_agg(word, ' ' ORDER BY idx) AS text FROM g GROUP BY clip, k),
+near AS (SELECT *, lag(text) OVER (PARTITION BY clip ORDER BY idx) AS before FROM u), pairs AS (SELECT clip::VARCHAR || ' ' || idx AS pair, string_split(before, '') AS a, string_split(text, '') AS b FROM near WHERE before IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {aligned_sql(CHAINED)}, alike AS (SELECT pair, CASE WHEN la + lb = 0 THEN 1 ELSE 2.0::double * equal / (la + lb) END AS ratio FROM sizes),
+h AS (SELECT u.*, sum(CASE WHEN ratio > 0.45 THEN 0 ELSE 1 END) OVER (PARTITION BY clip ORDER BY idx) AS chain FROM u LEFT JOIN alike ON pair = clip::VARCHAR || ' ' || idx)
+SELECT clip, min(idx) AS first, min_by(st, idx) AS st, max_by(en, idx) AS en, count(*) AS n, min_by(text, (-length(text), idx)) AS text FROM h GROUP BY clip, chain"""
+)
 def chained_texts(spark, d):
     """Texts seen one after another merged while each is like the last one seen; the longest stands for all."""
     u = sq.sessions(words(spark, d), 0.8, "speaker").groupBy("clip", "session").agg(F.min("idx").alias("idx"), F.min("st").alias("st"), F.max("en").alias("en"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
-    return chained(u.select("clip", "idx", "st", "en", "text"), 0.2)
+    return chained(u.select("clip", "idx", "st", "en", "text"), 0.45)
 
 
 def chained(seen: DataFrame, least: float) -> DataFrame:
     """clip, first, st, en, n, text: rows in order of idx, joined while the share of matching characters with the row before is over ``least``."""
-
-    def step(rows: Iterator) -> Iterator[tuple]:
-        held = last = None
-        for r in rows:
-            if held and difflib.SequenceMatcher(None, last, r.text, autojunk=False).ratio() > least:
-                held = (held[0], held[1], r.en, held[3] + 1, r.text if len(r.text) > len(held[4]) else held[4])
-            else:
-                if held:
-                    yield held
-                held = (r.idx, r.st, r.en, 1, r.text)
-            last = r.text
-        yield held
-
-    return scanned(seen, ["clip"], ["idx"], step, "clip long, first long, st double, en double, n long, text string")
+    w = Window.partitionBy("clip").orderBy("idx")
+    signs = lambda c: F.array_remove(F.split(c, ""), "")
+    near = seen.withColumn("before", F.lag("text").over(w)).filter("before is not null")
+    alike = al.counted(near.select(F.struct("clip", "idx").alias("pair"), signs("before").alias("a"), signs("text").alias("b"))).select("pair.*", "ratio")
+    linked = seen.join(alike, ["clip", "idx"], "left").withColumn("chain", F.sum(F.when(F.col("ratio") > least, 0).otherwise(1)).over(w))
+    text = F.min_by("text", F.struct(-F.length("text"), "idx"))
+    return linked.groupBy("clip", "chain").agg(F.min("idx").alias("first"), F.min_by("st", "idx").alias("st"), F.max_by("en", "idx").alias("en"), F.count("*").alias("n"), text.alias("text")).drop("chain")
 
 
 @query(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import captions as cp
 from spanloom.functions import text as tx
 from spanloom.functions import timecode as tc
+from spanloom.operators import align as al
 from spanloom.operators import matching as mt
 from spanloom.sources.tables import WORDS, table, words
 
@@ -166,7 +168,63 @@ def caption_format(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", cp.formatted("text").alias("caption"))
 
 
-@query(None)
+def aligned_sql(pairs: str) -> str:
+    """Common tables from pairs (pair, a, b) to gaps (pair, i1, i2, j1, j2) and sizes (pair, la, lb, equal): longest blocks first, recursively."""
+    return f"""{pairs}, ta AS (SELECT pair, unnest(a) AS tok, unnest(range(len(a))) AS i FROM pairs), tb AS (SELECT pair, unnest(b) AS tok, unnest(range(len(b))) AS j FROM pairs),
+diag AS (SELECT pair, min(i) AS i, min(j) AS j, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY pair, i - j ORDER BY i) AS g FROM ta JOIN tb USING (pair, tok)) GROUP BY pair, i - j, g),
+lev AS (
+  SELECT * FROM (SELECT d.pair, 0::BIGINT AS alo, len(a)::BIGINT AS ahi, 0::BIGINT AS blo, len(b)::BIGINT AS bhi, i, j, n FROM diag d JOIN pairs p ON p.pair = d.pair) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n DESC, i, j) = 1
+  UNION ALL
+  SELECT * FROM (
+    SELECT c.pair, c.x.alo AS alo, c.x.ahi AS ahi, c.x.blo AS blo, c.x.bhi AS bhi, d.i + greatest(0, c.x.alo - d.i, c.x.blo - d.j) AS i, d.j + greatest(0, c.x.alo - d.i, c.x.blo - d.j) AS j,
+      least(d.n, c.x.ahi - d.i, c.x.bhi - d.j) - greatest(0, c.x.alo - d.i, c.x.blo - d.j) AS n
+    FROM (SELECT pair, unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j}}, {{'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi}}]) AS x FROM lev) c JOIN diag d ON d.pair = c.pair
+  ) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY pair, alo ORDER BY n DESC, i, j) = 1),
+ends AS (SELECT pair, i, j, n FROM lev UNION ALL SELECT pair, len(a), len(b), 0 FROM pairs),
+gaps AS (SELECT * FROM (SELECT pair, coalesce(lag(i + n) OVER w, 0) AS i1, i AS i2, coalesce(lag(j + n) OVER w, 0) AS j1, j AS j2 FROM ends WINDOW w AS (PARTITION BY pair ORDER BY i, j, n DESC)) WHERE i1 < i2 OR j1 < j2),
+matched AS (SELECT pair, sum(n) AS equal FROM lev GROUP BY pair),
+sizes AS (SELECT p.pair, len(a) AS la, len(b) AS lb, coalesce(equal, 0)::BIGINT AS equal FROM pairs p LEFT JOIN matched m ON m.pair = p.pair)"""
+
+
+TURNS = rf"""pairs AS (SELECT conv_id::VARCHAR || ' ' || turn AS pair, conv_id, turn, list_filter(string_split({PLAIN.replace("text", "before")}, ' '), lambda x: x <> '') AS a, list_filter(string_split({PLAIN}, ' '), lambda x: x <> '') AS b
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE text IS NOT NULL AND before IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {aligned_sql(TURNS)}, n AS (SELECT pair, greatest(i2 - i1, j2 - j1) AS n, CASE WHEN i1 = i2 THEN 'insert' WHEN j1 = j2 THEN 'delete' ELSE 'replace' END AS tag FROM gaps),
+c AS (SELECT s.pair, la, lb, equal, coalesce(sum(n) FILTER (tag = 'replace'), 0)::BIGINT AS replaced, coalesce(sum(n) FILTER (tag = 'insert'), 0)::BIGINT AS inserted, coalesce(sum(n) FILTER (tag = 'delete'), 0)::BIGINT AS deleted, coalesce(max(n) FILTER (tag = 'replace'), 0)::BIGINT AS longest FROM sizes s LEFT JOIN n ON n.pair = s.pair GROUP BY ALL)
+SELECT conv_id, turn, equal, replaced, inserted, deleted, longest, CASE WHEN la + lb = 0 THEN 1 ELSE 2.0::double * equal / (la + lb) END AS ratio, (replaced + inserted + deleted) / greatest(1, la)::double AS wer FROM c JOIN pairs USING (pair)""")
 def caption_align(spark, d):
-    """Each assistant turn held against the turn before: equal, replaced, inserted and deleted words, and the error rate."""
+    """Each turn held against the turn before by longest matching blocks: equal, replaced, inserted and deleted words, and the error rate."""
     return mt.alignment(table(spark, d, "conversations"))
+
+
+SHOWN = r"""spoken AS (SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY idx) AS k, lower(word) AS word FROM words), bare AS (SELECT clip, k, regexp_replace(word, '^[.,;:!?"''()\[\]…]+|[.,;:!?"''()\[\]…]+$', '', 'g') AS word FROM spoken),
+shown AS (SELECT clip, k, word, CASE WHEN k % 53 = 7 OR (clip % 5 = 0 AND (k // 8) % 9 = 3) THEN '' WHEN k % 47 = 11 THEN word || '''s' WHEN clip % 4 = 1 AND k % 90 BETWEEN 30 AND 34 THEN 'x' || word ELSE word END AS cap FROM bare WHERE word <> ''),
+pairs AS (SELECT clip AS pair, list(word ORDER BY k) AS a, coalesce(list(cap ORDER BY k) FILTER (cap <> ''), []) AS b FROM shown GROUP BY clip)"""
+
+ACCURACY = rf"""{aligned_sql(SHOWN)}, facing AS (SELECT pair, i1, k, i1 + k AS i, CASE WHEN i1 + k < i2 THEN a[i1 + k + 1] END AS x, CASE WHEN j1 + k < j2 THEN b[j1 + k + 1] END AS y FROM (SELECT g.*, p.a, p.b, unnest(range(greatest(i2 - i1, j2 - j1))) AS k FROM gaps g JOIN pairs p ON p.pair = g.pair)),
+same AS (SELECT *, x = y OR replace(x, '''', '') = replace(y, '''', '') AS same FROM facing),
+wrong AS (SELECT pair, sum(n) AS substitutions, max(n) AS longest FROM (SELECT pair, i1, since, count(*) AS n FROM (SELECT *, count(*) FILTER (same) OVER (PARTITION BY pair, i1 ORDER BY k) AS since FROM same WHERE x IS NOT NULL AND y IS NOT NULL) WHERE NOT same GROUP BY ALL) GROUP BY pair),
+lost AS (SELECT pair, sum(n) FILTER (n >= 6) AS missing, sum(n) FILTER (n < 6) AS trims FROM (SELECT pair, g, count(*) AS n FROM (SELECT pair, i - row_number() OVER (PARTITION BY pair ORDER BY i) AS g FROM same WHERE y IS NULL) GROUP BY ALL) GROUP BY pair),
+extra AS (SELECT pair, count(*) AS extra FROM same WHERE x IS NULL GROUP BY pair),
+counts AS (SELECT s.pair AS clip, la, lb, equal, coalesce(substitutions, 0)::BIGINT AS substitutions, coalesce(missing, 0)::BIGINT AS missing, coalesce(trims, 0)::BIGINT AS trims, coalesce(extra, 0)::BIGINT AS extra, coalesce(longest, 0)::BIGINT AS longest FROM sizes s LEFT JOIN wrong ON wrong.pair = s.pair LEFT JOIN lost ON lost.pair = s.pair LEFT JOIN extra ON extra.pair = s.pair),
+rated AS (SELECT *, (substitutions + missing + extra) / greatest(1, la)::double AS wer, CASE WHEN la + lb = 0 THEN 1 ELSE 2.0::double * equal / (la + lb) END AS ratio FROM counts),
+accuracy AS (SELECT clip, substitutions, missing, trims, extra, longest, wer, ratio, la = 0 OR (wer <= 0.18 AND ratio >= 0.82 AND longest < 4) AS says_same FROM rated)"""
+
+
+@query(f"WITH RECURSIVE {WORDS}, {ACCURACY} SELECT * FROM accuracy")
+def caption_accuracy(spark, d):
+    """Whether a clip's captions say what is spoken: wrong, missing, trimmed and extra words by alignment, error rate, likeness, verdict."""
+    return al.accuracy(shown_captions(words(spark, d))).withColumnRenamed("pair", "clip")
+
+
+def shown_captions(w):
+    """pair (clip), a (its words) and b (captions made from them: some words left out, some changed, some stretches lost)."""
+    k = F.row_number().over(Window.partitionBy("clip").orderBy("idx")).alias("k")
+    bare = w.select("clip", k, F.element_at(al.without_edges(F.array(F.lower("word"))), 1).alias("word")).filter("word <> ''")
+    left_out = (F.col("k") % 53 == 7) | ((F.col("clip") % 5 == 0) & (F.floor(F.col("k") / 8) % 9 == 3))
+    changed = (F.col("clip") % 4 == 1) & (F.col("k") % 90).between(30, 34)
+    cap = F.when(left_out, "").when(F.col("k") % 47 == 11, F.concat("word", F.lit("'s"))).when(changed, F.concat(F.lit("x"), "word")).otherwise(F.col("word"))
+    rows = F.array_sort(F.collect_list(F.struct("k", "word", cap.alias("cap"))))
+    each = bare.groupBy(F.col("clip").alias("pair")).agg(rows.alias("r"))
+    return each.select("pair", F.transform("r", lambda x: x["word"]).alias("a"), F.array_remove(F.transform("r", lambda x: x["cap"]), "").alias("b"))
