@@ -9,7 +9,7 @@ of a pass from left to right that looks at a joined word again before it goes on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .steps import written
@@ -23,7 +23,10 @@ NAMES = ["princeton", "harvard", "yale", "mit", "stanford", "oxford", "cambridge
 REAL, FRAGMENT, COMMON = 1.5, 2.0, 2.5
 PASSES = 10
 
-BY = Window.partitionBy("clip").orderBy("idx")
+def by_clip() -> WindowSpec:
+    return Window.partitionBy("clip").orderBy("idx")
+
+
 COLUMNS = ["clip", "idx", "word", "st", "en"]
 
 
@@ -57,8 +60,8 @@ def joined_splits(words: DataFrame, zipf: DataFrame) -> DataFrame:
 
 def _round(now: DataFrame, zipf: DataFrame) -> DataFrame:
     """now with what follows each word (nw, nen), the frequency of both joined (cz), whether they fit (fits) and are joined now (chosen)."""
-    nw, nz = F.lead("word").over(BY), F.lead("z").over(BY)
-    seen = now.select(*COLUMNS, "z", "passed", nw.alias("nw"), nz.alias("nz"), F.lead("en").over(BY).alias("nen"))
+    nw, nz = F.lead("word").over(by_clip()), F.lead("z").over(by_clip())
+    seen = now.select(*COLUMNS, "z", "passed", nw.alias("nw"), nz.alias("nz"), F.lead("en").over(by_clip()).alias("nen"))
     a, b = _bare(F.col("word")), _bare(F.col("nw"))
     lone = lambda x: (F.length(x) == 1) & ~x.isin("a", "i", "o")
     may = (a != "") & (b != "") & ~F.rtrim("word").rlike("[.,!?;:']$") & ~F.ltrim("nw").rlike(r"^\p{Lu}")
@@ -66,12 +69,12 @@ def _round(now: DataFrame, zipf: DataFrame) -> DataFrame:
     both = F.when(~F.col("passed") & may & (lone(a) | lone(b) | rare), F.concat(a, b))
     tried = seen.withColumn("both", both).join(zipf.select(F.col("w").alias("both"), F.col("zipf").alias("cz")), "both", "left").drop("both")
     fits = tried.withColumn("fits", F.coalesce(F.col("cz") >= REAL, F.lit(False)))
-    before = lambda k: F.coalesce(F.lag("fits", k).over(BY), F.lit(False))
+    before = lambda k: F.coalesce(F.lag("fits", k).over(by_clip()), F.lit(False))
     return fits.withColumn("chosen", F.col("fits") & ~before(1) & ~before(2))
 
 
 def _after(step: DataFrame) -> DataFrame:
-    gone = F.coalesce(F.lag("chosen").over(BY), F.lit(False))
+    gone = F.coalesce(F.lag("chosen").over(by_clip()), F.lit(False))
     kept = step.withColumn("gone", gone).filter("not gone")
     take = lambda new, old: F.when(F.col("chosen"), new).otherwise(F.col(old)).alias(old)
     return kept.select("clip", "idx", take(F.concat("word", "nw"), "word"), "st", take(F.col("nen"), "en"), take(F.col("cz"), "z"), (~F.col("fits")).alias("passed"))
@@ -80,9 +83,9 @@ def _after(step: DataFrame) -> DataFrame:
 def without_stutters(words: DataFrame) -> DataFrame:
     """A word of two letters or more that repeats the last one is dropped, and the word kept lasts until it ends."""
     clean = F.lower(F.regexp_replace("word", "[^a-zA-Z]", ""))
-    last = F.last(F.when(clean != "", clean), ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(clean != "", clean), ignorenulls=True).over(by_clip().rowsBetween(Window.unboundedPreceding, -1))
     again = F.coalesce((clean == last) & (F.length(clean) >= 2), F.lit(False))
-    marked = words.withColumn("kept", ~again).withColumn("g", F.sum(F.col("kept").cast("int")).over(BY))
+    marked = words.withColumn("kept", ~again).withColumn("g", F.sum(F.col("kept").cast("int")).over(by_clip()))
     return marked.groupBy("clip", "g").agg(F.min_by("word", "idx").alias("word"), F.min_by("st", "idx").alias("st"), F.max_by("en", "idx").alias("en"), F.min("idx").alias("idx")).select(*COLUMNS)
 
 
@@ -94,9 +97,9 @@ def lower_case(words: DataFrame) -> DataFrame:
 def moved_apostrophes(words: DataFrame) -> DataFrame:
     """An apostrophe behind punctuation that is a word of its own goes to the front of the next word."""
     w = F.trim("word")
-    nxt = F.trim(F.lead("word").over(BY))
+    nxt = F.trim(F.lead("word").over(by_clip()))
     gives = w.rlike("^[.,?!:;]{1,2}'$") & F.coalesce(nxt.rlike(r"^\p{L}"), F.lit(False))
-    marked = words.withColumn("gives", gives).withColumn("takes", F.coalesce(F.lag("gives").over(BY), F.lit(False)))
+    marked = words.withColumn("gives", gives).withColumn("takes", F.coalesce(F.lag("gives").over(by_clip()), F.lit(False)))
     word = F.when(F.col("gives"), F.expr("left(trim(word), length(trim(word)) - 1)")).when(F.col("takes"), F.concat(F.lit("'"), w)).otherwise(F.col("word"))
     return marked.withColumn("word", word).select(*COLUMNS)
 
@@ -104,15 +107,15 @@ def moved_apostrophes(words: DataFrame) -> DataFrame:
 def _absorbing(words: DataFrame, find: Column, size: int, apart: int, word: Column) -> DataFrame:
     """Rows where find holds become word and take in the size - 1 rows behind them; finds that are ``apart`` rows apart overlap, and of a
     run of those every other one is taken. word may use lead columns named n1 ... (their words)."""
-    ahead = [F.lead("word", k).over(BY).alias(f"n{k}") for k in range(1, size)]
-    seen = words.select(*COLUMNS, *ahead, F.lead("en", size - 1).over(BY).alias("last"), F.row_number().over(BY).alias("row"))
+    ahead = [F.lead("word", k).over(by_clip()).alias(f"n{k}") for k in range(1, size)]
+    seen = words.select(*COLUMNS, *ahead, F.lead("en", size - 1).over(by_clip()).alias("last"), F.row_number().over(by_clip()).alias("row"))
     seen = seen.withColumn("find", F.coalesce(find, F.lit(False)))
     lane = Window.partitionBy("clip", F.col("row") % apart).orderBy("row")
-    since = F.coalesce(F.max(F.when(~F.col("find"), F.col("row"))).over(lane.rowsBetween(Window.unboundedPreceding, 0)), F.col("row") % apart - apart)
+    since = F.coalesce(F.max(F.when(~F.col("find"), F.col("row"))).over(lane.rowsBetween(Window.unboundedPreceding, 0)), (F.col("row") - 1) % apart + 1 - apart)
     seen = seen.withColumn("taken", F.col("find") & (F.floor((F.col("row") - since) / apart) % 2 == 1))
     covered = F.lit(False)
     for k in range(1, size):
-        covered = covered | F.coalesce(F.lag("taken", k).over(BY), F.lit(False))
+        covered = covered | F.coalesce(F.lag("taken", k).over(by_clip()), F.lit(False))
     kept = seen.withColumn("covered", covered).filter("not covered")
     return kept.select("clip", "idx", F.when(F.col("taken"), word).otherwise(F.col("word")).alias("word"), "st", F.when(F.col("taken"), F.col("last")).otherwise(F.col("en")).alias("en"))
 
@@ -140,7 +143,7 @@ def digits(words: DataFrame) -> DataFrame:
 
 def times_of_day(words: DataFrame) -> DataFrame:
     """"5" with "am", or with "a" and "m" and at most two words or dots between them, as "5AM"."""
-    ahead = [F.lead("word", k).over(BY).alias(f"n{k}") for k in range(1, 5)] + [F.lead("en", k).over(BY).alias(f"e{k}") for k in range(1, 5)]
+    ahead = [F.lead("word", k).over(by_clip()).alias(f"n{k}") for k in range(1, 5)] + [F.lead("en", k).over(by_clip()).alias(f"e{k}") for k in range(1, 5)]
     seen = words.select(*COLUMNS, *ahead)
     half = F.lower(F.regexp_replace("n1", "[^A-Za-z]", ""))
     tok = lambda k: F.lower(F.trim(f"n{k}"))
@@ -156,7 +159,7 @@ def times_of_day(words: DataFrame) -> DataFrame:
     seen = seen.withColumn("reach", reach)
     covered = F.lit(False)
     for k in range(1, 5):
-        covered = covered | (F.coalesce(F.lag("reach", k).over(BY), F.lit(0)) >= k)
+        covered = covered | (F.coalesce(F.lag("reach", k).over(by_clip()), F.lit(0)) >= k)
     word = F.concat(F.regexp_extract("word", "^[0-9]+", 0), F.upper(F.substring(half, 1, 1)), F.lit("M"), F.regexp_extract("word", "[.,?!]*$", 0))
     end = F.element_at(F.array("e1", "e2", "e3", "e4"), F.greatest(F.col("reach"), F.lit(1)))
     kept = seen.withColumn("covered", covered).filter("not covered")
@@ -170,7 +173,7 @@ def _middle(c: str) -> Column:
 
 def half_for_both(words: DataFrame) -> DataFrame:
     """"5" "to" "9PM" as "5PM" "to" "9PM"."""
-    seen = words.select(*COLUMNS, F.lead("word").over(BY).alias("n1"), F.trim(F.lead("word", 2).over(BY)).alias("n2"))
+    seen = words.select(*COLUMNS, F.lead("word").over(by_clip()).alias("n1"), F.trim(F.lead("word", 2).over(by_clip())).alias("n2"))
     hit = F.trim("word").rlike("^[0-9]+$") & (_middle("n1") == "to") & F.col("n2").rlike("^[0-9]+(AM|PM|am|pm)[.,!?]*$")
     word = F.when(hit, F.concat(F.trim("word"), F.upper(F.regexp_extract("n2", "(?i)(am|pm)", 1)))).otherwise(F.col("word"))
     return seen.withColumn("word", word).select(*COLUMNS)
