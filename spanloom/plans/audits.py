@@ -199,10 +199,10 @@ WEIGHTS = {"title": 10, "payoff": 30, "numbers": 15, "portable": 20, "duration":
     r"""WITH s AS (SELECT p_partkey, (['You ', 'How to ', 'Why ', '3 ', 'The ', 'Helping a '])[p_partkey % 6 + 1] || p_name AS title, p_size * 20 AS dur, p_retailprice / 2000 AS pay, p_partkey % 5 <> 0 AS has_payoff, regexp_matches(p_name, 'small|cold') AS num, (p_partkey % 13) / 10 AS port, CASE WHEN p_partkey % 7 > 0 THEN (p_partkey % 17) / 16 END AS alone, p_type = 'ECONOMY' AS topic FROM part),
 c AS (SELECT p_partkey, round(10 * CASE WHEN regexp_matches(title, '(?i)^watch this if you') THEN 10 WHEN regexp_matches(title, '(?i)^(you|your|you''re)\b') THEN 9 WHEN regexp_matches(title, '^["“].+\?["”]?$') THEN 9 WHEN regexp_matches(title, '(?i)^helping a') THEN 7 WHEN regexp_matches(title, '(?i)^how (to|i)\b') THEN 6 WHEN regexp_matches(title, '^\d') THEN 6 WHEN regexp_matches(title, '(?i)^why\b') THEN 3 ELSE 5 END / 10, 1) AS title,
 round(30 * CASE WHEN has_payoff THEN greatest(0, least(1, pay)) ELSE 0 END, 1) AS payoff, round(15 * CASE WHEN num THEN 1 ELSE 0.3::double END, 1) AS numbers, round(20 * greatest(0, least(1, port)), 1) AS portable, round(10 * CASE WHEN dur BETWEEN 180 AND 600 THEN 1::double WHEN dur >= 90 AND dur < 180 THEN 0.5::double + 0.5::double * (dur - 90) / 90 WHEN dur > 600 AND dur <= 1200 THEN 1 - 0.6::double * (dur - 600) / 600 ELSE 0.3::double END, 1) AS duration, round(10 * coalesce(alone, 0.5::double), 1) AS alone, round(5 * CASE WHEN topic THEN 1 ELSE 0.4::double END, 1) AS topic FROM s)
-SELECT p_partkey, title, payoff, numbers, portable, duration, alone, topic, round(title + payoff + numbers + portable + duration + alone + topic)::BIGINT AS score, round(title + payoff + numbers + portable + duration + alone + topic) >= 55 AS posts FROM c"""
+SELECT p_partkey, title, payoff, numbers, portable, duration, alone, topic, round_even(title + payoff + numbers + portable + duration + alone + topic, 0)::BIGINT AS score, round_even(title + payoff + numbers + portable + duration + alone + topic, 0) >= 55 AS posts FROM c"""
 )
 def weighted_score(spark, d):
-    """Seven weighted components of a segment, each rounded to one place, and their rounded sum against the floor."""
+    """Seven weighted components of a segment, each rounded to one place, and their sum, halves to even, against the floor."""
     k = F.col("p_partkey")
     lead = F.get(F.array(*map(F.lit, ("You ", "How to ", "Why ", "3 ", "The ", "Helping a "))), (k % 6).cast("int"))
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_type", "p_name", F.concat(lead, "p_name").alias("t"))
@@ -220,7 +220,7 @@ def weighted_score(spark, d):
     }
     c = p.select("p_partkey", *[F.round(WEIGHTS[n] * x, 1).alias(n) for n, x in parts.items()])
     total = sum((F.col(n) for n in list(parts)[1:]), F.col("title"))
-    return c.withColumn("score", F.round(total).cast("long")).withColumn("posts", F.col("score") >= 55)
+    return c.withColumn("score", F.bround(total).cast("long")).withColumn("posts", F.col("score") >= 55)
 
 
 @query(

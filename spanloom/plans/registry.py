@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregates, audits, edits, intervals, numbers, phrases, records, reviews, rules, sequences, texts, transcripts  # noqa: F401
+    from . import aggregates, audits, edits, intervals, media, numbers, phrases, records, repairs, reviews, rules, sequences, texts, transcripts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

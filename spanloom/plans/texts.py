@@ -94,7 +94,8 @@ def length_category(spark, d):
 FLAGGED = ["fuck", "shit", "damn", "ass ", "bitch", "hell "]
 OPENERS = ["yeah", "so", "um", "uh", "well", "okay so", "right so", "and", "but"]
 CONTINUES = ["that's why", "that's what", "so basically", "the point is", "and that's", "which is why", "because of that"]
-DANGLING = [r"\b(that (thing|focus|approach|method|strategy))\b", r"\b(what (he|she|they) (said|mentioned|talked about))\b", r"\b(the same (thing|way|approach))\b", r"\b(like i (said|mentioned))\b", r"\b(as i was saying)\b"]
+# the two with a capital I are held against lower-cased lines, so they never match; they stay as the rules have them
+DANGLING = [r"\bthat (?:thing|focus|approach|method|strategy)\b", r"\bwhat (?:he|she|they) (?:said|mentioned|talked about)\b", r"\bthe same (?:thing|way|approach)\b", r"\blike I (?:said|mentioned)\b", r"\bas I was saying\b"]
 SAFETY_SQL = "list_filter(['fuck', 'shit', 'damn', 'ass ', 'bitch', 'hell ', 'spam', 'free', 'click'], lambda x: contains(lower(text), x))"
 
 
@@ -111,7 +112,7 @@ def brand_safety(spark, d):
 @query(
     r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(lower(x))), lambda x: x <> '') AS ls FROM conversations WHERE text IS NOT NULL)
 SELECT conv_id, turn, coalesce(list_filter(['yeah', 'so', 'um', 'uh', 'well', 'okay so', 'right so', 'and', 'but', 'the', 'la', 'le', 'die', 'der', 'to'], lambda x: starts_with(ls[1], x || ' ') OR ls[1] = x)[1], '') AS opener, coalesce(list_bool_or(list_transform(['that''s why', 'that''s what', 'so basically', 'the point is', 'and that''s', 'which is why', 'because of that', 'of'], lambda x: starts_with(ls[1], x))), false) AS continues,
-len(list_filter(ls[1:3], lambda x: regexp_matches(x, '\b(that (thing|focus|approach|method|strategy))\b|\b(what (he|she|they) (said|mentioned|talked about))\b|\b(the same (thing|way|approach))\b|\b(like i (said|mentioned))\b|\b(as i was saying)\b|the of'))) AS dangling FROM l"""
+len(list_filter(ls[1:3], lambda x: regexp_matches(x, '\bthat (?:thing|focus|approach|method|strategy)\b|\bwhat (?:he|she|they) (?:said|mentioned|talked about)\b|\bthe same (?:thing|way|approach)\b|\blike I (?:said|mentioned)\b|\bas I was saying\b|the of'))) AS dangling FROM l"""
 )
 def opener_scan(spark, d):
     """What a text opens on: a filler, a continuation, and in its first three lines what refers to something unsaid."""
@@ -125,12 +126,12 @@ def opener_scan(spark, d):
     return l.select("conv_id", "turn", F.coalesce(F.get(hits, F.lit(0)), F.lit("")).alias("opener"), F.coalesce(goes_on, F.lit(False)).alias("continues"), unsaid.cast("long").alias("dangling"))
 
 
-@query("SELECT conv_id, turn, i, line FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations) WHERE length(line) - length(replace(line, ' ', '')) < 2 AND NOT regexp_matches(line, '[.!?]$')")
+@query("SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE line <> '' AND length(line) - length(replace(line, ' ', '')) < 2 AND NOT regexp_matches(line, '[.!?]$')")
 def fragment_lines(spark, d):
     """Lines of two words or fewer that don't end a sentence."""
-    l = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     few = F.length("line") - F.length(F.regexp_replace("line", " ", "")) < 2
-    return l.filter(few & ~F.col("line").rlike("[.!?]$")).withColumn("i", F.col("i").cast("bigint"))
+    return l.filter((F.col("line") != "") & few & ~F.col("line").rlike("[.!?]$")).withColumn("i", F.col("i").cast("bigint"))
 
 
 @query("SELECT conv_id, turn, coalesce(list_filter(s, lambda x: contains(x, '?'))[1], list_filter(s, lambda x: regexp_matches(x, '^(You|Your|Tu|Le)\\b'))[1], list_filter(s, lambda x: regexp_matches(x, '[0-9]'))[1], s[1]) AS title FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda x: trim(regexp_replace(x, '[ \\t\\n\\r]+', ' ', 'g'))), lambda x: x <> '') AS s FROM conversations WHERE text IS NOT NULL)")
