@@ -4,9 +4,9 @@ Per language, a suffix automaton of labelled text accepts exactly that text's su
 each automaton: a phrase is the longest match with the language's text, and the language that needs the fewest phrases,
 normalised to bits a symbol (phrases * log2(training symbols) / symbols), wins; ties go to the smaller name.
 
-The automata are built from a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols a language, in
-stretches spread over the whole of each text, picked by a hash of the text, so it covers every language at any size and copies count
-once); every document is scored on its whole text. A suffix automaton of n symbols has at most 2n states and 3n transitions, and
+The automata are built from a bounded sample of labelled rows: ``SAMPLE_ROWS`` rows a language at most, picked by a hash of the text
+whatever its length, so copies count once, which share ``SAMPLE_SYMBOLS`` characters evenly. A text within its share is learned whole, of a longer one
+stretches of ``STRETCH`` characters spread evenly from its start to its end. Every document is scored on its whole text. A suffix automaton of n symbols has at most 2n states and 3n transitions, and
 transitions are stored sparsely, so the broadcast model takes under 1 MB a language whatever its alphabet.
 
 For parsing many documents at once, a text is laid out as rows of ``SEGMENT`` symbols that are parsed side by side, each as if a
@@ -24,15 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, text_or_empty
+from .common import crc_mod, table, text_or_empty, written
 
 SAMPLE_ROWS = 48  # labelled rows a language
-SAMPLE_SYMBOLS = 24_000  # symbols of them that go into its automaton
-SHORT_TEXT = 6_000  # rows up to so many characters are taken first
-STRETCH = 1000  # characters of a text that are learned together
+SAMPLE_SYMBOLS = 24_000  # characters of them, shared evenly, that go into its automaton
+STRETCH = 100  # characters of a text that are learned together
 SEGMENT = 512
 SLICE = 1 << 19  # characters of one text handled at a time; the parse goes on in the next slice
 BLOCK = 12 << 20  # characters times languages of a batch handled at a time
@@ -111,9 +110,6 @@ class Parser:
             train: list[int] = []
             for t in lowered[k]:
                 train += [*self.symbols([t])[0].tolist(), -1]
-                if len(train) >= SAMPLE_SYMBOLS:
-                    break
-            train = train[:SAMPLE_SYMBOLS]
             roots.append(len(edges))
             edges += [{s: n + roots[-1] for s, n in to.items()} for to in suffix_automaton(train)]
             self.bits.append(float(np.log2(max(2, len(train)))))
@@ -286,14 +282,16 @@ class Parser:
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Per language, a bounded sample of its labelled rows: of each of SAMPLE_ROWS hash buckets the text of least hash, short ones first."""
-    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    h = F.xxhash64("text")
-    picked = rows.groupBy("lang", F.pmod(h, F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min(F.struct((F.length("text") > SHORT_TEXT).alias("long"), h.alias("h"), F.col("id"))).alias("m")).select("m.id", "lang")
-    share = SAMPLE_SYMBOLS // STRETCH  # a text of up to so many stretches is learned whole, of a longer one so many spread evenly
-    size, whole = F.length("text"), F.col("text")
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(share - 1)), lambda i: F.substring("text", F.floor(i * (size - STRETCH) / (share - 1)).cast("int") + 1, F.lit(STRETCH))), " ")
-    got = rows.join(F.broadcast(picked), ["id", "lang"]).select("lang", h.alias("h"), F.when(size <= SAMPLE_SYMBOLS, whole).otherwise(spread).alias("text")).toPandas().drop_duplicates()
+    """Per language, a bounded sample of its labelled rows: of each of SAMPLE_ROWS hash buckets the text of least hash, in its share of symbols."""
+    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    picked = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min(F.struct("h", "id")).alias("m")).select("m.h", "m.id", "lang")
+    share = F.floor(SAMPLE_SYMBOLS / F.count("*").over(Window.partitionBy("lang")))
+    picked = written(picked.withColumn("share", share.cast("int")), "lang-sample")  # its size is known now, so Spark broadcasts it while it is small
+    # rows that repeat an id and its text are one before anything is collected
+    one = rows.join(picked, [rows["h"] == picked["h"], rows["id"].eqNullSafe(picked["id"]), rows["lang"] == picked["lang"]]).select(rows["lang"], rows["h"], "share", "text").dropDuplicates(["lang", "h"])
+    size, n = F.length("text"), F.greatest(F.lit(1), F.floor(F.col("share") / STRETCH)).cast("int")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", F.floor(i * (size - STRETCH) / F.greatest(F.lit(1), n - 1)).cast("int") + 1, F.lit(STRETCH))), " ")
+    got = one.select("lang", "h", F.when(size <= F.col("share"), F.col("text")).otherwise(spread).alias("text")).toPandas()
     got = got.sort_values(["lang", "h", "text"])
     return {k: list(v["text"]) for k, v in got.groupby("lang")}
 
