@@ -156,6 +156,11 @@ def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows["content"]), np.uint8).reshape(n, CONTENT), np.frombuffer(b"".join(rows["meta"]), np.float32).reshape(n, META)
 
 
+def once(rows: DataFrame, *also: str) -> DataFrame:
+    """One row, the least, of those that repeat an id, so an id that many rows share costs the driver one."""
+    return rows.groupBy("id", *also).agg(F.min(F.struct("content", "meta")).alias("v")).select("id", *also, "v.content", "v.meta")
+
+
 def train(views: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Model:
     spark = views.sparkSession
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).dropna().filter("good in (0, 1)").groupBy("id").agg(F.min("good").alias("good"))
@@ -164,7 +169,7 @@ def train(views: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> M
         return Model(float(next(iter(counts), 1)))
     h = F.xxhash64(F.col("id").cast("string"))
     picked = ids.filter("good = 1").orderBy(h, "id").limit(SAMPLE_ROWS).unionByName(ids.filter("good = 0").orderBy(h, "id").limit(SAMPLE_ROWS))
-    rows = views.join(F.broadcast(picked), "id").withColumn("h", h).toPandas().drop_duplicates("id").sort_values(["h", "id"])
+    rows = once(views.join(F.broadcast(picked), "id"), "good").withColumn("h", h).toPandas().sort_values(["h", "id"])
     y = rows["good"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return Model(counts[1] / (counts[0] + counts[1]))
@@ -193,7 +198,7 @@ def train(views: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> M
         union = chosen[0]
         for x in chosen[1:]:
             union = union.unionByName(x)
-        got = views.join(F.broadcast(union), "id").toPandas().sort_values(["view", "good", "id"])
+        got = once(views.join(F.broadcast(union), "id"), "view", "good").toPandas().sort_values(["view", "good", "id"])
         for view in (0, 1):  # one view's picks teach the other
             new = got[(got["view"] == view) & ~got["id"].isin(taken)].drop_duplicates("id")
             if len(new):
