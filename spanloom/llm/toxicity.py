@@ -7,11 +7,11 @@ is a logistic function of the sum of squared marginals (so that many slight doub
 largest marginal, fitted on the whole texts of labelled rows that the field has not seen. Offending offsets are the runs of words
 with a marginal of one half at least.
 
-Training uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each class, by a hash of the id, each row weighing as
-many labelled rows of its class as it stands for, so that the classes weigh as in all labelled rows. The field learns from a sampled
-text of up to ``WHOLE`` words as a whole; of a longer one from ``STRETCHES`` stretches spread evenly over all of it, each a chain of
-its own. Everything else is a map over whole texts. For numpy's sake a chain is laid out in rows of ``ROW`` words; messages pass from
-row to row, so marginals are those of the whole chain (of texts over ``SLICE`` characters: of each slice).
+Training uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each class, by a hash of the id, and of these the first whose
+texts have ``SAMPLE_CHARS`` characters together (a text that alone is longer is passed over); each is learned whole, as one chain. A row
+weighs as many labelled rows of its class as it stands for, so that the classes weigh as in all labelled rows. Everything else is a
+map over whole texts. For numpy's sake a chain is laid out in rows of ``ROW`` words; messages pass from row to row, and from slice to
+slice of a text over ``SLICE`` characters, once forth and once back, so marginals are always those of the whole chain.
 
 Cases: a null or empty text, or one without letters, gets the score of a text without toxic words; without labels of both classes
 the score is 0 throughout; labels other than 0 and 1 don't count; texts may be of any length (read in slices); repeated rows are
@@ -32,8 +32,7 @@ from pyspark.sql import types as T
 from .common import crc_mod, table, text_or_empty, written
 
 SAMPLE_ROWS = 2500
-WHOLE = 4096  # words up to which the field learns from all of a sampled text
-STRETCHES = 16  # of a longer one it learns from so many stretches of WHOLE / STRETCHES words
+SAMPLE_CHARS = 9_000_000  # characters of the sampled texts of a class
 PREFIXES = (4, 5, 6, 7, 8)
 DIMS = 1 << 21
 SUPPORT, PURE, EVIDENCE, EVIDENCE_REST = 4, 0.8, 14.0, 7.0
@@ -135,9 +134,10 @@ class Field:
             out += self.w.take(feats[:, k])
         return out
 
-    def forward_backward(self, u: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward_backward(self, u: np.ndarray, owner: np.ndarray, n: int, before: float = np.nan, behind: float = np.nan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the words of n chains (owner ascending) with emissions u: marginals of the toxic state, and the odds from the left
-        (own word included) and from the right (likewise), of which ``pairs`` makes expected transitions.
+        (own word included) and from the right (likewise), of which ``pairs`` makes expected transitions. before and behind are these odds of
+        the words next to the chains, where the chains are parts of longer ones.
 
         A message is the odds of the toxic state; a word turns it by a 2 x 2 matrix. The product of a row's matrices passes a
         message over the whole row, so rows of one chain wait for each other only in the short loops over row numbers."""
@@ -151,6 +151,8 @@ class Field:
         e = np.ascontiguousarray(lay.reshape(rows, ROW).T)
         opens = np.concatenate(([True], chain[1:] != chain[:-1]))  # a chain's first row
         closes = np.concatenate((opens[1:], [True]))
+        starts = opens & np.isnan(before)  # no word before it
+        end = 1.0 if np.isnan(behind) else (a11 * behind + a10) / (a01 * behind + a00)  # what a chain's last word gets from its right
         size = np.full(rows, ROW)
         size[closes] = (np.bincount(owner, minlength=n) - 1)[chain[closes]] % ROW + 1
         start = np.flatnonzero(opens)[np.cumsum(opens) - 1]
@@ -159,9 +161,10 @@ class Field:
 
         # messages into each row: over whole rows, as the odds' fractions (p11 o + p01) / (p10 o + p00)
         into, beyond = np.ones(rows), np.ones(rows)
+        into[opens & ~starts] = before
         many = np.flatnonzero(~(opens & closes))
         if len(many):
-            x, first = e[:, many], opens[many]
+            x, first = e[:, many], starts[many]
             p00, p01, p10, p11 = a00 + 0 * x[0], a01 * x[0], a10 + 0 * x[0], a11 * x[0]
             for p, v in ((p00, 1.0), (p10, 1.0), (p01, x[0]), (p11, x[0])):  # no word before a chain's first one
                 p[first] = v[first] if isinstance(v, np.ndarray) else v
@@ -182,10 +185,10 @@ class Field:
             # the same from the right: a row turns what comes from its right into the odds at its first word
             q00, q01, q10, q11 = np.ones(len(many)), np.zeros(len(many)), np.zeros(len(many)), np.ones(len(many))
             for t in range(ROW - 1, -1, -1):
-                shut = ends & (t >= last)  # at and after the chain's last word nothing comes from the right
+                shut = ends & (t >= last)  # at and after the chain's last word nothing more comes from the right
                 q00, q01, q10, q11 = a00 * q00 + a01 * q10, a00 * q01 + a01 * q11, (a10 * q00 + a11 * q10) * x[t], (a10 * q01 + a11 * q11) * x[t]
                 q00[shut], q01[shut] = 0.5, 0.5
-                q10[shut] = q11[shut] = 0.5 * x[t][shut]
+                q10[shut] = q11[shut] = 0.5 * x[t][shut] * end
                 top = 1 / (q00 + q01 + q10 + q11)
                 q00, q01, q10, q11 = q00 * top, q01 * top, q10 * top, q11 * top
             order = np.argsort(to_end[many], kind="stable")
@@ -196,7 +199,7 @@ class Field:
                 beyond[r] = (o * q11[i] + q10[i]) / (o * q01[i] + q00[i])
 
         left, right = np.empty_like(e), np.empty_like(e)
-        o = e[0] * np.where(opens, 1.0, (into * a11 + a01) / (into * a10 + a00))
+        o = e[0] * np.where(starts, 1.0, (into * a11 + a01) / (into * a10 + a00))
         left[0] = o
         for t in range(1, ROW):
             o = e[t] * (o * a11 + a01) / (o * a10 + a00)
@@ -204,7 +207,7 @@ class Field:
         x = beyond
         for t in range(ROW - 1, -1, -1):
             b = (a11 * x + a10) / (a01 * x + a00)
-            b[closes & (t >= size - 1)] = 1.0
+            b[closes & (t >= size - 1)] = end
             x = e[t] * b
             right[t] = x
         left, right = left.T.ravel()[place], right.T.ravel()[place]
@@ -263,44 +266,64 @@ class Field:
     def tag(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Per text: sum of squared marginals, largest marginal, words; and the offending spans."""
         sums, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
-        owner, offset, parts = [], [], []
+        held, chars = [], 0
         for i, t in enumerate(texts):
             t = lower_same_length(t)
-            s = 0
-            while s < len(t):
-                e = min(len(t), s + SLICE)
-                while e < len(t) and e - s < SLICE + 4096 and t[e].isalpha():
-                    e += 1
-                owner.append(i)
-                offset.append(s)
-                parts.append(t[s:e])
-                s = e
-        at = 0
-        while at < len(parts):
-            end, chars = at, 0
-            while end < len(parts) and (chars == 0 or chars + len(parts[end]) <= BLOCK):
-                chars += len(parts[end])
-                end += 1
-            self._block(parts[at:end], np.array(owner[at:end]), np.array(offset[at:end]), sums, spans)
-            at = end
+            if len(t) > SLICE:
+                self._long(i, t, sums, spans)
+                continue
+            if held and chars + len(t) > BLOCK:
+                self._block(held, sums, spans)
+                held, chars = [], 0
+            held.append((i, t))
+            chars += len(t)
+        if held:
+            self._block(held, sums, spans)
         return sums, spans
 
-    def _block(self, parts, owner, offset, sums, spans) -> None:
-        words = Words(parts)
+    def _block(self, held: list[tuple[int, str]], sums: np.ndarray, spans: list) -> None:
+        words = Words([t for _, t in held])
         if not len(words.text):
             return
-        p = self.forward_backward(self.emission(words.feats), words.text, len(parts))[0]
-        own = owner[words.text]
+        p = self.forward_backward(self.emission(words.feats), words.text, len(held))[0]
+        which = np.array([i for i, _ in held])
+        own = which[words.text]
         sums[:, 0] += np.bincount(own, p * p, len(sums))
         np.maximum.at(sums[:, 1], own, p)
         sums[:, 2] += np.bincount(own, minlength=len(sums))
-        bad = np.flatnonzero(p >= 0.5)
-        if len(bad):
-            cut = np.flatnonzero(np.diff(bad) != 1) + 1
-            for run in np.split(bad, cut):
-                for k in np.split(run, np.flatnonzero(np.diff(words.text[run])) + 1):
-                    i, j, d = k[0], k[-1], words.text[k[0]]
-                    spans[owner[d]].append((int(words.start[i] + offset[d]), int(words.end[j] + offset[d]), float(p[k].max())))
+        for d, start, end, most in offending(words, p):
+            spans[which[d]].append((start, end, most))
+
+    def _long(self, i: int, t: str, sums: np.ndarray, spans: list) -> None:
+        """One text in slices that end where no word goes on: odds from the left are handed from slice to slice, then those from the right."""
+        cuts = [0]
+        while cuts[-1] < len(t):
+            e = min(len(t), cuts[-1] + SLICE)
+            while e < len(t) and t[e].isalpha():
+                e += 1
+            cuts.append(e)
+        part = lambda k: Words([t[cuts[k] : cuts[k + 1]]])
+        before, n = [np.nan], len(cuts) - 1
+        for k in range(n - 1):
+            words = part(k)
+            left = self.forward_backward(self.emission(words.feats), words.text, 1, before[-1])[1]
+            before.append(left[-1] if len(left) else before[-1])
+        behind, found, open_right = np.nan, [], False
+        for k in reversed(range(n)):
+            words = part(k)
+            p, _, right = self.forward_backward(self.emission(words.feats), words.text, 1, before[k], behind)
+            if not len(p):
+                continue
+            behind = right[0]
+            sums[i] += (p @ p, 0, len(p))
+            sums[i, 1] = max(sums[i, 1], p.max())
+            own = [(a + cuts[k], b + cuts[k], m) for _, a, b, m in offending(words, p)]
+            if found and open_right and p[-1] >= 0.5:  # a span that goes on in the slice behind
+                (a, _, m), (_, b, m2) = own.pop(), found.pop()
+                own.append((a, b, max(m, m2)))
+            found += reversed(own)
+            open_right = p[0] >= 0.5
+        spans[i] += reversed(found)
 
     @staticmethod
     def summary(sums: np.ndarray) -> np.ndarray:
@@ -320,6 +343,14 @@ class Field:
         self.doc = b
 
 
+def offending(words: Words, p: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(text, start, end, largest marginal) of each run of words with a marginal of one half at least."""
+    bad = np.flatnonzero(p >= 0.5)
+    if len(bad):
+        for k in np.split(bad, np.flatnonzero((np.diff(bad) != 1) | (np.diff(words.text[bad]) != 0)) + 1):
+            yield int(words.text[k[0]]), int(words.start[k[0]]), int(words.end[k[-1]]), float(p[k].max())
+
+
 def marking(words: Words, y: np.ndarray, n: int, clean: float = 1.0) -> np.ndarray:
     """Features that mark toxic documents: their share of toxic documents can't well be chance (EVIDENCE), or they explain toxic
     documents without such a feature (EVIDENCE_REST, taken greedily). Near copies, told by their least word hashes, count once.
@@ -355,36 +386,32 @@ def marking(words: Words, y: np.ndarray, n: int, clean: float = 1.0) -> np.ndarr
         marks[gain.argmax()] = True
 
 
-def stretches(text: str) -> list[str]:
-    """The chains that the field learns from: the text itself, or stretches spread evenly over a long one."""
-    low = lower_same_length(text)
-    if len(low) <= WHOLE:
-        return [low]
-    words = words_of([low])
-    n = len(words.start)
-    if n <= WHOLE:
-        return [low]
-    size = WHOLE // STRETCHES
-    first = (np.arange(STRETCHES) * (n - size)) // (STRETCHES - 1)
-    return [low[words.start[i] : words.end[i + size - 1]] for i in first]
-
-
-def train(texts: list[list[str]], toxic: np.ndarray, clean: float = 1.0) -> Field:
-    """A field from the chains of each text. A clean text weighs ``clean`` toxic ones."""
+def train(texts: list[str], toxic: np.ndarray, clean: float = 1.0) -> Field:
+    """A field from whole texts, each a chain. A clean text weighs ``clean`` toxic ones."""
     field, n = Field(), len(texts)
-    of = np.repeat(np.arange(n), [len(t) for t in texts])
-    words = words_of([c for t in texts for c in t])
-    chain = words.text
-    words.text = of[chain] if len(of) else chain
+    words = words_of([lower_same_length(t) for t in texts])
     words.start = words.end = None
     marks = marking(words, toxic, n, clean)
     bad = toxic[words.text] == 1
     label = bad.copy()
     label[bad] = marks[words.feats[bad]].any(axis=1)
-    field.fit(words.feats, label, chain, len(of), np.where(bad, 1.0, clean))
+    field.fit(words.feats, label, words.text, n, np.where(bad, 1.0, clean))
     return field
 
 
+def within(drawn: list) -> list[list]:
+    """Ids of the clean and of the toxic rows drawn (id, toxic, h, n), in the order of h: the first whose texts have SAMPLE_CHARS characters."""
+    picked: list[list] = [[], []]
+    chars = [0, 0]
+    for r in sorted(drawn, key=lambda r: (r["h"], r["id"])):
+        c = r["toxic"]
+        if r["n"] <= SAMPLE_CHARS and chars[c] <= SAMPLE_CHARS:
+            chars[c] += r["n"]
+            if chars[c] <= SAMPLE_CHARS:
+                picked[c].append(r["id"])
+    return picked
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """Learn from a bounded sample of the labelled rows for which learn (a condition on the id column) holds: two of every three rows
     of a class train the field, the third calibrates the score."""
@@ -395,23 +422,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     size = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return Field()
-    picked = [[r["id"] for r in ids.filter(F.col("toxic") == c).orderBy(h, "id").limit(SAMPLE_ROWS).select("id").collect()] for c in (0, 1)]
+    first = [ids.filter(F.col("toxic") == c).orderBy(h, "id").limit(SAMPLE_ROWS) for c in (0, 1)]
+    drawn = first[0].unionByName(first[1])
+    # of rows that repeat an id the least text, so nothing is collected more than once
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(drawn), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    texts = written(texts, "toxic-sample")
+    picked = within(texts.select("id", "toxic", h.alias("h"), F.length("text").alias("n")).collect())
     apart = [p[2::3] or p for p in picked]  # too few to keep any apart: calibrate on the rows that train
     kind = ids.schema["id"].dataType.simpleString()
-    part = spark.createDataFrame([(i, c, k) for c in (0, 1) for k, x in ((0, [i for j, i in enumerate(picked[c]) if j % 3 != 2]), (1, apart[c])) for i in x], f"id {kind}, toxic int, part int")
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(part), "id")
-
-    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[["id", "toxic"]].assign(chains=[stretches(t) for t in b["text"]])
-
-    got = rows.filter("part = 0").mapInPandas(chains, f"id {kind}, toxic int, chains array<string>").toPandas()
-    got = got.assign(key=[c[0] for c in got["chains"]]).sort_values(["id", "key"]).drop_duplicates("id")
-    texts, toxic = [list(c) for c in got.pop("chains")], got["toxic"].to_numpy(np.int64)
+    part = spark.createDataFrame([(i, k) for c in (0, 1) for k, x in ((0, [i for j, i in enumerate(picked[c]) if j % 3 != 2]), (1, apart[c])) for i in x], f"id {kind}, part int")
+    rows = texts.join(F.broadcast(part), "id")
+    got = rows.filter("part = 0").select("id", "toxic", "text").toPandas().sort_values("id")
+    whole_texts, toxic = list(got.pop("text")), got["toxic"].to_numpy(np.int64)
     del got
     stands = [size[c] / max(1, len(picked[c])) for c in (0, 1)]
-    field = train(texts, toxic, stands[0] / stands[1])
-    del texts
+    field = train(whole_texts, toxic, stands[0] / stands[1])
+    del whole_texts
     model = spark.sparkContext.broadcast(field)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,7 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             sums, _ = model.value.tag(list(b["text"]))
             yield b[["id", "toxic"]].assign(a=sums[:, 0], b=sums[:, 1], c=sums[:, 2])
 
-    held = rows.filter("part = 1").mapInPandas(whole, f"id {kind}, toxic int, a double, b double, c double").toPandas().sort_values(["id", "a", "b", "c"]).drop_duplicates("id")
+    held = rows.filter("part = 1").mapInPandas(whole, f"id {kind}, toxic int, a double, b double, c double").toPandas().sort_values("id")
     y = held["toxic"].to_numpy(np.int64)
     field.calibrate(held[["a", "b", "c"]].to_numpy(np.float64), y, np.where(y == 1, stands[1], stands[0]))
     return field

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spanloom.llm import toxicity
 
@@ -56,9 +57,35 @@ def test_marginals_and_transitions_over_rows():
         assert np.allclose(f.pairs(left, right, inner, weight[owner]), sum(k * w[1] for k, w in zip(kept, want)))
 
 
-def test_long_texts_are_learned_from_all_over():
-    words = ["".join("abcdefghij"[(i // 10**k) % 10] for k in range(5)) for i in range(20_000)]
-    chains = toxicity.stretches(" ".join(words))
-    assert len(chains) == toxicity.STRETCHES and chains[0].startswith(words[0]) and chains[-1].endswith(words[-1])
-    assert sum(len(c.split()) for c in chains) == toxicity.WHOLE
-    assert toxicity.stretches("Short TEXT") == ["short text"]
+def test_a_text_in_slices_is_one_chain(monkeypatch):
+    g = np.random.default_rng(7)
+    vocab = ["".join(g.choice(list("abcdefgh"), 5)) for _ in range(30)]
+    f = field_of([[2.5, -1.5], [-1.5, 2.0]])
+    f.bias, f.w = 0.0, g.normal(0, 2.5, toxicity.DIMS + 1).astype(np.float32)
+    f.w[-1] = 0.0  # of features that a word lacks
+    texts = [" ".join(g.choice(vocab, n)) + tail for n, tail in ((80, ""), (300, " ... "), (41, "!" * 90), (1, ""), (500, ""))] + ["", "-" * 200, "é" * 150]
+    want, spans = f.tag(texts)
+    assert sum(map(len, spans)) > 10
+    for size in (1, 30, 64, 333):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        got, cut = f.tag(texts)
+        assert np.allclose(got, want, atol=1e-9)
+        assert [[x[:2] for x in s] for s in cut] == [[x[:2] for x in s] for s in spans]
+
+
+def test_the_sample_takes_whole_texts_within_its_bound(monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100)
+    rows = [{"id": i, "toxic": c, "h": h, "n": n} for i, c, h, n in [(1, 0, 5, 60), (2, 0, 1, 101), (3, 0, 2, 40), (4, 0, 9, 1), (5, 1, 0, 100), (6, 1, 3, 1)]]
+    assert toxicity.within(rows) == [[3, 1], [5]]
+
+
+def test_an_id_that_many_rows_share_is_learned_once(spark):
+    g = np.random.default_rng(9)
+    plain = lambda: " ".join("".join(g.choice(list("abcdefghij"), 6)) for _ in range(20))
+    rows = [(i, plain()) for i in range(40)] + [(100 + i, plain() + " grumpf") for i in range(40)] + [(7, f"copy of seven {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(40)] + [(7, 0)] * 50 + [(3, 1), (3, 0)], "doc_id long, toxic int")
+    field = toxicity.fit(docs, labels, F.lit(True))
+    again = toxicity.fit(docs.repartition(3), labels, F.lit(True))
+    s = [f.score(f.tag(["it says grumpf twice grumpf", "plain words here"])[0]) for f in (field, again)]
+    assert s[0][0] > 0.7 > 0.3 > s[0][1] and np.allclose(s[0], s[1])
