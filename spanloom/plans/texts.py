@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.functions import captions as cp
 from spanloom.functions import text as tx
 from spanloom.functions import timecode as tc
 from spanloom.operators import align as al
+from spanloom.operators import captions as cp
 from spanloom.operators import matching as mt
 from spanloom.sources.tables import WORDS, table, words
 
@@ -165,8 +165,9 @@ def name_building(spark, d):
 
 @query(None)
 def caption_format(spark, d):
-    """Caption text rules over all turns, one Arrow batch at a time."""
-    return table(spark, d, "conversations").select("conv_id", "turn", cp.formatted("text").alias("caption"))
+    """Caption text rules over all turns."""
+    t = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return cp.formatted(t, "id", "text").select("id.*", "caption")
 
 
 def aligned_sql(pairs: str) -> str:

@@ -1,8 +1,7 @@
-"""Hand-made rows for what SQL doesn't cover: readers, sinks, formatter, folds, streaming."""
+"""Hand-made rows for what SQL doesn't cover: readers, sinks, folds, streaming."""
 
 from pyspark.sql import functions as F
 
-from spanloom.functions import captions as cp
 from spanloom.functions import timecode as tc
 from spanloom.operators import intervals as iv
 from spanloom.operators import sequence as sq
@@ -45,12 +44,6 @@ def test_scalar_golden_rows(spark):
     assert one.select(tc.cue_time(F.lit(59.999)), tc.cue_time(F.lit(3661.5), True)).first()[:] == ("0:01:00.00", "01:01:01,500")
 
 
-def test_caption_formatter():
-    for text, want in (("one hundred thousand", "100,000"), ("a $400 million", "a $400M"), ("it's a $2 billion company", "it's a $2 Billion company"), ("only one way", "only one way"), ("twenty-five percent of it", "25% of it"), ("number five is", "#5 is"), ("i'm in", "I'm in")):
-        assert cp.format_text(text) == want
-        assert cp.format_text(want) == want
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"segments": [{"start": 0, "end": 2, "text": "a b", "words": [{"word": " a ", "start": 0.1}, {"text": "b", "start": 0.5, "end": 0.9}, {"word": "x"}]}]}')
     (tmp_path / "b.json").write_text('[{"word": "c", "start": 1, "end": 2}, {"word": "d"}]')
