@@ -53,8 +53,18 @@ def _at(c: str, n: int) -> Column:
     return (F.lead(c, n) if n > 0 else F.lag(c, -n)).over(_w())
 
 
+def _sql(x: str | int) -> str:
+    return str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    """A map of constants, in one expression."""
+    return F.expr(f"map({', '.join(_sql(x) for kv in values.items() for x in kv)})")
+
+
+def _in(x: Column, names: list[str]) -> Column:
+    """Whether x is one of the names; null if x is."""
+    return F.array_contains(F.expr(f"array({', '.join(map(_sql, names))})"), x)
 
 
 def _is(x: Column) -> Column:
@@ -66,14 +76,22 @@ def _int(x: Column) -> Column:
 
 
 def _ahead(df: DataFrame, n: int, back: bool = False) -> DataFrame:
-    """df with low, and for each of the next n rows its text (t1 ...), lower case (l1 ...), trail, lock and end; with back, t0 and l0 of the row before."""
+    """df with low, and for each of the next n rows its text (t1 ...), lower case (l1 ...), trail, lock and end; with back, t0, l0, o0 and the start h0 of the row before."""
     df = df.withColumn("low", F.lower("text"))
     cols = {}
     for k in range(1, n + 1):
-        cols |= {f"t{k}": _at("text", k), f"l{k}": _at("low", k), f"r{k}": _at("trail", k), f"o{k}": F.coalesce(_at("locked", k), F.lit(True)), f"h{k}": _at("hi", k)}
+        cols |= {f"z{k}": F.lead(F.struct("text", "low", "trail", "locked", "hi"), k).over(_w())}
+    if back:
+        cols |= {"z0": F.lag(F.struct("text", "low", "locked", "lo"), 1).over(_w())}
+    df = df.withColumns(cols)
+    out = [c for c in df.columns if c not in cols]
+    for k in range(1, n + 1):
+        z = F.col(f"z{k}")
+        out += [z["text"].alias(f"t{k}"), z["low"].alias(f"l{k}"), z["trail"].alias(f"r{k}"), F.coalesce(z["locked"], F.lit(True)).alias(f"o{k}"), z["hi"].alias(f"h{k}")]
     if back:
-        cols |= {"t0": _at("text", -1), "l0": _at("low", -1), "o0": F.coalesce(_at("locked", -1), F.lit(True)), "h0": _at("lo", -1)}
-    return df.withColumns(cols)
+        z = F.col("z0")
+        out += [z["text"].alias("t0"), z["low"].alias("l0"), F.coalesce(z["locked"], F.lit(True)).alias("o0"), z["lo"].alias("h0")]
+    return df.select(*out)
 
 
 def _take(df: DataFrame, n: Column, most: int, text: Column, locked: bool = True, keep_trail: bool = False, spoken: bool = False) -> DataFrame:
@@ -118,35 +136,36 @@ def dictionary(df: DataFrame) -> DataFrame:
     shot = _is((F.col("low") == "one") & (F.col("l1") == "shot") & ~F.col("locked"))
     shot2 = _is((F.col("low") == "shot") & (F.col("l0") == "one") & ~F.col("o0"))
     entry = F.when(~F.col("locked"), F.element_at(_map(DICTIONARY), F.col("low")))
-    amount = F.col("text").rlike(AMOUNT) & _is(F.col("l1").isin(list(SCALES)))
-    formed = F.col("text").isin([*ACRONYMS, "1-on-1"]) | (F.col("text").rlike("(?U)^(?:" + "|".join(FORMATTED) + r")\z") & ~amount) | F.col("text").rlike(GLUED)
+    amount = F.col("text").rlike(AMOUNT) & _is(_in(F.col("l1"), list(SCALES)))
+    formed = _in(F.col("text"), [*ACRONYMS, "1-on-1"]) | (F.col("text").rlike("(?U)^(?:" + "|".join(FORMATTED) + r")\z") & ~amount) | F.col("text").rlike(GLUED)
     text = F.when(shot | shot2, F.col("low")).otherwise(F.coalesce(entry, "text"))
     return t.select("id", "k", text.alias("text"), F.when(shot, "").otherwise(F.col("trail")).alias("trail"), (F.col("locked") | shot | shot2 | entry.isNotNull() | formed).alias("locked"), "spoken", "lo", "hi")
 
 
 def _worth(words: Column) -> Column:
     """The value of number words (low, digits) said one after the other."""
-    v = lambda x: F.coalesce(x["digits"], F.element_at(_map({k: int(n) for k, n in NUMBERS.items()}), x["low"]).cast("bigint"))
+    valued = F.transform(words, lambda x: F.struct(x["digits"].alias("digits"), F.coalesce(x["digits"], F.element_at(_map(NUMBERS), x["low"]).cast("bigint")).alias("v")))
     some = lambda c: F.when(c == 0, F.lit(1).cast("bigint")).otherwise(c)
     zero = F.lit(0).cast("bigint")
 
     def step(s: Column, x: Column) -> Column:
-        plain = x["digits"].isNotNull() | (v(x) < 100)
-        cur = F.when(plain, F.try_add(s["cur"], v(x))).when(v(x) == 100, F.try_multiply(some(s["cur"]), F.lit(100).cast("bigint"))).otherwise(zero)
-        total = F.when(plain | (v(x) == 100), s["total"]).otherwise(F.try_add(s["total"], F.try_multiply(some(s["cur"]), v(x))))
+        v = x["v"]
+        plain = x["digits"].isNotNull() | (v < 100)
+        cur = F.when(plain, F.try_add(s["cur"], v)).when(v == 100, F.try_multiply(some(s["cur"]), F.lit(100).cast("bigint"))).otherwise(zero)
+        total = F.when(plain | (v == 100), s["total"]).otherwise(F.try_add(s["total"], F.try_multiply(some(s["cur"]), v)))
         return F.struct(total.alias("total"), cur.alias("cur"))
 
-    return F.aggregate(words, F.struct(zero.alias("total"), zero.alias("cur")), step, lambda s: F.try_add(s["total"], s["cur"]))
+    return F.aggregate(valued, F.struct(zero.alias("total"), zero.alias("cur")), step, lambda s: F.try_add(s["total"], s["cur"]))
 
 
 def number_words(df: DataFrame) -> DataFrame:
     """Runs of number words, or of digits and scales, as digits. A lone "one", "zero" before others, and a scale behind "$N" stay words."""
     t = _ahead(df, 1, back=True)
-    word = ~F.col("locked") & F.col("low").isin(list(NUMBERS))
-    scale_next = _is(~F.col("o1") & F.col("l1").isin(list(SCALES)))
+    word = ~F.col("locked") & _in(F.col("low"), list(NUMBERS))
+    scale_next = _is(~F.col("o1") & _in(F.col("l1"), list(SCALES)))
     digits = F.when(~F.col("locked") & scale_next, _int(F.col("text")))
     t = t.withColumns({"word": word, "digits": digits})
-    starts = F.col("word") & (F.col("low") != "zero") & ((F.col("low") != "one") | scale_next) & ~(F.col("low").isin(list(SCALES)) & _is(F.col("t0").rlike(AMOUNT)))
+    starts = F.col("word") & (F.col("low") != "zero") & ((F.col("low") != "one") | scale_next) & ~(_in(F.col("low"), list(SCALES)) & _is(F.col("t0").rlike(AMOUNT)))
     t = t.withColumns({"starts": starts, "b": F.count_if(~F.col("word")).over(_w())})
     whole = Window.partitionBy("id", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.when(F.max("digits").over(whole).isNotNull(), F.lit(-1)).otherwise(F.min(F.when(F.col("starts"), F.col("k"))).over(whole))
@@ -163,7 +182,7 @@ def number_words(df: DataFrame) -> DataFrame:
 def one_or_digit(df: DataFrame) -> DataFrame:
     """"one" before money or another number as a digit; else it stays a word."""
     t = _ahead(df, 1)
-    digit = ~F.col("locked") & (F.col("low") == "one") & _is(F.col("l1").isin(["dollar", "dollars", "grand", *NUMBERS]) | F.col("t1").rlike(INTEGER))
+    digit = ~F.col("locked") & (F.col("low") == "one") & _is(_in(F.col("l1"), ["dollar", "dollars", "grand", *NUMBERS]) | F.col("t1").rlike(INTEGER))
     return t.select("id", "k", F.when(digit, "1").otherwise(F.col("text")).alias("text"), "trail", "locked", "spoken", "lo", "hi")
 
 
@@ -174,7 +193,7 @@ def labels(df: DataFrame) -> DataFrame:
     hit = ~F.col("locked") & (F.col("low") == "number") & value(F.col("t1"), F.col("l1")).isNotNull()
     t = _ahead(_take(t, F.when(hit, 1), 1, F.concat(F.lit("#"), value(F.col("t1"), F.col("l1")).cast("string"))), 1, back=True)
     own = value(F.col("text"), F.col("low")).cast("string")
-    behind = lambda names: _is(~F.col("o0") & F.col("l0").isin(names)) & own.isNotNull()
+    behind = lambda names: _is(~F.col("o0") & _in(F.col("l0"), names)) & own.isNotNull()
     text = F.when(behind(LABELS_HASH), F.concat(F.lit("#"), own)).when(behind(LABELS_PLAIN), own).otherwise(F.col("text"))
     return t.select("id", "k", text.alias("text"), "trail", (F.col("locked") | behind(LABELS_HASH + LABELS_PLAIN)).alias("locked"), "spoken", "lo", "hi")
 
@@ -221,7 +240,7 @@ def money(df: DataFrame) -> DataFrame:
     named = _is(F.col("l1").isin("dollar", "dollars"))
     kilo = _kilo(F.col("low"))
     value = F.coalesce(_int(F.col("text")), kilo)
-    scaled = F.col("text").rlike(AMOUNT) & _is(F.col("l1").isin(BIG))
+    scaled = F.col("text").rlike(AMOUNT) & _is(_in(F.col("l1"), BIG))
     times = F.element_at(_map({k: SCALES[k] for k in BIG}), F.col("l1"))
     folded = (F.regexp_extract("text", AMOUNT, 2).try_cast("decimal(24,6)") * times.cast("decimal(13,0)")).cast("decimal(38,0)").try_cast("bigint")
     n = F.when(free & (((F.col("low") == "zero") & named) | (scaled & folded.isNotNull()) | (value.isNotNull() & named)), 1)
@@ -231,7 +250,7 @@ def money(df: DataFrame) -> DataFrame:
     # "50 k", "3 mil", and "1.5 grand"
     t = _ahead(t, 1)
     q = _quantity(F.col("text"))
-    short = _is(F.col("l1").isin(list(UNITS)) & ~F.col("o1"))
+    short = _is(_in(F.col("l1"), list(UNITS)) & ~F.col("o1"))
     grand = _is((F.col("l1") == "grand") & ~F.col("o1")) & q.contains(".")
     t = _take(t, F.when(~F.col("locked") & q.isNotNull() & (short | grand), 1), 1, F.concat(F.lit("$"), q, F.when(short, F.element_at(_map(UNITS), F.col("l1"))).otherwise("K")), keep_trail=True)
 
@@ -254,14 +273,14 @@ def _implied(df: DataFrame) -> DataFrame:
     t = _ahead(df, 2, back=True)
     kilo = F.when(_int(F.col("text")).isNull(), _kilo(F.col("low")))
     core = F.regexp_replace("low", r"^[.,!?]+|[.,!?]+\z", "")
-    about = (core.isin(TRIGGERS) | core.startswith("charg")).cast("int")
+    about = (_in(core, TRIGGERS) | core.startswith("charg")).cast("int")
     t = t.withColumns({"value": F.when(~F.col("locked"), F.coalesce(_int(F.col("text")), kilo)), "kilo": kilo, "about": about, "full": (F.col("text") != "").cast("int")})
     around = F.sum("about").over(_w().rowsBetween(-8, 3)) - F.col("about") > 0
     alone = F.sum("full").over(Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1
     v = F.col("value")
     year = ~F.col("spoken") & F.col("text").rlike(r"^[0-9]{4}\z") & v.between(1900, 2099)
-    rate = _is(F.col("l1").isin("a", "an") & F.col("l2").isin(RATES))
-    counts = _is(F.col("l1").isin(COUNTED))
+    rate = _is(F.col("l1").isin("a", "an") & _in(F.col("l2"), RATES))
+    counts = _is(_in(F.col("l1"), COUNTED))
     large = (v >= 100_000_000) & ~(alone & _int(F.col("text")).isNotNull())
     said = around & (v >= 1000)
     t = t.withColumns({"rate": rate, "large": large, "said": said, "pays": v.isNotNull() & ~counts & ~year & (rate | large | said)})
@@ -302,21 +321,26 @@ def capitals(df: DataFrame) -> DataFrame:
     def piece(p: Column) -> Column:
         at = lambda n: F.regexp_extract(p, r"(?Us)^(\W*)(.*?)(\W*)\z", n)
         mid = F.lower(at(2))
-        named = F.coalesce(F.element_at(canon, mid), F.when(mid.isin(I_FORMS), F.concat(F.lit("I"), F.substring(mid, 2, 9))))
+        named = F.coalesce(F.element_at(canon, mid), F.when(_in(mid, I_FORMS), F.concat(F.lit("I"), F.substring(mid, 2, 9))))
         return F.struct(F.coalesce(F.concat(at(1), named, at(3)), F.lower(p)).alias("text"), named.isNotNull().alias("hit"))
 
     pieces = F.transform(F.regexp_extract_all("text", F.lit(r"[ \-]|[^ \-]+"), F.lit(0)), piece)
     compound = F.when(F.col("text").rlike(r"[ \-]") & F.exists(pieces, lambda p: p["hit"]), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
-    text = F.when(F.col("locked"), F.col("text")).when(F.col("low").isin(I_FORMS), big_i("low")).when(F.col("low").isin(ABBREVIATED), F.col("low")).when(F.col("text").isin(ACRONYMS + PROPER), F.col("text"))
+    text = F.when(F.col("locked"), F.col("text")).when(_in(F.col("low"), I_FORMS), big_i("low")).when(_in(F.col("low"), ABBREVIATED), F.col("low")).when(_in(F.col("text"), ACRONYMS + PROPER), F.col("text"))
     text = text.otherwise(F.coalesce(F.element_at(canon, F.col("low")), F.concat(owner, F.lit("'s")), compound, F.col("low")))
     return t.withColumn("text", text).select(*FIELDS)
 
 
 def ruled(words: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """id, k, word, lo, hi: the words (id, k, word, lo, hi) after all rules; merged ones span what they were made from."""
-    t = misspellings(tokens(words), known or {})
-    for rule in (dictionary, number_words, one_or_digit, labels, money, symbols, capitals):
-        t = rule(t)
+    t = dictionary(misspellings(tokens(words), known or {}))
+    # the rules in between look for digits, number words or "grand"; texts without any go past them
+    number = (F.col("text").rlike("[0-9]") | _in(F.lower("text"), ["grand", *NUMBERS])).cast("int")
+    t = t.withColumn("some", F.max(number).over(Window.partitionBy("id")) == 1)
+    past, some = t.filter("not some").select(*FIELDS), t.filter("some").select(*FIELDS)
+    for rule in (number_words, one_or_digit, labels, money, symbols):
+        some = rule(some)
+    t = capitals(past.unionByName(some))
     word = F.concat("text", F.regexp_replace("trail", "[^?!]", ""))
     return t.select("id", "k", word.alias("word"), "lo", "hi").filter("word <> ''")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .intervals import bucketed
 from .scan import scanned
+from .steps import written
 
 
 def pause_split(words: DataFrame, limit: float) -> DataFrame:
@@ -154,15 +155,25 @@ def replaced(words: DataFrame, phrase: list[str], by: list[str], single: dict[st
 
 
 def shifted(words: DataFrame, silences: DataFrame, buffer: float) -> DataFrame:
-    """Words that start within a silence (qs, qe) moved so that the first of them starts ``buffer`` behind it."""
-    q = bucketed(silences, 3600.0, "qs", "qe").alias("q")
-    p = words.withColumn("bucket", F.floor(F.col("st") / 3600.0)).alias("p")
-    on = (F.col("p.clip") == F.col("q.clip")) & (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.st") >= F.col("q.qs")) & (F.col("p.st") < F.col("q.qe"))
-    inside = p.join(q, on).groupBy("p.clip", "p.idx", "p.st").agg(F.min(F.struct("qs", "qe")).alias("q"))
-    shift = inside.groupBy("clip", "q").agg((F.col("q.qe") + buffer - F.min("st")).alias("shift"))
-    moved = inside.join(shift, ["clip", "q"]).select("clip", "idx", "shift")
-    by = F.coalesce("shift", F.lit(0.0))
-    return words.join(moved, ["clip", "idx"], "left").select("clip", "idx", (F.col("st") + by).alias("st"), (F.col("en") + by).alias("en"))
+    """Words that start within a silence (qs, qe) moved by one offset, so that the first of them starts ``buffer`` behind it; silences follow
+    each other in time, and a later one sees the words where the earlier ones have put them.
+
+    A silence moves words no further than its own length behind its end, so silences further apart than that can't meet the same word.
+    They form groups; the first silences of all groups move their words together, then the second ones, and so on, each round a written table."""
+    w = Window.partitionBy("clip").orderBy("qs", "qe")
+    reach = F.max(F.col("qe") + buffer + (F.col("qe") - F.col("qs"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    q = silences.filter("qs < qe").withColumn("fresh", F.coalesce((F.col("qs") >= reach).cast("int"), F.lit(1))).withColumn("group", F.sum("fresh").over(w))
+    q = written(q.withColumn("turn", F.row_number().over(Window.partitionBy("clip", "group").orderBy("qs", "qe"))).select("clip", "qs", "qe", "turn"), "shift-silences")
+    now = words.select("clip", "idx", "st", "en")
+    for turn in range(1, (q.agg(F.max("turn")).first()[0] or 0) + 1):
+        mine = bucketed(q.filter(F.col("turn") == turn), 3600.0, "qs", "qe").alias("q")
+        p = now.withColumn("bucket", F.floor(F.col("st") / 3600.0)).alias("p")
+        on = (F.col("p.clip") == F.col("q.clip")) & (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.st") >= F.col("q.qs")) & (F.col("p.st") < F.col("q.qe"))
+        inside = p.join(mine, on, "left").select("p.clip", "p.idx", "p.st", "p.en", "q.qs", "q.qe")
+        first = F.min("st").over(Window.partitionBy("clip", "qs", "qe"))
+        by = F.when(F.col("qs").isNotNull(), F.col("qe") + buffer - F.col("first")).otherwise(0.0)
+        now = written(inside.withColumn("first", first).select("clip", "idx", (F.col("st") + by).alias("st"), (F.col("en") + by).alias("en")), "shift-round")
+    return now
 
 
 def snapped(spans: DataFrame, quiet: DataFrame, near: float, early: float, pull: tuple[float, float], late: float, pad: float) -> DataFrame:

@@ -16,6 +16,7 @@ from spanloom.sources.tables import SPANS, WORDS, spans, table, words
 
 from .edits import CUES
 from .registry import query
+from .texts import aligned_sql
 
 
 def issues(*rules: tuple[Column, str]) -> Column:
@@ -117,29 +118,35 @@ def fuzzy_prefix(spark, d):
     return c.join(r, "conv_id").filter(hit).groupBy("conv_id", "turn").agg(F.min("rank").alias("hit"))
 
 
-#: Two versions of each turn (all its words, or the next turn's), and a third that hears most words of the first and some of the second.
-VOTES = f"""{WORDS}, tk AS (SELECT clip, turn, idx, regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') AS t FROM words), sides AS (SELECT clip, turn, 'a' AS side, t FROM tk WHERE t <> '' UNION ALL SELECT clip, turn - 1, 'b', t FROM tk WHERE t <> '' AND turn > 0),
-heard AS (SELECT clip, turn, t FROM tk WHERE t <> '' AND idx % (turn + 2) <> 0 UNION ALL SELECT clip, turn - 1, t FROM tk WHERE t <> '' AND turn > 0 AND idx % 3 = 0)"""
+#: Two versions of each five words of a turn (its own, or the next turn's in their place), and a third that hears most words of the first and some of the second, a few of them badly.
+VOTES = f"""{WORDS}, tk AS (SELECT clip, turn, idx % 10000 // 5 AS span, idx, regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') AS t FROM words), vs AS (SELECT clip, turn, span, 'a' AS side, idx, t FROM tk WHERE t <> '' UNION ALL SELECT clip, turn - 1, span, 'b', idx, t FROM tk WHERE t <> '' AND turn > 0),
+vh AS (SELECT clip, turn, span, 0 AS part, idx, CASE WHEN idx % 5 = 1 AND length(t) > 5 THEN substr(t, 2) ELSE t END AS t FROM tk WHERE t <> '' AND idx % (turn + 2) <> 0 UNION ALL SELECT clip, turn - 1, span, 1, idx, t FROM tk WHERE t <> '' AND turn > 0 AND idx % 3 = 0),
+sides AS (SELECT clip, turn, span, side, list(t ORDER BY idx) AS ts FROM vs GROUP BY ALL), heard AS (SELECT clip, turn, span, list(t ORDER BY part, idx) AS hs FROM vh GROUP BY ALL),
+met AS (SELECT DISTINCT t, h FROM (SELECT DISTINCT clip, turn, span, t FROM vs WHERE length(t) > 3) JOIN (SELECT DISTINCT clip, turn, span, t AS h FROM vh) USING (clip, turn, span) WHERE t <> h AND 2 * least(length(t), length(h)) >= 0.8 * (length(t) + length(h))),
+pairs AS (SELECT t || ' ' || h AS pair, string_split(h, '') AS a, string_split(t, '') AS b FROM met WHERE 2 * list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: least(length(t) - length(replace(t, c, '')), length(h) - length(replace(h, c, ''))))) >= 0.8 * (length(t) + length(h)))"""
 
 
 @query(
-    f"""WITH {VOTES}, s AS (SELECT *, row_number() OVER (PARTITION BY clip, turn, side, t) AS k FROM sides), h AS (SELECT *, row_number() OVER (PARTITION BY clip, turn, t) AS k FROM heard),
-n AS (SELECT s.clip, s.turn, s.side, round(count(h.t) / count(*), 3) AS support FROM s LEFT JOIN h ON h.clip = s.clip AND h.turn = s.turn AND h.t = s.t AND h.k = s.k GROUP BY ALL),
-v AS (SELECT clip, turn, max(support) FILTER (side = 'a') AS a, max(support) FILTER (side = 'b') AS b FROM n GROUP BY ALL) SELECT clip, turn, a, coalesce(b, round(1 - a, 3)) AS b, CASE WHEN coalesce(b, round(1 - a, 3)) - a >= 0.25 THEN 'b' WHEN coalesce(b, round(1 - a, 3)) - a <= -0.25 THEN 'a' ELSE 'unresolved' END AS winner FROM v WHERE a IS NOT NULL"""
+    f"""WITH RECURSIVE {aligned_sql(VOTES)}, likes AS (SELECT list(pair) AS likes FROM sizes WHERE 2.0::DOUBLE * equal / (la + lb) >= 0.8),
+f AS (SELECT clip, turn, span, side, ts, coalesce(hs, []) AS free, 0 AS i, 0 AS hits FROM sides LEFT JOIN heard USING (clip, turn, span) UNION ALL
+SELECT clip, turn, span, side, ts, CASE WHEN spot > 0 THEN list_concat(free[1:spot - 1], free[spot + 1:]) ELSE free END, i + 1, hits + CASE WHEN spot > 0 THEN 1 ELSE 0 END FROM (
+  SELECT f.*, coalesce(list_position(list_transform(free, lambda h: h = ts[i + 1] OR (length(ts[i + 1]) > 3 AND list_contains(coalesce(likes, []), ts[i + 1] || ' ' || h))), true), 0) AS spot FROM f, likes WHERE i < len(ts))),
+n AS (SELECT clip, turn, span, side, round(hits / len(ts)::DOUBLE, 3) AS support FROM f WHERE i = len(ts)), v AS (SELECT clip, turn, span, max(support) FILTER (side = 'a') AS a, max(support) FILTER (side = 'b') AS b FROM n GROUP BY ALL)
+SELECT clip, turn, span, a, coalesce(b, round(1 - a, 3)) AS b, CASE WHEN coalesce(b, round(1 - a, 3)) - a >= 0.25 THEN 'b' WHEN coalesce(b, round(1 - a, 3)) - a <= -0.25 THEN 'a' ELSE 'unresolved' END AS winner FROM v WHERE a IS NOT NULL"""
 )
 def vote_tiebreak(spark, d):
-    """Two readings weighed by the share of their words, each as often as it is there, that a third one has; a reading without words by what speaks
-    against the other."""
-    w = words(spark, d).select("clip", "turn", "idx", F.regexp_replace(F.lower("word"), "[^a-z0-9']", "").alias("t")).filter("t <> ''")
+    """Two readings weighed by the share of their words that a third one has, the same or alike, each word heard used once; a reading without
+    words by what speaks against the other."""
+    w = words(spark, d).select("clip", "turn", F.floor(F.col("idx") % 10000 / 5).alias("span"), "idx", F.regexp_replace(F.lower("word"), "[^a-z0-9']", "").alias("t")).filter("t <> ''")
     before = w.filter("turn > 0").withColumn("turn", F.col("turn") - 1)
-    sides = w.withColumn("side", F.lit("a")).unionByName(before.withColumn("side", F.lit("b")))
-    heard = w.filter(F.col("idx") % (F.col("turn") + 2) != 0).unionByName(before.filter("idx % 3 = 0"))
-    nth = lambda *keys: F.row_number().over(Window.partitionBy("clip", "turn", *keys, "t").orderBy("t"))
-    s = sides.select("clip", "turn", "side", "t", nth("side").alias("k"))
-    h = heard.select("clip", "turn", "t", nth().alias("k"), F.lit(1).alias("hit"))
-    n = s.join(h, ["clip", "turn", "t", "k"], "left").groupBy("clip", "turn").pivot("side", ["a", "b"]).agg(F.round(F.count("hit") / F.count(F.lit(1)), 3)).filter("a is not null")
+    badly = F.when((F.col("idx") % 5 == 1) & (F.length("t") > 5), F.expr("substring(t, 2)")).otherwise(F.col("t"))
+    heard = w.filter(F.col("idx") % (F.col("turn") + 2) != 0).withColumn("t", badly).withColumn("part", F.lit(0)).unionByName(before.filter("idx % 3 = 0").withColumn("part", F.lit(1)))
+    in_order = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct(*c, "t"))), lambda x: x["t"])
+    sides = w.withColumn("side", F.lit("a")).unionByName(before.withColumn("side", F.lit("b"))).groupBy("clip", "turn", "span", "side").agg(in_order("idx").alias("ts"))
+    n = mt.supported(sides, heard.groupBy("clip", "turn", "span").agg(in_order("part", "idx").alias("hs")), ["clip", "turn", "span"])
+    n = n.groupBy("clip", "turn", "span").pivot("side", ["a", "b"]).agg(F.max("support")).filter("a is not null")
     b = F.coalesce("b", F.round(1 - F.col("a"), 3))
-    return n.select("clip", "turn", "a", b.alias("b"), F.when(b - F.col("a") >= 0.25, "b").when(b - F.col("a") <= -0.25, "a").otherwise("unresolved").alias("winner"))
+    return n.select("clip", "turn", "span", "a", b.alias("b"), F.when(b - F.col("a") >= 0.25, "b").when(b - F.col("a") <= -0.25, "a").otherwise("unresolved").alias("winner"))
 
 
 @query(
@@ -420,13 +427,13 @@ def listing_order(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", n(F.desc("o_orderdate"), "o_orderkey").alias("newest"), n("o_orderpriority", "o_orderkey").alias("by_name"))
 
 
-@query("WITH o AS (SELECT o_orderkey, o_orderdate + to_seconds((o_orderkey * 977) % 86400) AS t FROM orders), s AS (SELECT o_orderkey, t, date_trunc('day', t) + to_days(d::INT) + to_seconds(h * 3600) AS slot FROM o, (SELECT unnest(range(3)) AS d), (SELECT unnest([9, 13, 18]) AS h)) SELECT o_orderkey, slot - INTERVAL 2 HOUR AS slot_utc, k FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY slot) AS k FROM s WHERE slot > t) WHERE k <= 4")
+@query("WITH o AS (SELECT o_orderkey, o_orderdate + to_seconds((o_orderkey * 977) % 86400) AS t FROM orders), s AS (SELECT o_orderkey, t, date_trunc('day', t) + to_days(d::INT) + to_seconds(h * 3600) AS slot FROM o, (SELECT unnest(range(3)) AS d), (SELECT unnest([9, 13, 18]) AS h)) SELECT o_orderkey, slot AT TIME ZONE 'Europe/Berlin' AT TIME ZONE 'UTC' AS slot_utc, k FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY slot) AS k FROM s WHERE slot > t) WHERE k <= 4")
 def next_slots(spark, d):
-    """The next four daily slots strictly after a time, at a fixed offset of two hours, in UTC."""
+    """The next four daily slots strictly after a local time, in UTC; the zone has summer time."""
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=((F.col("o_orderkey") * 977) % 86400).cast("decimal(18,6)"))).alias("t"))
     slot = tc.slots(F.col("t"), [9, 13, 18], 3)
     s = o.select("o_orderkey", F.posexplode(F.slice(F.filter(slot, lambda x: x > F.col("t")), 1, 4)).alias("k", "slot"))
-    return s.select("o_orderkey", F.to_utc_timestamp("slot", "+02:00").alias("slot_utc"), (F.col("k") + 1).cast("long").alias("k"))
+    return s.select("o_orderkey", F.to_utc_timestamp("slot", "Europe/Berlin").alias("slot_utc"), (F.col("k") + 1).cast("long").alias("k"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 9) * 3600.0 WHEN 1 THEN (event_id % 50) * 60.0 WHEN 2 THEN (event_id % 5) * 86400.0 ELSE 0.0 END::DOUBLE AS seconds FROM events")

@@ -209,12 +209,13 @@ def stitched(spark, d):
 
 
 @query(
-    f"""WITH {SPANS}, s AS (SELECT clip, idx, st, en FROM spans WHERE label = 'click'), w AS (SELECT clip, idx, st, en FROM spans WHERE label <> 'click'), h AS (SELECT w.clip, w.idx, w.st, w.en, min(s.st) AS qs, min_by(s.en, s.st) AS qe FROM w JOIN s ON s.clip = w.clip AND w.st >= s.st AND w.st < s.en GROUP BY ALL),
-f AS (SELECT clip, qs, qe + 60 - min(st) AS shift FROM h GROUP BY clip, qs, qe) SELECT w.clip, w.idx, w.st + coalesce(f.shift, 0) AS st, w.en + coalesce(f.shift, 0) AS en FROM w LEFT JOIN h ON h.clip = w.clip AND h.idx = w.idx LEFT JOIN f ON f.clip = h.clip AND f.qs = h.qs"""
+    f"""WITH RECURSIVE {SPANS}, s AS (SELECT clip, st AS qs, en AS qe, row_number() OVER (PARTITION BY clip ORDER BY st, en) AS k, count(*) OVER (PARTITION BY clip) AS n FROM spans WHERE label = 'click' AND st < en), w AS (SELECT clip, idx, st, en FROM spans WHERE label <> 'click'),
+m AS (SELECT w.clip, idx, st, en, 0::BIGINT AS k, coalesce((SELECT max(n) FROM s WHERE s.clip = w.clip), 0) AS n FROM w
+UNION ALL SELECT clip, idx, st + push, en + push, k + 1, n FROM (SELECT *, CASE WHEN inside THEN qe + 60 - min(st) FILTER (inside) OVER (PARTITION BY clip) ELSE 0 END AS push FROM (SELECT m.*, s.qs, s.qe, m.st >= s.qs AND m.st < s.qe AS inside FROM m JOIN s ON s.clip = m.clip AND s.k = m.k + 1)))
+SELECT clip, idx, st, en FROM m WHERE k = n"""
 )
 def group_shift(spark, d):
-    """Words that start within a silence moved behind it by one offset for all; of silences in a row, only the first moves a word, so they
-    must lie further apart than the words move, as here."""
+    """Words that start within a silence moved behind it by one offset for all; later silences see the words where earlier ones have put them."""
     s = spans(spark, d)
     return ed.shifted(s.filter("label <> 'click'").select("clip", "idx", "st", "en"), s.filter("label = 'click'").select("clip", F.col("st").alias("qs"), F.col("en").alias("qe")), 60.0)
 

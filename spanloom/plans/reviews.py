@@ -18,7 +18,7 @@ from spanloom.sources.tables import SPANS, WORDS, spans, table, words
 from . import rules
 from .edits import CUES
 from .registry import query
-from .texts import aligned_sql
+from .texts import ACCURACY, aligned_sql, shown_captions
 
 #: Beside the engine's own lists, words of the test tables stand in for fillers of each kind.
 LISTS = {"initial": [*fl.INITIAL, ["the"], ["la", "de"]], "phrases": [*fl.PHRASES, ["of", "the"], ["that", "is"], ["in", "of", "the"]], "single": [*fl.SINGLE, "un"], "alone": [*fl.ALONE, "et", "in", "an"]}
@@ -72,6 +72,24 @@ def acoustic_ends(spark, d):
     return got.select("clip", "idx", F.when(F.col("q_st") - F.col("t") <= 172800, F.col("q_st")).alias("quiet"))
 
 
+@query(
+    f"""WITH {SPANS}, e AS (SELECT clip, st, loud, lag(loud) OVER w AS before, lag(st) OVER w AS since FROM (SELECT clip, idx, st, value > 60 AS loud FROM spans WHERE label <> 'view' AND (value > 60 OR value < 40)) WINDOW w AS (PARTITION BY clip ORDER BY st, idx)), v AS (SELECT clip, idx, st AS t FROM spans WHERE label = 'view'),
+n AS (SELECT v.clip, v.idx, v.t, min_by(e.st, (abs(e.st - v.t), e.st)) AS spot FROM v LEFT JOIN e ON e.clip = v.clip AND e.st >= v.t - 43200 AND e.st < v.t + 64800 AND e.loud AND (NOT coalesce(e.before, false) OR e.since < v.t - 43200) GROUP BY ALL)
+SELECT clip, idx, coalesce(spot, t) - 30 AS onset FROM n"""
+)
+def acoustic_starts(spark, d):
+    """Where each word really starts: of the onsets around its label the nearest, a little early; without one, the label. An onset is a loud frame
+    with quiet, or nothing that is either within the word's surroundings, before it."""
+    s = spans(spark, d)
+    e = s.filter("label <> 'view' and (value > 60 or value < 40)").select("clip", "idx", "st", (F.col("value") > 60).alias("loud"))
+    w = Window.partitionBy("clip").orderBy("st", "idx")
+    e = e.withColumns({"before": F.lag("loud").over(w), "since": F.lag("st").over(w)}).filter("loud").withColumn("bucket", F.floor(F.col("st") / 86400.0))
+    v = s.filter("label = 'view'").select("clip", "idx", F.col("st").alias("t"), (F.col("st") - 43200).alias("lo"), (F.col("st") + 64800).alias("hi"))
+    near = iv.bucketed(v, 86400.0, "lo", "hi").join(e.drop("idx"), ["clip", "bucket"]).filter("st >= lo and st < hi and (not coalesce(before, false) or since < lo)")
+    best = near.groupBy("clip", "idx").agg(F.min_by("st", F.struct(F.abs(F.col("st") - F.col("t")), "st")).alias("at"))
+    return v.join(best, ["clip", "idx"], "left").select("clip", "idx", (F.coalesce("at", "t") - 30).alias("onset"))
+
+
 @query(f"WITH {SPANS}, e AS (SELECT clip, idx, st, 10 * log10(avg(value * value) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) + 1e-9) AS db FROM spans) SELECT clip, min_by(st, struct_pack(d := db, i := idx)) AS quietest, min(db) AS db FROM e WHERE st BETWEEN 86400 AND 864000 GROUP BY clip")
 def quietest_frame(spark, d):
     """Where the energy over five frames is least within a range; the first of equals."""
@@ -109,11 +127,13 @@ def chained(seen: DataFrame, least: float) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {CUES}, cv AS (SELECT w.clip, w.idx, w.st, w.idx % 23 <> 7 AS shown FROM words w), p AS (SELECT clip, avg(shown::INT) AS presence, count(*) AS n FROM cv GROUP BY clip), g AS (SELECT clip, avg((gap > 0.6)::INT) AS gaps, avg((n > 3 OR chars > 18)::INT) AS long, count(DISTINCT speaker) AS colours FROM (SELECT *, lead(st) OVER (PARTITION BY clip ORDER BY cue) - en AS gap FROM cues) GROUP BY clip),
-t AS (SELECT c.clip, avg(abs(c.st - x.st)) AS drift FROM cues c JOIN (SELECT c.clip, c.cue, min(w.st) AS st FROM cues c JOIN words w ON w.clip = c.clip AND w.idx BETWEEN c.first AND c.last AND (w.idx * 7 + w.turn) % 11 > 1 GROUP BY ALL) x ON x.clip = c.clip AND x.cue = c.cue GROUP BY c.clip)
-SELECT p.clip, presence, gaps, long, colours, drift, CASE WHEN presence < 0.95 OR drift > 0.15 OR long > 0.05 THEN 'FAIL' WHEN gaps > 0.2 OR colours > 3 THEN 'WARN' ELSE 'PASS' END AS verdict FROM p JOIN g USING (clip) LEFT JOIN t USING (clip)"""
+t AS (SELECT c.clip, avg(abs(c.st - x.st)) AS drift FROM cues c JOIN (SELECT c.clip, c.cue, min(w.st) AS st FROM cues c JOIN words w ON w.clip = c.clip AND w.idx BETWEEN c.first AND c.last AND (w.idx * 7 + w.turn) % 11 > 1 GROUP BY ALL) x ON x.clip = c.clip AND x.cue = c.cue GROUP BY c.clip),
+{ACCURACY}, y AS (SELECT clip, avg((cue * 389 % 1920 < 115 OR cue * 389 % 1920 > 1804)::INT) AS edge FROM cues GROUP BY clip)
+SELECT p.clip, presence, gaps, long, colours, drift, wer, says_same, edge, CASE WHEN presence < 0.95 OR drift > 0.15 OR long > 0.05 OR NOT says_same OR edge > 0.5 THEN 'FAIL' WHEN gaps > 0.2 OR colours > 3 THEN 'WARN' ELSE 'PASS' END AS verdict FROM p JOIN g USING (clip) LEFT JOIN t USING (clip) LEFT JOIN accuracy USING (clip) LEFT JOIN y USING (clip)"""
 )
 def caption_audit(spark, d):
-    """A clip's captions held against what is spoken: words shown, time off, gaps, overlong cues, colours; with a verdict."""
+    """A clip's captions held against what is spoken: words shown, what they say (by alignment), time off, gaps, overlong cues, colours, cues in the
+    outer six hundredths of the picture; with a verdict."""
     w = words(spark, d)
     c = ed.cues(w)
     p = w.groupBy("clip").agg(F.avg((F.col("idx") % 23 != 7).cast("int")).alias("presence"))
@@ -122,8 +142,11 @@ def caption_audit(spark, d):
     spoken = w.filter((F.col("idx") * 7 + F.col("turn")) % 11 > 1).select("clip", "idx", F.col("st").alias("at"))
     x = c.select("clip", "cue", "st", F.explode(F.sequence("first", "last")).alias("idx")).join(spoken, ["clip", "idx"]).groupBy("clip", "cue", "st").agg(F.min("at").alias("at"))
     t = x.groupBy("clip").agg(F.avg(F.abs(F.col("st") - F.col("at"))).alias("drift"))
-    verdict = F.when((F.col("presence") < 0.95) | (F.col("drift") > 0.15) | (F.col("long") > 0.05), "FAIL").when((F.col("gaps") > 0.2) | (F.col("colours") > 3), "WARN").otherwise("PASS")
-    return p.join(g, "clip").join(t, "clip", "left").select("clip", "presence", "gaps", "long", "colours", "drift", verdict.alias("verdict"))
+    says = al.accuracy(shown_captions(w)).select(F.col("pair").alias("clip"), "wer", "says_same")
+    at = F.col("cue") * 389 % 1920  # a cue's anchor in a picture of 1920 lines
+    y = c.groupBy("clip").agg(F.avg(((at < 115) | (at > 1804)).cast("int")).alias("edge"))
+    verdict = F.when((F.col("presence") < 0.95) | (F.col("drift") > 0.15) | (F.col("long") > 0.05) | ~F.col("says_same") | (F.col("edge") > 0.5), "FAIL").when((F.col("gaps") > 0.2) | (F.col("colours") > 3), "WARN").otherwise("PASS")
+    return p.join(g, "clip").join(t, "clip", "left").join(says, "clip", "left").join(y, "clip", "left").select("clip", "presence", "gaps", "long", "colours", "drift", "wer", "says_same", "edge", verdict.alias("verdict"))
 
 
 @query(

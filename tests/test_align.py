@@ -103,3 +103,30 @@ def test_tokens_for_comparison(spark):
     assert got == [["going", "to", "go", "well", "because", "it's", "fine"], [], [], None, ["okay", "3k"]]
     n = spark.createDataFrame([("3k",), ("$1,200",), ("seven",), ("2.5m",), ("x",), ("50%",)], "t string").select(align.number_of(F.col("t"))).collect()
     assert [r[0] for r in n] == [3000.0, 1200.0, 7.0, 2500000.0, None, 50.0]
+
+
+def test_votes_equal_a_plain_loop(spark):
+    from spanloom.operators import matching as mt
+
+    g = random.Random(3)
+    base = ["".join(g.choice("abcde") for _ in range(g.randint(2, 8))) for _ in range(25)]
+    bend = lambda w: "".join(g.choice([c, c, c, c, "", "z"]) for c in w)
+    sides, heard = [], []
+    for k in range(15):
+        words = [g.choice(base) for _ in range(g.randint(0, 14))]
+        heard.append((k, [bend(w) if g.random() < 0.6 else w for w in words] + [g.choice(base)]))
+        sides += [(k, "a", words), (k, "b", [g.choice(base) for _ in range(5)])]
+    sides.append((99, "a", ["nobody", "heard"]))
+    want = {}
+    for k, side, ts in sides:
+        free, hits = list(dict(heard).get(k, [])), 0
+        for t in ts:
+            hit = next((h for h in free if h == t or (len(t) > 3 and difflib.SequenceMatcher(None, h, t, autojunk=False).ratio() >= 0.8)), None)
+            if hit is not None:
+                free.remove(hit)
+                hits += 1
+        if ts:
+            want[k, side] = round(hits / len(ts), 3)
+    got = mt.supported(spark.createDataFrame(sides, "k long, side string, ts array<string>"), spark.createDataFrame(heard, "k long, hs array<string>"), ["k"]).collect()
+    assert {(r["k"], r["side"]): r["support"] for r in got} == want
+    assert len({v for v in want.values()}) > 4

@@ -120,3 +120,23 @@ def test_stages_can_be_put_in_place_of_others(spark):
     stages = reviews.STAGES | {"lower": (2, lambda df: df.withColumn("word", F.upper("word")))}
     assert [r["word"] for r in reviews.run_stages(w, ["lower"], stages).orderBy("idx").collect()] == ["A", "A", "B."]
     assert reviews.run_stages(w, ["stutters", "lower"]).count() == 3
+
+
+def test_later_silences_meet_words_that_earlier_ones_moved(spark):
+    g = random.Random(6)
+    words, silences = [], []
+    for c in range(6):
+        words += [(c, i, t := g.uniform(0, 100), t + 0.3) for i in range(60)]
+        silences += [(c, t := g.uniform(0, 110), t + g.choice([0.0, 0.5, 2.0, 9.0])) for _ in range(12)]
+    want = {}
+    for c in range(6):
+        now = {i: (a, b) for k, i, a, b in words if k == c}
+        for s, e in sorted((s, e) for k, s, e in silences if k == c):
+            hit = [i for i, (a, _) in now.items() if s <= a < e]
+            by = e + 0.05 - min((now[i][0] for i in hit), default=0)
+            now |= {i: (now[i][0] + by, now[i][1] + by) for i in hit}
+        want |= {(c, i): v for i, v in now.items()}
+    df = spark.createDataFrame(words, "clip long, idx long, st double, en double")
+    got = {(r["clip"], r["idx"]): (r["st"], r["en"]) for r in ed.shifted(df, spark.createDataFrame(silences, "clip long, qs double, qe double"), 0.05).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert ed.shifted(df, spark.createDataFrame([], "clip long, qs double, qe double"), 0.05).count() == len(words)

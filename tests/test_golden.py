@@ -88,7 +88,51 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     merge(one, 0)
     merge(spark.createDataFrame([(1, "z"), (2, "b")], "k long, v string"), 1)
     merge(one, 0)
-    assert sorted((r["k"], r["v"]) for r in sk.current(spark, path, sk.versions(spark, path)).collect()) == [(1, "z"), (2, "b")]
+    assert sorted((r["k"], r["v"]) for r in sk.table_at(spark, path).collect()) == [(1, "z"), (2, "b")]
+
+
+def rows_at(spark, path):
+    return sorted((r["k"], r["v"]) for r in sk.table_at(spark, path).collect())
+
+
+def put(spark, path, rows, **how):
+    return sk.upsert(spark, spark.createDataFrame(rows, "k long, v string"), path, ["k"], dry_run=False, **how)
+
+
+def test_a_lost_writer_leaves_the_table_as_it_was(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    put(spark, path, [(1, "a"), (2, "b")])
+    spark.createDataFrame([(1, "half", 5)], "k long, v string, _part int").write.partitionBy("_part").parquet(f"{path}/v2")  # written, never committed
+    assert rows_at(spark, path) == [(1, "a"), (2, "b")]
+    put(spark, path, [(2, "c")])
+    assert rows_at(spark, path) == [(1, "a"), (2, "c")]
+
+
+def test_a_writer_that_comes_second_starts_anew(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    put(spark, path, [(1, "a")])
+    commit, others = sk.commit, []
+
+    def late(spark, path, content):
+        if not others:
+            others.append(1)
+            put(spark, path, [(2, "other")])
+        commit(spark, path, content)
+
+    monkeypatch.setattr(sk, "commit", late)
+    put(spark, path, [(3, "mine")])
+    assert rows_at(spark, path) == [(1, "a"), (2, "other"), (3, "mine")]
+    assert sk.manifest(spark, path)["version"] == 3
+
+
+def test_many_batches_leave_few_files(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    for i in range(8):
+        put(spark, path, [(i % 3, f"v{i}")], batch=i)
+    put(spark, path, [(0, "again")], batch=7)
+    assert rows_at(spark, path) == [(0, "v6"), (1, "v7"), (2, "v5")]
+    assert len([p for p in (tmp_path / "t" / "_manifest").iterdir() if p.suffix == ".json"]) == sk.KEPT
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) <= sk.KEPT + 3
 
 
 def test_log_rows_and_new_files(spark, tmp_path):
