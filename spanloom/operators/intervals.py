@@ -52,8 +52,8 @@ def merge_close(df: DataFrame, tol: float) -> DataFrame:
 
 
 def complement(df: DataFrame, scope: DataFrame, least: float) -> DataFrame:
-    """What of each clip's scope (clip, lo, hi) no interval covers, in parts longer than ``least``."""
-    inside = df.join(scope, "clip").select("clip", "idx", F.greatest("st", "lo").alias("st"), F.least("en", "hi").alias("en")).filter("st < en")
+    """What of each clip's scope (clip, lo, hi) no interval covers, in parts longer than ``least``. An interval of no length parts what it lies in."""
+    inside = df.join(scope, "clip").select("clip", "idx", F.greatest("st", "lo").alias("st"), F.least("en", "hi").alias("en")).filter("st <= en")
     cover = merge_close(inside, 0.0).select("clip", "st", "en")
     edges = scope.select("clip", F.col("lo").alias("st"), F.col("lo").alias("en")).unionByName(scope.select("clip", F.col("hi").alias("st"), F.col("hi").alias("en")))
     w = Window.partitionBy("clip").orderBy("st", "en")
