@@ -14,6 +14,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""A pattern whose \b stands between ASCII word characters and others, as in RE2; Java counts letters of any script."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def letters(x: str | Column) -> Column:
     """Lower case, only a-z and apostrophes."""
     return F.regexp_replace(F.lower(_c(x)), "[^a-z']", "")

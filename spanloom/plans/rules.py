@@ -66,7 +66,7 @@ def completeness(word: Column, low: Column, following: Column) -> Column:
     """Why a sentence is over with word, or isn't; following: the words after it, null or empty at the end."""
     text = F.array_join(F.slice(following, 1, 15), " ")
     fresh = F.get(following, F.lit(0)).rlike(r"^\s*\p{Lu}")
-    turn = F.lower(text).rlike(NEXT_TURN) | F.contains(text, F.lit("?"))
+    turn = F.lower(text).rlike(tx.ascii_edges(NEXT_TURN)) | F.contains(text, F.lit("?"))
     return F.when(word.rlike("[.!?][\"')\\]]*\\s*$"), "terminal").when(low.isin(MIDCLAUSE), "midclause").when(following.isNull() | (F.size(following) == 0), "source_ends").when(turn | fresh, "new_turn").otherwise("continues")
 
 

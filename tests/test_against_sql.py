@@ -34,3 +34,12 @@ def turns(*texts):
 def test_a_span_of_no_length_parts_a_gap(spark, tmp_path):
     got, want = both(spark, tmp_path, "interval_complement", events=events([(1, 1, "view", 10), (1, 5, "view", 0), (1, 9, "click", 10), (2, 0, "view", 0), (2, 20, "view", 0)]))
     assert got == want and (1, 18000.0, 4200.0) in got
+
+
+def test_word_edges_are_those_of_ascii(spark, tmp_path):
+    texts = ["Ça va. Leç est là.", "Rien. Le reste.", "Rien. Légal.", "Well. Your éa", "x 1. Tu, là"]
+    got, want = both(spark, tmp_path, "local_titler", conversations=turns(texts))
+    assert got == want and (0, "Leç est là.", 0) in got
+    for name in ("editorial_verdict", "opener_scan"):
+        got, want = both(spark, tmp_path, name, conversations=turns(["Éla", "La éla.", "éla", "é" + "that thing", "thaté thing"]))
+        assert got == want
