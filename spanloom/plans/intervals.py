@@ -81,7 +81,9 @@ def overlap_ratio(spark, d):
     pairs = iv.overlap_pairs(_kind(spark, d, "view"), _kind(spark, d, "click"), WIDTH)
     part = F.sum(F.least("a_en", "b_en") - F.greatest("a_st", "b_st"))
     got = pairs.groupBy("clip", F.col("a_idx").alias("idx"), "a_st", "a_en").agg(part.alias("covered"))
-    return got.select("clip", "idx", (F.col("covered") / (F.col("a_en") - F.col("a_st"))).alias("ratio")).filter("ratio > 0.65D")
+    length = F.col("a_en") - F.col("a_st")
+    ratio = F.when(length == 0, F.lit(float("nan"))).otherwise(F.try_divide("covered", length))  # a point in a click: 0 of 0, which SQL has as NaN, over any limit
+    return got.select("clip", "idx", ratio.alias("ratio")).filter("ratio > 0.65D")
 
 
 @query(f"WITH {SPANS}, a AS (SELECT clip, label, sum(en - st) AS total FROM spans WHERE label IN ('error', 'purchase') GROUP BY ALL), o AS (SELECT x.clip, x.label, sum(greatest(0, least(x.en, y.en) - greatest(x.st, y.st))) AS white FROM spans x JOIN spans y ON x.clip = y.clip AND x.st < y.en AND y.st < x.en WHERE x.label IN ('error', 'purchase') AND y.label = 'view' GROUP BY ALL), m AS (SELECT clip, median(value) AS mid FROM spans WHERE label = 'view' GROUP BY clip) SELECT a.clip, CASE a.label WHEN 'error' THEN 'guest' ELSE 'host' END AS speaker, coalesce(o.white, 0) / a.total AS share, m.mid, CASE WHEN coalesce(o.white, 0) / a.total > 0.45::double THEN 'colour' WHEN m.mid > 60 THEN 'place' ELSE 'pass' END AS verdict FROM a LEFT JOIN o ON a.clip = o.clip AND a.label = o.label LEFT JOIN m ON m.clip = a.clip")

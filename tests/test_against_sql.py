@@ -36,6 +36,11 @@ def test_a_span_of_no_length_parts_a_gap(spark, tmp_path):
     assert got == want and (1, 18000.0, 4200.0) in got
 
 
+def test_a_point_within_a_span(spark, tmp_path):
+    got, want = both(spark, tmp_path, "overlap_ratio", events=events([(1, 1, "click", 100), (1, 1.5, "view", 0), (1, 1.2, "view", 10), (1, 8, "view", 0)]))
+    assert repr(got) == repr(want) and len(got) == 2  # nan is not equal to itself
+
+
 def test_word_edges_are_those_of_ascii(spark, tmp_path):
     texts = ["Ça va. Leç est là.", "Rien. Le reste.", "Rien. Légal.", "Well. Your éa", "x 1. Tu, là"]
     got, want = both(spark, tmp_path, "local_titler", conversations=turns(texts))
