@@ -48,3 +48,11 @@ def test_word_edges_are_those_of_ascii(spark, tmp_path):
     for name in ("editorial_verdict", "opener_scan"):
         got, want = both(spark, tmp_path, name, conversations=turns(["Éla", "La éla.", "éla", "é" + "that thing", "thaté thing"]))
         assert got == want
+
+
+def test_a_budget_spent_to_the_last_cent(spark, tmp_path):
+    # added one by one these come to a bit over 1500, which they are exactly
+    cents = [177, 82, 2383, 2943, 4041, 3841, 1264, 827, 4108, 2688, 632, 4172, 1420, 1472, 1226, 1160, 2620, 2504, 876, 4214, 2405, 1035, 1694, 1161, 4469, 261, 2590, 1683, 1460, 2449, 3545, 4404, 1294, 398, 2026, 2070, 528, 3660, 3524, 4500, 2050, 4435, 3600, 4408, 3714, 90, 3242, 2775, 1406, 2114, 3980, 200, 3414, 155, 511, 2908, 1133, 1026, 1135, 2123, 17775, 1]
+    values = [c / 100 for c in cents]
+    got, want = both(spark, tmp_path, "running_budget", events=events([(1, i, "view", v) for i, v in enumerate(values)]))
+    assert got == want and len(got) == len(values) - 1
