@@ -41,11 +41,12 @@ def _bare(w: Column) -> Column:
     return F.lower(F.regexp_replace(w, "[^A-Za-z']", ""))
 
 
-def joined_splits(words: DataFrame, zipf: DataFrame) -> DataFrame:
-    """Fragments of one word as the word: neighbours whose join is a real word, while one of them is rare or a lone letter."""
+def joined_splits(words: DataFrame, zipf: DataFrame, passes: int = PASSES) -> DataFrame:
+    """Fragments of one word as the word: neighbours whose join is a real word, while one of them is rare or a lone letter. A further pass,
+    up to ``passes``, holds what a pass joined against the word before it."""
     own = zipf.select(F.col("w").alias("bare"), F.col("zipf").alias("z"))
     now = words.select(*COLUMNS, _bare(F.col("word")).alias("bare")).join(own, "bare", "left").select(*COLUMNS, F.coalesce("z", F.lit(0.0)).alias("z"), F.lit(False).alias("passed"))
-    for _ in range(PASSES):
+    for _ in range(passes):
         joins, open_ = False, True
         while open_:
             step = written(_round(now, zipf), "repair-round")
@@ -199,9 +200,9 @@ def capitals(words: DataFrame, acronyms: list[str] | None = None, names: list[st
     return out.withColumn("word", F.when(bare.isin(NAMES if names is None else names), named).otherwise(F.col("word")))
 
 
-def repaired(words: DataFrame, zipf: DataFrame) -> DataFrame:
+def repaired(words: DataFrame, zipf: DataFrame, passes: int = PASSES) -> DataFrame:
     """All steps, one after the other."""
-    out = joined_splits(words.select(*COLUMNS), zipf)
+    out = joined_splits(words.select(*COLUMNS), zipf, passes)
     for step in (without_stutters, lower_case, moved_apostrophes, contractions, digits, times_of_day, half_for_both, ranges, capitals):
         out = step(out)
     return out

@@ -56,3 +56,9 @@ def test_a_budget_spent_to_the_last_cent(spark, tmp_path):
     values = [c / 100 for c in cents]
     got, want = both(spark, tmp_path, "running_budget", events=events([(1, i, "view", v) for i, v in enumerate(values)]))
     assert got == want and len(got) == len(values) - 1
+
+
+def test_split_words_are_joined_in_one_pass(spark, tmp_path):
+    # the eleventh word is heard as "ait" and "re"; only once these are joined is there something that the "r" before fits
+    got, want = both(spark, tmp_path, "transcript_repair", conversations=turns(["raitre", "so we go on and so we go on réé aitre now"]))
+    assert got == want and {"réé", "aitre"} <= {r[-1] for r in got}
