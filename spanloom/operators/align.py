@@ -12,7 +12,8 @@ both sequences, and what lies behind it, is aligned the same way. Here every ope
 
 Steps are written tables, so a lost executor costs a step, and nothing passes through the driver but whether a step has rows. The
 number of steps is the depth of the recursion, whatever the number of pairs. A pair's row holds its two sequences as arrays; everything
-else is split by (pair, range).
+else is split by (pair, range). Joins sort and merge: a side is a small file, but many times larger once its tokens are rows, too
+much for a driver to collect and broadcast.
 
 Pairs with an empty or null sequence have no blocks; a pair is named by any column type that can be grouped by.
 """
@@ -36,7 +37,7 @@ def runs(ranges: DataFrame, n: int) -> DataFrame:
     open_ = ranges.filter((F.size("sa") >= n) & (F.size("sb") >= n))
     a = open_.select("pair", F.col("alo").alias("r"), "blo", _grams("sa", n).alias("p", "g")).select("pair", "r", "g", (F.col("r") + F.col("p")).alias("i"))
     b = open_.select("pair", F.col("alo").alias("r"), "blo", _grams("sb", n).alias("p", "g")).select("pair", "r", "g", (F.col("blo") + F.col("p")).alias("j"))
-    seeds = a.join(b, ["pair", "r", "g"]).select("pair", "r", "i", "j", (F.col("i") - F.col("j")).alias("d"))
+    seeds = a.join(b.hint("merge"), ["pair", "r", "g"]).select("pair", "r", "i", "j", (F.col("i") - F.col("j")).alias("d"))
     island = F.col("i") - F.row_number().over(Window.partitionBy("pair", "r", "d").orderBy("i"))
     return seeds.withColumn("k", island).groupBy("pair", "r", "d", "k").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + n - 1).cast("int").alias("len")).select("pair", "r", "i", "j", "len")
 
@@ -82,7 +83,7 @@ def blocks(pairs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
         found = written(found, "align-blocks")
         if k + 1 < len(seeds):
             part = lambda x, lo, hi: F.slice(x, F.col(lo) + 1, F.col(hi) - F.col(lo))
-            both = gaps(found, sizes).filter("i1 < i2 and j1 < j2").join(pairs, "pair")
+            both = gaps(found, sizes).filter("i1 < i2 and j1 < j2").join(pairs.hint("merge"), "pair")
             ranges = both.select("pair", F.col("i1").alias("alo"), F.col("j1").alias("blo"), part("a", "i1", "i2").alias("sa"), part("b", "j1", "j2").alias("sb"))
     return found
 
@@ -103,7 +104,7 @@ def counted(pairs: DataFrame) -> DataFrame:
     size = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1")).cast("long")
     of = lambda tag: F.sum(F.when(F.col("tag") == tag, size).otherwise(0))
     ops = opcodes(blocks(pairs), sizes).groupBy("pair").agg(of("equal").alias("equal"), of("replace").alias("replaced"), of("insert").alias("inserted"), of("delete").alias("deleted"), F.coalesce(F.max(F.when(F.col("tag") == "replace", size)), F.lit(0)).cast("long").alias("longest"))
-    out = sizes.join(ops, "pair", "left").fillna(0, ["equal", "replaced", "inserted", "deleted", "longest"])
+    out = sizes.join(ops.hint("merge"), "pair", "left").fillna(0, ["equal", "replaced", "inserted", "deleted", "longest"])
     both = F.col("la") + F.col("lb")
     ratio = F.when(both == 0, 1.0).otherwise(2.0 * F.col("equal") / both)
     return out.select("pair", "equal", "replaced", "inserted", "deleted", "longest", ratio.alias("ratio"), ((F.col("replaced") + F.col("inserted") + F.col("deleted")) / F.greatest(F.lit(1), F.col("la"))).alias("wer"))
