@@ -154,7 +154,7 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     sizes = pairs.select("pair", F.greatest(F.size("a"), F.lit(0)).alias("la"), F.greatest(F.size("b"), F.lit(0)).alias("lb"))
     found = blocks(pairs)
     part = lambda x, lo, hi: F.slice(x, F.col(lo) + 1, F.col(hi) - F.col(lo))
-    facing = gaps(found, sizes).join(pairs.select("pair", "a", "b"), "pair")
+    facing = gaps(found, sizes).join(pairs.select("pair", "a", "b").hint("merge"), "pair")
     facing = facing.select("pair", "i1", part("a", "i1", "i2").alias("x"), part("b", "j1", "j2").alias("y")).select("pair", "i1", F.posexplode(F.arrays_zip("x", "y")).alias("k", "z"))
     each = written(facing.select("pair", "i1", "k", (F.col("i1") + F.col("k")).alias("i"), "z.x", "z.y").withColumn("same", same_word(F.col("x"), F.col("y"))), "align-facing")
     both = each.filter("x is not null and y is not null")
@@ -166,7 +166,7 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     equal = found.groupBy("pair").agg(F.sum("n").alias("equal"))
     out = sizes
     for part_ in (wrong, lost, extra, equal):
-        out = out.join(part_, "pair", "left")
+        out = out.join(part_.hint("merge"), "pair", "left")
     counts = ["substitutions", "missing", "trims", "extra", "longest"]
     out = out.fillna(0, [*counts, "equal"])
     wer = (F.col("substitutions") + F.col("missing") + F.col("extra")) / F.greatest(F.lit(1), F.col("la"))

@@ -136,5 +136,5 @@ def test_tokens_are_not_broadcast(spark):
     """A side that is small as a file is many times larger once its tokens are rows."""
     pairs = spark.createDataFrame([(1, ["a", "b"], ["b"])], "pair int, a array<string>, b array<string>")
     ranges = pairs.select("pair", F.lit(0).alias("alo"), F.lit(0).alias("blo"), F.col("a").alias("sa"), F.col("b").alias("sb"))
-    for df in (align.runs(ranges, 1), align.counted(pairs)):
+    for df in (align.runs(ranges, 1), align.counted(pairs), align.accuracy(pairs)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
