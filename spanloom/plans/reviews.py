@@ -120,7 +120,7 @@ def chained(seen: DataFrame, least: float) -> DataFrame:
     signs = lambda c: F.array_remove(F.split(c, ""), "")
     near = seen.withColumn("before", F.lag("text").over(w)).filter("before is not null")
     alike = al.counted(near.select(F.struct("clip", "idx").alias("pair"), signs("before").alias("a"), signs("text").alias("b"))).select("pair.*", "ratio")
-    linked = seen.join(alike, ["clip", "idx"], "left").withColumn("chain", F.sum(F.when(F.col("ratio") > least, 0).otherwise(1)).over(w))
+    linked = seen.join(alike.hint("merge"), ["clip", "idx"], "left").withColumn("chain", F.sum(F.when(F.col("ratio") > least, 0).otherwise(1)).over(w))
     text = F.min_by("text", F.struct(-F.length("text"), "idx"))
     return linked.groupBy("clip", "chain").agg(F.min("idx").alias("first"), F.min_by("st", "idx").alias("st"), F.max_by("en", "idx").alias("en"), F.count("*").alias("n"), text.alias("text")).drop("chain")
 
