@@ -140,7 +140,7 @@ def caption_audit(spark, d):
     gap = F.lead("st").over(Window.partitionBy("clip").orderBy("cue")) - F.col("en")
     g = c.withColumn("gap", gap).groupBy("clip").agg(F.avg((F.col("gap") > 0.6).cast("int")).alias("gaps"), F.avg(((F.col("n") > 3) | (F.col("chars") > 18)).cast("int")).alias("long"), F.countDistinct("speaker").alias("colours"))
     spoken = w.filter((F.col("idx") * 7 + F.col("turn")) % 11 > 1).select("clip", "idx", F.col("st").alias("at"))
-    x = c.select("clip", "cue", "st", F.explode(F.sequence("first", "last")).alias("idx")).join(spoken, ["clip", "idx"]).groupBy("clip", "cue", "st").agg(F.min("at").alias("at"))
+    x = c.select("clip", "cue", "st", F.explode(F.sequence("first", "last")).alias("idx")).join(spoken.hint("merge"), ["clip", "idx"]).groupBy("clip", "cue", "st").agg(F.min("at").alias("at"))
     t = x.groupBy("clip").agg(F.avg(F.abs(F.col("st") - F.col("at"))).alias("drift"))
     says = al.accuracy(shown_captions(w)).select(F.col("pair").alias("clip"), "wer", "says_same")
     at = F.col("cue") * 389 % 1920  # a cue's anchor in a picture of 1920 lines
