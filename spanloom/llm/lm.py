@@ -43,6 +43,8 @@ CHUNK = 6 << 20  # characters of texts scored together; a longer text is a chunk
 SLICE = 1 << 20  # bytes of one text handled at a time, up to the next white space
 BATCH = 1 << 20  # bytes handled at a time
 FLUSH = 3_000_000  # pairs counted in a task before they are handed on
+GROUPS = 64  # hash groups handed on together
+ROWS = 512  # texts taken out of a batch together
 
 END = np.uint64(0x9D5C0FB1A7E34D21)
 START = np.uint64(0x3F84D5B5B5470917)
@@ -230,29 +232,53 @@ def parted(bits: int, words: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ..
     return pd.DataFrame([{"g": g, **row} for g, row in sorted(out.items())], columns=["g", *names])
 
 
-def counter(bits: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A task's counts, by group: words and pairs as sorted keys with counts."""
-        words, pairs, held = [], [], 0
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys with their counts."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.uint32)
 
-        def flush() -> pd.DataFrame:
-            (wk, wc), (pk, pc) = tallied(words), tallied(pairs)
-            return parted(bits, (wk, wc.astype(np.uint32)), (pk, pc.astype(np.uint32)), ("wk", "wc", "pk", "pc"))
 
-        for b in batches:
-            for _, tok, before in tokens(list(b["text"])):
-                words.append(tok)
-                pairs.append(pair(before, tok))
-                held += len(tok)
-                if held >= FLUSH:
-                    yield flush()
-                    words, pairs, held = [], [], 0
+def counter(bits: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's counts, by group: words and pairs as sorted keys with counts. Two arrays are filled and sorted again and again, and a few
+        groups at a time are counted and handed on, so that a task's memory is these arrays."""
+        words, pairs, held = np.empty(FLUSH, np.uint64), np.empty(FLUSH, np.uint64), 0
+        names = ["wk", "wc", "pk", "pc"]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            both = [words[:held], pairs[:held]]
+            for k in both:
+                k.sort()
+            begins = np.arange(0, 1 << bits, GROUPS).astype(np.uint64) << np.uint64(64 - bits)
+            for w, p in zip(*[np.split(k, np.searchsorted(k, begins[1:])) for k in both]):
+                if len(w) or len(p):
+                    rows = parted(bits, counted(w), counted(p), tuple(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows["g"], pa.int64()), *[pa.array(rows[c], pa.binary()) for c in names]], names=["g", *names])
+
+        for texts in some_texts(batches):
+            for _, tok, before in tokens(texts):
+                at = 0
+                while at < len(tok):
+                    n = min(FLUSH - held, len(tok) - at)
+                    words[held : held + n] = tok[at : at + n]
+                    pairs[held : held + n] = pair(before[at : at + n], tok[at : at + n])
+                    held, at = held + n, at + n
+                    if held == FLUSH:
+                        yield from flush()
+                        held = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return count
 
 
+def some_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """The texts of batches, a few at a time."""
+    for b in batches:
+        for s in range(0, b.num_rows, ROWS):
+            yield b["text"].slice(s, ROWS).to_pylist()
+
+
 def merge(rows: pd.DataFrame) -> pd.DataFrame:
     """A group's counts over all tasks: its block of the filter, and its words with exact counts."""
     wk, wc = tallied(*[list(x) for x in zip(*[(from_planes(k), np.frombuffer(c, np.uint32).astype(np.int64)) for k, c in zip(rows["wk"], rows["wc"])])])
@@ -301,8 +327,8 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     """The merged counts with the filter's blocks (written once), and the totals."""
     texts = docs.select(text_or_empty(text_col).alias("text"))
     bits = group_bits(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
-    counted = texts.mapInPandas(counter(bits), "g long, wk binary, wc binary, pk binary, pc binary")
-    merged = counted.groupBy("g").applyInPandas(merge, "g long, bits binary, words binary, counts binary, n_words long, n_tokens long, n_pairs long")
+    parts = texts.mapInArrow(counter(bits), "g long, wk binary, wc binary, pk binary, pc binary")
+    merged = parts.groupBy("g").applyInPandas(merge, "g long, bits binary, words binary, counts binary, n_words long, n_tokens long, n_pairs long")
     merged = written(merged, "lm-counts")
     r = merged.agg(F.sum("n_tokens").alias("total"), F.sum("n_words").alias("distinct"), F.sum(F.length("bits")).alias("size")).first()
     return merged, Model(r["total"] or 0, r["distinct"] or 0, bits, (r["size"] or 0) + (len(EMPTY) << bits))
@@ -404,7 +430,7 @@ def by_broadcast(docs: DataFrame, merged: DataFrame, model: Model, id_col: str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = shared.value
         ends = h.values(np.array([END]))[0]  # every text has one end and one start
-        for b in batches:
+        for b in (x.iloc[s : s + ROWS].reset_index(drop=True) for x in batches for s in range(0, len(x), ROWS)):
             texts = list(b.pop("text"))
             n = len(texts)
             n_tokens, n_known, base, full = (np.zeros(n) for _ in range(4))
