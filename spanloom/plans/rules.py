@@ -75,12 +75,20 @@ nx AS (SELECT la.clip, la.turn, list(w.word ORDER BY w.idx) AS nxt FROM la JOIN
 co AS (SELECT la.*, CASE WHEN regexp_matches(last_word, '[.!?]["'')\]]*\s*$') THEN 'terminal' WHEN low IN ({MIDCLAUSE_SQL}) THEN 'midclause' WHEN nxt IS NULL THEN 'source_ends' WHEN regexp_matches(lower(array_to_string(nxt, ' ')), '{NEXT_TURN_SQL}') OR contains(array_to_string(nxt, ' '), '?') OR regexp_matches(nxt[1], '^\s*\p{{Lu}}') THEN 'new_turn' ELSE 'continues' END AS why FROM la LEFT JOIN nx USING (clip, turn))"""
 
 
+def last_words(w: DataFrame) -> DataFrame:
+    """Of words (clip, turn, idx, word) the last content word of each turn, with up to fifteen words after it. A turn of 10,000 words and more
+    runs into the next and may have several rows; all others are dropped before anything else is done with the words after them."""
+    back = Window.partitionBy("clip").orderBy(F.desc("idx"))  # one sort, from the end, tells both what follows and the turn of the next content word
+    w = w.select("clip", "turn", "idx", "word", tx.is_content("word").alias("content"))
+    after = F.reverse(F.collect_list("word").over(back.rowsBetween(-15, -1)))
+    then = F.last(F.when(F.col("content"), F.col("turn")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return w.withColumns({"after": after, "then": then}).filter(F.col("content") & ~F.col("then").eqNullSafe(F.col("turn"))).drop("content", "then")
+
+
 def endings(spark, d) -> DataFrame:
     """clip, turn, last_word, low, why: the last content word of each chunk, and whether the sentence is over with it."""
-    w = Window.partitionBy("clip").orderBy("idx")
-    after = F.collect_list("word").over(w.rowsBetween(1, 15))
-    w = words(spark, d).withColumn("after", after).filter(tx.is_content("word"))
-    last = w.groupBy("clip", "turn").agg(F.max_by(F.struct("word", tx.letters("word").alias("low"), "after"), "idx").alias("x")).select("clip", "turn", F.col("x.word").alias("last_word"), "x.low", "x.after")
+    ends = last_words(words(spark, d))
+    last = ends.groupBy("clip", "turn").agg(F.max_by(F.struct("word", tx.letters("word").alias("low"), "after"), "idx").alias("x")).select("clip", "turn", F.col("x.word").alias("last_word"), "x.low", "x.after")
     return last.select("clip", "turn", "last_word", "low", completeness(F.col("last_word"), F.col("low"), F.col("after")).alias("why"))
 
 
@@ -119,13 +127,23 @@ SELECT *, row_number() OVER (PARTITION BY clip, rough ORDER BY turn, severity <>
 def window_driver(spark, d):
     """All word rules over all chunks, for final cuts and for rough windows, in order of chunk and severity. In rough windows openings count
     in a clip's first chunk alone and endings in its last, and chunks may overlap."""
-    rule = lambda df, name, severity: df.select("clip", "turn", F.lit(name).alias("rule"), F.lit(severity).alias("severity"))
     win = windows(spark, d)
-    near = win.withColumn("nlo", F.lead("lo").over(Window.partitionBy("clip").orderBy("turn"))).filter("hi > nlo + 0.05 or nlo < lo")
-    order = near.select("clip", "turn", F.when(F.col("hi") > F.col("nlo") + 0.05, "OVERLAP").otherwise("DISJOINT_ORDER").alias("rule"), F.lit("ERROR").alias("severity"))
-    found = order
-    for df, name, severity in ((leading_orphan(spark, d), "LEADING_ORPHAN", "ERROR"), (trailing_orphan(spark, d), "TRAILING_ORPHAN", "ERROR"), (payoff_truncated(spark, d).filter("truncated"), "PAYOFF_TRUNCATED", "ERROR"), (opener_dirty(spark, d), "OPENER_DIRTY", "WARN"), (tangent_risk(spark, d), "TANGENT_RISK", "WARN")):
-        found = found.unionByName(rule(df, name, severity))
+    by = Window.partitionBy("clip", "turn")
+    c = words(spark, d).filter(tx.is_content("word")).select("clip", "turn", "idx", tx.is_connector("word").alias("connects"), tx.ends_sentence("word").alias("ends"))
+    c = c.select("clip", "turn", "connects", "ends", F.row_number().over(by.orderBy("idx")).alias("i"), F.count("*").over(by).alias("n"))
+    i, n, ends = F.col("i"), F.col("n"), F.col("ends")
+    c = c.groupBy("clip", "turn").agg(
+        F.max((n >= 3) & (i <= 3) & ends).alias("leading"),
+        (F.max((n >= 3).cast("int") * n) - F.max(F.when(ends, i)) >= 2).alias("trailing"),
+        F.max((i == 1) & F.col("connects")).alias("opener"),
+        (F.count_if(ends & (i > 3) & (i <= n - 3)) >= 2).alias("inner"),
+    )
+    ahead = F.lead("lo").over(Window.partitionBy("clip").orderBy("turn"))
+    each = win.withColumn("nlo", ahead).join(c, ["clip", "turn"], "left").join(payoff_truncated(spark, d).select("clip", "turn", "truncated"), ["clip", "turn"], "left")
+    overlap = F.col("hi") > F.col("nlo") + 0.05
+    rules = (("OVERLAP", "ERROR", overlap), ("DISJOINT_ORDER", "ERROR", ~overlap & (F.col("nlo") < F.col("lo"))), ("LEADING_ORPHAN", "ERROR", F.col("leading")), ("TRAILING_ORPHAN", "ERROR", F.col("trailing")), ("PAYOFF_TRUNCATED", "ERROR", F.col("truncated")), ("OPENER_DIRTY", "WARN", F.col("opener")), ("TANGENT_RISK", "WARN", F.col("inner") & (F.col("hi") - F.col("lo") >= 15)))
+    issues = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))) for name, severity, hit in rules]))
+    found = each.select("clip", "turn", F.explode(issues).alias("x")).select("clip", "turn", "x.rule", "x.severity")
     edge = win.groupBy("clip").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
     both = found.join(edge, "clip").withColumn("rough", F.explode(F.array(F.lit(False), F.lit(True))))
     elsewhere = (F.col("rule").isin("LEADING_ORPHAN", "OPENER_DIRTY") & (F.col("turn") != F.col("first"))) | (F.col("rule").isin("TRAILING_ORPHAN", "PAYOFF_TRUNCATED") & (F.col("turn") != F.col("last")))

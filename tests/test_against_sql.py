@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 from conftest import plain, rows_of
 
-from spanloom.plans import registry
+from spanloom.plans import registry, rules
 
 
 def both(spark, tmp_path, name, **tables):
@@ -62,3 +62,18 @@ def test_split_words_are_joined_in_one_pass(spark, tmp_path):
     # the eleventh word is heard as "ait" and "re"; only once these are joined is there something that the "r" before fits
     got, want = both(spark, tmp_path, "transcript_repair", conversations=turns(["raitre", "so we go on and so we go on réé aitre now"]))
     assert got == want and {"réé", "aitre"} <= {r[-1] for r in got}
+
+
+def test_ends_of_turns_that_run_into_the_next(spark, tmp_path):
+    # words are numbered up to 10,000 a turn, so the first turn's last words come after the second turn's first
+    texts = ["a b " * 5003 + "um", "go on then. Um", "um", "", "What? uh"]
+    for name in ("sentence_completeness", "payoff_truncated", "window_driver"):
+        got, want = both(spark, tmp_path, name, conversations=turns(texts, ["So", "because"], ["Well. It is so. It is so. It is. Now, we go on", "Yes"]))
+        assert got == want and got
+
+
+def test_only_last_words_keep_what_follows(spark):
+    w = spark.createDataFrame([(c, t, t * 10000 + i, f"w{i}") for c in range(3) for t in range(4) for i in range(50)], "clip long, turn long, idx long, word string")
+    got = {(r["clip"], r["turn"]): r["after"] for r in rules.last_words(w).collect()}
+    assert rules.last_words(w).count() == len(got) == 12
+    assert got[0, 1] == [f"w{i}" for i in range(15)] and got[2, 3] == []
