@@ -30,7 +30,8 @@ def alphanumerics(x: str | Column) -> Column:
 
 def word_chars(x: str | Column) -> Column:
     """Lower case, letters of any script, digits, underscores and apostrophes."""
-    return F.regexp_replace(F.lower(_c(x)), r"(?U)[^\w']", "")
+    low = F.lower(_c(x))
+    return F.when(~low.rlike("[^a-z0-9_']"), low).otherwise(F.regexp_replace(low, r"(?U)[^\w']", ""))  # most words have nothing to take out
 
 
 def plain(x: str | Column) -> Column:

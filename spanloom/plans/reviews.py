@@ -13,6 +13,7 @@ from spanloom.operators import edits as ed
 from spanloom.operators import fillers as fl
 from spanloom.operators import intervals as iv
 from spanloom.operators import sequence as sq
+from spanloom.operators.steps import written
 from spanloom.sources.tables import SPANS, WORDS, spans, table, words
 
 from . import rules
@@ -156,8 +157,9 @@ SELECT l.clip, count(m.idx) FILTER (near) AS at_edges, count(m.idx) FILTER (NOT
 def clip_review(spark, d):
     """Fillers left in a clip: those at the edge of a cut may be misheard, the others are residual; and whether its length is right."""
     w = cut_words(spark, d)
-    m = fl.taken(fl.candidates(w, **LISTS)).select("clip", "idx", F.col("st").alias("t"))
-    e = fl.cuts(w, 0.05, 0.08, **LISTS).filter("kinds like '%pause%'").select("clip", F.explode(F.array("st", "en")).alias("edge"))
+    t = written(fl.taken(fl.candidates(w, **LISTS), fl.PAUSE), "review-fillers")  # a small part of the words, read twice
+    m = t.filter("kind <> 'pause'").select("clip", "idx", F.col("st").alias("t"))
+    e = fl.cuts_of(t, 0.05, 0.08).filter("kinds like '%pause%'").select("clip", F.explode(F.array("st", "en")).alias("edge"))
     near = iv.nearest(m, e.withColumn("idx", F.lit(0).cast("long")), "edge", 0.6)
     n = near.groupBy("clip").agg(F.count("near").alias("at_edges"), F.count_if(F.col("near").isNull()).alias("residual"))
     l = w.groupBy("clip").agg((F.max("en") - F.min("st")).alias("secs")).join(n, "clip", "left")
