@@ -186,16 +186,23 @@ def pools(listing: DataFrame) -> DataFrame:
     return listing.groupBy(F.element_at(F.split("path", "/"), -2).alias("category")).agg(F.array_sort(F.collect_list("name")).alias("names"))
 
 
+BROADCAST_ROWS = 1_000_000  # folders up to which a counted list is broadcast; beyond, a shuffled join
+
+
 def contracts(clips: DataFrame, listing: DataFrame, name: str, up: int = 4) -> DataFrame:
     """clips (path) with the contract file of that name next to each or in the nearest of up to ``up`` folders above it; null without one."""
     folder = lambda p: F.regexp_replace(p, "/[^/]*$", "")
     there = listing.filter(F.col("name") == name).select(folder(F.col("path")).alias("dir"), F.col("path").alias("contract"))
-    steps, d = [], folder(F.col("path"))
+    steps, d = [], F.col("own")
     for i in range(up + 1):
         steps.append(F.struct(F.lit(i).alias("up"), d.alias("dir")))
         d = folder(d)
-    each = clips.select("path", F.explode(F.array(*steps)).alias("s")).select("path", "s.up", "s.dir").join(there, "dir")
-    return clips.join(each.groupBy("path").agg(F.min_by("contract", "up").alias("contract")), "path", "left")
+    # folders are looked up once each, however many files they hold; the files meet them by broadcast where they are counted to be few
+    own = clips.select(folder(F.col("path")).alias("own")).distinct()
+    each = own.select("own", F.explode(F.array(*steps)).alias("s")).select("own", "s.up", "s.dir").join(there, "dir")
+    near = each.groupBy("own").agg(F.min_by("contract", "up").alias("contract"))
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    return clips.withColumn("own", folder(F.col("path"))).join(near, "own", "left").select(*[F.col(c) for c in clips.columns], "contract")
 
 
 def newest(listing: DataFrame, *keys: str) -> DataFrame:

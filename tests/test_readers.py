@@ -87,3 +87,15 @@ def test_subtitle_lines(spark, tmp_path):
     assert [(r["text"], r["colour"]) for r in rd.read_ass(spark, f"{tmp_path}/x.ass").orderBy("idx").collect()] == [("a", "FFFFFF"), ("b", "FECB00")]
     sk.write_srt(cues, f"{tmp_path}/srt", ["clip"])
     assert "00:00:02,000 --> 00:00:03,000" in spark.read.text(f"{tmp_path}/srt", wholetext=True).first()[0]
+
+
+def test_folders_are_looked_up_once_each(spark):
+    import re
+
+    files = spark.range(300).selectExpr("concat('r/', id % 3, '/', id % 2, '/', id, '.mp4') as path", "id")
+    listing = spark.createDataFrame([("r/1/contract.json", "contract.json"), ("r/2/1/contract.json", "contract.json"), ("r/2/contract.json", "contract.json"), ("r/0/other", "other")], "path string, name string")
+    found = rd.contracts(files, listing, "contract.json")
+    assert found.columns == ["path", "id", "contract"] and found.count() == 300
+    want = {0: None, 1: "r/1/contract.json"}
+    assert all(r["contract"] == want.get(r["id"] % 3, f"r/2/{'1/' if r['id'] % 2 else ''}contract.json") for r in found.collect())
+    assert not re.search(r"keys?=\[path", found._jdf.queryExecution().executedPlan().toString())  # no aggregation over files
