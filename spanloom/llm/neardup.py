@@ -180,16 +180,22 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     return own.select("cls", F.size("core").alias("common"), "core", "m").filter(f"100 * common >= {SIMILAR} * m").drop("m")
 
 
-def promising(member: DataFrame) -> DataFrame:
-    """The rows (head, cls, n, common, label) whose head also has a class of another label that sizes and common shingles let them
-    be linked with: a link needs reach = common * (100 + SIMILAR) - n * SIMILAR, of either, to be SIMILAR times the other's n."""
-    m = member.withColumn("reach", (100 + SIMILAR) * F.col("common") - SIMILAR * F.col("n"))
-    per = m.groupBy("head", "label").agg(F.max("reach").alias("far"), F.min("n").alias("small"))
-    one = per.groupBy("head").agg(F.max(F.struct("far", "label")).alias("f"), F.min(F.struct("small", "label")).alias("s"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+def facing(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows with far and small: the largest reach and the least need of those others of the same head whose label is not the row's own;
+    rows without any are left out."""
+    per = others.groupBy("head", "label").agg(F.max("reach").alias("far"), F.min("need").alias("small"))
+    one = per.groupBy("head").agg(F.max(F.struct("far", "label")).alias("f"), F.min(F.struct("small", "label")).alias("s"))
     two = per.join(one, "head").groupBy("head").agg(F.first("f").alias("f"), F.first("s").alias("s"), F.max(F.expr("if(label <> f.label, far, null)")).alias("far2"), F.min(F.expr("if(label <> s.label, small, null)")).alias("small2"))
     far = F.when(F.col("label") == F.col("f.label"), F.col("far2")).otherwise(F.col("f.far"))
     small = F.when(F.col("label") == F.col("s.label"), F.col("small2")).otherwise(F.col("s.small"))
-    return m.join(two, "head").filter((far >= SIMILAR * F.col("n")) & (F.col("reach") >= SIMILAR * small)).select("head", "cls", "n", "label")
+    return rows.join(two, "head").select(*[rows[c] for c in rows.columns], far.alias("far"), small.alias("small")).filter("far is not null")
+
+
+def promising(member: DataFrame) -> DataFrame:
+    """The rows (head, cls, n, common, label) whose head also has a class of another label that sizes and common shingles let them
+    be linked with: a link needs reach = common * (100 + SIMILAR) - n * SIMILAR, of either, to be SIMILAR times the other's n."""
+    m = member.withColumns({"reach": (100 + SIMILAR) * F.col("common") - SIMILAR * F.col("n"), "need": SIMILAR * F.col("n")})
+    return facing(m, m).filter("far >= need and reach >= small").select("head", "cls", "n", "label")
 
 
 def deltas(open_: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,17 +214,27 @@ def deltas(open_: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
     return one.select("head", "cls", "n", "nh", "label", "d", F.expr("7 * d <= n + nh").alias("linked"), (F.col("d") - F.size("more") - F.size("less")).alias("alone"), parts.alias("parts"))
 
 
-def prefix(delta: DataFrame, least: str) -> DataFrame:
-    """The shingles of each D up to the last at which an overlap of least can begin, with their places."""
-    room = F.greatest(F.lit(0), F.col("d") - F.expr(f"ceil(({least}) / 14d)") + 1 - F.col("alone")).cast("int")
+def hopeful(delta: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows of delta that their d and what is left of it let be linked with one of others, of the same head and another label.
+
+    With need = 7 * d - n, a link of a and b needs 14 * |D(a) & D(b)| >= need(a) + need(b). What they have in common is among the parts of
+    both, so reach = 14 * |parts| - need, of either, must come to the other's need."""
+    return facing(delta, others).filter("far >= need and reach >= small")
+
+
+def prefix(delta: DataFrame) -> DataFrame:
+    """The shingles of each D up to the last at which the least overlap with one of those it may be linked with can begin, with their places."""
+    room = F.greatest(F.lit(0), F.col("d") - F.expr("ceil((need + small) / 14d)") + 1 - F.col("alone")).cast("int")
     return delta.withColumn("e", F.slice("parts", F.lit(1), room)).select("head", "cls", "n", "label", "d", "alone", F.posexplode("e").alias("i", "e")).withColumn("after", F.expr("d - alone - i - 1")).drop("alone", "i")
 
 
 def across(delta: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different labels that a link's overlap allows, of classes not both linked with the head: a join on the
-    first shingles of D, rarest kinds first, with the bound on what may follow. Large groups of copies of one head
-    share few of these, and no pair that can be linked is left out."""
-    free, tied = delta.filter("not linked and cls <> head"), delta.filter("linked and cls <> head")
+    first shingles of D, rarest kinds first, with the bound on what may follow. Classes that nothing under their head can be linked with are left out
+    before; large groups of copies of one head share few of these, and no pair that can be linked is left out."""
+    need = F.expr("7 * d - n")
+    delta = delta.filter("cls <> head").withColumns({"need": need, "reach": 14 * F.size("parts") - need})
+    free, tied = delta.filter("not linked"), delta.filter("linked")
     side = lambda x, k: x.select("head", "e", F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}"), F.col("d").alias(f"d{k}"), F.col("after").alias(f"r{k}"))
     bound = f"la <> lb and 14 * (1 + least(ra, rb)) >= 7 * (da + db) - (na + nb) and 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
 
@@ -226,9 +242,9 @@ def across(delta: DataFrame) -> DataFrame:
         x, y = side(x, "a").alias("x"), side(y, "b").alias("y")
         return x.join(y, F.expr(f"x.head = y.head and x.e = y.e and {bound}{extra}")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    short = prefix(free, "7 * d - n + nh + 1")
+    short = prefix(hopeful(free, free))
     with_free = met(short, short, " and a > b")
-    with_tied = met(prefix(free, "7 * d - n - nh"), prefix(tied, "7 * d - n + nh + 1"), "")
+    with_tied = met(prefix(hopeful(free, tied)), prefix(hopeful(tied, free)), "")
     return with_free.unionByName(with_tied).distinct()
 
 

@@ -42,3 +42,27 @@ def test_copies_of_copies(spark, seed):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == comp
     assert len(set(comp)) > 3
+
+
+def test_copies_that_nothing_can_be_linked_with_form_few_rows(spark, monkeypatch):
+    """Copies with words of their own in many places: the copies near the text are linked with it, and what the others share is too little."""
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    texts = [base]
+    for c in range(300):
+        out = list(base)
+        for at in rng.sample(range(0, 120, 5), 1 + c % 6):
+            out[at] = f"own{c}x{at}"
+        texts.append(out)
+    made, prefix = [], neardup.prefix
+
+    def counted(*delta):
+        made.append(prefix(*delta).count())
+        return prefix(*delta)
+
+    monkeypatch.setattr(neardup, "prefix", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    linked = lambda n: 100 * (116 - 5 * n) >= 75 * (116 + 5 * n)
+    assert all(got[i + 1] == 0 for i in range(300) if linked(1 + i % 6))
+    assert len(made) == 3 and sum(made) < 150  # 303 without the bound
