@@ -8,7 +8,10 @@ frame before), dx, dy (shift to the frame before in percent), zoom, cx (centre o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ MOVING, PAN, FROZEN, FROZEN_RUN, BLACK = 0.5, 8.0, 0.4, 3, 5.0
 OFF_CENTRE, OFF_SECONDS = (0.22, 0.78), 1.5
 
 BLOCK = 64  # samples of a block of a correlation
+BLOCKS = 256  # blocks of a second transformed at a time
 
 
 def _by(order: str, *keys: str):
@@ -152,36 +156,58 @@ def voiced_spans(frames: DataFrame, attack: float = 12.0, release: float = 18.0)
     return held.groupBy("clip", "g").agg(F.min("at").alias("st"), (F.max("at") + 0.025).alias("en")).drop("g")
 
 
-def power_spectrum(samples: DataFrame, rate: int, lo: int, hi: int) -> DataFrame:
-    """clip, block, hz, power: the power of blocks of a second at whole frequencies, under a Hann window, by a recurrence of two values a sample."""
+def block_powers(samples: DataFrame, rate: int, lo: int, hi: int) -> DataFrame:
+    """clip, block, powers: the power of blocks of a second at the whole frequencies from lo to hi, under a Hann window, as an array of one row a
+    block. A block of a second holds them all in one Fourier transform."""
     held = samples.withColumn("k", F.col("i") % rate).groupBy("clip", F.floor(F.col("i") / rate).alias("block"))
     shaped = F.col("x") * (0.5 - 0.5 * F.cos(F.lit(2 * math.pi / rate) * F.col("k")))
-    xs = held.agg(F.array_sort(F.collect_list(F.struct("k", shaped.alias("x")))).alias("s")).filter(F.size("s") == rate)
-    each = xs.select("clip", "block", F.transform("s", lambda p: p["x"]).alias("x"), F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("hz"))
-    turn = 2 * F.cos(F.lit(2 * math.pi / rate) * F.col("hz"))
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), turn.alias("c"))
-    step = lambda s, x: F.struct((x + s["c"] * s["a"] - s["b"]).alias("a"), s["a"].alias("b"), s["c"].alias("c"))
-    done = lambda s: (s["a"] * s["a"] + s["b"] * s["b"] - s["c"] * s["a"] * s["b"]) / (rate * rate)
-    return each.select("clip", "block", "hz", F.aggregate("x", start, step, done).alias("power"))
+    xs = held.agg(F.array_sort(F.collect_list(F.struct("k", shaped.alias("x")))).alias("s"), F.count("x").alias("n")).filter((F.size("s") == rate) & (F.col("n") == rate))
+    hz = np.arange(lo, hi + 1) % rate
+    hz = np.minimum(hz, rate - hz)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCKS):
+                part = b.slice(at, BLOCKS)
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, rate)
+                power = np.abs(np.fft.rfft(x)[:, hz]) ** 2 / (rate * rate)
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(hz))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(power.ravel()))], ["clip", "block", "powers"])
+
+    kind = samples.schema["clip"].dataType.simpleString()
+    return xs.select("clip", F.col("block").cast("long").alias("block"), F.transform("s", lambda p: p["x"]).alias("x")).mapInArrow(run, f"clip {kind}, block long, powers array<double>")
+
+
+def power_spectrum(samples: DataFrame, rate: int, lo: int, hi: int) -> DataFrame:
+    """clip, block, hz, power: the powers of ``block_powers``, one a row."""
+    each = block_powers(samples, rate, lo, hi).select("clip", "block", F.posexplode("powers").alias("hz", "power"))
+    return each.select("clip", "block", (F.col("hz") + lo).alias("hz"), "power")
+
+
+def around(powers: DataFrame, lo: int, grid: list[tuple[int, int]]) -> DataFrame:
+    """clip, block, base, at, peak, band, prominence: of powers (clip, block, and an array that begins at lo) at each (base, at) of the grid,
+    where within 3 the largest is, the sum within 2, and how far that stands out of the middle of those 6 to 35 away."""
+    spots = powers.select("clip", "block", "powers", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.lit(c).alias("at")) for b, c in grid])).alias("g"))
+    part = lambda start, n: F.slice("powers", F.col("g.at") + start - lo + 1, F.lit(n))
+    most = F.array_max(F.transform(part(-3, 7), lambda x, i: F.struct(x.alias("power"), (3 - i).alias("d"))))
+    band = F.aggregate(part(-2, 5), F.lit(0.0), lambda s, x: s + x)
+    spots = spots.select("clip", "block", "g.base", "g.at", (-most["d"]).alias("peak"), band.alias("band"), F.array_sort(F.concat(part(-35, 30), part(6, 30))).alias("far"))
+    floor = (F.get("far", F.lit(29)) + F.get("far", F.lit(30))) / 2
+    return spots.select("clip", "block", "base", "at", "peak", "band", (10 * F.log10(F.col("band") / (floor * 5 + 1e-18) + 1e-12)).alias("prominence"))
 
 
 def hum(samples: DataFrame, rate: int, top: int | None = None) -> DataFrame:
     """clip, base, hz, prominence, persistence, below_speech, level: harmonics of 50 and 60 Hz that stand out of what is around them,
     on the grid, in most blocks, and how far they lie under the speech band."""
     top = min(620, rate // 2) if top is None else top
+    lo = 12
     grid = [(b, b * k) for b in (50, 60) for k in range(1, 13) if b * k <= top - 35]
-    psd = written(power_spectrum(samples, rate, 12, top), "signal-powers")
-    whole = psd.groupBy("clip", "hz").agg(F.avg("power").alias("power")).withColumn("block", F.lit(-1).cast("long"))
-    speech = whole.filter("hz >= 300 and hz <= 3400").groupBy("clip").agg(F.sum("power").alias("speech"))
-    both = psd.unionByName(whole)
-    spots = both.select("clip", "block", "hz", "power", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.lit(c).alias("at")) for b, c in grid])).alias("g"))
-    far = F.abs(F.col("hz") - F.col("g.at"))
-    spots = spots.filter(far <= 38).select("clip", "block", "hz", "power", "g.base", "g.at", (F.col("hz") - F.col("g.at")).alias("d"))
-    group = spots.groupBy("clip", "block", "base", "at")
-    near = group.agg(F.max_by("d", F.when(F.abs("d") <= 3, F.struct("power", -F.col("d")))).alias("peak"), F.sum(F.when(F.abs("d") <= 2, F.col("power"))).alias("band"), F.percentile(F.when((F.abs("d") >= 6) & (F.abs("d") <= 35), F.col("power")), F.lit(0.5)).alias("floor"))
-    near = near.withColumn("prominence", 10 * F.log10(F.col("band") / (F.col("floor") * 5 + 1e-18) + 1e-12))
-    total = near.filter("block = -1").select("clip", "base", "at", "peak", "band", "prominence")
-    held = near.filter("block >= 0").groupBy("clip", "base", "at").agg(F.avg((F.col("prominence") >= 6).cast("int")).alias("persistence"))
+    psd = written(block_powers(samples, rate, lo, top), "signal-powers")
+    mean = psd.select("clip", F.posexplode("powers").alias("p", "power")).groupBy("clip", "p").agg(F.avg("power").alias("power"))
+    whole = mean.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "power"))), lambda x: x["power"]).alias("powers")).withColumn("block", F.lit(-1).cast("long"))
+    speech = mean.filter((F.col("p") + lo).between(300, 3400)).groupBy("clip").agg(F.sum("power").alias("speech"))
+    total = around(whole, lo, grid)
+    held = around(psd, lo, grid).groupBy("clip", "base", "at").agg(F.avg((F.col("prominence") >= 6).cast("int")).alias("persistence"))
     found = total.join(held, ["clip", "base", "at"]).join(speech, "clip").filter("peak = 0")
     found = found.withColumn("below", 10 * F.log10(F.col("speech") / (F.col("band") + 1e-18) + 1e-12))
     member = (F.col("prominence") >= HUM["family_prominence"]) & (F.col("persistence") >= HUM["family_persistence"])

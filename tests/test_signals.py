@@ -61,6 +61,20 @@ def test_hum_is_found_on_the_grid_only(spark):
     assert bad == {0: {50, 100}, 3: {60}}
 
 
+def test_a_block_is_one_row_and_stands_out_as_by_numpy(spark):
+    x = np.random.default_rng(6).normal(size=2300)
+    powers = sg.block_powers(sound(spark, x, np.zeros(1000)), 1000, 12, 500).persist()
+    got = {(r["clip"], r["block"]): np.array(r["powers"]) for r in powers.collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0)} and all(len(p) == 489 for p in got.values()) and not got[1, 0].any()
+    for r in sg.around(powers, 12, [(50, 50), (60, 420)]).collect():
+        p = dict(zip(range(12, 501), got[r["clip"], r["block"]]))
+        band = sum(p[r["at"] + d] for d in range(-2, 3))
+        floor = np.median([p[r["at"] + d] for d in range(-35, 36) if abs(d) >= 6])
+        peak = max(range(-3, 4), key=lambda d: (p[r["at"] + d], -d))
+        assert (r["peak"], r["at"]) == (peak, 50 if r["base"] == 50 else 420)
+        assert np.isclose(r["band"], band) and np.isclose(r["prominence"], 10 * np.log10(band / (floor * 5 + 1e-18) + 1e-12))
+
+
 def checks(df):
     out = {}
     for r in df.collect():
