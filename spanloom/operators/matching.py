@@ -109,31 +109,40 @@ def alignment(turns: DataFrame) -> DataFrame:
     return align.counted(t.select(F.struct("conv_id", "turn").alias("pair"), split("a").alias("a"), split("b").alias("b"))).select("pair.*", "equal", "replaced", "inserted", "deleted", "longest", "ratio", "wer")
 
 
+def _common(t: Column, h: Column) -> Column:
+    """How many letters two words have in common, each as often as in both."""
+    count = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.array_remove(F.split(t, ""), "")), F.lit(0), lambda n, c: n + F.least(count(t, c), count(h, c)))
+
+
 def alike(pairs: DataFrame, least: float) -> DataFrame:
     """Of distinct pairs of words (t, h) those of which the share of matching characters, by longest blocks, is ``least`` or more.
 
     Before any is aligned, the letters they have in common, each as often as in both, must reach that share."""
-    count = lambda w, c: F.length(w) - F.length(F.replace(F.col(w), c, F.lit("")))
     chars = lambda w: F.array_remove(F.split(w, ""), "")
-    common = F.aggregate(F.array_distinct(chars("t")), F.lit(0), lambda n, c: n + F.least(count("t", c), count("h", c)))
-    near = pairs.filter(2.0 * common >= least * (F.length("t") + F.length("h")))
+    near = pairs.filter(2.0 * _common(F.col("t"), F.col("h")) >= least * (F.length("t") + F.length("h")))
     found = align.counted(near.select(F.struct("t", "h").alias("pair"), chars("h").alias("a"), chars("t").alias("b")))
     return found.filter(F.col("ratio") >= least).select("pair.*")
 
 
-def supported(sides: DataFrame, heard: DataFrame, keys: list[str], least: float = 0.8, letters: int = 3) -> DataFrame:
-    """keys, side, support: the share of a side's words (array ts) that were heard (array hs).
-
-    A word takes the first of the words heard that is still free and is the same or, if it has more than ``letters`` letters, alike. Pairs that
-    can be alike share two letters in a row, so they meet on these within their keys; alignment sees each pair of words once."""
-    pair = lambda w: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))).alias("g")
-    t = sides.select(*keys, F.explode(F.array_distinct("ts")).alias("t")).filter(F.length("t") > letters).distinct().select(*keys, "t", pair("t"))
-    h = heard.select(*keys, F.explode(F.array_distinct("hs")).alias("h")).filter(F.length("h") > 1).select(*keys, "h", pair("h"))
-    size = 2.0 * F.least(F.length("t"), F.length("h")) >= least * (F.length("t") + F.length("h"))
-    met = written(t.join(h, [*keys, "g"]).filter((F.col("t") != F.col("h")) & size).select(*keys, "t", "h").distinct(), "votes-met")
-    like = met.join(alike(met.select("t", "h").distinct(), least), ["t", "h"]).groupBy(*keys).agg(F.collect_set(F.concat_ws(" ", "t", "h")).alias("like"))
-    both = sides.join(heard, keys, "left").join(like, keys, "left")
-    like_, hs = F.coalesce("like", F.array().cast("array<string>")), F.coalesce("hs", F.array().cast("array<string>"))
+def weighed(rows: DataFrame, keys: list[str], sides: list[str], least: float = 0.8, letters: int = 3) -> DataFrame:
+    """keys and, for each of the sides (arrays of words), the share of its words that were heard (array hs); null for a side without words.
+    The keys name one row.
+
+    A word takes the first of the words heard that is still free and is the same or, if it has more than ``letters`` letters, alike. Pairs that by their
+    letters may be alike are found in their row; alignment sees each pair of words once, and only pairs that are alike go back to their rows."""
+
+    def may(t: Column, h: Column) -> Column:
+        size = F.length(t) + F.length(h)
+        return F.when((t != h) & (2.0 * F.least(F.length(t), F.length(h)) >= least * size), 2.0 * _common(t, h) >= least * size).otherwise(False)
+
+    none = F.array().cast("array<string>")
+    said = F.filter(F.array_distinct(F.concat(*[F.coalesce(c, none) for c in sides])), lambda t: F.length(t) > letters)
+    heard = F.array_distinct("hs")
+    near = F.flatten(F.transform(said, lambda t: F.transform(F.filter(heard, lambda h: may(t, h)), lambda h: F.struct(t.alias("t"), h.alias("h")))))
+    rows = written(rows.select(*keys, *sides, F.coalesce("hs", none).alias("hs")).withColumn("near", near), "votes-near")
+    pairs = written(alike(rows.select(F.explode("near").alias("p")).select("p.*").distinct(), least), "votes-alike")
+    like = rows.select(*keys, F.explode("near").alias("p")).select(*keys, "p.*").join(few(pairs), ["t", "h"]).groupBy(*keys).agg(F.collect_set(F.concat_ws(" ", "t", "h")).alias("like"))
 
     def take(s: Column, t: Column) -> Column:
         fits = F.transform(s["free"], lambda h: (h == t) | ((F.length(t) > letters) & F.array_contains(s["like"], F.concat_ws(" ", t, h))))
@@ -141,5 +150,12 @@ def supported(sides: DataFrame, heard: DataFrame, keys: list[str], least: float
         rest = F.concat(F.slice(s["free"], F.lit(1), at - 1), F.slice(s["free"], at + 1, F.size(s["free"])))
         return F.struct(F.when(at > 0, rest).otherwise(s["free"]).alias("free"), (s["hits"] + (at > 0).cast("int")).alias("hits"), s["like"].alias("like"))
 
-    start = F.struct(hs.alias("free"), F.lit(0).alias("hits"), like_.alias("like"))
-    return both.filter(F.size("ts") > 0).select(*keys, "side", F.round(F.aggregate("ts", start, take, lambda s: s["hits"]) / F.size("ts"), 3).alias("support"))
+    start = F.struct(F.col("hs").alias("free"), F.lit(0).alias("hits"), F.coalesce("like", none).alias("like"))
+    share = lambda c: F.when(F.size(c) > 0, F.round(F.aggregate(c, start, take, lambda s: s["hits"]) / F.size(c), 3))
+    return rows.drop("near").join(like, keys, "left").select(*keys, *[share(c).alias(c) for c in sides])
+
+
+def supported(sides: DataFrame, heard: DataFrame, keys: list[str], least: float = 0.8, letters: int = 3) -> DataFrame:
+    """keys, side, support: the share of a side's words (array ts) that were heard (array hs), as ``weighed`` finds it."""
+    each = weighed(sides.join(heard, keys, "left"), [*keys, "side"], ["ts"], least, letters)
+    return each.filter("ts is not null").withColumnRenamed("ts", "support")

@@ -77,3 +77,14 @@ def test_only_last_words_keep_what_follows(spark):
     got = {(r["clip"], r["turn"]): r["after"] for r in rules.last_words(w).collect()}
     assert rules.last_words(w).count() == len(got) == 12
     assert got[0, 1] == [f"w{i}" for i in range(15)] and got[2, 3] == []
+
+
+def test_readings_meet_in_one_shuffle_of_their_spans(spark, tmp_path):
+    # the second conversation's turns have holes, a text of nothing and spans that only one of two turns has; a turn is given twice
+    long = "because wonderful morning letters wonderfull lettres beacuse mornings evening evenings "
+    frame = turns([long * 2, "wonderful because letters", long, "", "!! ... ?", long + "ev ening"], ["a b c d e f", "d'accord it is"])
+    frame = pd.concat([frame, frame[(frame.conv_id == 0) & (frame.turn == 2)].assign(text="Letters mornin because"), frame[frame.conv_id == 0].assign(conv_id=7, turn=lambda x: x.turn * 2), frame[frame.conv_id == 0].assign(conv_id=8, text=None)])
+    got, want = both(spark, tmp_path, "vote_tiebreak", conversations=frame)
+    assert got == want and len(got) > 15
+    plan = registry.queries()["vote_tiebreak"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
