@@ -5,6 +5,9 @@ touch it, whether it was said as number words, and the span of what it was made
 functions over (id, k) and may take in the rows behind it; all rules share one partitioning and one order, so the whole pipeline is one
 shuffle of the words and the texts' length costs rows, not memory of a Python worker. Number words are folded over one run of them.
 
+Every rule that looks at neighbours looks for a digit, a number word or "grand". In texts without any (`_counts`) each token stands for
+itself, so ``formatted`` gives them their caption where they are read, without a row or a shuffle for each word.
+
 Rules, in order: misspellings, dictionary, number words, "one" or "1", labels ("step #1"), money, symbols and multipliers, thousands,
 capitals, punctuation. Numbers beyond a long stay as they were said.
 
@@ -14,6 +17,8 @@ the caller's id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -110,19 +115,33 @@ def _take(df: DataFrame, n: Column, most: int, text: Column, locked: bool = True
     return kept.select("id", "k", F.when(hit, F.col("new")).otherwise(F.col("text")).alias("text"), trail.alias("trail"), (F.col("locked") | hit if locked else F.col("locked")).alias("locked"), spoke.alias("spoken"), "lo", hi.alias("hi"))
 
 
-def tokens(words: DataFrame) -> DataFrame:
-    """words (id, k, word, lo, hi) as tokens: punctuation behind the core apart, quotes and brackets before it dropped."""
-    bare = F.regexp_replace(F.lower("word"), r"[,?!]+\z", "")
+def _parted(word: Column) -> tuple[Column, Column]:
+    """Core and trail of a word: punctuation behind the core apart, quotes and brackets before it dropped."""
+    bare = F.regexp_replace(F.lower(word), r"[,?!]+\z", "")
     kept = bare.isin("etc.", "e.g.", "i.e.", "u.s.") | bare.rlike(r"^(?:[a-z]\.){2,}\z") | bare.rlike(r"[a-z0-9]\.[a-z]{2,}\z")
-    trail = F.when(kept, F.regexp_extract("word", r"[,?!]+\z", 0)).otherwise(F.regexp_extract("word", r"[,.?!]+\z", 0))
-    core = F.regexp_replace(F.when(kept, F.regexp_replace("word", r"[,?!]+\z", "")).otherwise(F.regexp_replace("word", r"[,.?!]+\z", "")), r"^[\"'(\[]+", "")
+    trail = F.when(kept, F.regexp_extract(word, r"[,?!]+\z", 0)).otherwise(F.regexp_extract(word, r"[,.?!]+\z", 0))
+    core = F.regexp_replace(F.when(kept, F.regexp_replace(word, r"[,?!]+\z", "")).otherwise(F.regexp_replace(word, r"[,.?!]+\z", "")), r"^[\"'(\[]+", "")
+    return core, trail
+
+
+def tokens(words: DataFrame) -> DataFrame:
+    """words (id, k, word, lo, hi) as tokens."""
+    core, trail = _parted(F.col("word"))
     return words.select("id", "k", core.alias("text"), trail.alias("trail"), F.lit(False).alias("locked"), F.lit(False).alias("spoken"), "lo", "hi")
 
 
+def _spelled(text: Column, known: dict[str, str]) -> Column:
+    return F.coalesce(F.element_at(_map(known), F.lower(text)), text) if known else text
+
+
 def misspellings(df: DataFrame, known: dict[str, str]) -> DataFrame:
-    if not known:
-        return df
-    return df.withColumn("text", F.coalesce(F.element_at(_map(known), F.lower("text")), F.col("text")))
+    return df.withColumn("text", _spelled(F.col("text"), known))
+
+
+def _formed(text: Column, amount: Column | None = None) -> Column:
+    """Whether text has its final form; an amount with a scale behind it has not."""
+    form = text.rlike("(?U)^(?:" + "|".join(FORMATTED) + r")\z")
+    return _in(text, [*ACRONYMS, "1-on-1"]) | (form if amount is None else form & ~amount) | text.rlike(GLUED)
 
 
 def dictionary(df: DataFrame) -> DataFrame:
@@ -137,9 +156,8 @@ def dictionary(df: DataFrame) -> DataFrame:
     shot2 = _is((F.col("low") == "shot") & (F.col("l0") == "one") & ~F.col("o0"))
     entry = F.when(~F.col("locked"), F.element_at(_map(DICTIONARY), F.col("low")))
     amount = F.col("text").rlike(AMOUNT) & _is(_in(F.col("l1"), list(SCALES)))
-    formed = _in(F.col("text"), [*ACRONYMS, "1-on-1"]) | (F.col("text").rlike("(?U)^(?:" + "|".join(FORMATTED) + r")\z") & ~amount) | F.col("text").rlike(GLUED)
     text = F.when(shot | shot2, F.col("low")).otherwise(F.coalesce(entry, "text"))
-    return t.select("id", "k", text.alias("text"), F.when(shot, "").otherwise(F.col("trail")).alias("trail"), (F.col("locked") | shot | shot2 | entry.isNotNull() | formed).alias("locked"), "spoken", "lo", "hi")
+    return t.select("id", "k", text.alias("text"), F.when(shot, "").otherwise(F.col("trail")).alias("trail"), (F.col("locked") | shot | shot2 | entry.isNotNull() | _formed(F.col("text"), amount)).alias("locked"), "spoken", "lo", "hi")
 
 
 def _worth(words: Column) -> Column:
@@ -310,13 +328,11 @@ def symbols(df: DataFrame) -> DataFrame:
     return t.select("id", "k", F.when(F.col("many"), F.regexp_replace("text", "^([0-9]+)[xX]", "$1X")).otherwise(F.col("text")).alias("text"), "trail", (F.col("locked") | F.col("many")).alias("locked"), "spoken", "lo", "hi")
 
 
-def capitals(df: DataFrame) -> DataFrame:
-    """Thousands of spoken numbers, then case: "I", abbreviations, acronyms and names as they are written, all else small."""
+def _cased(text: Column, low: Column) -> Column:
+    """"I", abbreviations, acronyms and names as they are written, all else small; low is text in lower case."""
     canon = _map({w.lower(): w for w in PROPER})
-    big_i = lambda w: F.concat(F.lit("I"), F.expr(f"substring({w}, 2)"))
-    v = F.when(F.col("spoken") & F.col("text").rlike(r"^[0-9]+\z"), F.col("text").try_cast("bigint"))
-    t = df.withColumn("text", F.when(~F.col("locked") & (v >= 1000), F.format_number(v, 0)).otherwise(F.col("text"))).withColumn("low", F.lower("text"))
-    owner = F.element_at(canon, F.regexp_extract("low", r"^(.*)['’]s\z", 1))
+    big_i = F.concat(F.lit("I"), F.substring(low, 2, 2**31 - 1))
+    owner = F.element_at(canon, F.regexp_extract(low, r"^(.*)['’]s\z", 1))
 
     def piece(p: Column) -> Column:
         at = lambda n: F.regexp_extract(p, r"(?Us)^(\W*)(.*?)(\W*)\z", n)
@@ -324,31 +340,78 @@ def capitals(df: DataFrame) -> DataFrame:
         named = F.coalesce(F.element_at(canon, mid), F.when(_in(mid, I_FORMS), F.concat(F.lit("I"), F.substring(mid, 2, 9))))
         return F.struct(F.coalesce(F.concat(at(1), named, at(3)), F.lower(p)).alias("text"), named.isNotNull().alias("hit"))
 
-    pieces = F.transform(F.regexp_extract_all("text", F.lit(r"[ \-]|[^ \-]+"), F.lit(0)), piece)
-    compound = F.when(F.col("text").rlike(r"[ \-]") & F.exists(pieces, lambda p: p["hit"]), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
-    text = F.when(F.col("locked"), F.col("text")).when(_in(F.col("low"), I_FORMS), big_i("low")).when(_in(F.col("low"), ABBREVIATED), F.col("low")).when(_in(F.col("text"), ACRONYMS + PROPER), F.col("text"))
-    text = text.otherwise(F.coalesce(F.element_at(canon, F.col("low")), F.concat(owner, F.lit("'s")), compound, F.col("low")))
-    return t.withColumn("text", text).select(*FIELDS)
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(r"[ \-]|[^ \-]+"), F.lit(0)), piece)
+    compound = F.when(text.rlike(r"[ \-]") & F.exists(pieces, lambda p: p["hit"]), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
+    fixed = F.when(_in(low, I_FORMS), big_i).when(_in(low, ABBREVIATED), low).when(_in(text, ACRONYMS + PROPER), text)
+    return fixed.otherwise(F.coalesce(F.element_at(canon, low), F.concat(owner, F.lit("'s")), compound, low))
+
+
+def capitals(df: DataFrame) -> DataFrame:
+    """Thousands of spoken numbers, then case."""
+    v = F.when(F.col("spoken") & F.col("text").rlike(r"^[0-9]+\z"), F.col("text").try_cast("bigint"))
+    t = df.withColumn("text", F.when(~F.col("locked") & (v >= 1000), F.format_number(v, 0)).otherwise(F.col("text"))).withColumn("low", F.lower("text"))
+    return t.withColumn("text", F.when(F.col("locked"), F.col("text")).otherwise(_cased(F.col("text"), F.col("low")))).select(*FIELDS)
+
+
+def _counts(text: Column, known: dict[str, str]) -> Column:
+    """Whether text, words between single blanks, holds a digit, a number word or "grand", or what is a misspelling of one."""
+    names = [*NUMBERS, "grand"]
+    names += [re.escape(k) for k, v in known.items() if v.lower() in names or re.search("[0-9]", v)]
+    return F.lower(text).rlike(r"[0-9]|(?:^| )[\"'(\[]*(?:" + "|".join(names) + r")[,.?!]*(?: |\z)")
+
+
+def _shown(text: Column, trail: Column) -> Column:
+    return F.concat(text, F.regexp_replace(trail, "[^?!]", ""))
+
+
+def _alone(text: Column, low: Column) -> Column:
+    """What the rules make of a token (low: its lower case) where nothing counts: an entry, a form that is final, or its case."""
+    return F.coalesce(F.element_at(_map(DICTIONARY), low), F.when(_formed(text), text).otherwise(_cased(text, low)))
+
+
+def _ruled(words: DataFrame, known: dict[str, str]) -> DataFrame:
+    t = misspellings(tokens(words), known)
+    for rule in (dictionary, number_words, one_or_digit, labels, money, symbols, capitals):
+        t = rule(t)
+    return t.select("id", "k", _shown(F.col("text"), F.col("trail")).alias("word"), "lo", "hi").filter("word <> ''")
 
 
 def ruled(words: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """id, k, word, lo, hi: the words (id, k, word, lo, hi) after all rules; merged ones span what they were made from."""
-    t = dictionary(misspellings(tokens(words), known or {}))
-    # the rules in between look for digits, number words or "grand"; texts without any go past them
-    number = (F.col("text").rlike("[0-9]") | _in(F.lower("text"), ["grand", *NUMBERS])).cast("int")
-    t = t.withColumn("some", F.max(number).over(Window.partitionBy("id")) == 1)
-    past, some = t.filter("not some").select(*FIELDS), t.filter("some").select(*FIELDS)
-    for rule in (number_words, one_or_digit, labels, money, symbols):
-        some = rule(some)
-    t = capitals(past.unionByName(some))
-    word = F.concat("text", F.regexp_replace("trail", "[^?!]", ""))
-    return t.select("id", "k", word.alias("word"), "lo", "hi").filter("word <> ''")
+    known = known or {}
+    w = words.withColumn("some", F.max(_counts(F.col("word"), known)).over(Window.partitionBy("id")))
+    past = misspellings(tokens(w.filter("not some")), known).withColumn("low", F.lower("text"))
+    past = past.select("id", "k", _shown(_alone(F.col("text"), F.col("low")), F.col("trail")).alias("word"), "lo", "hi").filter("word <> ''")
+    return past.unionByName(_ruled(w.filter("some").drop("some"), known))
+
+
+def _plain(text: Column, known: dict[str, str]) -> Column:
+    """The caption of a text where nothing counts. Words of letters alone that no list names are small, without a look at the rules."""
+    listed = sorted({w.lower() for w in [*DICTIONARY, *ACRONYMS, *PROPER, *ABBREVIATED, *I_FORMS, *known]})
+
+    def small(w: Column) -> Column:
+        low = F.lower(F.rtrim(w, F.lit(",.")))
+        return F.struct(w.alias("word"), F.when(w.rlike(r"^\p{L}+[,.]*\z") & ~low.isin(listed), low).alias("done"))
+
+    def token(x: Column) -> Column:
+        core, trail = _parted(x["word"])
+        return F.struct(x["done"].alias("done"), F.when(x["done"].isNull(), F.struct(_spelled(core, known).alias("text"), trail.alias("trail"))).alias("t"))
+
+    words = F.transform(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), small), token)
+    words = F.transform(words, lambda x: F.struct(x["done"].alias("done"), x["t"].alias("t"), F.lower(x["t"]["text"]).alias("low")))
+    words = F.transform(words, lambda x: F.coalesce(x["done"], _shown(_alone(x["t"]["text"], x["low"]), x["t"]["trail"])))
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 def formatted(texts: DataFrame, id_col: str, text_col: str, known: dict[str, str] | None = None) -> DataFrame:
-    """id_col and caption: each text after all rules."""
-    words = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), " ")).alias("k", "word"))
-    shown = ruled(words.filter("word <> ''").withColumns({"lo": F.col("k"), "hi": F.col("k")}), known)
+    """id_col and caption: each text after all rules. Only texts where something counts are dealt out, word by word."""
+    known = known or {}
+    said = F.coalesce(F.col(text_col), F.lit(""))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    rest = texts.filter(~_counts(said, known)).select(id_col, trimmed(_plain(said, known)).alias("caption"))
+    some = texts.filter(_counts(said, known)).select(F.col(id_col).alias("id"), said.alias("text"))
+    words = some.select("id", F.posexplode(F.split("text", " ")).alias("k", "word")).filter("word <> ''").withColumns({"lo": F.col("k"), "hi": F.col("k")})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ")
-    each = shown.groupBy("id").agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("caption"))
-    return texts.select(id_col).join(each.withColumnRenamed("id", id_col), id_col, "left").select(id_col, F.coalesce("caption", F.lit("")).alias("caption"))
+    each = _ruled(words, known).groupBy("id").agg(trimmed(joined).alias("caption"))
+    each = some.select("id").join(each, "id", "left").select(F.col("id").alias(id_col), F.coalesce("caption", F.lit("")).alias("caption"))
+    return rest.unionByName(each)

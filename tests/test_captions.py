@@ -44,3 +44,44 @@ def test_merged_words_span_their_words(spark):
 def test_known_misspellings_come_first(spark):
     words = spark.createDataFrame([(1, 0, "Jon", 0.0, 1.0), (1, 1, "oen", 1.0, 2.0), (1, 2, "shot", 2.0, 3.0)], "id long, k int, word string, lo double, hi double")
     assert [r["word"] for r in cp.ruled(words, {"jon": "elon", "oen": "one"}).orderBy("k").collect()] == ["Elon", "one", "shot"]
+
+
+def rows_dealt(spark, run):
+    """What run gives, and how many rows its jobs shuffled."""
+    sc, group = spark.sparkContext, f"captions-{id(run)}"
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    store = sc._jsc.sc().statusStore()
+    return out, sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in {k for j in jobs for k in j.stageIds} if sc.statusTracker().getStageInfo(k).numCompletedTasks)
+
+
+def test_only_texts_with_numbers_are_dealt_out(spark):
+    long = "We asked an editor, what is our ROI? I'm sure. " * 40
+    shown = ("we asked an editor what is our ROI? I'm sure " * 40).strip()
+    got, dealt = rows_dealt(spark, lambda: captions(spark, [long, "(five million dollars", None] * 20))
+    assert got == [shown, "$5M", ""] * 20
+    assert dealt <= 400  # each long text has 400 words; 3 words of each text with a number, a few rows for it, and 60 that orderBy deals out
+
+
+def test_texts_without_numbers_as_by_the_rules(spark):
+    words = ["The", "AI", "ai.", "Roi?!", "i'LL", "I", "etc.", "E.G.,", "ETC", "U.S.", "u.s.,", "a.b.", "A.B.", "N.A.S.A.", "Elon's", "ELON’S", "irl-Based", "Well-Known", "\"Quoted", "[(x", "...", "?", "!,", ".", "--", "'", "don't", "Mr.", "MrBeast", "ÉCOLE,", "ΟΔΟΣ.", "ΟΔΟΣ?", "İ", "ſo", "a\tB", "Vegas\nI", "$", "%", "shot", "On", "company.com", "Foo.Com,", "someone", "Tone", "x'S", "KK", "jon", "etc", "youtube!", "c++", "a_b"]
+    texts = [" ".join([w, v]) for w in words for v in (*words[:12], "", " b")]
+    known = {"jon": "elon", "tone": "Gonna Be"}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert df.filter(cp._counts(df["text"], known)).count() == 0
+    got = {r["id"]: r["caption"] for r in cp.formatted(df, "id", "text", known).collect()}
+    split = spark.createDataFrame([(i, k, w, k, k) for i, t in enumerate(texts) for k, w in enumerate(t.split(" ")) if w], "id long, k int, word string, lo int, hi int")
+    said: dict[int, list] = {}
+    for r in cp._ruled(split, known).orderBy("id", "k").collect():
+        said.setdefault(r["id"], []).append(r["word"])
+    assert {texts[i]: (got[i], " ".join(said.get(i, [])).strip()) for i in got if got[i] != " ".join(said.get(i, [])).strip()} == {}
+    assert sorted(got) == list(range(len(texts)))
+
+
+def test_a_misspelled_number_counts(spark):
+    df = spark.createDataFrame([(1, "(Fife, million dollars"), (2, "fifes, million-ish dollars")], "id long, text string")
+    assert [r["caption"] for r in cp.formatted(df, "id", "text", {"fife": "Five"}).orderBy("id").collect()] == ["$5M", "fifes million-ish dollars"]
