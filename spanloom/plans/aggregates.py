@@ -112,7 +112,7 @@ def daily_cap(spark, d):
 def running_budget(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
     b = table(spark, d, "events").select("user_id", "event_id", F.sum("value").over(w).alias("spent"), F.row_number().over(w).alias("calls"))
-    return b.filter("round(spent, 6) <= 1500 and calls <= 80").drop("calls")  # a sum of exactly 1500 may end a bit above it
+    return b.filter("round(spent, 9) <= 1500 and calls <= 80").drop("calls")  # a sum of exactly 1500 may end some 1e-11 above it
 
 
 @query(f"WITH {SPANS}, g AS (SELECT clip, unnest(range(0, floor((SELECT max(st) FROM spans) / 3600)::BIGINT + 1)) * 3600.0::double AS t FROM (SELECT DISTINCT clip FROM spans)), a AS (SELECT clip, st, arg_max(label, idx) AS la FROM spans WHERE label IN ('view', 'click') GROUP BY ALL), b AS (SELECT clip, st, arg_max(CASE WHEN label = 'purchase' THEN 'click' ELSE 'view' END, idx) AS lb FROM spans WHERE label IN ('purchase', 'error') GROUP BY ALL), x AS (SELECT g.clip, g.t, a.la FROM g ASOF LEFT JOIN a ON g.clip = a.clip AND g.t >= a.st), y AS (SELECT x.*, b.lb FROM x ASOF LEFT JOIN b ON x.clip = b.clip AND x.t >= b.st) SELECT clip, avg((la = lb)::INT) AS agreement FROM y GROUP BY clip")

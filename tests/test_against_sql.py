@@ -58,6 +58,11 @@ def test_a_budget_spent_to_the_last_cent(spark, tmp_path):
     assert got == want and len(got) == len(values) - 1
 
 
+def test_a_budget_overspent_by_little(spark, tmp_path):
+    got, want = both(spark, tmp_path, "running_budget", events=events([(1, 1, "view", 1000), (1, 2, "view", 500.0000002), (2, 1, "view", 1499.9999999), (2, 2, "view", 0.0000001)]))
+    assert got == want and len(got) == 3
+
+
 def test_split_words_are_joined_in_one_pass(spark, tmp_path):
     # the eleventh word is heard as "ait" and "re"; only once these are joined is there something that the "r" before fits
     got, want = both(spark, tmp_path, "transcript_repair", conversations=turns(["raitre", "so we go on and so we go on réé aitre now"]))
