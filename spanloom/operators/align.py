@@ -15,17 +15,26 @@ number of steps is the depth of the recursion, whatever the number of pairs. A p
 else is split by (pair, range). Joins sort and merge: a side is a small file, but many times larger once its tokens are rows, too
 much for a driver to collect and broadcast.
 
+Where only the share of characters that two texts have in common is asked for (``alike``), the same steps run within a batch of rows, on numpy
+arrays: as rows, the characters and runs of many short texts are hundreds of times larger than these. About ``LISTED`` equal seeds are listed
+at a time; a range that alone has more takes its longest run from a comparison sign by sign, whose memory is a row.
+
 Pairs with an empty or null sequence have no blocks; a pair is named by any column type that can be grouped by.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .steps import written
 
 SEEDS = (8, 3, 1)
+LISTED = 1 << 19
+LONG = 1 << 16  # product of a range's lengths from which on it begins with seeds of 9 signs instead of 3
+TOGETHER = 1 << 20  # signs of texts compared together; longer ones are compared alone
 
 
 def _grams(tokens: str, n: int) -> Column:
@@ -110,6 +119,148 @@ def counted(pairs: DataFrame) -> DataFrame:
     return out.select("pair", "equal", "replaced", "inserted", "deleted", "longest", ratio.alias("ratio"), ((F.col("replaced") + F.col("inserted") + F.col("deleted")) / F.greatest(F.lit(1), F.col("la"))).alias("wer"))
 
 
+def alike(a: Column, b: Column) -> Column:
+    """The share of characters of two texts that lie in matching blocks (``ratio`` of ``counted``): 1 for two empty texts, null where one is missing."""
+
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = (x.notna() & y.notna()).to_numpy()
+        xs, ys = x[both].tolist(), y[both].tolist()
+        size = np.array([len(p) + len(q) for p, q in zip(xs, ys)], np.int64)
+        part = np.cumsum(size) // TOGETHER
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(xs)]
+        equal = np.concatenate([np.zeros(0, np.int64), *[equal_signs(xs[s:e], ys[s:e]) for s, e in zip(cut, cut[1:]) if e > s]])
+        out = pd.Series(index=x.index, dtype="Float64")
+        out[both] = np.where(size == 0, 1.0, 2.0 * equal / np.maximum(size, 1))
+        return out
+
+    return F.pandas_udf(share, "double")(a, b)
+
+
+def equal_signs(a: list[str], b: list[str]) -> np.ndarray:
+    """How many characters of each pair of texts lie in matching blocks. Ranges are columns of (pair, alo, ahi, blo, bhi)."""
+    raw = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)]
+    sizes = [np.array([len(t) for t in x], np.int64) for x in (a, b)]
+    ends = [np.cumsum(x) for x in sizes]
+    names, at = np.unique(np.concatenate(raw), return_inverse=True)
+    signs, many = (at[: len(raw[0])], at[len(raw[0]) :]), len(names)
+    equal = np.zeros(len(a), np.int64)
+    ranges = np.stack([np.arange(len(a)), ends[0] - sizes[0], ends[0], ends[1] - sizes[1], ends[1]])
+    later = ranges[:, np.minimum(*sizes) > 0]
+    for n in (9, 3, 1):
+        large = (later[2] - later[1]) * (later[4] - later[3]) >= (LONG if n == 9 else 0)
+        todo, done = [later[:, large]], [later[:, ~large]]
+        keys = _seeds(signs, many, n) if large.any() else None
+        while todo:
+            ranges = todo.pop()
+            if ranges.shape[1]:
+                _narrow(ranges, n, signs, keys, equal, todo, done)
+        later = np.concatenate(done, axis=1)
+    return equal
+
+
+def _dense(both: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    names, at = np.unique(np.concatenate(both), return_inverse=True)
+    return [at[: len(both[0])], at[len(both[0]) :]], len(names)
+
+
+def _seeds(signs: tuple[np.ndarray, np.ndarray], many: int, n: int) -> tuple[list[np.ndarray], int]:
+    """Numbers for each n signs in a row (1, 3 or 9) on both sides, equal for equal ones, and how many there may be."""
+    found, span = list(signs), max(1, many)
+    for step in {1: [], 3: [1], 9: [1, 3]}[n]:
+        unit, wide = found, span
+        for k in (1, 2):
+            found = [x[: max(0, len(u) - k * step)] * wide + u[k * step :] for x, u in zip(found, unit)]
+            if (span := span * wide) >= 1 << 30:
+                found, span = _dense(found)
+    return found, span
+
+
+def _narrow(ranges: np.ndarray, n: int, signs: tuple, keys: tuple, equal: np.ndarray, todo: list, done: list) -> None:
+    """Adds up the blocks of n signs and more that the ranges have; what these leave goes to done, ranges put off go to todo."""
+    (ka, kb), span = keys
+    _, alo, ahi, blo, bhi = ranges
+    starts = []
+    for lo, hi in ((alo, ahi), (blo, bhi)):
+        size = np.maximum(0, hi - lo - (n - 1))
+        r = np.repeat(np.arange(len(lo)), size)
+        starts.append((r, np.arange(len(r)) + np.repeat(lo - (np.cumsum(size) - size), size)))
+    (ra, i), (rb, j) = starts
+    held = rb * span + kb[j]
+    order = np.argsort(held, kind="stable")
+    held, asked = held[order], ra * span + ka[i]
+    first = np.searchsorted(held, asked)
+    count = np.searchsorted(held, asked, "right") - first
+    each = np.bincount(ra, count, len(alo)).astype(np.int64)
+    if each.sum() > LISTED:
+        part = np.cumsum(each) // LISTED
+        if len(alo) > 1:
+            todo += np.split(ranges, np.flatnonzero(np.diff(part)) + 1, axis=1) if part[0] != part[-1] else [ranges[:, : len(alo) // 2], ranges[:, len(alo) // 2 :]]
+            return
+        x, y, size = _longest(signs[0][alo[0] : ahi[0]], signs[1][blo[0] : bhi[0]])
+        if size < n:
+            done.append(ranges)
+        else:
+            equal[ranges[0]] += size
+            todo += _around(ranges, alo + x, blo + y, size)
+        return
+    r, i = np.repeat(ra, count), np.repeat(i, count)
+    j = j[order[np.arange(len(r)) + np.repeat(first - (np.cumsum(count) - count), count)]]
+    room = ahi - alo + bhi - blo
+    d = (np.cumsum(room) - room + bhi - alo)[r] + i - j  # ascends with the range, and within it tells diagonals apart
+    order = np.argsort(d, kind="stable")
+    r, i, j, d = r[order], i[order], j[order], d[order]
+    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)))) if len(r) else np.zeros(0, np.int64)
+    size = np.diff(new, append=len(r)) + n - 1
+    r, i, j = r[new], i[new], j[new]
+    without = np.ones(len(alo), bool)
+    without[r] = False
+    done.append(ranges[:, without])
+    while len(r):
+        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        g = np.repeat(np.arange(len(first)), np.diff(first, append=len(r)))
+        best = np.maximum.reduceat(size, first)
+        longest = size == best[g]
+        bi = np.minimum.reduceat(np.where(longest, i, len(signs[0])), first)
+        bj = np.minimum.reduceat(np.where(longest & (i == bi[g]), j, len(signs[1])), first)
+        ranges = ranges[:, r[first]]
+        np.add.at(equal, ranges[0], best)
+        before = np.minimum(size, np.minimum(bi[g] - i, bj[g] - j))
+        skip = np.maximum(0, np.maximum((bi + best)[g] - i, (bj + best)[g] - j))
+        pieces = []  # of the other runs, before and behind the chosen ones, with their place in the order of ranges
+        many = np.stack([np.bincount(g[x >= n], minlength=len(first)) for x in (before, size - skip)], axis=1).ravel()
+        place = (np.cumsum(many) - many).reshape(-1, 2)
+        for k, (s, length) in enumerate(((0, before), (skip, size - skip))):
+            ok = length >= n
+            own = g[ok]
+            at = place[own, k] + np.arange(len(own)) - (np.cumsum(many[k::2]) - many[k::2])[own]
+            pieces.append((at, (i + s)[ok], (j + s)[ok], length[ok]))
+        ranges = np.stack(_around(ranges, bi, bj, best), axis=2).reshape(5, -1)
+        done.append(ranges[:, many == 0])
+        r = np.repeat(np.arange(len(many)), many)
+        i, j, size = (np.empty(len(r), np.int64) for _ in range(3))
+        for at, *values in pieces:
+            for x, v in zip((i, j, size), values):
+                x[at] = v
+
+
+def _around(ranges: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray | int) -> list[np.ndarray]:
+    """What blocks leave of ranges before and behind them."""
+    pair, alo, ahi, blo, bhi = ranges
+    return [np.stack([pair, alo, i, blo, j]), np.stack([pair, i + size, ahi, j + size, bhi])]
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Where the longest run that a and b share begins in both, and its length; of several the first in a, then in b."""
+    row, found = np.zeros(len(b) + 1, np.int64), (0, 0, 0)
+    for k, sign in enumerate(a):
+        row[1:] = np.where(b == sign, row[:-1] + 1, 0)
+        at = int(row.argmax())
+        if row[at] > found[2]:
+            n = int(row[at])
+            found = k + 1 - n, at - n, n
+    return found
+
+
 # fixed values: what a spoken form stands for, the number words, and the limits of a caption that says something else
 EXPANDED = {"gonna": "going to", "wanna": "want to", "gotta": "got to", "kinda": "kind of", "sorta": "sort of", "cuz": "because", "'cause": "because", "cause": "because", "lemme": "let me", "dunno": "don't know", "em": "them", "'em": "them", "ok": "okay"}
 NUMBERS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1000000, "billion": 1000000000}

@@ -111,17 +111,15 @@ SELECT clip, min(idx) AS first, min_by(st, idx) AS st, max_by(en, idx) AS en, co
 )
 def chained_texts(spark, d):
     """Texts seen one after another merged while each is like the last one seen; the longest stands for all."""
-    u = sq.sessions(words(spark, d), 0.8, "speaker").groupBy("clip", "session").agg(F.min("idx").alias("idx"), F.min("st").alias("st"), F.max("en").alias("en"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
+    u = sq.sessions(words(spark, d, together=True), 0.8, "speaker").groupBy("clip", "session").agg(F.min("idx").alias("idx"), F.min("st").alias("st"), F.max("en").alias("en"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
     return chained(u.select("clip", "idx", "st", "en", "text"), 0.45)
 
 
 def chained(seen: DataFrame, least: float) -> DataFrame:
     """clip, first, st, en, n, text: rows in order of idx, joined while the share of matching characters with the row before is over ``least``."""
     w = Window.partitionBy("clip").orderBy("idx")
-    signs = lambda c: F.array_remove(F.split(c, ""), "")
-    near = seen.withColumn("before", F.lag("text").over(w)).filter("before is not null")
-    alike = al.counted(near.select(F.struct("clip", "idx").alias("pair"), signs("before").alias("a"), signs("text").alias("b"))).select("pair.*", "ratio")
-    linked = seen.join(alike.hint("merge"), ["clip", "idx"], "left").withColumn("chain", F.sum(F.when(F.col("ratio") > least, 0).otherwise(1)).over(w))
+    alike = al.alike(F.col("before"), F.coalesce("text", F.lit("")))
+    linked = seen.withColumn("before", F.lag("text").over(w)).withColumn("ratio", alike).drop("before").withColumn("chain", F.sum(F.when(F.col("ratio") > least, 0).otherwise(1)).over(w))
     text = F.min_by("text", F.struct(-F.length("text"), "idx"))
     return linked.groupBy("clip", "chain").agg(F.min("idx").alias("first"), F.min_by("st", "idx").alias("st"), F.max_by("en", "idx").alias("en"), F.count("*").alias("n"), text.alias("text")).drop("chain")
 

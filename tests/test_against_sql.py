@@ -93,3 +93,10 @@ def test_readings_meet_in_one_shuffle_of_their_spans(spark, tmp_path):
     assert got == want and len(got) > 15
     plan = registry.queries()["vote_tiebreak"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_chained_texts_shuffle_turns_and_texts_alone(spark, tmp_path):
+    got, want = both(spark, tmp_path, "chained_texts", conversations=turns(["so we go on and so it goes on here and there", "so we go on", None, ""], ["", "we go on", "we go in", "x"], []))
+    assert got == want and len(got) > 4
+    plan = registry.queries()["chained_texts"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan

@@ -138,3 +138,19 @@ def test_tokens_are_not_broadcast(spark):
     ranges = pairs.select("pair", F.lit(0).alias("alo"), F.lit(0).alias("blo"), F.col("a").alias("sa"), F.col("b").alias("sb"))
     for df in (align.runs(ranges, 1), align.counted(pairs), align.accuracy(pairs)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("listed,long", [(1 << 19, 1 << 16), (1 << 19, 200), (40, 200), (3, 1 << 16)])
+def test_signs_in_blocks_equal_the_matcher(monkeypatch, listed, long):
+    monkeypatch.setattr(align, "LISTED", listed)
+    monkeypatch.setattr(align, "LONG", long)
+    texts = [("".join(a or []), "".join(b or [])) for _, a, b in invented(seed=7)] + [("né😀 so we go on", "so né😀 we go  on"), ("ab" * 40, "ba" * 37), ("", "x"), ("", "")]
+    got = align.equal_signs(*map(list, zip(*texts)))
+    assert got.tolist() == [sum(m.size for m in matcher(a, b).get_matching_blocks()) for a, b in texts]
+
+
+def test_share_of_signs(spark, monkeypatch):
+    monkeypatch.setattr(align, "TOGETHER", 10)
+    rows = [("hello wor", "hello world"), ("", ""), ("a", ""), (None, "a"), ("a", None), ("abc" * 9, "abc" * 7)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(align.alike(F.col("a"), F.col("b"))).collect()]
+    assert got == [matcher(a, b).ratio() if None not in (a, b) else None for a, b in rows]
