@@ -2,16 +2,21 @@
 
 Every step takes and gives words (clip, idx, word, st, en) and looks at a few neighbours through window functions; where one of several
 overlapping finds has to be taken from the left, finds that overlap form runs of a known step, of which every other one is taken.
-Joining split words depends on the join before. It goes in rounds that are one join with a table of word frequencies each: a pair waits
-while an earlier one within reach is still open, so all clips and all places that don't touch advance at once, and the result is that
-of a pass from left to right that looks at a joined word again before it goes on. Rounds are written tables.
+Joining split words depends on the join before. How far the word goes that begins at a place is found for all places at once, in rounds that
+are one join with a table of word frequencies each; a streamed fold then takes, of those that overlap, the first. The result is that of a
+pass from left to right that looks at a joined word again before it goes on. Rounds are written tables of the places alone.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scan import scanned
 from .steps import written
 
 # fixed values: numbers that are written as digits ("zero" stays a word), acronyms, names, and the frequency limits of split words
@@ -22,6 +27,8 @@ ACRONYMS = ["ai", "ml", "ceo", "cfo", "cto", "coo", "ev", "ip", "kpi", "mvp", "u
 NAMES = ["princeton", "harvard", "yale", "mit", "stanford", "oxford", "cambridge", "columbia", "brown", "duke", "apple", "google", "amazon", "microsoft", "facebook", "meta", "twitter", "instagram", "tiktok", "youtube", "linkedin", "netflix", "tesla", "spacex", "california", "america", "american", "texas", "florida", "seattle", "chicago", "boston", "miami", "elon", "musk", "jobs", "gates", "bezos", "zuckerberg", "trump", "biden", "shaq", "jordan", "lebron", "kobe", "jimi", "hendrix", "christmas", "easter", "halloween", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 REAL, FRAGMENT, COMMON = 1.5, 2.0, 2.5
 PASSES = 10
+AHEAD = 4  # words that a start of a join sees behind it at a time
+SLOTS = 1 << 18  # longs of the bits that tell which hashes real words have
 
 def by_clip() -> WindowSpec:
     return Window.partitionBy("clip").orderBy("idx")
@@ -41,44 +48,110 @@ def _bare(w: Column) -> Column:
     return F.lower(F.regexp_replace(w, "[^A-Za-z']", ""))
 
 
-def joined_splits(words: DataFrame, zipf: DataFrame, passes: int = PASSES) -> DataFrame:
+def joined_splits(words: DataFrame, zipf: DataFrame, passes: int = PASSES, parts: int | None = None) -> DataFrame:
     """Fragments of one word as the word: neighbours whose join is a real word, while one of them is rare or a lone letter. A further pass,
-    up to ``passes``, holds what a pass joined against the word before it."""
-    own = zipf.select(F.col("w").alias("bare"), F.col("zipf").alias("z"))
-    now = words.select(*COLUMNS, _bare(F.col("word")).alias("bare")).join(own, "bare", "left").select(*COLUMNS, F.coalesce("z", F.lit(0.0)).alias("z"), F.lit(False).alias("passed"))
-    for _ in range(passes):
-        joins, open_ = False, True
-        while open_:
-            step = written(_round(now, zipf), "repair-round")
-            open_ = not step.filter("chosen").isEmpty()
-            joins = joins or open_
-            now = _after(step)
-        if not joins:
+    up to ``passes``, holds what a pass joined against the word before it.
+
+    Where words are dealt out by clip already, to ``parts`` partitions, the first pass shuffles no more of them than pairs that look like a known
+    word (``_known``)."""
+    zipf = written(zipf.filter("w is not null"), "repair-zipf")
+    now = words.select(*COLUMNS)
+    for k in range(passes):
+        taken = written(_taken(_starts(now, zipf), zipf, now), "repair-joins")
+        if k and taken.isEmpty():
             break
-        now = now.withColumn("passed", F.lit(False))
-    return now.select(*COLUMNS)
+        now = _joined(now, taken if k or not parts else taken.repartition(parts, "clip"))
+        if k + 1 < passes:
+            now = written(now, "repair-pass")
+    return now
+
+
+def _following(words: DataFrame) -> DataFrame:
+    """words with the ``AHEAD`` words behind each: next, an array of (word, en, idx), shorter where a clip ends."""
+    each = [F.struct(*[F.lead(c, k).over(by_clip()).alias(c) for c in ("word", "en", "idx")]) for k in range(1, AHEAD + 1)]
+    return words.withColumn("next", F.filter(F.array(*each), lambda x: x["idx"].isNotNull()))
+
+
+_BIT = "cast(pmod(xxhash64({}), 64) as int)"
+
+
+def _slot(c: str) -> Column:
+    return F.expr(f"cast(pmod(xxhash64({c}), {64 * SLOTS}) div 64 as int)")
+
+
+def _known(zipf: DataFrame) -> DataFrame:
+    """bits, one row: a bit for each hash that a real word has, in ``SLOTS`` longs; a word without its bit is none."""
+    hashed = zipf.filter(F.col("zipf") >= REAL).select(_slot("w").alias("slot"), F.expr(f"shiftleft(1L, {_BIT.format('w')})").alias("bit"))
+    slots = hashed.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    full = zipf.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+
 
+def _may(tried: DataFrame, zipf: DataFrame) -> DataFrame:
+    """The rows whose word and first of next may be one word, as both, by all that their letters tell and by the hash of both."""
+    a, b = _bare(F.col("word")), _bare(F.get("next", F.lit(0))["word"])
+    may = (F.size("next") > 0) & (a != "") & (b != "") & ~F.rtrim("word").rlike("[.,!?;:']$") & ~F.ltrim(F.get("next", F.lit(0))["word"]).rlike(r"^\p{Lu}")
+    there = F.expr(f"shiftright(bits[slot], {_BIT.format('both')}) & 1L = 1L")
+    rows = tried.filter(may).withColumn("both", F.concat(a, b)).withColumn("slot", _slot("both"))
+    return rows.join(F.broadcast(_known(zipf)), there, "left_semi").drop("slot")  # one row
 
-def _round(now: DataFrame, zipf: DataFrame) -> DataFrame:
-    """now with what follows each word (nw, nen), the frequency of both joined (cz), whether they fit (fits) and are joined now (chosen)."""
-    nw, nz = F.lead("word").over(by_clip()), F.lead("z").over(by_clip())
-    seen = now.select(*COLUMNS, "z", "passed", nw.alias("nw"), nz.alias("nz"), F.lead("en").over(by_clip()).alias("nen"))
-    a, b = _bare(F.col("word")), _bare(F.col("nw"))
+
+def _fitting(may: DataFrame, zipf: DataFrame) -> DataFrame:
+    """Those of the rows whose word and first of next are one word."""
+    of = lambda name, value, least: zipf.filter(F.col("zipf") >= least).select(F.col("w").alias(name), F.col("zipf").alias(value))
+    a, b = _bare(F.col("word")), _bare(F.get("next", F.lit(0))["word"])
+    rows = may.join(of("both", "cz", REAL), "both").withColumn("a", a).withColumn("b", b)
+    rows = rows.join(of("a", "az", FRAGMENT), "a", "left").join(of("b", "bz", FRAGMENT), "b", "left")  # rarer ones count as unknown ones do
+    z, nz = F.coalesce("az", F.lit(0.0)), F.coalesce("bz", F.lit(0.0))
     lone = lambda x: (F.length(x) == 1) & ~x.isin("a", "i", "o")
-    may = (a != "") & (b != "") & ~F.rtrim("word").rlike("[.,!?;:']$") & ~F.ltrim("nw").rlike(r"^\p{Lu}")
-    rare = ~((F.col("z") >= COMMON) & (F.col("nz") >= COMMON)) & ((F.col("z") < FRAGMENT) | (F.col("nz") < FRAGMENT))
-    both = F.when(~F.col("passed") & may & (lone(a) | lone(b) | rare), F.concat(a, b))
-    tried = seen.withColumn("both", both).join(zipf.select(F.col("w").alias("both"), F.col("zipf").alias("cz")), "both", "left").drop("both")
-    fits = tried.withColumn("fits", F.coalesce(F.col("cz") >= REAL, F.lit(False)))
-    before = lambda k: F.coalesce(F.lag("fits", k).over(by_clip()), F.lit(False))
-    return fits.withColumn("chosen", F.col("fits") & ~before(1) & ~before(2))
+    rare = ~((z >= COMMON) & (nz >= COMMON)) & ((z < FRAGMENT) | (nz < FRAGMENT))
+    return rows.filter(lone(F.col("a")) | lone(F.col("b")) | rare).drop("a", "b", "az", "bz", "cz", "both")
+
+
+def _starts(words: DataFrame, zipf: DataFrame) -> DataFrame:
+    """The words that fit the one behind them, with both joined: clip, idx, word, last (the idx of what was joined last), en, next."""
+    return _extended(_fitting(_may(_following(words).select("clip", "idx", "word", "next"), zipf), zipf))
+
+
+def _extended(fits: DataFrame) -> DataFrame:
+    first = F.get("next", F.lit(0))
+    return fits.select("clip", "idx", F.concat("word", first["word"]).alias("word"), first["idx"].alias("last"), first["en"].alias("en"), F.slice("next", 2, AHEAD).alias("next"))
+
+
+def _taken(starts: DataFrame, zipf: DataFrame, words: DataFrame) -> DataFrame:
+    """The joins of a pass: from each start on as far as its word goes, and of those that overlap the first, then the first behind it. A round for each
+    further word of the longest join."""
+    done, open_ = [], written(starts, "repair-round")
+    while not open_.isEmpty():
+        short = open_.filter(F.size("next") == 0)
+        if not short.isEmpty():  # the words behind those seen so far
+            near = words.join(short.select("clip").distinct(), "clip", "left_semi")
+            more = _following(near).select("clip", F.col("idx").alias("last"), F.col("next").alias("more"))
+            open_ = written(open_.join(more, ["clip", "last"], "left").withColumn("next", F.when(F.size("next") == 0, F.coalesce("more", "next")).otherwise(F.col("next"))).drop("more"), "repair-round")
+        on = written(_extended(_fitting(_may(open_, zipf), zipf)), "repair-round")
+        done.append(open_.join(on.select("clip", "idx"), ["clip", "idx"], "left_anti"))
+        open_ = on
+    found = open_ if not done else reduce(DataFrame.unionByName, [x.select(open_.columns) for x in done])
+
+    def first(rows: Iterator) -> Iterator[tuple]:
+        end = None
+        for r in rows:
+            if end is None or r.idx > end:
+                end = r.last
+                yield r.idx, r.word, r.last, r.en
+
+    return scanned(found.select("clip", "idx", "word", "last", "en"), ["clip"], ["idx"], first, f"clip {found.schema['clip'].dataType.simpleString().replace('bigint', 'long')}, idx long, word string, last long, en double")
 
 
-def _after(step: DataFrame) -> DataFrame:
-    gone = F.coalesce(F.lag("chosen").over(by_clip()), F.lit(False))
-    kept = step.withColumn("gone", gone).filter("not gone")
-    take = lambda new, old: F.when(F.col("chosen"), new).otherwise(F.col(old)).alias(old)
-    return kept.select("clip", "idx", take(F.concat("word", "nw"), "word"), "st", take(F.col("nen"), "en"), take(F.col("cz"), "z"), (~F.col("fits")).alias("passed"))
+def _joined(words: DataFrame, taken: DataFrame) -> DataFrame:
+    """words with the joins taken: a join's rows go in front of the words they cover, so that nothing is joined by a shuffle of all words."""
+    new = taken.select("clip", "idx", F.col("word").alias("j_word"), "last", F.col("en").alias("j_en"))
+    both = words.select(*COLUMNS).unionByName(new, allowMissingColumns=True)
+    w = Window.partitionBy("clip").orderBy("idx", F.col("last").desc())  # a join, then the word it begins with
+    since = lambda c: F.last(c, ignorenulls=True).over(w)
+    seen = both.select("*", since("last").alias("until"), F.lag("j_word").over(w).alias("as_word"), F.lag("j_en").over(w).alias("as_en"))
+    kept = seen.filter("last is null and (as_word is not null or until is null or idx > until)")
+    return kept.select("clip", "idx", F.coalesce("as_word", "word").alias("word"), "st", F.coalesce("as_en", "en").alias("en"))
 
 
 def without_stutters(words: DataFrame) -> DataFrame:
@@ -200,9 +273,9 @@ def capitals(words: DataFrame, acronyms: list[str] | None = None, names: list[st
     return out.withColumn("word", F.when(bare.isin(NAMES if names is None else names), named).otherwise(F.col("word")))
 
 
-def repaired(words: DataFrame, zipf: DataFrame, passes: int = PASSES) -> DataFrame:
+def repaired(words: DataFrame, zipf: DataFrame, passes: int = PASSES, parts: int | None = None) -> DataFrame:
     """All steps, one after the other."""
-    out = joined_splits(words.select(*COLUMNS), zipf, passes)
+    out = joined_splits(words.select(*COLUMNS), zipf, passes, parts)
     for step in (without_stutters, lower_case, moved_apostrophes, contractions, digits, times_of_day, half_for_both, ranges, capitals):
         out = step(out)
     return out

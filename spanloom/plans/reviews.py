@@ -14,7 +14,7 @@ from spanloom.operators import fillers as fl
 from spanloom.operators import intervals as iv
 from spanloom.operators import sequence as sq
 from spanloom.operators.steps import written
-from spanloom.sources.tables import SPANS, WORDS, spans, table, words
+from spanloom.sources.tables import SPANS, WORDS, shares, spans, table, words
 
 from . import rules
 from .edits import CUES
@@ -111,7 +111,7 @@ SELECT clip, min(idx) AS first, min_by(st, idx) AS st, max_by(en, idx) AS en, co
 )
 def chained_texts(spark, d):
     """Texts seen one after another merged while each is like the last one seen; the longest stands for all."""
-    u = sq.sessions(words(spark, d, together=True), 0.8, "speaker").groupBy("clip", "session").agg(F.min("idx").alias("idx"), F.min("st").alias("st"), F.max("en").alias("en"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
+    u = sq.sessions(words(spark, d, shares(spark, d)), 0.8, "speaker").groupBy("clip", "session").agg(F.min("idx").alias("idx"), F.min("st").alias("st"), F.max("en").alias("en"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
     return chained(u.select("clip", "idx", "st", "en", "text"), 0.45)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH_US = 1704067200000000  # 2024-01-01 UTC
-TOGETHER = 2_000_000
+SHARE = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +29,18 @@ def spans(spark: SparkSession, sf_dir: str, before: float | None = None) -> Data
 SPANS = f"spans AS (SELECT user_id AS clip, event_id AS idx, (epoch_us(ts) - {EPOCH_US}) / 1e6 AS st, (epoch_us(ts) - {EPOCH_US}) / 1e6 + value * 60 AS en, event_type AS label, value FROM events)"
 
 
-def words(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
-    """Words of a conversation, timed evenly with a longer pause after each ninth. together: turns are dealt out by conversation first, about
-    ``TOGETHER`` characters to a partition; what goes by clip then shuffles no words, which take many times the room of their texts."""
+def shares(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the words of all conversations, with about ``SHARE`` characters each."""
+    chars = table(spark, sf_dir, "conversations").agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-chars // SHARE))
+
+
+def words(spark: SparkSession, sf_dir: str, together: int | None = None) -> DataFrame:
+    """Words of a conversation, timed evenly with a longer pause after each ninth. together: turns are dealt out by conversation first, to so many
+    partitions; what goes by clip then shuffles no words, which take many times the room of their texts."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     if together:
-        chars = conv.agg(F.sum(F.length("text"))).first()[0] or 0
-        conv = conv.repartition(max(spark.sparkContext.defaultParallelism, -(-chars // TOGETHER)), "conv_id")
+        conv = conv.repartition(together, "conv_id")
     w = conv.select("conv_id", "turn", "role", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "word")).filter("word <> ''")
     n = F.length("word")
     st = F.col("turn") * 1200.0 + F.col("pos") * 0.6 + F.floor(F.col("pos") / 9) * 0.7 - (n % 3) * 0.1

@@ -85,3 +85,21 @@ def test_frequencies_and_empty_table(spark):
     assert f == {"a": pytest.approx(8.8239087), "b": pytest.approx(8.5228787)}
     assert rp.repaired(rows(spark, []), rp.frequencies(rows(spark, ["a"]))).collect() == []
     assert rp.repaired(rows(spark, ["Um", "um", "five", "a", "m", "to", "six", "p", "m"]), rp.frequencies(rows(spark, ["um"]))).select(F.col("word")).collect()[1]["word"] == "5AM to 6PM"
+
+
+def test_joins_shuffle_no_words_that_lie_by_clip(spark):
+    texts = [["the", "wor", "ds", "go", "on"] * 5, ["words", "of", "audi", "tor", "ium", "x", "auditor", "auditorium"] * 4, ["x"]] * 5
+    w = rows(spark, *texts)
+    got = rp.repaired(w.repartition(3, "clip"), rp.frequencies(w), passes=1, parts=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = rp.repaired(w, rp.frequencies(w), passes=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "auditorium" in said(got)[1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # the words given, and the joins taken
+
+
+def test_a_word_of_many_pieces(spark):
+    whole = "abcdefghijklmnopqrst"
+    zipf = spark.createDataFrame([(whole[:n], 2.0) for n in range(2, 21)], "w string, zipf double")
+    got = rp.joined_splits(rows(spark, ["so", *whole, "so", *whole[:7], "-", *whole[:2]]), zipf, 1)
+    assert said(got) == [["so", whole, "so", whole[:7], "-", whole[:2]]]
+    assert [(r["st"], r["en"]) for r in got.orderBy("idx").collect()][:2] == [(0.0, 0.5), (1.0, 20.5)]
