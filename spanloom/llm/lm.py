@@ -9,7 +9,7 @@ hits with a chance of 1 % whatever the corpus. Probabilities are mixed with thos
     P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),   P(w | v) = MIX c(v w) / c(v) + (1 - MIX) P(w), or P(w) where v is unseen
 
 with counts read from the filter; the base score sums log10 P(w) with exact ones. While the filter is no larger than
-``BROADCAST_BYTES``, it is broadcast and texts are scored by a map; exact counts of tokens that make up a share of ``FREQUENT`` of all
+``BROADCAST_BYTES``, it is broadcast, once for all workers of an executor, and texts are scored by a map; exact counts of tokens that make up a share of ``FREQUENT`` of all
 tokens (so 1 / ``FREQUENT`` of them at most) go with it, those of all others are joined. A larger filter stays in its table: texts are dealt
 into chunks, the distinct words and pairs of each are shuffled to the blocks of their groups, and the counts found there go back to
 the chunk. Both ways read the same blocks and give the same scores.
@@ -21,11 +21,15 @@ only the id and text columns are read, so further columns never clash.
 
 from __future__ import annotations
 
+import mmap
+import os
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -323,6 +327,18 @@ class Held:
 EMPTY = block([]).tobytes()
 
 
+def mapped(shared: Broadcast, size: int) -> np.ndarray:
+    """A broadcast array of size bytes, mapped from the file in which an executor keeps it for all its workers; where there is none, or the
+    array can't be found in it, the worker's own copy."""
+    path = getattr(shared, "_path", None)
+    if path and size and os.path.exists(path):
+        with open(path, "rb") as f:
+            at = f.read(4096).find(b"\x96" + struct.pack("<Q", size))  # how pickle begins a writable buffer
+            if at >= 0:
+                return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8, size, at + 9)
+    return shared.value
+
+
 def train(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     """The merged counts with the filter's blocks (written once), and the totals."""
     texts = docs.select(text_or_empty(text_col).alias("text"))
@@ -378,12 +394,13 @@ def unique_tokens(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def asker(bits: int):
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The words and pairs that each chunk asks for, by group."""
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words and pairs that each chunk asks for, by group; one chunk's texts at a time are taken out of a batch."""
         for b in batches:
-            for chunk, texts in zip(b["chunk"], b["text"]):
-                words, pairs = unique_tokens(texts)
-                yield parted(bits, (words,), (pairs,), ("wk", "pk")).assign(chunk=chunk)
+            for i, chunk in enumerate(b["chunk"].to_pylist()):
+                words, pairs = unique_tokens(b["text"][i].as_py())
+                rows = parted(bits, (words,), (pairs,), ("wk", "pk"))
+                yield pa.RecordBatch.from_pydict({"g": pa.array(rows["g"], pa.int64()), "wk": pa.array(rows["wk"], pa.binary()), "pk": pa.array(rows["pk"], pa.binary()), "chunk": pa.array(np.full(len(rows), chunk), pa.int64())})
 
     return probes
 
@@ -425,16 +442,19 @@ def score(docs: DataFrame, merged: DataFrame, model: Model, id_col: str = "doc_i
 
 def by_broadcast(docs: DataFrame, merged: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
     least = max(1, int(np.ceil(model.total * FREQUENT)))
-    shared = docs.sparkSession.sparkContext.broadcast(held(merged, model, least))
+    all_, context = held(merged, model, least), docs.sparkSession.sparkContext
+    size, blocks, all_.data = len(all_.data), context.broadcast(all_.data), None
+    shared = context.broadcast(all_)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
+        h.data = mapped(blocks, size)
         ends = h.values(np.array([END]))[0]  # every text has one end and one start
-        for b in (x.iloc[s : s + ROWS].reset_index(drop=True) for x in batches for s in range(0, len(x), ROWS)):
-            texts = list(b.pop("text"))
+        for b in (x.slice(s, ROWS) for x in batches for s in range(0, x.num_rows, ROWS)):
+            texts = b["text"].to_pylist()
             n = len(texts)
             n_tokens, n_known, base, full = (np.zeros(n) for _ in range(4))
-            rare: list[list[np.ndarray]] = [[] for _ in range(n)]
+            rare, n_rare = [np.zeros(0, np.uint64)], np.zeros(n + 1, np.int64)
             for own, tok, before in tokens(texts):
                 words, at = np.unique(np.concatenate((tok, before)), return_inverse=True)
                 c, values = h.exact(words)[at[: len(tok)]], h.values(words)
@@ -445,14 +465,16 @@ def by_broadcast(docs: DataFrame, merged: DataFrame, model: Model, id_col: str,
                 n_known += np.bincount(own, hit, n)
                 base += np.bincount(own, np.where(hit, np.log10((c + 0.5) / model.room), 0.0), n)
                 full += np.bincount(own, log10p(model, values[at[: len(tok)]], values[at[len(tok) :]], h.values(pairs)[where]), n)
-                ids, left = own[~hit], tok[~hit]
-                for i, part in zip(ids[np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1))] if len(ids) else [], np.split(left, np.flatnonzero(np.diff(ids)) + 1)):
-                    rare[i].append(part)
-            yield b.assign(n_tokens=n_tokens.astype(np.int64), n_known=n_known.astype(np.int64), base=base, score=full, rare=[np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in rare])
+                rare.append(tok[~hit])  # blocks are in order of texts
+                n_rare[1:] += np.bincount(own[~hit], minlength=n)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(n_rare), pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
+            kept = {name: b[name] for name in b.schema.names if name != "text"}
+            scored = {"n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "base": pa.array(base), "score": pa.array(full), "rare": lists}
+            yield pa.RecordBatch.from_pydict(kept | scored)
 
     rows = docs.select(F.col(id_col).alias("id"), *keep, text_or_empty(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    got = rows.mapInPandas(run, f"{schema}, n_tokens long, n_known long, base double, score double, rare array<long>")
+    got = rows.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base double, score double, rare array<long>")
     got = written(got.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     left = got.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
@@ -487,7 +509,7 @@ def by_groups(docs: DataFrame, merged: DataFrame, model: Model, id_col: str, tex
     extra = [f.name for f in rows.schema["who"].dataType if f.name != "id"]
     chunks = rows.mapInArrow(chunked, f"who array<{rows.schema['who'].dataType.simpleString()}>, text array<string>")
     chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
-    asked = chunks.select("chunk", "text").mapInPandas(asker(model.bits), "g long, wk binary, pk binary, chunk long")
+    asked = chunks.select("chunk", "text").mapInArrow(asker(model.bits), "g long, wk binary, pk binary, chunk long")
     found = asked.groupBy("g").cogroup(merged.groupBy("g")).applyInPandas(answers, "chunk long, g long, exact binary, wl binary, pl binary")
     got = found.groupBy("chunk").cogroup(chunks.select("chunk", "text").groupBy("chunk")).applyInPandas(sums, "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
     each = chunks.select("chunk", "who").join(got, "chunk").select(F.explode(F.arrays_zip("who", "n_tokens", "n_known", "base_score", "score")).alias("x"))

@@ -2,6 +2,7 @@
 
 import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +48,16 @@ def test_memory_of_a_counting_task():
     finally:
         tracemalloc.stop()
     assert peak < 45 * lm.FLUSH  # the two arrays take 16
+
+
+def test_a_broadcast_filter_is_mapped_not_copied(spark):
+    data = np.arange(300_000, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(data)
+
+    def run(batches):
+        for _ in batches:
+            got = lm.mapped(shared, 300_000)
+            yield pa.RecordBatch.from_pydict({"same": [bool((got == np.arange(300_000, dtype=np.uint8)).all())], "own": [got.flags.writeable]})
+
+    assert spark.range(1).mapInArrow(run, "same boolean, own boolean").collect() == [(True, False)]
+    assert lm.mapped(SimpleNamespace(value=data), 300_000) is data
